@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
+from . import packing, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_output": token_output.op3_token_output,
+        "op6_packing": packing.op6_packing,
+        "op8_warc": warc.op8_warc,
+        "op10_url_filters": url_filters.op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.ORACLE, "op10_url_filters": url_filters.ORACLE}
