@@ -78,7 +78,7 @@ def _write(path: str, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
             page_id, url, html, digest, refers_to = (c[i].as_py() for c in columns)
             if out is None:
                 name, size, records = f"{TaskContext.get().partitionId():06d}-{part:04d}-{attempt}.warc.gz", 0, 0
-                out = store.open_output_stream(f"{folder}/{name}")
+                out = store.open_output_stream(f"{folder}/{name}", compression=None)
                 part += 1
             member = gzip.compress(record(page_id, url, html.encode(), digest, refers_to), 6, mtime=0)
             out.write(member)
