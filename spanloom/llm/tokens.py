@@ -13,12 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are worked on together up to so many bytes.
-GROUP_BYTES = 4 << 20
+#: Texts are split together up to so many bytes, and their ids are handed out about so many at a time.
+GROUP_BYTES, SLICE_IDS = 32 << 20, 1 << 20
+#: New words that go through the library as one text.
+TOGETHER = 128
 #: Different words that a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 600_000
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_ODD = rf"(^|{_BLANK}) | ({_BLANK}|$)"
+#: Stands between words that go through the library together; texts that hold it go through alone.
+_MARK = "\x01"
+_ODD = rf"(^|{_BLANK}) | ({_BLANK}|$)|{_MARK}"
 _open: dict[tuple[str, bool], WordTokenizer] = {}
 
 
@@ -31,10 +35,17 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
 
 class WordTokenizer:
     def __init__(self, path: str, spaced: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
         self.before = " " if spaced else ""
+        if spaced:
+            size = self.library.get_vocab_size()
+            self.begins = np.fromiter((self.library.id_to_token(i).startswith("\u0120") for i in range(size)), bool, size)
+        else:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            (self.mark,) = self.library.encode(_MARK, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -56,20 +67,37 @@ class WordTokenizer:
         self.used += len(ids)
         return at
 
-    def _indices(self, keys: list[str]) -> np.ndarray:
-        known = self.known
-        found = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that all begin with a space or of which none holds one, and how many each has."""
+        if self.before:
+            ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+        text = f" {_MARK} ".join(words)
+        # the normalizer's work on these characters is lower case alone; words are apart already
+        tool, text = (self.plain, text.lower()) if max(text) < "\u0250" else (self.library, text)
+        ids = np.array(tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = ids == self.mark
+        return ids[~marks], np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])) - 1
+
+    def _indices(self, keys: list[str], spaced: bool = True) -> np.ndarray:
+        get = self.known.get
+        found = np.array([get(k, -1) for k in keys], np.int32)
         new = np.flatnonzero(found < 0)
-        for a in range(0, len(new), 4096):
-            some = [keys[i] for i in new[a : a + 4096]]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)) if got.ids else np.zeros(len(some), np.int64)
-            at = self._add(np.array(got.ids, np.uint32), counts)
-            known.update(zip(some, range(at, at + len(some)), strict=True))
-            found[new[a : a + 4096]] = np.arange(at, at + len(some))
+        for a in range(0, len(new), TOGETHER):
+            some = [keys[i] for i in new[a : a + TOGETHER].tolist()]
+            if spaced:
+                ids, counts = self._new(some)
+            else:
+                each = [x.ids for x in self.library.encode_batch(some, add_special_tokens=False)]
+                ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+            if len(counts) != len(some):
+                raise ValueError("this tokenizer joins words across spaces")
+            at = self._add(ids, counts)
+            self.known.update(zip(some, range(at, at + len(some)), strict=True))
+            found[new[a : a + TOGETHER]] = np.arange(at, at + len(some))
         return found
 
-    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if len(self.known) > REMEMBER:
             self._forget()
         odd = pc.match_substring_regex(column, _ODD)
@@ -78,24 +106,33 @@ class WordTokenizer:
             whole = [self.library.encode(column[int(i)].as_py(), add_special_tokens=False).ids for i in odd_rows]
             column = pc.if_else(odd, "", column)
         parts = pc.split_pattern(column, " ")
-        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
-        words = parts.flatten().dictionary_encode()
-        of = self._indices([self.before + w for w in words.dictionary.to_pylist()])[words.indices.to_numpy()]
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        first = bounds[:-1]
+        flat = parts.flatten()
+        words = flat.dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        of = self._indices([" " + w for w in keys] if self.before else keys)[words.indices.to_numpy()]
         if self.before:
-            heads = parts.flatten().take(pa.array(first)).dictionary_encode()
-            of[first] = self._indices(heads.dictionary.to_pylist())[heads.indices.to_numpy()]
+            heads = flat.take(pa.array(first)).dictionary_encode()
+            of[first] = self._indices(heads.dictionary.to_pylist(), False)[heads.indices.to_numpy()]
         if len(odd_rows):
             counts = np.array([len(x) for x in whole], np.int64)
             at = self._add(np.concatenate([np.array(x, np.uint32) for x in whole]), counts)
             of[first[odd_rows]] = np.arange(at, at + len(odd_rows))
-        starts = self.starts[of]
-        counts = self.starts[of + 1] - starts
-        ends = np.cumsum(counts)
-        total = int(ends[-1])
-        where = np.arange(total) + np.repeat(starts - (ends - counts), counts)
-        before = np.concatenate([[0], ends])
-        bounds = np.append(first, len(of))
-        return self.flat[where], np.diff(before[bounds])
+        lengths = np.diff(self.starts[: self.words + 1]).astype(np.int32)
+        before = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(lengths[of], out=before[1:])
+        starts, totals = self.starts.astype(np.int32), before[bounds]
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(totals, totals[a] + SLICE_IDS, side="right")) - 1)
+            some = of[bounds[a] : bounds[b]]
+            n, low = lengths[some], totals[a]
+            shift = starts[some] - (before[bounds[a] : bounds[b]] - low).astype(np.int32)
+            where = np.repeat(shift, n)
+            where += np.arange(len(where), dtype=np.int32)
+            yield a, self.flat[where], np.diff(totals[a : b + 1])
+            a = b
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows one after another, how many each row has); null is an empty text."""
@@ -105,8 +142,8 @@ class WordTokenizer:
         while a < len(column):
             past = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + GROUP_BYTES, side="right"))
             b = max(a + 1, past)
-            ids, counts = self._encode(column.slice(a, b - a))
-            yield a, ids, counts
+            for at, ids, counts in self._encode(column.slice(a, b - a)):
+                yield a + at, ids, counts
             a = b
 
 
