@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_output, url_filters, warc
+from . import near_duplicates, packing, quality_rules, substring_dedup, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_token_output": token_output.op3_token_output,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_packing": packing.op6_packing,
+        "op7_near_duplicates": near_duplicates.op7_near_duplicates,
         "op8_warc": warc.op8_warc,
         "op10_url_filters": url_filters.op10_url_filters,
     }
