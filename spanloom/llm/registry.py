@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, quality_rules, substring_dedup, token_output, url_filters, warc
+from . import fingerprints, near_duplicates, packing, quality_rules, substring_dedup, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_token_output": token_output.op3_token_output,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_packing": packing.op6_packing,
         "op7_near_duplicates": near_duplicates.op7_near_duplicates,
