@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_duplicates, packing, quality_rules, substring_dedup, token_output, url_filters, warc
+from . import fingerprints, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_token_output": token_output.op3_token_output,
         "op4_fingerprints": fingerprints.op4_fingerprints,
