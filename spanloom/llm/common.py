@@ -24,8 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Where a table may be written; a caller that knows when results are done with can discard() it."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many scratch paths there are, for discard()."""
+    return len(_made)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes the scratch tables made after made() said ``since``, but for ``keep``."""
+    while len(_made) > since:
+        path = _made.pop()
+        if path != keep:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -184,3 +184,8 @@ def packed(docs: DataFrame, vocabulary: str, *, end: int = 1, tiers: tuple[int,
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.load(spark, sf_dir, "documents"), token_output.vocabulary("word_bpe_49k.json"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows of docs."""
+    return packed(docs, token_output.vocabulary("word_bpe_49k.json"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, token_output, url_filters, warc
+import corpus_pipeline
+
+from . import fingerprints, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, token_output, unigram, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.op6_packing,
         "op7_near_duplicates": near_duplicates.op7_near_duplicates,
         "op8_warc": warc.op8_warc,
+        "op9_unigram": unigram.op9_unigram,
         "op10_url_filters": url_filters.op10_url_filters,
+        "pipeline": corpus_pipeline.run,
     }
 
 

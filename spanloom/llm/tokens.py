@@ -34,11 +34,13 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
 
 
 class WordTokenizer:
+    together = TOGETHER
+
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
-        self.before = " " if spaced else ""
+        self.before, self.heads, self.odd = " " if spaced else "", spaced, _ODD
         if spaced:
             size = self.library.get_vocab_size()
             self.begins = np.fromiter((self.library.id_to_token(i).startswith("\u0120") for i in range(size)), bool, size)
@@ -48,6 +50,10 @@ class WordTokenizer:
             (self.mark,) = self.library.encode(_MARK, add_special_tokens=False).ids
         self._forget()
 
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts on their own."""
+        return [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -83,27 +89,27 @@ class WordTokenizer:
         get = self.known.get
         found = np.array([get(k, -1) for k in keys], np.int32)
         new = np.flatnonzero(found < 0)
-        for a in range(0, len(new), TOGETHER):
-            some = [keys[i] for i in new[a : a + TOGETHER].tolist()]
+        for a in range(0, len(new), self.together):
+            some = [keys[i] for i in new[a : a + self.together].tolist()]
             if spaced:
                 ids, counts = self._new(some)
             else:
-                each = [x.ids for x in self.library.encode_batch(some, add_special_tokens=False)]
+                each = self._whole(some)
                 ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
             if len(counts) != len(some):
                 raise ValueError("this tokenizer joins words across spaces")
             at = self._add(ids, counts)
             self.known.update(zip(some, range(at, at + len(some)), strict=True))
-            found[new[a : a + TOGETHER]] = np.arange(at, at + len(some))
+            found[new[a : a + self.together]] = np.arange(at, at + len(some))
         return found
 
     def _encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if len(self.known) > REMEMBER:
             self._forget()
-        odd = pc.match_substring_regex(column, _ODD)
+        odd = pc.match_substring_regex(column, self.odd)
         odd_rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(odd_rows):
-            whole = [self.library.encode(column[int(i)].as_py(), add_special_tokens=False).ids for i in odd_rows]
+            whole = self._whole([column[int(i)].as_py() for i in odd_rows])
             column = pc.if_else(odd, "", column)
         parts = pc.split_pattern(column, " ")
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
@@ -111,8 +117,8 @@ class WordTokenizer:
         flat = parts.flatten()
         words = flat.dictionary_encode()
         keys = words.dictionary.to_pylist()
-        of = self._indices([" " + w for w in keys] if self.before else keys)[words.indices.to_numpy()]
-        if self.before:
+        of = self._indices([self.before + w for w in keys] if self.before else keys)[words.indices.to_numpy()]
+        if self.heads:
             heads = flat.take(pa.array(first)).dictionary_encode()
             of[first] = self._indices(heads.dictionary.to_pylist(), False)[heads.indices.to_numpy()]
         if len(odd_rows):
