@@ -3,10 +3,12 @@
 Rows with equal shingle sets are one class. Classes that share a band's bucket are candidates:
 
 1. each bucket's classes are compared with its least one alone, and the components of the confirmed links taken;
-2. in buckets that still hold several components, whatever is outside the largest is compared with all that is
-   in another component, a block against a block; only pairs that the sketches can't rule out leave the task.
+2. classes in buckets that still hold several components are dealt into blocks, by the fullest such bucket of each.
+   Blocks that meet in a bucket are compared inside a task, all of one with all of the other that are in different
+   components: by sketches, then, for the classes with a possible partner, by full sets. Only links that join
+   components leave the task, so a pair never becomes a row.
 
-So a bucket of one group costs as many comparisons as it has members, and no link between two buckets' members is
+So a bucket of one group costs as many comparisons as it has members, and no link between a bucket's members is
 left unseen. A candidate is compared by odd sketches first: parities of the hashed MinHash samples, from whose
 exclusive-or the number of samples that differ is estimated.
 """
@@ -26,13 +28,13 @@ from . import common, components, words
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in percent.
 SHINGLE, PERCENT = 4, 80
-#: A pair at the least similarity of 0.8 shares no bucket with a probability of (1 - 0.8^ROWS)^BANDS = 5e-8.
-BANDS, ROWS = 32, 4
+#: A pair at the least similarity of 0.8 shares no bucket with a probability of (1 - 0.8^ROWS)^BANDS = 3e-8.
+BANDS, ROWS = 44, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Sketches rule out a pair whose similarity they put below this: over six standard deviations below 0.8.
-SKETCH_LEAST = 0.55
-#: Classes in a block of a bucket.
+SKETCH_LEAST = 0.62
+#: Classes in a block, about.
 BLOCK = 256
 
 _U = np.uint64
@@ -132,29 +134,87 @@ def _possible(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def _unlike(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's rows with another's that are in different components and that nothing rules out yet."""
+class _Side:
+    """The classes of a block as arrays."""
 
-    def columns(block: pa.StructScalar | list) -> tuple:
-        rows = block.values
-        keys, groups, sizes = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "component", "n_shingles"))
-        return keys, groups, sizes, rows.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(keys), -1)
+    def __init__(self, rows: pa.StructArray, full: bool):
+        self.keys, self.groups, self.sizes = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "component", "n_shingles"))
+        self.sketches = rows.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(self.keys), -1)
+        if full:
+            hashes = rows.field("hashes")
+            self.bounds = hashes.offsets.to_numpy().astype(np.int64)
+            self.bounds -= self.bounds[0]
+            self.hashes = hashes.flatten().to_numpy(zero_copy_only=False)
 
+    def set_of(self, k: int) -> np.ndarray:
+        return self.hashes[self.bounds[k] : self.bounds[k + 1]]
+
+
+def _possible_pairs(a: _Side, b: _Side, percent: int) -> np.ndarray:
+    """Which of a's rows with which of b's are in different components and neither too unlike in size nor by their sketches."""
+    fits = (a.groups[:, None] != b.groups) & (np.minimum(a.sizes[:, None], b.sizes) * 100 >= np.maximum(a.sizes[:, None], b.sizes) * percent)
+    x, y = np.nonzero(fits)
+    for at in range(0, len(x), 32768):
+        p, q = x[at : at + 32768], y[at : at + 32768]
+        fits[p, q] = np.bitwise_count(a.sketches[p] ^ b.sketches[q]).sum(axis=1) <= MOST_BITS
+    return fits
+
+
+def _involved(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs of blocks (a, b, left, right): a, b, side and key of the classes with a possible partner on the other side."""
+    for batch in batches:
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for i in range(batch.num_rows):
+            left, right = (_Side(batch.column(c)[i].values, False) for c in ("left", "right"))
+            fits = _possible_pairs(left, right, percent)
+            keys = left.keys[fits.any(axis=1)], right.keys[fits.any(axis=0)]
+            out.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), *keys))
+        sizes = [len(x) + len(y) for *_, x, y in out]
+        columns = [np.repeat(np.array([o[k] for o in out], np.int64), sizes) for k in (0, 1)]
+        side = np.concatenate([np.repeat(np.array([0, 1], np.int32), [len(x), len(y)]) for *_, x, y in out] or [np.zeros(0, np.int32)])
+        keys = np.concatenate([k for *_, x, y in out for k in (x, y)] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(side), pa.array(keys)], names=["a", "b", "side", "key"])
+
+
+def _intersections(a: _Side, b: _Side, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and sizes of the intersections of the pairs in ``fits``: one by one, or all at once as a product of matrices."""
+    x, y = np.nonzero(fits)
+    shingles, of = np.unique(np.concatenate([a.hashes, b.hashes]), return_inverse=True)
+    one_by_one = float((a.sizes[x] + b.sizes[y]).sum()) * 20
+    if one_by_one < len(a.keys) * len(b.keys) * len(shingles) * 0.1:
+        return x, y, np.array([len(np.intersect1d(a.set_of(i), b.set_of(j), assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    total = np.zeros((len(a.keys), len(b.keys)), np.float64)
+    rows = [np.repeat(np.arange(len(s.keys)), np.diff(s.bounds)) for s in (a, b)]
+    parts = of[: len(a.hashes)], of[len(a.hashes) :]
+    for low in range(0, len(shingles), 4096):
+        m = []
+        for s, row, part in zip((a, b), rows, parts, strict=True):
+            some = (part >= low) & (part < low + 4096)
+            m.append(np.zeros((len(s.keys), 4096), np.float32))
+            m[-1][row[some], part[some] - low] = 1
+        total += m[0] @ m[1].T
+    return x, y, total[x, y].astype(np.int64)
+
+
+def _linking(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs of blocks with full sets (left, right): links that join components, none within what those before it joined."""
     for batch in batches:
-        found: list[np.ndarray] = []
+        found: list[tuple[int, int]] = []
         for i in range(batch.num_rows):
-            (ka, ca, na, sa), (kb, cb, nb, sb) = columns(batch.column("rest")[i]), columns(batch.column("others")[i])
-            fits = (ca[:, None] != cb) & (np.minimum(na[:, None], nb) * 100 >= np.maximum(na[:, None], nb) * percent)
-            if not fits.any():
-                continue
-            x, y = np.nonzero(fits)
-            for at in range(0, len(x), 65536):
-                p, q = x[at : at + 65536], y[at : at + 65536]
-                near = np.bitwise_count(sa[p] ^ sb[q]).sum(axis=1) <= MOST_BITS
-                p, q = ka[p[near]], kb[q[near]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            left, right = (_Side(batch.column(c)[i].values, True) for c in ("left", "right"))
+            x, y, common_ = _intersections(left, right, _possible_pairs(left, right, percent))
+            alike = common_ * 100 >= (left.sizes[x] + right.sizes[y] - common_) * percent
+            above: dict[int, int] = {}
+            for p, q in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
+                u, v = int(left.groups[p]), int(right.groups[q])
+                while u in above:
+                    u = above[u]
+                while v in above:
+                    v = above[v]
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+                    found.append((int(left.keys[p]), int(right.keys[q])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,18 +254,26 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -
     links = common.materialise(_confirmed(pairs.select("a", "b"), sets, percent), "links")
     found = components.components(links)
 
-    # what other buckets' members than the largest component's have to do with the others
+    # classes in buckets of several components, in blocks by their fullest such bucket
     grouped = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
     grouped = common.materialise(grouped, "grouped")
-    sizes = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max_by("component", "n").alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    blocked = grouped.join(sizes.select("band", "largest", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band").join(sketched.select("key", "n_shingles", "sketch"), "key")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    member = F.collect_list(F.struct("key", "component", "n_shingles", "sketch"))
-    others = blocked.groupBy("band", "block").agg(member.alias("others")).select("band", "others")
-    rest = blocked.filter("component <> largest").groupBy("band", "block").agg(member.alias("rest")).select("band", "rest")
-    more = rest.join(others, "band").select("rest", "others").mapInArrow(lambda b: _unlike(percent, b), "a long, b long").distinct()
-    more = common.materialise(_confirmed(more, sets, percent), "links")
+    sizes = grouped.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "n")
+    open_ = common.materialise(grouped.join(sizes, "band"), "open")
+    place = open_.groupBy("key", "component").agg(F.max(F.struct("n", "band")).alias("of"))
+    canopies = place.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.xxhash64("of.band", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    place = common.materialise(place.join(canopies, "of").select("key", "component", block.alias("block")), "places")
+    meet = open_.select("band", "key").join(place.select("key", "block"), "key").select("band", "block").distinct()
+    meet = meet.select("band", F.col("block").alias("a")).join(meet.select("band", F.col("block").alias("b")), "band").filter("a <= b").select("a", "b").distinct()
+    meet = common.materialise(meet, "meetings")
+    described = place.join(sketched.select("key", "n_shingles", "sketch"), "key")
+    blocks = described.groupBy("block").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch")).alias("classes"))
+    facing = meet.join(blocks.toDF("a", "left"), "a").join(blocks.toDF("b", "right"), "b")
+    involved = facing.mapInArrow(lambda b: _involved(percent, b), "a long, b long, side int, key long")
+    full = involved.join(described, "key").join(sets, "key").groupBy("a", "b", "side").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch", "hashes")).alias("classes"))
+    full = common.materialise(full, "facing")
+    facing = full.filter("side = 0").select("a", "b", F.col("classes").alias("left")).join(full.filter("side = 1").select("a", "b", F.col("classes").alias("right")), ["a", "b"])
+    more = common.materialise(facing.select("left", "right").mapInArrow(lambda b: _linking(percent, b), "u long, v long"), "links")
     found = components.components(links.union(more))
 
     # each row's component, by the least doc_id in it
