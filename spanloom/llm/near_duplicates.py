@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, components, words
+from . import common, components, statistics, words
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in percent.
 SHINGLE, PERCENT = 4, 80
@@ -292,9 +292,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are kept: of each component that with the least doc_id, of rows that repeat one."""
     verdicts = linked(docs).filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    verdicts = common.materialise(verdicts, "kept").toDF("_k1", "_k2", "_copies")
+    names = [statistics.fresh(docs, c) for c in ("k1", "k2", "copies")]
+    verdicts = common.materialise(verdicts, "kept").toDF(*names)
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
-    found = docs.join(verdicts, (k1 == F.col("_k1")) & (k2 == F.col("_k2")))
-    once = found.filter("_copies = 1").select(*(docs[c] for c in docs.columns))
-    again = found.filter("_copies > 1").dropDuplicates(["_k1", "_k2"]).select(*(docs[c] for c in docs.columns))
+    found = docs.join(verdicts, (k1 == F.col(names[0])) & (k2 == F.col(names[1])))
+    once = found.filter(F.col(names[2]) == 1).select(*(docs[c] for c in docs.columns))
+    again = found.filter(F.col(names[2]) > 1).dropDuplicates(names[:2]).select(*(docs[c] for c in docs.columns))
     return once.union(again)

@@ -114,6 +114,8 @@ def decode(segment: bytes, blocks: tuple[int, int] | None = None) -> np.ndarray:
         word = padded[np.where(empty, np.minimum(next_word[:, None] + ranks - 1, len(stream)), len(stream))]
         state = np.where(empty, (state << _U(32)) | word, state)
         next_word += ranks[:, -1]
+    if (state != _LOW).any():
+        raise ValueError("a damaged segment: its words don't lead back to the first state")
     ids = symbols[out.transpose(1, 0, 2).reshape(-1)][: min(n_ids, b * BLOCK) - a * BLOCK].astype("<u4")
     for i in range(a, b):
         if zlib.crc32(ids[(i - a) * BLOCK : (i - a + 1) * BLOCK]) != marks["crc"][i]:

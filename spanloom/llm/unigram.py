@@ -1,6 +1,6 @@
 """9. SentencePiece unigram encoding and decoding: Viterbi over a double-array trie of pieces with log scores.
 
-White space is the marker U+2581, one of which stands before every text. No piece holds a marker behind another
+White space is the marker U+2581, one of which stands before every text but the empty one. No piece holds a marker behind another
 character, so words between single spaces are independent: each different one is worked on once a batch, many of
 them in step. A character that no piece covers costs PENALTY more than the worst piece and comes out as its bytes.
 """
@@ -107,11 +107,11 @@ class Unigram(tokens.WordTokenizer):
         self.is_byte = np.array([model.is_byte(i) for i in ids])
         self.piece_starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.piece_bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.before, self.heads, self.odd = MARKER, False, rf"^ |  | $|{MARKER}"
+        self.before, self.heads, self.odd = MARKER, False, rf"^$|^ |  | $|{MARKER}"
         self._forget()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        ids, counts = self._new([MARKER + t.replace(" ", MARKER) for t in texts])
+        ids, counts = self._new([MARKER + t.replace(" ", MARKER) if t else "" for t in texts])
         return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +212,7 @@ def encoded(docs: DataFrame, path: str, *, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip and ids of each row of ``docs`` (doc_id, text; other columns are left out).
 
     round_trip: whether the decoded ids are the text; they aren't where it holds the marker itself, which becomes a
-    space. A null text is an empty one: the marker alone. Rows that repeat get equal results.
+    space. A null text is an empty one, without ids. Rows that repeat get equal results.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"
