@@ -14,11 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are split together up to so many bytes, and their ids are handed out about so many at a time.
-GROUP_BYTES, SLICE_IDS = 32 << 20, 1 << 20
+GROUP_BYTES, SLICE_IDS = 12 << 20, 1 << 20
 #: New words that go through the library as one text.
 TOGETHER = 128
 #: Different words that a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 250_000
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Stands between words that go through the library together; texts that hold it go through alone.
 _MARK = "\x01"
