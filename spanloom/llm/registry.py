@@ -28,4 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE, "op10_url_filters": url_filters.ORACLE}
+    return {
+        "op2_substring_dedup": substring_dedup.ORACLE,
+        "op7_near_duplicates": near_duplicates.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op10_url_filters": url_filters.ORACLE,
+    }

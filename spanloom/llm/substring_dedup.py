@@ -190,3 +190,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = without_repeats(docs)
     new = {"text": F.col("cut.text")} | ({"n_chars": F.when(F.col("cut.n_removed") > 0, F.length("cut.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+p AS (SELECT r, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w),
+k AS (SELECT r, i, l, md5(array_to_string(l[i:i + {LENGTH - 1}], ' ')) AS h FROM (SELECT r, l, unnest(range(1, len(l) - {LENGTH - 2})) AS i FROM w WHERE len(l) >= {LENGTH})),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY h) > 1 AS twice FROM k),
+m AS (SELECT p.r, p.i, p.word, coalesce(bool_or(twice) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN c ON p.r = c.r AND p.i = c.i),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY r)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON w.r = s.r
+"""
