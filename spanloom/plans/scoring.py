@@ -173,6 +173,19 @@ related AS (
   UNION ALL SELECT doc_id, 'fn', NULL, NULL, o.label, o.value FROM (SELECT doc_id, unnest(r.pool) AS o FROM walked))"""
 )
 
+_NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))".format
+_SUPER, _MISSED, _PAIR = "STRUCT(pl VARCHAR, pv VARCHAR, g VARCHAR, p VARCHAR)", "STRUCT(label VARCHAR, value VARCHAR, g VARCHAR)[]", "STRUCT(label VARCHAR, value VARCHAR)[]"
+_MERGED = f""",
+bydoc AS (SELECT doc_id, list(struct_pack(pl := pred_label, pv := pred_value, g := {_NORM('gold_value')}, p := {_NORM('pred_value')}) ORDER BY pred_label, pred_value, gold_value) FILTER (kind = 'superset' AND pred_label = gold_label) AS s,
+  list(struct_pack(label := gold_label, value := gold_value, g := {_NORM('gold_value')}) ORDER BY gold_label, gold_value) FILTER (kind = 'fn') AS f FROM related GROUP BY doc_id),
+steps AS (SELECT doc_id, list_prepend(struct_pack(x := NULL::{_SUPER}, rest := coalesce(f, [])::{_MISSED}, merged := []::{_PAIR}, used := []::{_MISSED}),
+  list_transform(coalesce(s, []::{_SUPER}[]), lambda x: struct_pack(x := x, rest := []::{_MISSED}, merged := []::{_PAIR}, used := []::{_MISSED}))) AS l FROM bydoc),
+taken AS (SELECT doc_id, list_reduce(l, lambda a, c: (
+  [CASE WHEN len(list_distinct(list_prepend(c.x.g, list_transform(ins, lambda m: m.g)))) >= 2 AND contains(c.x.p, c.x.g)
+    THEN struct_pack(x := c.x, rest := list_filter(a.rest, lambda m: NOT list_contains(ins, m)), merged := list_append(a.merged, struct_pack(label := c.x.pl, value := c.x.pv)), used := list_concat(a.used, ins)) ELSE a END
+   for ins in [list_filter(a.rest, lambda m: m.label = c.x.pl AND m.g <> '' AND contains(c.x.p, m.g))]])[1]) AS r FROM steps),
+merged AS (SELECT doc_id, CASE WHEN kind = 'superset' AND len(list_filter(r.merged, lambda m: m.label = pred_label AND m.value = pred_value)) > 0 THEN 'merged' WHEN kind = 'fn' AND len(list_filter(r.used, lambda m: m.label = gold_label AND m.value = gold_value)) > 0 THEN 'used' ELSE kind END AS kind, pred_label, pred_value, gold_label, gold_value FROM related JOIN taken USING (doc_id))"""
+
 _CARD = "length(regexp_replace(value, '[^0-9]', '', 'g'))"
 ORACLES = {
     "match_exact": _BOTH + _EXACT + " SELECT * FROM m",
@@ -185,6 +198,8 @@ ORACLES = {
     "soft_credit": _BOTH + _PAIRS + _CREDIT + " SELECT * FROM credited",
     "soft_prf": _BOTH + _PAIRS + _CREDIT + ", s AS (SELECT (SELECT coalesce(sum(credit), 0.0::DOUBLE) FROM credited) AS c, (SELECT count(*) FROM pred) AS predicted, (SELECT count(*) FROM gold) AS gold) SELECT round(c, 6) AS credit, predicted, gold, round(CASE WHEN predicted = 0 THEN 0 ELSE c / predicted END, 6) AS precision, round(CASE WHEN gold = 0 THEN 0 ELSE c / gold END, 6) AS recall, round(CASE WHEN predicted + gold = 0 THEN 0 ELSE 2 * c / (predicted + gold) END, 6) AS f1 FROM s",
     "value_relationships": _BOTH + _RELATED + " SELECT * FROM related",
+    "merged_supersets": _BOTH + _RELATED + _MERGED + " SELECT * FROM merged",
+    "error_taxonomy": _BOTH + _RELATED + _MERGED + " SELECT kind, coalesce(pred_label, gold_label) AS label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM merged GROUP BY ALL",
     "confusion_matrix": _BOTH + _RELATED + _LABELS + ", k AS (SELECT pred_label, gold_label, count(*) AS n FROM related WHERE kind = 'mismatch' GROUP BY ALL) SELECT a.label AS pred_label, b.label AS gold_label, coalesce(n, 0) AS n FROM names a CROSS JOIN names b LEFT JOIN k ON k.pred_label = a.label AND k.gold_label = b.label",
     "error_examples": _BOTH + _RELATED + ", e AS (SELECT kind, coalesce(pred_label, gold_label) AS label, doc_id, trim(regexp_replace(coalesce(pred_value, gold_value), '\\s+', ' ', 'g')) AS v FROM related WHERE kind IN ('fp', 'fn')), f AS (SELECT kind, label, doc_id, CASE WHEN length(v) > 220 THEN rtrim(substr(v, 1, 217)) || '...' ELSE v END AS value FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY kind, label ORDER BY doc_id, value) AS rank FROM f) SELECT * FROM n WHERE rank <= 5",
     "wrong_place": _BOTH + """, w AS (SELECT DISTINCT doc_id, label, start, "end" FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.start = p.start AND g."end" = p."end"))
