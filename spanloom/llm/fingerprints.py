@@ -168,8 +168,7 @@ def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             for at in range(0, len(a), 64):
                 differ = a[at : at + 64, None, :] ^ b
                 near = np.bitwise_count(differ).sum(axis=2) <= radius
-                blocks = differ.view(np.uint32).reshape(*near.shape, -1)[..., : tables[k]] if radius + 1 == BITS // 32 else _blocks(differ, radius)[..., : tables[k]]
-                near &= (blocks != 0).all(axis=2)
+                near &= _blocks(differ, radius)[..., : tables[k]].all(axis=2)
                 keys.append(a[at : at + 64])
                 counts.append((near * weight).sum(axis=1))
         flat = np.concatenate(keys) if keys else np.zeros((0, _PARTS), np.uint64)
@@ -177,7 +176,9 @@ def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _blocks(differ: np.ndarray, radius: int) -> np.ndarray:
-    """Block by block, whether bits differ: bit i belongs to block i mod (radius + 1) of blocks of equal size."""
+    """Whether bits differ in each of radius + 1 blocks of bits in a row, as _block_columns() has them."""
+    if radius + 1 == BITS // 32:
+        return differ.view(np.uint32).reshape(*differ.shape[:-1], -1) != 0
     bits = np.unpackbits(differ.view(np.uint8).reshape(*differ.shape[:-1], -1), axis=-1, bitorder="little")
     size = -(-BITS // (radius + 1))
     padded = np.concatenate([bits, np.zeros((*bits.shape[:-1], size * (radius + 1) - BITS), np.uint8)], axis=-1)
