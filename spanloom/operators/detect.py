@@ -11,24 +11,41 @@ from ..functions import columns as C
 OPEN, CLOSE = "\x01", "\x02"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all matches, left to right. Texts must not hold U+0001 or U+0002."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+def parts(text: Column, pattern: str) -> Column:
+    """The text cut at the pattern's matches: what stands before the first, then for each match its text, U+0002 and what follows. Texts must not hold U+0001 or U+0002."""
+    return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+
+
+def places(cut: Column) -> Column:
+    """array<struct<start, end>> of the matches, left to right, from a column of parts()."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    first = F.struct(F.length(F.get(parts, F.lit(0))).cast("bigint").alias("at"), empty.alias("found"))
+    first = F.struct(F.length(F.get(cut, F.lit(0))).cast("bigint").alias("at"), empty.alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         here = F.struct(acc["at"].alias("start"), (acc["at"] + F.locate(CLOSE, part) - 1).cast("bigint").alias("end"))
         return F.struct((acc["at"] + F.length(part) - 1).cast("bigint").alias("at"), F.array_append(acc["found"], here).alias("found"))
 
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, step)["found"]
+    return F.aggregate(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), first, step)["found"]
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """places() of a pattern as one expression; where texts are many, columns of parts() save finding them again."""
+    return places(parts(text, pattern))
+
+
+def found(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
+    """keep, label, start, end of every match of every pattern: one pass over the texts, each pattern once, nothing shuffled."""
+    names = {name: f"_parts_{name}" for name in patterns}
+    cut = docs.select(*keep, *(parts(F.col(text), p).alias(names[name]) for name, p in patterns.items()))
+    hits = F.array(*(F.struct(F.lit(name).alias("label"), F.when(F.size(names[name]) > 1, places(F.col(names[name]))).alias("hits")) for name in patterns))
+    rows = cut.select(*keep, F.explode(hits).alias("of")).filter("of.hits is not null")
+    return rows.select(*keep, "of.label", F.explode("of.hits").alias("hit")).select(*keep, "label", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
 
 
 def pattern_spans(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
-    """key, label, start, end, value of every match of every pattern: one pass over the texts, nothing shuffled."""
-    found = F.array(*(F.struct(F.lit(name).alias("label"), matches(F.col(text), p).alias("hits")) for name, p in patterns.items()))
-    rows = docs.select(key, text, F.explode(found).alias("of")).select(key, text, "of.label", F.explode("of.hits").alias("hit"))
-    return rows.select(key, "label", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"), C.slice_text(F.col(text), F.col("hit.start"), F.col("hit.end")).alias("value"))
+    """key, label, start, end, value of every match of every pattern."""
+    rows = found(docs, [key, text], text, patterns)
+    return rows.select(key, "label", "start", "end", C.slice_text(F.col(text), F.col("start"), F.col("end")).alias("value"))
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:

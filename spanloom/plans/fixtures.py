@@ -33,9 +33,7 @@ def _key(kind: str) -> Column:
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, label, start, end, value, score."""
     docs = documents(spark, sf_dir)
-    found = F.array(*(F.struct(F.lit(name).alias("label"), detect.matches(F.col("text"), p).alias("hits")) for name, p in vocab.PATTERNS.items()))
-    rows = docs.select("doc_id", "text", F.explode(found).alias("of")).select("doc_id", "text", "of.label", F.explode("of.hits").alias("hit"))
-    rows = rows.select("doc_id", "text", "label", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
+    rows = detect.found(docs, ["doc_id", "text"], "text")
     rows = rows.withColumn("u", C.uniform(_key("pred"))).filter("u < 0.9")
     u = F.col("u")
     end = F.when((u >= 0.5) & (u < 0.6) & (F.col("end") - 2 > F.col("start")), F.col("end") - 2).otherwise(F.col("end"))
