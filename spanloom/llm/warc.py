@@ -108,7 +108,7 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, archive_bytes: i
     those with the largest page_id are responses and the others revisit it; a null page_id is smaller than any.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32(F.sha1(F.encode("html", "UTF-8"))))
+    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("digest", base32(F.col("sha1"))).drop("sha1")
     same = rows.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     same = same.filter(F.col("n") > 1).select("digest", "keeper")
     rows = rows.join(same, "digest", "left")
