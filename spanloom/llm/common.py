@@ -25,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_tables: dict[int, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def done_with(df: DataFrame) -> None:
+    """Deletes the table that materialise() made of ``df``; for callers that have written all that reads from it."""
+    path = _tables.pop(id(df))
+    _made.remove(path)
+    delete(df.sparkSession, path)
+
+
 def discard(spark: SparkSession, since: int, keep: str) -> None:
     """Deletes the scratch tables made after made() said ``since``, but for ``keep``."""
     while len(_made) > since:
@@ -55,7 +63,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors lose none of it."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(table)] = path
+    return table
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -149,6 +149,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     anchors = common.materialise(anchors, "anchors")
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     joined = common.materialise(anchors.join(often, "anchor", "left_semi"), "joined")
+    common.done_with(anchors)
     one = F.min(F.struct("k1", "k2", "first", "count"))
     classes = joined.groupBy("anchor", "reach").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
     classes = common.materialise(classes, "classes")
