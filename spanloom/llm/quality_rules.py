@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common, statistics
 
-#: Shares of the core and of the steps towards it.
-CORE, STEPS = 0.75, 4
+#: Share of the core, and the steps towards it: one half withstands the most outliers.
+CORE, STEPS = 0.5, 4
 #: A source with fewer rows of a language is taken together with others of that language.
 LEAST_ROWS = 200
 #: Squared distance, in units of the median's expectation under a normal law, beyond which a row is rejected.

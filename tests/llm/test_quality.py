@@ -63,6 +63,22 @@ def test_quality_rules(spark):
     assert np.mean([k for k, q in judged if q == 1]) > 0.99 and np.mean([k for k, q in judged if q == 0]) < 0.1
 
 
+def test_a_third_of_a_source_is_junk(spark):
+    """Different bad texts, or copies of one, as a third of a source's rows: they don't become its middle."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en'")
+    rows = sorted((r.doc_id, r.text, r.quality) for r in docs.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect())
+    fine = lambda t: (b := brute.base(t))[0] >= 10 and 100 * b[4] <= 20 * b[0]
+    good, bad = ([t for _, t, q in rows if q == k and len(t) < 20000 and fine(t)][:320] for k in (1, 0))
+    junk = {"mixed": bad[:160], **{f"copies{k}": [bad[k]] * 160 for k in range(4)}}
+    texts = [(source, q, t) for source in junk for q, of in ((1, good), (0, junk[source])) for t in of]
+    assert len(texts) == 5 * 480
+    df = spark.createDataFrame([(i, t, "en", source) for i, (source, _, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.verdicts(df, "v").filter("v.kept").select("doc_id").collect()}
+    share = {(source, q): np.mean([i in kept for i, x in enumerate(texts) if x[:2] == (source, q)]) for source in junk for q in (0, 1)}
+    assert all(share[source, 1] > 0.98 for source in junk), share
+    assert share["mixed", 0] < 0.1 and all(share[source, 0] == 0 for source in junk if source != "mixed"), share
+
+
 def test_quality_rules_edges(spark, edges, nothing):
     out = quality_rules.stage(spark, edges, "")
     assert out.columns == edges.columns
