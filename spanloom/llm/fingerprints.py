@@ -1,9 +1,10 @@
 """4. SimHash fingerprints of documents, and those near each other by permuted block tables.
 
 Terms are pairs of neighbouring words, and runs of GRAM bytes of which every other one counts, by its hash.
-Each term's hash votes with the term's weight on every bit. Two fingerprints that differ in at most RADIUS bits
-are equal in one of RADIUS + 1 blocks, so each of as many tables, led by another block, is joined with itself
-on that block alone.
+Each term's hash votes with the term's weight on every bit. Two fingerprints that differ in at most r bits are
+equal in one of r + 1 blocks, and differ in at most one bit in one of r // 2 + 1 blocks. Each of as many tables is
+led by another block: there a fingerprint that is asked for meets those with its own block and, for a wide radius,
+with its block but for one bit.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from . import common, words
 
 #: Bits of a fingerprint; it is handled as BITS / 64 numbers.
 BITS = 256
-#: Bits in which near fingerprints differ at most.
-RADIUS = 7
+#: Bits in which near fingerprints differ at most: covers pairs with a five-word Jaccard similarity of 0.8 (see the README); unrelated texts are over 100 apart.
+RADIUS = 39
+#: From this radius on, blocks may differ in one bit: equal ones alone would be too short.
+WIDE = 16
 GRAM, GRAM_WEIGHT, PAIR_WEIGHT = 8, 0.6, 1.0
 #: Fingerprints of a bucket that a task compares with as many others at a time.
 BLOCK = 512
@@ -152,46 +155,87 @@ def with_next(docs: DataFrame) -> DataFrame:
     return made.filter("edge is null").select(*columns).union(last)
 
 
+def _bounds(radius: int) -> list[int]:
+    """Where the blocks of bits begin, and the end of the last."""
+    count = max(_PARTS, radius // 2 + 1 if radius >= WIDE else radius + 1)
+    return [k * BITS // count for k in range(count + 1)]
+
+
+def _spread(radius: int) -> int:
+    """The bits in which a pair within the radius differs at most, in one of the blocks."""
+    return int(radius >= WIDE)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(a), len(b)), np.int16)
+    for part in range(_PARTS):
+        total += np.bitwise_count(a[:, None, part] ^ b[:, part])
+    return total
+
+
 def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint asked for, how many documents of the others are near, in the first table that has both."""
+    """For each fingerprint asked for, how many documents of the others are near, in the first table where both meet."""
 
     def numbers(rows: pa.Array) -> np.ndarray:
         return np.stack([rows.field(f"f{i}").to_numpy(zero_copy_only=False).view(np.uint64) for i in range(_PARTS)], axis=1)
 
     for batch in batches:
-        keys, counts = [], []
+        keys, counts = [np.zeros((0, _PARTS), np.uint64)], [np.zeros(0, np.int64)]
         tables = batch.column("table").to_pylist()
         for k in range(batch.num_rows):
             asked, others = batch.column("asked")[k].values, batch.column("others")[k].values
             a, b = numbers(asked), numbers(others)
             weight = others.field("documents").to_numpy(zero_copy_only=False)
-            for at in range(0, len(a), 64):
-                differ = a[at : at + 64, None, :] ^ b
-                near = np.bitwise_count(differ).sum(axis=2) <= radius
-                near &= _blocks(differ, radius)[..., : tables[k]].all(axis=2)
-                keys.append(a[at : at + 64])
-                counts.append((near * weight).sum(axis=1))
-        flat = np.concatenate(keys) if keys else np.zeros((0, _PARTS), np.uint64)
-        yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, i].view(np.int64)) for i in range(_PARTS)), pa.array(np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64))], names=[*(f"f{i}" for i in range(_PARTS)), "near"])
-
-
-def _blocks(differ: np.ndarray, radius: int) -> np.ndarray:
-    """Whether bits differ in each of radius + 1 blocks of bits in a row, as _block_columns() has them."""
-    if radius + 1 == BITS // 32:
-        return differ.view(np.uint32).reshape(*differ.shape[:-1], -1) != 0
-    bits = np.unpackbits(differ.view(np.uint8).reshape(*differ.shape[:-1], -1), axis=-1, bitorder="little")
-    size = -(-BITS // (radius + 1))
-    padded = np.concatenate([bits, np.zeros((*bits.shape[:-1], size * (radius + 1) - BITS), np.uint8)], axis=-1)
-    return padded.reshape(*bits.shape[:-1], radius + 1, size).any(axis=-1)
+            x, y = np.nonzero(_distances(a, b) <= radius)
+            first = ~_meet(a[x] ^ b[y], radius, tables[k]).any(axis=1)
+            near = np.bincount(x[first], weights=weight[y[first]], minlength=len(a)).astype(np.int64)
+            keys.append(a[near > 0])
+            counts.append(near[near > 0])
+        flat = np.concatenate(keys)
+        yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, i].view(np.int64)) for i in range(_PARTS)), pa.array(np.concatenate(counts))], names=[*(f"f{i}" for i in range(_PARTS)), "near"])
+
+
+def _meet(differ: np.ndarray, radius: int, tables: int) -> np.ndarray:
+    """Whether pairs that differ in these bits meet in each of the first ``tables`` tables."""
+    bits = np.unpackbits(np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), BITS // 8), axis=1, bitorder="little")
+    before = np.concatenate([np.zeros((len(bits), 1), np.int64), np.cumsum(bits, axis=1, dtype=np.int64)], axis=1)
+    return np.diff(before[:, _bounds(radius)[: tables + 1]], axis=1) <= _spread(radius)
 
 
 def _block_columns(radius: int) -> list[F.Column]:
-    """The blocks of f0, f1, ... as long numbers or strings."""
-    if radius + 1 == BITS // 32:
-        return [F.shiftrightunsigned(F.col(f"f{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(BITS // 32)]
-    bits = F.concat(*(F.reverse(F.lpad(F.bin(f"f{i}"), 64, "0")) for i in range(_PARTS)))
-    size = -(-BITS // (radius + 1))
-    return [F.substring(bits, i * size + 1, size) for i in range(radius + 1)]
+    """The blocks of f0, f1, ... as long numbers."""
+    out, bounds = [], _bounds(radius)
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part, shift = divmod(low, 64)
+        value = F.shiftrightunsigned(F.col(f"f{part}"), shift)
+        if high > 64 * (part + 1):
+            value = value.bitwiseOR(F.shiftleft(F.col(f"f{part + 1}"), 64 - shift))
+        size = high - low
+        out.append(value.bitwiseAND(F.lit((1 << size) - 1).cast("long")) if size < 64 else value)
+    return out
+
+
+def _facing(classes: DataFrame, radius: int) -> DataFrame:
+    """table, asked, others: lists of at most about BLOCK classes that meet in a bucket, from classes (f0, f1, ..., documents, asked)."""
+    key = [f"f{i}" for i in range(_PARTS)]
+    blocks = F.posexplode(F.array(*_block_columns(radius))).alias("table", "led")
+    bounds = _bounds(radius)
+    flips = [0, *(1 << k for k in range(max(np.diff(bounds))) if _spread(radius))]
+    others = classes.select(*key, "documents", blocks)
+    asked = classes.filter("asked").select(*key, blocks).select(*key, "table", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("led").bitwiseXOR(x))).alias("led"))
+    size = lambda df, name: df.groupBy("table", "led").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    sizes = common.materialise(size(others, "n_others").join(size(asked, "n_asked"), ["table", "led"]), "sizes")
+
+    def lists(df: DataFrame, n: str, fields: list[str], name: str) -> DataFrame:
+        placed = df.join(sizes.select("table", "led", n), ["table", "led"]).withColumn("block", F.pmod(F.xxhash64(*key), F.col(n)))
+        return placed.groupBy("table", "led", "block").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block")
+
+    return lists(asked, "n_asked", key, "asked").join(lists(others, "n_others", [*key, "documents"], "others"), ["table", "led"]).select("table", "asked", "others")
+
+
+def _classes(fingerprinted: DataFrame, asked: F.Column) -> DataFrame:
+    classes = fingerprinted.groupBy(*(f"f{i}" for i in range(_PARTS))).agg(F.count(F.lit(1)).alias("documents"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"))
+    return common.materialise(classes, "classes")
 
 
 def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> DataFrame:
@@ -201,15 +245,7 @@ def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) ->
     give counts alone, so a bucket of any size is spread over tasks and makes no row for a pair.
     """
     key = [f"f{i}" for i in range(_PARTS)]
-    classes = fingerprinted.groupBy(*key).agg(F.count(F.lit(1)).alias("documents"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"))
-    classes = common.materialise(classes, "classes")
-    tables = classes.select("*", F.posexplode(F.array(*_block_columns(radius))).alias("table", "led"))
-    sizes = tables.groupBy("table", "led").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("any")).filter("any").select("table", "led", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = tables.join(sizes, ["table", "led"]).withColumn("block", F.pmod(F.xxhash64(*key), F.col("blocks")))
-    member = F.collect_list(F.struct(*key, "documents"))
-    others = placed.groupBy("table", "led", "block").agg(member.alias("others")).drop("block")
-    questions = placed.filter("asked").groupBy("table", "led", "block").agg(member.alias("asked")).drop("block")
-    found = questions.join(others, ["table", "led"]).select("table", "asked", "others").mapInArrow(lambda b: _compared(radius, b), ", ".join(f"{k} long" for k in key) + ", near long")
+    found = _facing(_classes(fingerprinted, asked), radius).mapInArrow(lambda b: _compared(radius, b), ", ".join(f"{k} long" for k in key) + ", near long")
     return found.groupBy(*key).agg(F.sum("near").alias("n_near"))
 
 

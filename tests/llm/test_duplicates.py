@@ -142,6 +142,42 @@ def test_all_within_the_radius(spark, radius):
         assert got[tuple(r.tolist())] == (np.bitwise_count(rows.view(np.uint64) ^ r.view(np.uint64)).sum(axis=1) <= radius).sum()
 
 
+def test_near_copies_are_found(spark):
+    """Texts with some words replaced, at five-word similarities of 0.8 and more: found, and as many as brute force finds."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(60):
+        w = passage(300, 700 + k).split()
+        v = list(w)
+        for at in rng.choice(len(w), 1 + k % 6, replace=False):
+            v[at] = f"new{rng.integers(10**6)}"
+        a, b = (brute.shingles(" ".join(x), 5) for x in (w, v))
+        assert len(a & b) / len(a | b) >= 0.8
+        texts += [" ".join(w), " ".join(v)]
+    prints = fingerprints.fingerprints(pa.array(texts))
+    df = spark.createDataFrame([(k, *map(int, r)) for k, r in enumerate(prints.view(np.int64))], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    got = {tuple(r)[:4]: r.n_near for r in fingerprints.near(df, df.doc_id % 2 == 0).collect()}
+    differ = np.bitwise_count(prints[:, None] ^ prints).sum(axis=2)
+    assert [got[tuple(r)] for r in prints.view(np.int64)[::2].tolist()] == (differ <= fingerprints.RADIUS).sum(axis=1)[::2].tolist()
+    assert (differ[np.arange(0, 120, 2), np.arange(1, 120, 2)] <= fingerprints.RADIUS).mean() > 0.98
+
+
+@pytest.mark.parametrize("radius", [0, 16, 23, 39, 40])
+def test_all_within_a_wide_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, (5, 4), dtype=np.int64)
+    rows = []
+    for k in range(400):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, int(rng.integers(0, radius * 3 // 4 + 2)), replace=False)] = 1
+        rows.append(base[k % 5] ^ np.packbits(bits).view(np.int64))
+    rows = np.array(rows)
+    df = spark.createDataFrame([(k, *map(int, r)) for k, r in enumerate(rows)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    got = {tuple(r)[:4]: r.n_near for r in fingerprints.near(df, df.doc_id % 4 == 0, radius=radius).collect()}
+    want = {tuple(r.tolist()): (np.bitwise_count(rows.view(np.uint64) ^ r.view(np.uint64)).sum(axis=1) <= radius).sum() for r in rows[::4]}
+    assert got == want and any(1 < n < 60 for n in want.values())
+
+
 def test_fingerprints_edges(spark, edges, nothing):
     got = fingerprints.with_next(edges).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in EDGES)
