@@ -23,7 +23,7 @@ from . import common, words
 
 #: Bits of a fingerprint; it is handled as BITS / 64 numbers.
 BITS = 256
-#: Bits in which near fingerprints differ at most: covers pairs with a five-word Jaccard similarity of 0.8 (see the README); unrelated texts are over 100 apart.
+#: Bits in which near fingerprints differ at most: covers pairs with a five-word Jaccard similarity of 0.8 (see the README).
 RADIUS = 39
 #: From this radius on, blocks may differ in one bit: equal ones alone would be too short.
 WIDE = 16
@@ -173,28 +173,42 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint asked for, how many documents of the others are near, in the first table where both meet."""
+def _met(radius: int, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of _facing(): the fingerprints asked for, the others, and which are near, as places in both, in the first table where they meet."""
 
     def numbers(rows: pa.Array) -> np.ndarray:
         return np.stack([rows.field(f"f{i}").to_numpy(zero_copy_only=False).view(np.uint64) for i in range(_PARTS)], axis=1)
 
+    for k, table in enumerate(batch.column("table").to_pylist()):
+        a, b = numbers(batch.column("asked")[k].values), numbers(batch.column("others")[k].values)
+        x, y = np.nonzero(_distances(a, b) <= radius)
+        first = ~_meet(a[x] ^ b[y], radius, table).any(axis=1)
+        yield a, b, x[first], y[first]
+
+
+def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each fingerprint asked for, how many documents of the others are near."""
     for batch in batches:
         keys, counts = [np.zeros((0, _PARTS), np.uint64)], [np.zeros(0, np.int64)]
-        tables = batch.column("table").to_pylist()
-        for k in range(batch.num_rows):
-            asked, others = batch.column("asked")[k].values, batch.column("others")[k].values
-            a, b = numbers(asked), numbers(others)
-            weight = others.field("documents").to_numpy(zero_copy_only=False)
-            x, y = np.nonzero(_distances(a, b) <= radius)
-            first = ~_meet(a[x] ^ b[y], radius, tables[k]).any(axis=1)
-            near = np.bincount(x[first], weights=weight[y[first]], minlength=len(a)).astype(np.int64)
+        for k, (a, _, x, y) in enumerate(_met(radius, batch)):
+            weight = batch.column("others")[k].values.field("documents").to_numpy(zero_copy_only=False)
+            near = np.bincount(x, weights=weight[y], minlength=len(a)).astype(np.int64)
             keys.append(a[near > 0])
             counts.append(near[near > 0])
         flat = np.concatenate(keys)
         yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, i].view(np.int64)) for i in range(_PARTS)), pa.array(np.concatenate(counts))], names=[*(f"f{i}" for i in range(_PARTS)), "near"])
 
 
+def _named(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of each near pair, and the bits in which they differ."""
+    names = ["fingerprint", "near_fingerprint", "bits"]
+    for batch in batches:
+        for a, b, x, y in _met(radius, batch):
+            for at in range(0, len(x), 65536):
+                p, q = a[x[at : at + 65536]], b[y[at : at + 65536]]
+                yield pa.RecordBatch.from_arrays([pa.array(_hex(p), pa.string()), pa.array(_hex(q), pa.string()), pa.array(np.bitwise_count(p ^ q).sum(axis=1).astype(np.int32))], names=names)
+
+
 def _meet(differ: np.ndarray, radius: int, tables: int) -> np.ndarray:
     """Whether pairs that differ in these bits meet in each of the first ``tables`` tables."""
     bits = np.unpackbits(np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), BITS // 8), axis=1, bitorder="little")
@@ -249,6 +263,18 @@ def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) ->
     return found.groupBy(*key).agg(F.sum("near").alias("n_near"))
 
 
+def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Which documents are near which: pairs of classes, and the classes' members.
+
+    The first table has fingerprint, near_fingerprint and bits, once for each class with a row for which ``asked``
+    holds and each other class within ``radius`` bits. The second has doc_id and fingerprint of every row: those of
+    one fingerprint are a class, at no distance, so copies aren't expanded into pairs.
+    """
+    pairs = _facing(_classes(fingerprinted, asked), radius).mapInArrow(lambda b: _named(radius, b), "fingerprint string, near_fingerprint string, bits int").filter("bits > 0")
+    name = F.concat(*(F.lower(F.lpad(F.hex(f"f{i}"), 16, "0")) for i in range(_PARTS)))
+    return pairs, fingerprinted.select("doc_id", name.alias("fingerprint"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near: for doc_id divisible by 20, how many other documents' fingerprints are within RADIUS bits; else null."""
     rows = common.materialise(with_next(common.load(spark, sf_dir, "documents")), "fingerprinted")

@@ -178,6 +178,28 @@ def test_all_within_a_wide_radius(spark, radius):
     assert got == want and any(1 < n < 60 for n in want.values())
 
 
+def test_near_copies_are_named(spark, sf, small):
+    """Pairs of classes with their members give the very documents that brute force finds."""
+    made = fingerprints.with_next(small[0])
+    pairs, members = (t.collect() for t in fingerprints.near_pairs(made, made.doc_id % 3 == 0))
+    of = {}
+    for r in members:
+        of.setdefault(r.fingerprint, []).append(r.doc_id)
+    own = {i: k for k, v in of.items() for i in v}
+    prints = fingerprints.fingerprints(pa.array([t for _, t in small[1]]))
+    ids = [i for i, _ in small[1]]
+    assert own == dict(zip(ids, fingerprints._hex(prints), strict=True))
+    near = {}
+    for r in pairs:
+        near.setdefault(r.fingerprint, []).append((r.near_fingerprint, r.bits))
+    for i, row in zip(ids, prints, strict=True):
+        if i % 3 == 0:
+            differ = np.bitwise_count(prints ^ row).sum(axis=1)
+            got = [(j, bits) for other, bits in [(own[i], 0), *near.get(own[i], [])] for j in of[other]]
+            assert sorted(got) == [(j, int(d)) for j, d in zip(ids, differ, strict=True) if d <= fingerprints.RADIUS]
+    assert any(bits for v in near.values() for _, bits in v) and len(of) < len(ids)
+
+
 def test_fingerprints_edges(spark, edges, nothing):
     got = fingerprints.with_next(edges).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in EDGES)
