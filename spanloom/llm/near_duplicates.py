@@ -28,6 +28,8 @@ from . import common, components, statistics, words
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in percent.
 SHINGLE, PERCENT = 4, 80
+#: Words of a shingle in the pipeline.
+STAGE_SHINGLE = 5
 #: A pair at the least similarity of 0.8 shares no bucket with a probability of (1 - 0.8^ROWS)^BANDS = 3e-8.
 BANDS, ROWS = 44, 5
 SAMPLES = BANDS * ROWS
@@ -291,7 +293,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are kept: of each component that with the least doc_id, of rows that repeat one."""
-    verdicts = linked(docs).filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    verdicts = linked(docs, shingle=STAGE_SHINGLE).filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     names = [statistics.fresh(docs, c) for c in ("k1", "k2", "copies")]
     verdicts = common.materialise(verdicts, "kept").toDF(*names)
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
