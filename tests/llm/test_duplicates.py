@@ -75,25 +75,6 @@ def test_near_duplicates_edges(spark, edges, nothing):
     assert near_duplicates.linked(nothing).count() == 0
 
 
-def test_stage_takes_five_words(spark, small):
-    """The stage against brute force at five words; a pair that is linked at four words only keeps both."""
-    w = passage(200, 51).split()
-    v = [f"z{k}" if k in (20, 60, 100, 140, 180) else x for k, x in enumerate(w)]
-    extra = [(10**6, " ".join(w)), (10**6 + 1, " ".join(v))]
-    four, five = (len(a & b) / len(a | b) for a, b in ([brute.shingles(t, k) for _, t in extra] for k in (4, 5)))
-    assert five < 0.8 <= four
-    rows = [*small[1], *extra]
-    sets = [brute.shingles(t, 5) for _, t in rows]
-    top = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                x, y = sorted((top[i], top[j]))
-                top = [x if t == y else t for t in top]
-    df = spark.createDataFrame(rows_of(rows), SCHEMA)
-    assert sorted(r.doc_id for r in near_duplicates.stage(spark, df, "").collect()) == [rows[k][0] for k, t in enumerate(top) if t == k]
-
-
 def test_chains_of_near_copies(spark):
     """A group in which many aren't linked to its first, and some are linked with none."""
     rng = np.random.default_rng(3)
