@@ -7,6 +7,7 @@ use of spaces go through the library whole.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,18 @@ import pyarrow.compute as pc
 GROUP_BYTES, SLICE_IDS = 12 << 20, 1 << 20
 #: New words that go through the library as one text.
 TOGETHER = 128
-#: Different words that a worker remembers.
-REMEMBER = 250_000
+#: Different words that a worker remembers at least; those of the so many before are kept where they were used again.
+REMEMBER = 150_000
+#: Without leading spaces, a word of letters below U+0250 and one of these signs behind it are a piece each.
+_SIGNS = frozenset(".,;:!?")
+_SIMPLE = "\u0250"
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Stands between words that go through the library together; texts that hold it go through alone.
 _MARK = "\x01"
 _ODD = rf"(^|{_BLANK}) | ({_BLANK}|$)|{_MARK}"
+#: How byte-level vocabularies write bytes that aren't printed as themselves: as the characters from U+0100 on, in turn.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _open: dict[tuple[str, bool], WordTokenizer] = {}
 
 
@@ -34,7 +41,8 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
 
 
 class WordTokenizer:
-    together = TOGETHER
+    #: New words that are worked on at once.
+    at_once = 16384
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer, normalizers
@@ -55,6 +63,9 @@ class WordTokenizer:
         return [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
+        """Begins to remember anew; what was remembered stays at hand until the next time."""
+        self.old = (self.known, self.flat, self.starts) if hasattr(self, "known") else ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.stems: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -73,36 +84,86 @@ class WordTokenizer:
         self.used += len(ids)
         return at
 
-    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that all begin with a space or of which none holds one, and how many each has."""
+    def _stem(self, stem: str) -> list[int]:
+        """Ids of a piece of letters, or of a sign."""
+        plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTES)
+        self.stems[stem] = ids = [t.id for t in self.library.model.tokenize(plain)]
+        return ids
+
+    def _simple(self, words: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Ids of words without a space that are letters and perhaps a sign, or empty; and where others stand."""
+        out: list[list[int]] = []
+        others: list[int] = []
+        stems = self.stems
+        for k, word in enumerate(map(str.lower, words)):
+            sign = word[-1] if word and word[-1] in _SIGNS else ""
+            stem = word[:-1] if sign else word
+            if stem.isalpha() and (stem.isascii() or max(stem) < _SIMPLE):
+                ids = stems.get(stem) or self._stem(stem)
+                out.append(ids + (stems.get(sign) or self._stem(sign)) if sign else ids)
+            else:
+                out.append([])
+                if word:
+                    others.append(k)
+        return out, others
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that all begin with a space or of which none holds one, and how many each has: from the library, as one text."""
         if self.before:
             ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
         text = f" {_MARK} ".join(words)
         # the normalizer's work on these characters is lower case alone; words are apart already
-        tool, text = (self.plain, text.lower()) if max(text) < "\u0250" else (self.library, text)
+        tool, text = (self.plain, text.lower()) if text.isascii() or max(text) < _SIMPLE else (self.library, text)
         ids = np.array(tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         marks = ids == self.mark
         return ids[~marks], np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])) - 1
 
+    def _new(self, words: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        if not spaced:
+            each, others = self._whole(words), []
+        elif self.before:
+            each, others = [[]] * len(words), list(range(len(words)))
+        else:
+            each, others = self._simple(words)
+        for a in range(0, len(others), TOGETHER):
+            some = others[a : a + TOGETHER]
+            ids, counts = self._joined([words[k] for k in some])
+            if len(counts) != len(some):
+                raise ValueError("this tokenizer joins words across spaces")
+            flat, stops = ids.tolist(), np.cumsum(counts).tolist()
+            for k, start, stop in zip(some, [0, *stops], stops, strict=False):
+                each[k] = flat[start:stop]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(counts.sum())), counts
+
     def _indices(self, keys: list[str], spaced: bool = True) -> np.ndarray:
+        """Where the keys' ids are; those not seen before are looked up in what was remembered before, and else made."""
         get = self.known.get
         found = np.array([get(k, -1) for k in keys], np.int32)
         new = np.flatnonzero(found < 0)
-        for a in range(0, len(new), self.together):
-            some = [keys[i] for i in new[a : a + self.together].tolist()]
-            if spaced:
-                ids, counts = self._new(some)
-            else:
-                each = self._whole(some)
-                ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
-            if len(counts) != len(some):
-                raise ValueError("this tokenizer joins words across spaces")
-            at = self._add(ids, counts)
-            self.known.update(zip(some, range(at, at + len(some)), strict=True))
-            found[new[a : a + self.together]] = np.arange(at, at + len(some))
+        missing = [keys[i] for i in new.tolist()]
+        known, flat, starts = self.old
+        before = np.array([known.get(k, -1) for k in missing], np.int64)
+        again = before >= 0
+        if again.any():
+            at = before[again]
+            counts = starts[at + 1] - starts[at]
+            places = np.arange(counts.sum()) + np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
+            found[new[again]] = self._remember([k for k, a in zip(missing, again.tolist(), strict=True) if a], flat[places], counts)
+            missing = [k for k, a in zip(missing, again.tolist(), strict=True) if not a]
+        places = new[~again]
+        for a in range(0, len(missing), self.at_once):
+            some = missing[a : a + self.at_once]
+            found[places[a : a + len(some)]] = self._remember(some, *self._new(some, spaced))
         return found
 
+    def _remember(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at = self._add(ids, counts)
+        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        return np.arange(at, at + len(keys))
+
     def _encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if len(self.known) > REMEMBER:
             self._forget()

@@ -7,6 +7,7 @@ them in step. A character that no piece covers costs PENALTY more than the worst
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -78,11 +79,12 @@ class DoubleArray:
         self.check[state[1:]] = state[parent[1:]]
 
 
+_PART = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+$")
+
+
 class Unigram(tokens.WordTokenizer):
     """Encodes with the pieces of a SentencePiece model file, whatever kind of model it was made for."""
 
-    together = 16384
-
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -111,10 +113,19 @@ class Unigram(tokens.WordTokenizer):
         self._forget()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        ids, counts = self._new([MARKER + t.replace(" ", MARKER) if t else "" for t in texts])
-        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-
-    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A text of any length by its parts, each some markers and what follows them: no piece reaches into the next."""
+        parts = [_PART.findall(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
+        flat = [p for some in parts for p in some]
+        ids: list[int] = []
+        stops = [0]
+        for a in range(0, len(flat), self.at_once):
+            some, counts = self._new(flat[a : a + self.at_once])
+            stops += (stops[-1] + np.cumsum(counts)).tolist()
+            ids += some.tolist()
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        return [ids[stops[a] : stops[b]] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _new(self, words: list[str], spaced: bool = True) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode() for w in words]
         text = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.array([len(r) for r in raw], np.int64)
