@@ -5,21 +5,19 @@ A word is a run of characters other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+BLANK, INK = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 #: Words of a window whose repeats count.
 WINDOW = 5
 #: The statistics of add(), all long.
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capitals", "n_distinct_words", "n_same_neighbours")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -28,38 +26,47 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def add(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the struct column ``name`` of NAMES; a null text is an empty one. All of df's columns stay."""
+def _from(array: Column, at: int) -> Column:
+    """The array without its first ``at`` elements."""
+    return F.slice(array, at + 1, F.greatest(F.size(array) - at, F.lit(0)))
+
+
+def add(df: DataFrame, text: str, name: str, names: Iterable[str] = NAMES) -> DataFrame:
+    """df with the struct column ``name`` of ``names``; a null text is an empty one. All of df's columns stay.
+
+    Every text is worked on as a whole, however long; its arrays are as long as it has words.
+    """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    p = {k: fresh(df, f"{name}_{k}") for k in ("text", "bare", "words", "hashes", "windows", "different", "sorted", "places")}
+    p = {k: fresh(df, f"{name}_{k}") for k in ("text", "words", "hashes", "windows", "repeating", "sorted", "places", "lines")}
     col = {k: F.col(v) for k, v in p.items()}
     out = df.select(*columns, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(p["text"]))
-    out = out.select("*", _without(col["text"], BLANKS).alias(p["bare"]), F.filter(F.split(col["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "").alias(p["words"]))
+    out = out.select("*", F.filter(F.split(col["text"], BLANK), lambda w: w != "").alias(p["words"]), F.filter(F.split(col["text"], "\n"), lambda line: line.rlike(INK)).alias(p["lines"]))
     out = out.select("*", F.transform(col["words"], lambda w: F.xxhash64(w)).alias(p["hashes"]))
     n = F.size(col["words"])
     at = lambda a, i: F.get(col[a], i)
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(at("hashes", i + k) for k in range(WINDOW))))
-    out = out.select("*", F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias(p["windows"]))
-    out = out.select("*", F.size(F.array_distinct(col["windows"])).alias(p["different"]))
-    ordered = F.array_sort(F.transform(col["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.select("*", F.when(col["different"] < F.size(col["windows"]), ordered).alias(p["sorted"]))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    # hashes of two, of four and of five words in a row; those that reach past the end are cut off
+    two = both(col["hashes"], _from(col["hashes"], 1))
+    out = out.select("*", two.alias(p["windows"]))
+    out = out.withColumn(p["windows"], both(col["windows"], _from(col["windows"], 2)))
+    out = out.withColumn(p["windows"], F.slice(both(col["windows"], _from(col["hashes"], WINDOW - 1)), 1, F.greatest(n - WINDOW + 1, F.lit(0))))
+    out = out.select("*", (F.size(F.array_distinct(col["windows"])) < F.size(col["windows"])).alias(p["repeating"]))
+    ordered = F.sort_array(F.transform(col["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.select("*", F.when(col["repeating"], ordered).alias(p["sorted"]))
     # where a window stands that stands elsewhere in the text too: next to an equal one in the sorted array
-    twice = F.filter(F.sequence(F.lit(0), F.size(col["sorted"]) - 1), lambda j: (at("sorted", j)["h"] == at("sorted", j + 1)["h"]) | ((j > 0) & (at("sorted", j)["h"] == at("sorted", F.greatest(j - 1, F.lit(0)))["h"])))
-    out = out.select("*", F.when(col["sorted"].isNotNull(), F.array_sort(F.transform(twice, lambda j: at("sorted", j)["i"]))).alias(p["places"]))
-    repeats = F.aggregate(F.sequence(F.lit(0), F.size(col["places"]) - 1), F.lit(0).cast("long"), lambda sum_, j: sum_ + F.least(F.lit(WINDOW), F.coalesce(at("places", j + 1) - at("places", j), F.lit(WINDOW))))
-    lines = F.filter(F.split(col["text"], "\n"), lambda line: F.length(_without(line, BLANKS)) > 0)
-    count = lambda c: (F.length(col["bare"]) - F.length(c)).cast("long")
-    neighbours = F.size(F.filter(col["hashes"], lambda h, i: (i > 0) & (h == at("hashes", F.greatest(i - 1, F.lit(0))))))
+    twice = F.filter(col["sorted"], lambda x, j: (x["h"] == F.coalesce(at("sorted", j + 1)["h"], F.bitwise_not(x["h"]))) | ((j > 0) & (x["h"] == at("sorted", F.greatest(j - 1, F.lit(0)))["h"])))
+    out = out.select("*", F.when(col["repeating"], F.sort_array(F.transform(twice, lambda x: x["i"]))).alias(p["places"]))
+    gaps = F.zip_with(col["places"], _from(col["places"], 1), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     values = {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(col["bare"]).cast("long"),
-        "n_symbols": count(_without(col["bare"], SYMBOLS)),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.coalesce(repeats, F.lit(0).cast("long")),
-        "n_lines": F.size(lines).cast("long"),
-        "n_bangs": count(_without(col["bare"], "!")),
-        "n_capitals": count(_without(col["bare"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        "n_distinct_words": F.size(F.array_distinct(col["hashes"])).cast("long"),
-        "n_same_neighbours": neighbours.cast("long"),
+        "n_words": n,
+        "word_chars": F.length(F.array_join(col["words"], "")),
+        "n_symbols": F.regexp_count(col["text"], F.lit(SYMBOLS)),
+        "n_dup_lines": F.size(col["lines"]) - F.size(F.array_distinct(col["lines"])),
+        "n_repeat_words": F.coalesce(F.aggregate(gaps, F.lit(0), lambda sum_, x: sum_ + x), F.lit(0)),
+        "n_lines": F.size(col["lines"]),
+        "n_bangs": F.length(col["text"]) - F.length(F.replace(col["text"], F.lit("!"), F.lit(""))),
+        "n_capitals": F.regexp_count(col["text"], F.lit("[A-Z]")),
+        "n_distinct_words": F.size(F.array_distinct(col["hashes"])),
+        "n_same_neighbours": F.size(F.filter(F.zip_with(col["hashes"], _from(col["hashes"], 1), lambda a, b: a == b), lambda same: same)),
     }
-    return out.select(*columns, F.struct(*(values[k].alias(k) for k in NAMES)).alias(name))
+    return out.select(*columns, F.struct(*(values[k].cast("long").alias(k) for k in names)).alias(name))
