@@ -20,12 +20,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(after, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1)
 
 
+def _digest(host: Column, path: Column) -> Column:
+    """Of both, kept apart by a character that no host has."""
+    return F.sha2(F.concat(host, F.lit("/"), path), 256)
+
+
 def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
     """All suffixes of the host at its dots, each followed by all prefixes of the path that have one of the lengths."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("rule"), F.length(s).alias("host_size")))))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("rule"), F.length(s).alias("host_size"), _digest(s, p).alias("digest")))))
 
 
 def judged(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> DataFrame:
@@ -38,14 +43,13 @@ def judged(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> Dat
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules = rules.select(F.concat("host", "path").alias("rule"), F.length("path").alias("path_size"), "verdict").dropna()
-    rules = rules.groupBy("rule").agg(F.max("path_size").alias("path_size"), F.max("verdict").alias("verdict"))
+    rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.length("path").alias("path_size"), F.max("verdict").alias("verdict"))
     lengths = [r[0] for r in rules.select("path_size").distinct().collect()]  # as many as a path has characters at most
-    digest = F.sha2(F.col("rule"), 256)
+    digest = _digest(F.col("host"), F.col("path"))
     rules = rules.select(F.substring(digest, 1, SHORT).alias("short"), digest.alias("full"), "verdict")
     urls = rows.select("host", "path").distinct()
     found = urls.select("host", "path", F.inline(expressions(F.col("host"), F.col("path"), lengths or [0])))
-    found = found.select("*", F.substring(digest, 1, SHORT).alias("short"), digest.alias("digest"))
+    found = found.select("*", F.substring("digest", 1, SHORT).alias("short"))
     found = found.join(rules, "short").filter(F.col("digest") == F.col("full"))
     best = F.max(F.struct(F.length("rule").alias("size"), "host_size", "rule", "verdict"))
     found = found.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")

@@ -46,6 +46,16 @@ def test_warc_least_bytes_and_empty(spark):
     assert warc.read(none).count() == 0
 
 
+def test_reading_tasks_grow_with_ranges(spark):
+    archives = warc.write(pages(spark, [(i, "http://h/", f"{i} " * 3000) for i in range(40)]).coalesce(1), common.scratch_path(spark, "warc"), archive_bytes=20_000)
+    sizes = [r.bytes for r in archives.collect()]
+    assert len(sizes) > 1
+    for range_bytes in (500, 3000, 1 << 20):
+        read = warc.read(archives, range_bytes=range_bytes)
+        assert read.rdd.getNumPartitions() == sum(-(-n // range_bytes) for n in sizes)
+        assert sorted(r.page_id for r in read.collect()) == list(range(40))
+
+
 def test_magic_inside_a_member():
     """Bytes that look like a member's start, inside one that isn't compressed, are no record of their own."""
     inner = gzip.compress(warc.record(9, "http://inner/", b"inner", warc.digest_of(b"inner"), None))
@@ -78,3 +88,11 @@ def test_url_rules(spark):
     assert got[14][2:] == ("ab.org/p", "allow") and got[15][2:] == ("org", "block") and got[16][2:] == ("b.org/pq", "block")
     assert url_filters.judged(df.filter("false"), rules).count() == 0
     assert {r.verdict for r in url_filters.judged(df, rules.filter("false")).collect()} == {"allow"}
+
+
+def test_rules_that_join_to_one_text(spark):
+    """Host and path of a rule stay apart: "a.b" with "c/" is not "a.bc" with "/"."""
+    rules = spark.createDataFrame([("a.b", "c/", "block"), ("a.bc", "/", "allow"), ("a.bd", "/", "block")], "host string, path string, verdict string")
+    df = spark.createDataFrame([(1, "http://a.bc/x"), (2, "http://a.b/c/"), (3, "http://a.bd/c/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judged(df, rules, default="none").collect()}
+    assert got == {1: ("a.bc/", "allow"), 2: (None, "none"), 3: ("a.bd/", "block")}
