@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least of it and its neighbours."""
+    """Each node's larger neighbours are linked to the least of it and its neighbours. A node's edges, 16 bytes each, meet in one task, sorted and not held."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -28,12 +28,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least id in it) of all nodes of ``edges`` (u, v), the component's own id left out."""
-    edges = common.materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(edges)
-    while True:
-        edges = common.materialise(_small_star(_large_star(edges)), "edges")
-        now = _state(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+    """node, component (the least id in it) of all nodes of ``edges`` (u, v), the component's own id left out.
+
+    Rows that repeat and edges from a node to itself do no harm; no edges give no rows. The result reads from a table
+    in the shared folder.
+    """
+    with common.scratch(edges.sparkSession) as scratch:
+        edges = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = _state(edges)
+        while True:
+            after = scratch.table(_small_star(_large_star(edges)), "edges")
+            scratch.drop(edges)
+            edges, now = after, _state(after)
+            if now == before:
+                scratch.keep(edges)
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            before = now

@@ -139,12 +139,19 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text; other columns are left out) the columns of the query, and f0, f1, ...: the fingerprint as numbers.
 
-    A null text is an empty one. Rows stand in the order of doc_id, nulls first, those of one doc_id in that of
-    their texts; the last one's next is the first.
+    A null text is an empty one; a text of any length is fingerprinted as a whole. Rows stand in the order of
+    doc_id, nulls first, those of one doc_id in that of their texts; the last one's next is the first. No rows give
+    none. The result reads from a table in the shared folder.
     """
+    with common.scratch(docs.sparkSession) as scratch:
+        result, table = _with_next(docs, scratch)
+        scratch.keep(table)
+        return result
+
+
+def _with_next(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = common.materialise(rows.mapInArrow(_in_order, _EDGED), "fingerprints")
+    made = scratch.table(common.in_order(rows).mapInArrow(_in_order, _EDGED), "fingerprints")
     columns = [n for n, _ in _FIELDS]
     # the last document of a task goes with the first of the next: as many rows as tasks, in order without their texts
     first = made.filter("edge = 0").select("task", F.col("text").alias("following"))
@@ -152,7 +159,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     follows = tasks.select("task", F.coalesce("next", "lowest").alias("next"))
     last = made.filter("edge = 1").select("task", "doc_id", "text").join(follows, "task")
     last = last.join(first.withColumnRenamed("task", "next"), "next").select("doc_id", "text", "following").mapInArrow(_single, _COLUMNS)
-    return made.filter("edge is null").select(*columns).union(last)
+    return made.filter("edge is null").select(*columns).union(last), made
 
 
 def _bounds(radius: int) -> list[int]:
@@ -229,8 +236,12 @@ def _block_columns(radius: int) -> list[F.Column]:
     return out
 
 
-def _facing(classes: DataFrame, radius: int) -> DataFrame:
-    """table, asked, others: lists of at most about BLOCK classes that meet in a bucket, from classes (f0, f1, ..., documents, asked)."""
+def _facing(classes: DataFrame, radius: int, scratch: common.Scratch) -> DataFrame:
+    """table, asked, others: lists of at most about BLOCK classes that meet in a bucket, from classes (f0, f1, ..., documents, asked).
+
+    A list of asked ones goes to each list of others in its bucket by that list's number, so the lists of a large
+    bucket are dealt over tasks as those of different buckets are.
+    """
     key = [f"f{i}" for i in range(_PARTS)]
     blocks = F.posexplode(F.array(*_block_columns(radius))).alias("table", "led")
     bounds = _bounds(radius)
@@ -238,29 +249,34 @@ def _facing(classes: DataFrame, radius: int) -> DataFrame:
     others = classes.select(*key, "documents", blocks)
     asked = classes.filter("asked").select(*key, blocks).select(*key, "table", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("led").bitwiseXOR(x))).alias("led"))
     size = lambda df, name: df.groupBy("table", "led").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
-    sizes = common.materialise(size(others, "n_others").join(size(asked, "n_asked"), ["table", "led"]), "sizes")
+    sizes = scratch.table(size(others, "n_others").join(size(asked, "n_asked"), ["table", "led"]), "sizes")
 
     def lists(df: DataFrame, n: str, fields: list[str], name: str) -> DataFrame:
-        placed = df.join(sizes.select("table", "led", n), ["table", "led"]).withColumn("block", F.pmod(F.xxhash64(*key), F.col(n)))
-        return placed.groupBy("table", "led", "block").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block")
+        placed = df.join(sizes, ["table", "led"]).withColumn("block", F.pmod(F.xxhash64(*key), F.col(n)))
+        return placed.groupBy("table", "led", "block").agg(F.collect_list(F.struct(*fields)).alias(name), F.max("n_others").alias("n_others"))
 
-    return lists(asked, "n_asked", key, "asked").join(lists(others, "n_others", [*key, "documents"], "others"), ["table", "led"]).select("table", "asked", "others")
+    questions = lists(asked, "n_asked", key, "asked").select("table", "led", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_others") - 1)).alias("block"))
+    return questions.join(lists(others, "n_others", [*key, "documents"], "others"), ["table", "led", "block"]).select("table", "asked", "others")
 
 
-def _classes(fingerprinted: DataFrame, asked: F.Column) -> DataFrame:
+def _classes(fingerprinted: DataFrame, asked: F.Column, scratch: common.Scratch) -> DataFrame:
     classes = fingerprinted.groupBy(*(f"f{i}" for i in range(_PARTS))).agg(F.count(F.lit(1)).alias("documents"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"))
-    return common.materialise(classes, "classes")
+    return scratch.table(classes, "classes")
 
 
 def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> DataFrame:
     """f0, f1, ... of the rows for which ``asked`` holds, and n_near: the documents whose fingerprints differ in at most ``radius`` bits, themselves among them.
 
-    Equal fingerprints are one class. A bucket's classes are compared block against block inside the tasks, which
-    give counts alone, so a bucket of any size is spread over tasks and makes no row for a pair.
+    Equal fingerprints, of rows that repeat too, are one class; where asked is null a row isn't asked for. No rows
+    give none. A bucket's classes are compared block against block inside the tasks, which give counts alone, so a
+    bucket of any size is spread over tasks and makes no row for a pair.
     """
     key = [f"f{i}" for i in range(_PARTS)]
-    found = _facing(_classes(fingerprinted, asked), radius).mapInArrow(lambda b: _compared(radius, b), ", ".join(f"{k} long" for k in key) + ", near long")
-    return found.groupBy(*key).agg(F.sum("near").alias("n_near"))
+    with common.scratch(fingerprinted.sparkSession) as scratch:
+        found = _facing(_classes(fingerprinted, asked, scratch), radius, scratch).mapInArrow(lambda b: _compared(radius, b), ", ".join(f"{k} long" for k in key) + ", near long")
+        found = scratch.table(found.groupBy(*key).agg(F.sum("near").alias("n_near")), "near")
+        scratch.keep(found)
+        return found
 
 
 def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -270,16 +286,23 @@ def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIU
     holds and each other class within ``radius`` bits. The second has doc_id and fingerprint of every row: those of
     one fingerprint are a class, at no distance, so copies aren't expanded into pairs.
     """
-    pairs = _facing(_classes(fingerprinted, asked), radius).mapInArrow(lambda b: _named(radius, b), "fingerprint string, near_fingerprint string, bits int").filter("bits > 0")
+    with common.scratch(fingerprinted.sparkSession) as scratch:
+        pairs = _facing(_classes(fingerprinted, asked, scratch), radius, scratch).mapInArrow(lambda b: _named(radius, b), "fingerprint string, near_fingerprint string, bits int").filter("bits > 0")
+        pairs = scratch.table(pairs, "pairs")
+        scratch.keep(pairs)
     name = F.concat(*(F.lower(F.lpad(F.hex(f"f{i}"), 16, "0")) for i in range(_PARTS)))
     return pairs, fingerprinted.select("doc_id", name.alias("fingerprint"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near: for doc_id divisible by 20, how many other documents' fingerprints are within RADIUS bits; else null."""
-    rows = common.materialise(with_next(common.load(spark, sf_dir, "documents")), "fingerprinted")
-    asked = F.col("doc_id") % 20 == 0
     key = [f"f{i}" for i in range(_PARTS)]
+    asked = F.col("doc_id") % 20 == 0
+    with common.scratch(spark) as scratch:
+        made, table = _with_next(common.load(spark, sf_dir, "documents"), scratch)
+        rows = scratch.table(made, "fingerprinted")
+        scratch.drop(table)
+        scratch.keep(rows)
     found = near(rows, asked).toDF(*(f"_{k}" for k in key), "_near")
     same = F.lit(True)
     for k in key:

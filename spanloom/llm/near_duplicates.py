@@ -228,61 +228,77 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, k1, k2 (the row, see common.row_key), n_shingles, component_id and kept of each row of ``docs`` (doc_id, text; other columns are left out).
 
     A null text and one without words have an empty set and are linked with nothing. Rows that repeat are linked
-    and get equal results. A null doc_id is larger than any: component_id is null only where all of its rows' are.
+    and get equal results; no rows give none. A text of any length has its whole set, which one task holds at a time.
+    A null doc_id is larger than any: component_id is null only where all of its rows' are. The result reads from
+    tables in the shared folder.
     """
+    with common.scratch(docs.sparkSession) as scratch, common.held(docs.sparkSession):
+        result, tables = _linked(docs, shingle, percent, scratch)
+        for table in tables:
+            scratch.keep(table)
+        return result
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, scratch: common.Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """What linked() returns, and the tables that it reads from."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *common.row_key(F.col("doc_id"), text))
-    signed = rows.mapInArrow(lambda b: _signatures(shingle, b), "doc_id long, k1 long, k2 int, key long, n_shingles long, bands array<long>, sketch array<long>")
-    signed = common.materialise(signed, "signatures")
+    signed = rows.mapInArrow(lambda b: _signatures(shingle, b), "doc_id long, k1 long, k2 long, key long, n_shingles long, bands array<long>, sketch array<long>")
+    signed = scratch.table(signed, "signatures")
+    slim = signed.select("doc_id", "k1", "k2", "key", "n_shingles")
     filled = signed.filter("n_shingles > 0")
 
     # buckets with more than one class, and the classes in them
     placed = filled.select("key", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("last")).filter("leader <> last").select("band", "leader")
-    members = common.materialise(placed.join(shared, "band").select("band", "leader", "key").distinct(), "buckets")
+    members = scratch.table(placed.join(shared, "band").select("band", "leader", "key").distinct(), "buckets")
     involved = members.select("key").distinct()
     sketched = filled.join(involved, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("n_shingles", "sketch", "k1", "k2"), F.struct("k1", "k2")).alias("of")).select("key", "of.*")
-    sketched = common.materialise(sketched, "sketches")
+    sketched = scratch.table(sketched, "sketches")
     wanted = sketched.select("k1", "k2")
     sets = rows.join(wanted, ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda b: _sets(shingle, b), "key long, hashes array<long>")
-    sets = common.materialise(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = scratch.table(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
 
     right = sketched.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     left = sketched.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     pairs = members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(right, "b").join(left, "a").filter(_possible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS))
-    links = common.materialise(_confirmed(pairs.select("a", "b"), sets, percent), "links")
+    links = scratch.table(_confirmed(pairs.select("a", "b"), sets, percent), "links")
     found = components.components(links)
 
     # classes in buckets of several components, in blocks by their fullest such bucket
     grouped = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-    grouped = common.materialise(grouped, "grouped")
+    grouped = scratch.table(grouped, "grouped")
+    scratch.drop(members)
     sizes = grouped.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "n")
-    open_ = common.materialise(grouped.join(sizes, "band"), "open")
+    sizes = scratch.table(sizes, "sizes")
+    open_ = scratch.table(grouped.join(sizes, "band"), "open")
+    scratch.drop(grouped, sizes)
     place = open_.groupBy("key", "component").agg(F.max(F.struct("n", "band")).alias("of"))
     canopies = place.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     block = F.xxhash64("of.band", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    place = common.materialise(place.join(canopies, "of").select("key", "component", block.alias("block")), "places")
+    place = scratch.table(place.join(canopies, "of").select("key", "component", block.alias("block")), "places")
     meet = open_.select("band", "key").join(place.select("key", "block"), "key").select("band", "block").distinct()
     meet = meet.select("band", F.col("block").alias("a")).join(meet.select("band", F.col("block").alias("b")), "band").filter("a <= b").select("a", "b").distinct()
-    meet = common.materialise(meet, "meetings")
+    meet = scratch.table(meet, "meetings")
     described = place.join(sketched.select("key", "n_shingles", "sketch"), "key")
     blocks = described.groupBy("block").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch")).alias("classes"))
     facing = meet.join(blocks.toDF("a", "left"), "a").join(blocks.toDF("b", "right"), "b")
     involved = facing.mapInArrow(lambda b: _involved(percent, b), "a long, b long, side int, key long")
     full = involved.join(described, "key").join(sets, "key").groupBy("a", "b", "side").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch", "hashes")).alias("classes"))
-    full = common.materialise(full, "facing")
+    full = scratch.table(full, "facing")
     facing = full.filter("side = 0").select("a", "b", F.col("classes").alias("left")).join(full.filter("side = 1").select("a", "b", F.col("classes").alias("right")), ["a", "b"])
-    more = common.materialise(facing.select("left", "right").mapInArrow(lambda b: _linking(percent, b), "u long, v long"), "links")
+    more = scratch.table(facing.select("left", "right").mapInArrow(lambda b: _linking(percent, b), "u long, v long"), "links")
     found = components.components(links.union(more))
+    scratch.drop(open_, place, meet, full, sketched, sets, links, more)
 
-    # each row's component, by the least doc_id in it
-    of = signed.select("doc_id", "k1", "k2", "key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left")
-    of = of.withColumn("component", F.coalesce("component", "key"))
-    least = of.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    full = of.filter("n_shingles > 0").join(least, "component").select("doc_id", "k1", "k2", "n_shingles", F.col("least").alias("component_id"))
-    empty = of.filter("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # each class's component and the least doc_id in it, class by class, and then the rows'
+    least = slim.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    of = scratch.table(least.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "classes")
+    least = scratch.table(of.groupBy("component").agg(F.min("least").alias("component_id")), "leasts")
+    result = slim.join(of.select("key", "component"), "key", "left").join(least, "component", "left")
+    result = result.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), [signed, of, least]
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,15 +306,17 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that are kept: of each component that with the least doc_id, of rows that repeat one."""
-    verdicts = linked(docs).filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    """The rows of docs that are kept: of each component that with the least doc_id, of rows that repeat any one of them."""
     names = [statistics.fresh(docs, c) for c in ("k1", "k2", "copies")]
-    verdicts = common.materialise(verdicts, "kept").toDF(*names)
+    with common.scratch(spark) as scratch, common.held(spark):
+        verdicts, _ = _linked(docs, SHINGLE, PERCENT, scratch)
+        verdicts = scratch.table(verdicts.filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), "kept")
+        scratch.keep(verdicts)
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
-    found = docs.join(verdicts, (k1 == F.col(names[0])) & (k2 == F.col(names[1])))
-    once = found.filter(F.col(names[2]) == 1).select(*(docs[c] for c in docs.columns))
-    again = found.filter(F.col(names[2]) > 1).dropDuplicates(names[:2]).select(*(docs[c] for c in docs.columns))
-    return once.union(again)
+    rows = docs.select("*", k1.alias(names[0]), k2.alias(names[1])).join(verdicts.toDF(*names), names[:2])
+    once = rows.filter(F.col(names[2]) == 1)
+    again = rows.filter(F.col(names[2]) > 1).dropDuplicates(names[:2])
+    return once.union(again).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = """

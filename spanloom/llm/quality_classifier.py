@@ -97,13 +97,14 @@ def _calibrate(bins: list[tuple[float, int, int]], share: float) -> tuple[float,
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def fit(rows: DataFrame, labels: DataFrame) -> Model:
+def fit(rows: DataFrame, labels: DataFrame, scratch: common.Scratch) -> Model:
     """From rows (doc_id, x0, x1, ...) and labels (doc_id, quality). A document that is labelled more than once has its highest label.
 
     Without rows of both labels the model gives every text the share of label 1, or 0.5 if there is no label.
     """
     labels = labels.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).filter("label is not null and doc_id is not null")
-    known = common.materialise(rows.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id"), "labelled")
+    labels = scratch.table(labels, "labels")
+    known = scratch.table(rows.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id"), "labelled")
     names = [f"x{i}" for i in range(SIZE)]
     products = [(i, j) for i in range(SIZE) for j in range(i + 1)]
     sums = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in products))
@@ -132,28 +133,44 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """docs with the struct column ``name``: held_out, score (0 to 1; higher: label 1 is likelier) and predicted (1 if score >= THRESHOLD).
+def _judged(docs: DataFrame, labels: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1, k2 and verdict of each row of docs, and the table that they read from: it has the statistics, not the texts."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", *common.row_key(F.col("doc_id"), text), text.alias("text"))
+    stats = statistics.add(rows, "text", "s").select("doc_id", "k1", "k2", *(v.alias(f"x{i}") for i, v in enumerate(vector(F.col("s")))))
+    rows = scratch.table(stats, "statistics")
+    score = fit(rows, labels, scratch).score([F.col(f"x{i}") for i in range(SIZE)])
+    verdict = F.struct(held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return rows.select("doc_id", "k1", "k2", verdict.alias("verdict")), rows
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score (0 to 1; higher: label 1 is likelier) and predicted (1 if score >= THRESHOLD) of each row of docs.
 
-    A null text is an empty one. A null doc_id has no label. Rows that repeat get equal scores; lang, source and
-    other columns of docs have no part in them. The result reads from a table in the shared folder, which holds
-    docs and the statistics.
+    A null text is an empty one; a text of any length is counted as a whole. A null doc_id has no label. Rows that
+    repeat get equal scores; lang, source and other columns of docs have no part in them. No rows give none. The
+    result reads from a table of statistics in the shared folder.
     """
-    stats = statistics.fresh(docs, "statistics")
-    rows = common.materialise(statistics.add(docs, "text", stats), "statistics")
-    x = vector(F.col(stats))
-    model = fit(rows.select("doc_id", *(v.alias(f"x{i}") for i, v in enumerate(x))), labels)
-    score = model.score(x)
-    verdict = F.struct(held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), verdict.alias(name))
+    with common.scratch(docs.sparkSession) as scratch:
+        judged, table = _judged(docs, labels, scratch)
+        scratch.keep(table)
+        return judged.select("doc_id", "verdict.held_out", "verdict.score", "verdict.predicted")
+
+
+def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """docs with the struct column ``name`` of what scores() gives for each row."""
+    with common.scratch(docs.sparkSession) as scratch:
+        judged, _ = _judged(docs, labels, scratch)
+        found = scratch.table(judged.groupBy("k1", "k2").agg(F.first("verdict").alias(name)), "verdicts")
+        scratch.keep(found)
+        return common.with_rows(docs, found, name)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, common.load(spark, sf_dir, "labels").select("doc_id", "quality"), "v").select("doc_id", "v.held_out", "v.score", "v.predicted")
+    return scores(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs with predicted 1."""
+    """The rows of docs with predicted 1. Rows that repeat stay or go together; no rows give none."""
     name = statistics.fresh(docs, "verdict")
     return scored(docs, common.load(spark, sf_dir, "labels").select("doc_id", "quality"), name).filter(F.col(name)["predicted"] == 1).drop(name)

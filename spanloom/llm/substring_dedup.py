@@ -138,40 +138,51 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("row"), part], names=["row", "cut"])
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeats(docs: DataFrame, scratch: common.Scratch, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """k1, k2 (the row, see common.row_key) and found: (first window, windows in a row) whose words stand elsewhere too, of each row that has any.
 
-    ``docs`` has doc_id and text; a null text has no words. Rows that repeat are found to repeat each other.
+    ``docs`` has doc_id and text; a null text has no words. Rows that repeat are found to repeat each other, and have
+    one row of the result, as long as one text. What is counted by anchor or window is written before it is joined,
+    so that Spark can split the joins of a passage that very many rows hold.
     """
     text = F.col("text").cast("string")
     rows = docs.select(*common.row_key(F.col("doc_id"), text), text.alias("text"))
-    anchors = rows.mapInArrow(lambda b: _anchors(length, k, b), "anchor long, reach long, k1 long, k2 int, first int, count tinyint")
-    anchors = common.materialise(anchors, "anchors")
-    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    joined = common.materialise(anchors.join(often, "anchor", "left_semi"), "joined")
-    common.done_with(anchors)
+    anchors = rows.mapInArrow(lambda b: _anchors(length, k, b), "anchor long, reach long, k1 long, k2 long, first int, count tinyint")
+    anchors = scratch.table(anchors, "anchors")
+    count = F.count(F.lit(1))
+    often = scratch.table(anchors.groupBy("anchor").agg(count.alias("n")).filter("n > 1").select("anchor"), "often")
+    joined = scratch.table(anchors.join(often, "anchor", "left_semi"), "joined")
+    scratch.drop(anchors, often)
     one = F.min(F.struct("k1", "k2", "first", "count"))
-    classes = joined.groupBy("anchor", "reach").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
-    classes = common.materialise(classes, "classes")
+    classes = scratch.table(joined.groupBy("anchor", "reach").agg(count.alias("n"), one.alias("one")), "classes")
     whole = joined.join(classes.filter("n > 1").select("anchor", "reach"), ["anchor", "reach"], "left_semi").select("k1", "k2", "first", "count")
 
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("anchor")
+    mixed = scratch.table(classes.groupBy("anchor").agg(count.alias("classes")).filter("classes > 1").select("anchor"), "mixed")
     named = classes.join(mixed, "anchor", "left_semi").select("one.k1", "one.k2", F.struct("anchor", "one.first", "one.count", "n").alias("each"))
-    named = named.groupBy("k1", "k2").agg(F.collect_list("each").alias("named"))
-    windows = rows.join(named, ["k1", "k2"]).mapInArrow(lambda b: _compared(length, b), "anchor long, window long, n long, k1 long, k2 int, first int")
-    windows = common.materialise(windows, "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "window")
+    named = scratch.table(named.groupBy("k1", "k2").agg(F.collect_list("each").alias("named")), "named")
+    # rows that repeat each give the windows of a class that already has several occurrences: that changes no verdict
+    windows = rows.join(named, ["k1", "k2"]).mapInArrow(lambda b: _compared(length, b), "anchor long, window long, n long, k1 long, k2 long, first int")
+    windows = scratch.table(windows, "windows")
+    scratch.drop(named, mixed)
+    twice = scratch.table(windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "window"), "twice")
     ends = windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("k1", "k2", "first", F.lit(1).cast("tinyint").alias("count"))
-    return whole.union(ends).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "count")).alias("found"))
+    found = scratch.table(whole.union(ends).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "count")).alias("found")), "found")
+    scratch.drop(joined, classes, windows, twice)
+    return found
 
 
 def without_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """row (docs' columns) and cut: n_words, n_removed, text, sha256 of the words kept, repeats (word ranges).
 
     Every word is removed that a window of ``length`` words covers whose words also start anywhere else in ``docs``.
-    The text is the words kept, one space between them; it stays as it was, null too, if none was removed.
+    The text is the words kept, one space between them; it stays as it was, null too, if none was removed. Texts of
+    any length are cut as a whole; rows that repeat are cut alike; no rows give none. The result reads from a table
+    in the shared folder.
     """
-    found = repeats(docs, length=length, k=k).toDF("_k1", "_k2", "_found")
+    with common.scratch(docs.sparkSession) as scratch:
+        found = repeats(docs, scratch, length=length, k=k)
+        scratch.keep(found)
+    found = found.toDF("_k1", "_k2", "_found")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
     rows = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.join(found, ["_k1", "_k2"], "left")

@@ -51,10 +51,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, spaced: bool = True, e
     """Encodes the texts of ``docs`` (doc_id, text; other columns are left out), each followed by the id ``end``, in ascending doc_id order.
 
     A null text is an empty one. Rows of one doc_id come in the order of their texts, nulls first; a null doc_id comes before all others.
+    A text of any length is in one segment. No rows make an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lambda batches: _encode(vocabulary, spaced, end, batches), SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    common.in_order(rows).mapInArrow(lambda batches: _encode(vocabulary, spaced, end, batches), SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of each document, decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and ids of each document, decoded from the files: as many rows as were written, null doc_ids and repeated rows as they were. No documents give no rows; a damaged segment raises ValueError."""
     return _placed(spark, path).select("doc_ids", "n_tokens", "ids", "start").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
@@ -105,6 +105,8 @@ def vocabulary(name: str) -> str:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = common.scratch_path(spark, "tokens")
-    write(common.load(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
-    return digests(spark, path)
+    with common.scratch(spark) as scratch:
+        path = scratch.path("tokens")
+        write(common.load(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+        scratch.keep(path)
+        return digests(spark, path)

@@ -24,6 +24,8 @@ from . import common
 
 #: Bytes of an archive after which a task begins another, and of the ranges in which archives are read.
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Reading tasks at most; beyond, each reads several ranges.
+MOST_TASKS = 100_000
 _CHUNK = 1 << 18
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,7 +116,10 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, archive_bytes: i
     rows = rows.join(same, "digest", "left")
     rows = rows.withColumn("refers_to", F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
     written = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda batches: _write(path, archive_bytes, batches), WRITTEN)
-    return common.materialise(written, "archives")
+    with common.scratch(pages.sparkSession) as scratch:
+        archives = scratch.table(written, "archives")
+        scratch.keep(archives)
+        return archives
 
 
 class _Source:
@@ -215,15 +220,25 @@ def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def read(archives: DataFrame, *, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """The records of archives (path, bytes), by ranges of so many bytes. A revisit has no payload of its own."""
+    """The records of archives (path, bytes), by ranges of so many bytes, each a task of its own. A revisit has no payload of its own.
+
+    Null page_ids and urls come back as they were, repeated rows as often, payloads of any length as a whole; an
+    archive without records, or no archives, gives no rows. A record whose payload doesn't fit its digest raises ValueError.
+    """
+    counts = F.greatest(F.ceil(F.col("bytes") / range_bytes), F.lit(1))
+    tasks = archives.agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0]
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = archives.select("path", starts.alias("start")).withColumn("end", F.col("start") + range_bytes)
     schema = READ if payloads else READ.removesuffix(", payload binary")
-    return ranges.repartition("path", "start").mapInArrow(lambda batches: _read(payloads, batches), schema)
+    # a number of its own: else adaptive execution would put these few small rows into one task
+    return ranges.repartition(min(max(1, tasks), MOST_TASKS)).mapInArrow(lambda batches: _read(payloads, batches), schema)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write(common.load(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"))
+    with common.scratch(spark) as scratch:
+        path = scratch.path("warc")
+        archives = write(common.load(spark, sf_dir, "pages"), path)
+        scratch.keep(path)
     return read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -43,6 +43,37 @@ def test_substring_dedup_edges(spark, edges, nothing):
     assert substring_dedup.without_repeats(nothing).count() == 0
 
 
+def test_very_many_equal_rows(spark):
+    """10,000 rows that are the same, without a doc_id: what is found for them is one row, no longer than one text."""
+    same, once = passage(80, 51), passage(60, 52)
+    rows = [(None, same)] * 10_000 + [(1, once), (2, "x " + same), (None, once.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    with common.scratch(spark) as scratch:
+        found = substring_dedup.repeats(df, scratch).collect()
+    assert len(found) == 2 and all(len(r.found) <= 80 for r in found)
+    cut = substring_dedup.without_repeats(df)
+    assert sorted({(str(r.row.doc_id), r.cut.n_words, r.cut.n_removed) for r in cut.collect()}) == sorted({("None", 80, 80), ("1", 60, 0), ("2", 81, 80), ("None", 60, 0)})
+    kept = near_duplicates.linked(df).groupBy("doc_id", "kept").count().collect()
+    assert {(r.doc_id, r.kept): r["count"] for r in kept} == {(None, False): 10_001, (1, True): 1, (2, True): 1}
+    assert sorted(r.doc_id for r in near_duplicates.stage(spark, df, "").collect()) == [1, 2]
+
+
+def test_rows_have_keys_of_their_own(spark):
+    """Texts whose 32-bit hashes are equal, under one doc_id or none, are different rows."""
+    hashes = {}
+    pairs = []
+    for r in spark.range(200_000).selectExpr("cast(id as string) as t").selectExpr("t", "hash(t) as h").collect():
+        if r.h in hashes:
+            pairs.append((hashes[r.h], r.t))
+        hashes[r.h] = r.t
+    assert pairs
+    texts = [t for pair in pairs for t in pair]
+    for doc_id in (None, 5):
+        df = spark.createDataFrame([(doc_id, t) for t in [*texts, texts[0]]], "doc_id long, text string")
+        keys = df.select(*common.row_key(df.doc_id, df.text)).distinct().count()
+        assert keys == len(texts)
+
+
 def test_passages_meet_at_their_ends(spark):
     """Overlapping repeats, shared starts and ends, repeats within one text, and windows one word too short."""
     a, b, c = passage(60, 21), passage(60, 22), passage(34, 23)
@@ -101,6 +132,25 @@ def test_sketches_estimate():
         assert near_duplicates.estimate(bits) == pytest.approx(true, abs=0.12)
 
 
+def test_pairs_at_the_least_similarity_are_candidates():
+    """Random pairs at a similarity of exactly 0.8, with unions of 5 to 400 shingles: each shares a bucket, and no sketch rules it out."""
+    rng = np.random.default_rng(11)
+    n_pairs = 0
+    for fifths in (1, 2, 4, 10, 20, 40, 80):
+        left, right = [], []
+        for _ in range(300):
+            union = rng.integers(0, 2**63, 5 * fifths, dtype=np.uint64)
+            cut = int(rng.integers(0, fifths + 1))
+            left.append(near_duplicates.minhash(np.sort(union[: 4 * fifths + cut])))
+            right.append(near_duplicates.minhash(np.sort(np.concatenate([union[: 4 * fifths], union[4 * fifths + cut :]]))))
+        left, right = np.array(left), np.array(right)
+        assert (near_duplicates.bands_of(left) == near_duplicates.bands_of(right)).any(axis=1).all()
+        differ = np.bitwise_count(near_duplicates.sketches_of(left).view(np.uint64) ^ near_duplicates.sketches_of(right).view(np.uint64)).sum(axis=1)
+        assert (differ <= near_duplicates.MOST_BITS).all()
+        n_pairs += len(left)
+    assert n_pairs == 2100
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 8), (9, 9), (5, 4), (3, 1), *((i, i + 1) for i in range(20, 60)), (10, 11), (10, 11)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
