@@ -27,13 +27,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
-    before = None
+    """The packed pieces of the documents table, by all stages; a stage's own tables go when its result is written.
+
+    Nulls, empty and very long texts and repeated rows are as the stages have them; no documents give no rows.
+    """
+    docs, before = common.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        mark = common.made()
         path = common.scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        common.discard(spark, mark, keep=path)
+        with common.held(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             common.delete(spark, before)
         docs, before = spark.read.parquet(path), path
