@@ -132,3 +132,39 @@ def softmax(x: Column) -> Column:
 def argmax(x: Column) -> Column:
     """The first index of the largest value, from 0."""
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+
+
+def base_url(url: Column) -> Column:
+    """Stripped, without slashes at the end, and with /v1 there; null if nothing is left."""
+    bare = F.regexp_replace(strip(url), "/+$", "")
+    return F.when(bare == "", None).when(bare.endswith("/v1"), bare).otherwise(F.concat(bare, F.lit("/v1")))
+
+
+def with_values_path(path: Column) -> Column:
+    """Where a file goes when its spans get values: .with_values before the last ending."""
+    ending = F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1)
+    return F.concat(F.left(path, F.length(path) - F.length(ending)), F.lit(".with_values"), ending)
+
+
+def is_gguf(model: Column) -> Column:
+    return F.lower(model).endswith(".gguf")
+
+
+def no_quota(message: Column) -> Column:
+    """Whether an error's text says that the quota is used up."""
+    low = F.lower(message)
+    return low.contains("insufficient_quota") | low.contains("exceeded your current quota")
+
+
+def calls_needed(remaining: Column, batch: Column) -> Column:
+    return F.ceil(remaining / batch)
+
+
+def call_limit(remaining: Column, batch: Column) -> Column:
+    """Calls to try where no limit is given: three times those needed."""
+    return calls_needed(remaining, batch) * 3
+
+
+def field_list(text: Column) -> Column:
+    """Names between commas, stripped, empty ones left out."""
+    return F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")

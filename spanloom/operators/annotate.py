@@ -124,3 +124,33 @@ def normalised(span: Column, text: Column) -> Column:
         F.when(sens.isin("REDACT", "KEEP"), sens).alias("sensitivity"),
     )
     return F.when(start.isNotNull() & end.isNotNull(), form)
+
+
+def spans_of(spans: Column, items: Column) -> Column:
+    """A row's spans if it has any list of them, else those of its REAL_PII items that have offsets and a label."""
+    real = F.filter(items, lambda i: (i["category"] == "REAL_PII") & i["start"].isNotNull() & i["end"].isNotNull() & i["label"].isNotNull())
+    made = F.transform(real, lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), i["label"].alias("label")))
+    return F.coalesce(spans, made, F.array().cast("array<struct<start:bigint,end:bigint,label:string>>"))
+
+
+def spans_of_category(text: Column, items: Column, category: str) -> Column:
+    """Items of the very category as spans (start, end, label, value) in order; a value that is missing is taken from the text."""
+    some = F.filter(items, lambda i: i["category"] == category)
+    return F.array_sort(F.transform(some, lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), i["label"].alias("label"), F.coalesce(i["value"], C.slice_text(text, i["start"], i["end"])).alias("value"))))
+
+
+def enriched(text: Column, spans: Column) -> Column:
+    """struct(spans with values anew from their offsets, updated, mismatched): a span without offsets stays as it is; mismatched counts other values that were there before."""
+    has = lambda s: s["start"].isNotNull() & s["end"].isNotNull()
+    value = lambda s: C.slice_text(text, s["start"], s["end"])
+    new = F.transform(spans, lambda s: F.when(has(s), s.withField("value", value(s))).otherwise(s))
+    updated = F.size(F.filter(spans, has))
+    mismatched = F.size(F.filter(spans, lambda s: has(s) & s["value"].isNotNull() & (s["value"] != value(s))))
+    return F.struct(new.alias("spans"), F.coalesce(updated, F.lit(0)).cast("bigint").alias("updated"), F.coalesce(mismatched, F.lit(0)).cast("bigint").alias("mismatched"))
+
+
+def retry_advice(reasons: DataFrame, most: int = 3) -> DataFrame:
+    """One row, advice: the commonest reasons (reason, n, seen: where each was first seen) with their counts, earlier ones first among equals; null without any."""
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "seen", "reason", "n"))), 1, most)
+    listed = F.array_join(F.transform(ranked, lambda x: F.concat(x["reason"], F.lit(" (x"), x["n"].cast("string"), F.lit(")"))), "; ")
+    return reasons.agg(F.when(F.count(F.lit(1)) > 0, listed).alias("advice"))

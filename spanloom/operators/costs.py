@@ -17,6 +17,11 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model string, over long, input double, cached double, output double")
 
 
+def is_priced(model: Column) -> Column:
+    """Whether a model has prices of its own."""
+    return F.lower(C.strip(model)).isin([*vocab.PRICES, *vocab.TIERED_PRICES])
+
+
 def priced(calls: DataFrame) -> DataFrame:
     """calls (model, input_tokens, cached_tokens, output_tokens) with cost_usd; an unknown model has the default's prices."""
     table = prices(calls.sparkSession)

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import sys
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -28,35 +35,90 @@ def places(cut: Column) -> Column:
     return F.aggregate(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), first, step)["found"]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """places() of a pattern as one expression; where texts are many, columns of parts() save finding them again."""
-    return places(parts(text, pattern))
+def searched(text: Column, pattern: str, needed: str | None = None) -> Column:
+    """parts(); null for a text that doesn't hold ``needed``, a pattern that every match holds."""
+    return parts(text, pattern) if needed is None else F.when(text.rlike(needed), parts(text, pattern))
+
+
+def matches(text: Column, pattern: str, needed: str | None = None) -> Column:
+    """places() of a pattern as one expression, in which the matches are found once."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return F.coalesce(F.get(F.transform(F.array(searched(text, pattern, needed)), places), F.lit(0)), none)
 
 
 def found(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
     """keep, label, start, end of every match of every pattern: one pass over the texts, each pattern once, nothing shuffled."""
     names = {name: f"_parts_{name}" for name in patterns}
-    cut = docs.select(*keep, *(parts(F.col(text), p).alias(names[name]) for name, p in patterns.items()))
+    cut = docs.select(*keep, *(searched(F.col(text), p, vocab.NEEDED.get(name) if p == vocab.PATTERNS.get(name) else None).alias(names[name]) for name, p in patterns.items()))
     hits = F.array(*(F.struct(F.lit(name).alias("label"), F.when(F.size(names[name]) > 1, places(F.col(names[name]))).alias("hits")) for name in patterns))
     rows = cut.select(*keep, F.explode(hits).alias("of")).filter("of.hits is not null")
     return rows.select(*keep, "of.label", F.explode("of.hits").alias("hit")).select(*keep, "label", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
 
 
-def pattern_spans(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
-    """key, label, start, end, value of every match of every pattern."""
+def pattern_spans(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = vocab.PATTERNS, with_text: bool = False) -> DataFrame:
+    """key, label, start, end, value of every match of every pattern, and the text if it is to stay."""
     rows = found(docs, [key, text], text, patterns)
-    return rows.select(key, "label", "start", "end", C.slice_text(F.col(text), F.col("start"), F.col("end")).alias("value"))
+    return rows.select(key, "label", "start", "end", C.slice_text(F.col(text), F.col("start"), F.col("end")).alias("value"), *([text] if with_text else []))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 for what tokens of several characters consist of, 0 for white space, 2 for others."""
+    kinds = np.full(sys.maxunicode + 1, 2, np.uint8)
+    kinds[[cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp))[0] in "LN"]] = 1
+    kinds[ord("_")] = 1
+    kinds[[ord(c) for c in " \t\n\x0b\f\r"]] = 0
+    return kinds
+
+
+#: Characters that are worked on together.
+_GROUP = 1 << 20
+
+
+def _token_offsets(column: pa.Array) -> pa.Array:
+    """struct(s, e): where the tokens of each text start and end; null is an empty text."""
+    texts = [t or "" for t in column.to_pylist()]
+    starts, ends, counts = [], [], []
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= _GROUP):
+            size += len(texts[b]) + 1
+            b += 1
+        kind = _kinds()[np.frombuffer(("\n".join(texts[a:b]) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word, lone = kind == 1, kind == 2
+        edge = np.zeros(len(kind) + 1, bool)
+        edge[1:-1] = word[1:] & word[:-1]
+        s, e = np.flatnonzero((word & ~edge[:-1]) | lone), np.flatnonzero((word & ~edge[1:]) | lone) + 1
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
+        n = np.diff(np.searchsorted(s, first))
+        shift = np.repeat(first[:-1], n)
+        starts.append(s - shift)
+        ends.append(e - shift)
+        counts.append(n)
+        a = b
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(join(counts))]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(join(x), pa.int64())) for x in (starts, ends)]
+    return pa.StructArray.from_arrays(lists, names=["s", "e"])
+
+
+def offsets(text: Column) -> Column:
+    """struct(s, e): arrays of where each token starts and ends. The token pattern's classes, whole batches at a time."""
+
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield _token_offsets(column)
+
+    # its types are said here: annotations of this module are strings
+    batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, "struct<s: array<bigint>, e: array<bigint>>")(text)
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tok, s, e of every token: offsets are running sums of what stands before, per document."""
-    parts = F.split(F.regexp_replace(F.col(text), vocab.TOKEN, f"{OPEN}$0{CLOSE}"), OPEN)
-    rows = docs.select(key, F.posexplode(parts).alias("tok", "part"))
-    before = Window.partitionBy(key).orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
-    # each part but the first carries one mark, its closing one
-    at = F.sum(F.length("part") - F.when(F.col("tok") > 0, 1).otherwise(0)).over(before)
-    rows = rows.withColumn("at", at).filter("tok > 0")
-    return rows.select(key, (F.col("tok") - 1).cast("bigint").alias("tok"), F.col("at").cast("bigint").alias("s"), (F.col("at") + F.locate(CLOSE, F.col("part")) - 1).cast("bigint").alias("e"))
+    """key, tok, s, e of every token; nothing is shuffled."""
+    rows = docs.select(key, offsets(F.col(text)).alias("o")).select(key, F.posexplode(F.arrays_zip("o.s", "o.e")).alias("tok", "t"))
+    return rows.select(key, F.col("tok").cast("bigint").alias("tok"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
 
 
 def n_tokens(text: Column) -> Column:

@@ -159,3 +159,58 @@ def confusion(related: DataFrame, names: DataFrame) -> DataFrame:
     grid = names.select(F.col("label").alias("pred_label")).crossJoin(names.select(F.col("label").alias("gold_label")))
     counts = related.filter("kind = 'mismatch'").groupBy("pred_label", "gold_label").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["pred_label", "gold_label"], "left").fillna(0, ["n"])
+
+
+def by_side(merged: DataFrame) -> DataFrame:
+    """kind, side, label, n from merged_supersets(): counts of each kind by predicted or by gold label, as the kind has them.
+
+    Supersets that were merged count as tp and as merged_to_tp, and missed values that they used as nothing. A label
+    that is null or blank is UNKNOWN.
+    """
+    sides = {"tp": ["pred"], "merged": ["pred"], "fp": ["pred"], "fn": ["gold"], "subset": ["pred", "gold"], "superset": ["pred", "gold"], "mismatch": ["pred", "gold"]}
+    each = F.array(*(F.struct(F.lit(k).alias("of"), F.lit("tp" if k == "merged" else k).alias("kind"), F.lit(side).alias("side"), C.safe_label(F.col(f"{side}_label")).alias("label")) for k, of in sides.items() for side in of), F.struct(F.lit("merged").alias("of"), F.lit("merged_to_tp").alias("kind"), F.lit("pred").alias("side"), C.safe_label(F.col("pred_label")).alias("label")))
+    rows = merged.select("kind", F.explode(each).alias("e")).filter(F.col("kind") == F.col("e.of"))
+    return rows.groupBy("e.kind", "e.side", "e.label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(sides: DataFrame) -> DataFrame:
+    """One row from by_side(): how many of each kind, and the labels that occur, in order."""
+    kinds = {"tp": "pred", "merged_to_tp": "pred", "fp": "pred", "fn": "gold", "subset": "gold", "superset": "gold", "mismatch": "gold"}
+    counts = [F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("side") == side), F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, side in kinds.items()]
+    return sides.agg(*counts, F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
+
+
+def label_accuracy(pred: DataFrame, gold: DataFrame, places: list[str]) -> DataFrame:
+    """One row: of all places with a predicted or a gold label (NONE for the other side) how many agree, and of those with a gold label."""
+    p = pred.groupBy(*places).agg(F.min("label").alias("p"))
+    g = gold.groupBy(*places).agg(F.min("label").alias("g"))
+    both = p.join(g, places, "full").select(F.coalesce("p", F.lit("NONE")).alias("p"), F.coalesce("g", F.lit("NONE")).alias("g"))
+    same, real = F.col("p") == F.col("g"), F.col("g") != "NONE"
+    rate = lambda part, whole: F.round(C.safe_div(F.count_if(part).cast("double"), F.count_if(whole).cast("double")), 6)
+    return both.agg(F.count(F.lit(1)).alias("n_places"), rate(same, F.lit(True)).alias("accuracy"), rate(same & real, real).alias("positive_accuracy"))
+
+
+def tag_accuracy(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """One row from tags of all tokens (keys, tag) of both sides: n_tokens and the share of equal tags; gold tags of -100 are left out."""
+    both = gold.select(*keys, F.col("tag").alias("g")).join(pred.select(*keys, F.col("tag").alias("p")), keys).filter("g <> '-100'")
+    return both.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(C.safe_div(F.count_if(F.col("p") == F.col("g")).cast("double"), F.count(F.lit(1)).cast("double")), 6).alias("tag_accuracy"))
+
+
+def probability_errors(rows: DataFrame, probability: str, target: str) -> DataFrame:
+    """One row: n, accuracy at one half, mean absolute and mean squared error of probabilities of a target of 0 or 1; rows with a null target are left out."""
+    p, t = F.col(probability), F.col(target).cast("double")
+    known = rows.filter(F.col(target).isNotNull())
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return known.agg(F.count(F.lit(1)).alias("n"), mean(((p >= 0.5).cast("double") == t).cast("double")).alias("accuracy"), mean(F.abs(p - t)).alias("mae"), mean((p - t) * (p - t)).alias("brier"))
+
+
+def metric_diagnostics(per: DataFrame, misplaced_: DataFrame, least_support: int = 20, top: int = 5) -> DataFrame:
+    """One row from per_label() and misplaced(): false positives and negatives for each hit (infinite without one), the share of misplaced predictions that touch gold, the labels most often predicted, and those with support but no hit."""
+    ratio = lambda c: F.when(F.sum("tp") > 0, F.round(F.sum(c) / F.when(F.sum("tp") > 0, F.sum("tp")), 6)).otherwise(F.lit(float("inf")))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("predicted") > 0, F.struct((-F.col("predicted")).alias("r"), "label", "predicted"))))
+    named = F.transform(F.slice(ranked, 1, top), lambda x: F.concat_ws(":", x["label"], x["predicted"]))
+    dead = F.array_sort(F.collect_list(F.when((F.col("support") >= least_support) & (F.col("tp") == 0), F.col("label"))))
+    counts = per.agg(ratio("fp").alias("fp_per_tp"), ratio("fn").alias("fn_per_tp"), F.array_join(named, ",").alias("top_labels"), F.array_join(dead, ",").alias("dead_labels"))
+    share = misplaced_.agg(F.count(F.lit(1)).alias("wrong_place"), F.count_if("overlaps").alias("wrong_place_overlap"))
+    share = share.withColumn("overlap_share", F.round(C.safe_div(F.col("wrong_place_overlap").cast("double"), F.col("wrong_place").cast("double")), 6))
+    return counts.crossJoin(share)  # a row each

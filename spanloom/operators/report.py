@@ -34,6 +34,17 @@ def markdown(taxonomy: DataFrame, confusion: DataFrame) -> str:
     return "\n".join(parts)
 
 
+def summary(sides: DataFrame, totals: DataFrame, confusion: DataFrame) -> dict:
+    """From by_side(), totals() and confusion(): counts by kind, side and label, totals, all labels, and mismatches with the most frequent first."""
+    counts: dict[str, dict[str, int]] = {}
+    for r in sides.orderBy("kind", "side", "label").collect():  # kinds and sides times labels
+        counts.setdefault(f"{r['kind']}_by_{r['side']}", {})[r["label"]] = r["n"]
+    row = totals.first().asDict()
+    names = [x for x in row.pop("labels").split(",") if x]
+    worst = [{"predicted": p, "gold": g, "count": n} for p, g, n in top(confusion.filter("n > 0"), ["pred_label", "gold_label"])]
+    return {"totals": row, "labels": names, "counts": counts, "mismatches": worst}
+
+
 def html(taxonomy: DataFrame, confusion: DataFrame) -> str:
     """Bars of the counts by kind and label, and the confusion as a shaded grid."""
     counts = top(taxonomy, ["kind", "label"])

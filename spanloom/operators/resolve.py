@@ -55,6 +55,23 @@ def suppressed_by_label(spans: DataFrame, key: str, same: float = 0.35, cross: f
     return rows.groupBy(key).agg(taken.alias("kept")).select(key, F.explode("kept").alias("k")).select(key, "k.label", "k.start", "k.end", "k.score")
 
 
+def resolved(hits: Column) -> Column:
+    """non_overlapping() of an array of struct(label, start, end, score) within the row: struct(start, end, label) in order."""
+    entries = F.transform(hits, lambda h: F.struct((-h["score"]).alias("rank"), (h["start"] - h["end"]).alias("size"), h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"), h["score"].alias("score"))).cast(_SPAN)
+    return F.array_sort(F.transform(greedy(F.array_sort(entries), _SPAN, _overlap), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"))))
+
+
+def replaced(text: Column, spans: Column, replacement) -> Column:
+    """The text with each of the disjoint spans (start, end, label), in order, replaced by replacement(label, value)."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = replacement(s["label"], C.slice_text(text, s["start"], s["end"]))
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], C.slice_text(text, acc["at"], s["start"]), new).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], C.slice_text(text, acc["at"], F.length(text).cast("bigint"))))
+
+
 def rewritten(docs: DataFrame, spans: DataFrame, key: str, text: str, replacement: Column) -> DataFrame:
     """docs with ``redacted`` and n_spans: each of the disjoint spans (label, start, end) replaced. ``replacement`` is made from F.col("label") and F.col("value")."""
     pieces = spans.join(docs.select(key, text), key).withColumn("value", C.slice_text(F.col(text), F.col("start"), F.col("end")))

@@ -42,11 +42,23 @@ def by_logits(candidates: DataFrame, key: str, types: str, redact: str, offsets:
     return placed.select(key, "label", F.col("cs").alias("start"), F.col("ce").alias("end"), "score", "type_confidence", "redact_probability")
 
 
+def least_by_label(thresholds: dict[str, float], default: float) -> Column:
+    """The label's own threshold, or the default."""
+    if not thresholds:
+        return F.lit(default)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv)), F.col("label")), F.lit(default))
+
+
+def decoded_by_label(scored: DataFrame, key: str, thresholds: dict[str, float], default: float = 0.2, same: float = 0.35, cross: float | None = 0.70) -> DataFrame:
+    """Spans (key, ord, label, start, end, score) at or over their label's threshold, neither NONE nor NaN, suppressed within each label and then across labels."""
+    rows = scored.filter((F.col("label") != "NONE") & ~F.isnan("score") & (F.col("score") >= least_by_label(thresholds, default)))
+    return resolve.suppressed_by_label(rows, key, same, cross)
+
+
 def decoded(scored: DataFrame, docs: DataFrame, key: str, text: str, threshold: float | dict[str, float] = 0.5, iou: float = 0.5) -> DataFrame:
     """Spans at or over the threshold (one for all, or by label with "" for the others), trimmed, and suppressed where they overlap."""
     if isinstance(threshold, dict):
-        pairs = {k: v for k, v in threshold.items() if k}
-        least: Column = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), F.col("label")) if pairs else F.lit(None), F.lit(threshold.get("", 0.5)))
+        least = least_by_label({k: v for k, v in threshold.items() if k}, threshold.get("", 0.5))
     else:
         least = F.lit(threshold)
     rows = scored.filter((F.col("score") >= least) & ~F.isnan("score")).join(docs.select(key, text), key)

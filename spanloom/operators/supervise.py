@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+#: Buckets of scores between 0 and 1.
+BUCKETS = 4096
+
+
 def merged_types(spans: DataFrame, key: str) -> DataFrame:
     """key, start, end, label from spans (origin "item" or "span", ord): the last item of a place wins; a span only where no item is."""
     order = F.struct((F.col("origin") == "item").alias("item"), F.when(F.col("origin") == "item", F.col("ord")).otherwise(-F.col("ord")).alias("at"))
@@ -31,19 +35,19 @@ def first_merged(spans: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 
 def group_iou(candidates: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """key, ts, te, label, iou: a candidate's tokens against the union of all gold spans of a label that overlap it."""
+    """key, ts, te, label, iou, first: a candidate's tokens against the union of all gold spans of a label that overlap it; first: the first of these by place."""
     g = gold.select(key, F.col("label"), F.col("ts").alias("gs"), F.col("te").alias("ge"))
     hit = candidates.join(g, key).filter("gs <= te and ts <= ge")
     union = F.array_distinct(F.flatten(F.collect_list(F.sequence("gs", "ge"))))
-    out = hit.groupBy(key, "ts", "te", "label").agg(union.alias("u"))
+    out = hit.groupBy(key, "ts", "te", "label").agg(union.alias("u"), F.min(F.struct("gs", "ge", "label")).alias("first"))
     common = F.size(F.filter("u", lambda t: (t >= F.col("ts")) & (t <= F.col("te"))))
-    return out.select(key, "ts", "te", "label", (common / (F.col("te") - F.col("ts") + 1 + F.size("u") - common)).alias("iou"))
+    return out.select(key, "ts", "te", "label", "first", (common / (F.col("te") - F.col("ts") + 1 + F.size("u") - common)).alias("iou"))
 
 
 def soft_types(candidates: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """candidates with best_label, weight: an exact gold span's label with 1, else that of the highest group IoU (the first label by name on ties), else NONE with 1. NONE has what is left."""
-    exact = gold.groupBy(key, "ts", "te").agg(F.min("label").alias("exact"))
-    best = group_iou(candidates, gold, key).groupBy(key, "ts", "te").agg(F.max_by("label", F.struct("iou", F.transform(F.split("label", ""), lambda c: -F.ascii(c)))).alias("near"), F.max("iou").alias("iou"))
+    """candidates with best_label, weight: an exact gold span's label with 1, else that of the highest group IoU (the label seen first on ties), else NONE with 1. NONE has what is left."""
+    exact = gold.groupBy(key, "ts", "te").agg(F.max("label").alias("exact"))
+    best = group_iou(candidates, gold, key).groupBy(key, "ts", "te").agg(F.min_by("label", F.struct(-F.col("iou"), "first")).alias("near"), F.max("iou").alias("iou"))
     out = candidates.join(exact, [key, "ts", "te"], "left").join(best, [key, "ts", "te"], "left")
     return out.select(*candidates.columns, F.coalesce("exact", "near", F.lit("NONE")).alias("best_label"), F.when(F.col("exact").isNotNull() | F.col("near").isNull(), F.lit(1.0)).otherwise(F.col("iou")).alias("weight"))
 
@@ -52,7 +56,7 @@ def soft_redaction(candidates: DataFrame, gold: DataFrame, lookalikes: DataFrame
     """candidates with redact, keep. Lookalike places first, then exact places, then the best group IoU over REDACT and KEEP, else KEEP = ``nothing``. gold has its sensitivity as label."""
     like = lookalikes.select(key, "ts", "te").distinct().withColumn("like", F.lit(True))
     exact = gold.groupBy(key, "ts", "te").agg(F.max("label").alias("exact"))
-    best = group_iou(candidates, gold, key).groupBy(key, "ts", "te").agg(F.max(F.struct("iou", "label")).alias("near"))
+    best = group_iou(candidates, gold, key).groupBy(key, "ts", "te").agg(F.min_by(F.struct("iou", "label"), F.struct(-F.col("iou"), "first")).alias("near"))
     out = candidates.join(like, [key, "ts", "te"], "left").join(exact, [key, "ts", "te"], "left").join(best, [key, "ts", "te"], "left")
     near = F.when(F.col("near.label") == "REDACT", F.col("near.iou")).otherwise(1 - F.col("near.iou"))
     redact = F.when(F.col("like"), lookalike).when(F.col("exact").isNotNull(), (F.col("exact") == "REDACT").cast("double")).when(F.col("near").isNotNull(), near).otherwise(1 - nothing)
@@ -77,11 +81,18 @@ def bio_spans(tags: DataFrame, key: str) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, support: DataFrame, least: int = 40, default: float = 0.2) -> DataFrame:
-    """label, support, examples, threshold, f1, default_used from scored (label, score, hit) and support (label, support): for each label the score that gives the best F1, the highest of equal ones."""
-    w = Window.partitionBy("label").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = F.col("hit").cast("double")
-    points = scored.groupBy("label", "score").agg(F.sum(hit).alias("h"), F.count(F.lit(1)).alias("n"))
-    points = points.select("label", "score", F.sum("h").over(w).alias("tp"), F.sum("n").over(w).alias("all")).join(support, "label")
+    """label, support, examples, threshold, f1, default_used from scored (label, score, hit) and support (label, support): for each label the score that gives the best F1, the highest of equal ones.
+
+    Counts are cumulated over buckets of scores first and then within each, so no task has all scores of a label.
+    """
+    hit, bucket = F.col("hit").cast("double"), F.floor(F.col("score") * BUCKETS).alias("bucket")
+    points = scored.groupBy("label", "score").agg(F.sum(hit).alias("h"), F.count(F.lit(1)).alias("n")).select("label", "score", bucket, "h", "n")
+    above = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    wider = points.groupBy("label", "bucket").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
+    wider = wider.select("label", "bucket", F.coalesce(F.sum("h").over(above), F.lit(0.0)).alias("h_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"))
+    w = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = points.select("label", "bucket", "score", F.sum("h").over(w).alias("h"), F.sum("n").over(w).alias("n")).join(wider, ["label", "bucket"])
+    points = points.select("label", "score", (F.col("h") + F.col("h_above")).alias("tp"), (F.col("n") + F.col("n_above")).alias("all")).join(support, "label")
     p = F.col("tp") / (F.col("all") + 1e-9)
     r = F.col("tp") / (F.col("tp") + F.greatest(F.col("support") - F.col("tp"), F.lit(0.0)) + 1e-9)
     points = points.withColumn("f1", F.round(2 * p * r / (p + r + 1e-9), 9))
@@ -127,3 +138,31 @@ def soft_cross_entropy(probabilities: Column, target: Column) -> Column:
     total = F.aggregate(target, F.lit(0.0), lambda a, x: a + x)
     pairs = F.zip_with(target, probabilities, lambda t, p: -t * F.log(F.greatest(p, F.lit(1e-8))))
     return F.when(~F.exists(target, lambda t: t < 0), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.greatest(total, F.lit(1e-8)))
+
+
+def weighted_sum(losses: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The losses times their weights, 1 where none is given."""
+    total = F.lit(0.0)
+    for name, loss in losses.items():
+        total = total + weights.get(name, 1.0) * loss
+    return total
+
+
+def only_redact(spans: DataFrame) -> DataFrame:
+    """Gold spans that are to be redacted: of sensitivity REDACT, with offsets."""
+    return spans.filter("upper(sensitivity) = 'REDACT' and start is not null and end is not null")
+
+
+def split(rows: DataFrame, group: str, key: str, part: int, whole: int) -> DataFrame:
+    """rows with ``part``: train for the first part/whole of each group, rounded up, in the order of their digests, else valid.
+
+    Rows are counted by the first digits of their digests, these counts cumulated, and rows ranked within equal first
+    digits alone, so no task sorts a whole group.
+    """
+    rows = rows.withColumn("_d", F.md5(F.concat(F.lit("split:"), F.col(key).cast("string")))).withColumn("_p", F.substring("_d", 1, 4))
+    counts = rows.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy(group, "_p").orderBy("_d", key))
+    ranked = rows.withColumn("_rank", rank).join(counts, [group, "_p"])
+    return ranked.select(key, F.when(F.col("_before") + F.col("_rank") <= F.ceil(F.col("_all") * part / whole), "train").otherwise("valid").alias("part"))

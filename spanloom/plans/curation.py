@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import columns as C
 from ..operators import annotate, resolve
+from ..streaming import redaction
 from . import fixtures as X
 
 
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.documents(spark, sf).select("doc_id", "text")
-    out = resolve.rewritten(docs, X.kept(spark, sf), "doc_id", "text", annotate.marked(F.col("label"), F.col("value")))
-    return out.select("doc_id", "text", F.col("redacted").alias("annotated"))
+    docs = X.documents(spark, sf).select("doc_id", "text", redaction.kept(F.col("text")).alias("kept"))
+    return docs.select("doc_id", "text", resolve.replaced(F.col("text"), F.col("kept"), annotate.marked).alias("annotated"))
 
 
 def annotated_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def rejection_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Gold spans, some of them spoilt as their digest says."""
-    rows = X.gold(spark, sf).join(X.documents(spark, sf).select("doc_id", "text"), "doc_id").withColumn("u", C.uniform(X._key("bad")))
+    rows = X.gold(spark, sf, with_text=True).withColumn("u", C.uniform(X._key("bad")))
     u = F.col("u")
     return rows.select(
         "doc_id",
@@ -76,7 +76,7 @@ def malformed_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrich_values(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions' values anew from their offsets; mismatch: another value was there before."""
-    rows = X.pred(spark, sf).join(X.documents(spark, sf).select("doc_id", "text"), "doc_id")
+    rows = X.pred(spark, sf, with_text=True)
     old = F.when(C.uniform(X._key("value")) < 0.3, F.upper("value")).otherwise(F.col("value"))
     new = C.slice_text(F.col("text"), F.col("start"), F.col("end"))
     return rows.select("doc_id", "label", "start", "end", "score", new.alias("value"), (old != new).alias("mismatch"))
@@ -96,7 +96,7 @@ def label_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 def normalise_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Gold spans under one of two namings, in the one form again."""
-    rows = X.gold(spark, sf).join(X.documents(spark, sf).select("doc_id", "text"), "doc_id").withColumn("u", C.uniform(X._key("form")))
+    rows = X.gold(spark, sf, with_text=True).withColumn("u", C.uniform(X._key("form")))
     old: Column = F.col("u") < 0.5
     none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     span = F.struct(

@@ -22,16 +22,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.pattern_spans(documents(spark, sf_dir), "doc_id", "text")
+def gold(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """doc_id, label, start, end, value; with_text: and the document's text, while it is at hand."""
+    return detect.pattern_spans(documents(spark, sf_dir), "doc_id", "text", with_text=with_text)
 
 
 def _key(kind: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("label"), F.lit(":"), F.col("start").cast("string"))
 
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, label, start, end, value, score."""
+def pred(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """doc_id, label, start, end, value, score; with_text: and the document's text, while it is at hand."""
     docs = documents(spark, sf_dir)
     rows = detect.found(docs, ["doc_id", "text"], "text")
     rows = rows.withColumn("u", C.uniform(_key("pred"))).filter("u < 0.9")
@@ -42,7 +43,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", "text", label.alias("label"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.round("u", 6).alias("score"))
     false = docs.filter("doc_id % 50 = 0 and length(text) > 0").select("doc_id", "text", F.lit("OTHER").alias("label"), F.lit(0).cast("bigint").alias("start"), F.least(F.lit(5), F.length("text")).cast("bigint").alias("end"), F.lit(0.5).alias("score"))
     both = rows.unionByName(false)
-    return both.select("doc_id", "label", "start", "end", C.slice_text(F.col("text"), F.col("start"), F.col("end")).alias("value"), "score")
+    return both.select("doc_id", "label", "start", "end", C.slice_text(F.col("text"), F.col("start"), F.col("end")).alias("value"), "score", *(["text"] if with_text else []))
 
 
 def scores() -> Column:

@@ -121,7 +121,7 @@ def topk_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suspicious_spans(spark: SparkSession, sf: str) -> DataFrame:
-    rows = X.pred(spark, sf).join(X.documents(spark, sf).select("doc_id", "text"), "doc_id")
+    rows = X.pred(spark, sf, with_text=True)
     return rows.select("doc_id", "label", "start", "end", "score", C.suspicious(F.col("text"), F.col("start"), F.col("end"), F.col("label")).alias("suspicious"))
 
 

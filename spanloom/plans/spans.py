@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import columns as C
 from ..operators import detect, resolve
+from ..streaming import redaction
 from . import fixtures as X
 
 _quoted = X._quoted
@@ -22,8 +23,9 @@ def regex_spans_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    toks = detect.tokens(X.documents(spark, sf), "doc_id", "text")
-    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("s").alias("sum_start"), F.sum("e").alias("sum_end"), F.sum(F.col("tok") * F.col("s") % 1009).alias("mixed"))
+    rows = X.documents(spark, sf).select("doc_id", detect.offsets(F.col("text")).alias("o")).filter(F.size("o.s") > 0)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x)
+    return rows.select("doc_id", F.size("o.s").cast("bigint").alias("n_tokens"), total(F.col("o.s")).alias("sum_start"), total(F.col("o.e")).alias("sum_end"), total(F.transform("o.s", lambda s, i: i * s % 1009)).alias("mixed"))
 
 
 def candidate_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,15 +81,19 @@ def nms_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def decode_redactions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions over a threshold, trimmed, then suppressed."""
-    scored = _ordered_pred(spark, sf).filter("score >= 0.25 and not isnan(score)").join(X.documents(spark, sf).select("doc_id", "text"), "doc_id")
-    trimmed = scored.withColumn("t", C.trimmed_span(F.col("text"), F.col("start"), F.col("end"))).filter("t is not null")
-    return resolve.suppressed(trimmed.select("doc_id", "label", "t.start", "t.end", "score", "ord"), "doc_id")
+    from pyspark.sql import Window
+
+    rows = X.pred(spark, sf, with_text=True).withColumn("t", C.trimmed_span(F.col("text"), F.col("start"), F.col("end"))).drop("text", "value")
+    w = Window.partitionBy("doc_id").orderBy("start", "end", "label", "score")
+    rows = rows.withColumn("ord", F.row_number().over(w).cast("bigint")).filter("score >= 0.25 and not isnan(score) and t is not null")
+    return resolve.suppressed(rows.select("doc_id", "label", "t.start", "t.end", "score", "ord"), "doc_id")
 
 
 def redact_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.documents(spark, sf).select("doc_id", "lang", "text")
-    new = F.concat(F.lit("[REDACTED:"), F.col("label"), F.lit("]"))
-    return resolve.rewritten(docs, X.kept(spark, sf), "doc_id", "text", new).select("doc_id", "lang", "n_spans", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("bigint").alias("n_chars"))
+    """Redacted texts: found, resolved and replaced within each row."""
+    docs = X.documents(spark, sf).select("doc_id", "lang", "text", redaction.kept(F.col("text")).alias("kept"))
+    docs = docs.select("doc_id", "lang", F.size("kept").cast("bigint").alias("n_spans"), resolve.replaced(F.col("text"), F.col("kept"), redaction.marker).alias("redacted"))
+    return docs.select("doc_id", "lang", "n_spans", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("bigint").alias("n_chars"))
 
 
 def redaction_counts(spark: SparkSession, sf: str) -> DataFrame:

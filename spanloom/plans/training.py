@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import costs, detect, supervise
+from ..operators import costs, detect, labelling, supervise
 from . import fixtures as X
 from . import spans as S
 
+#: Tokens of a candidate at most.
+MOST = 12
+
 
 def bio_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Tags of the tokens of documents with spans, where they aren't O."""
@@ -49,13 +52,13 @@ def gold_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Gold spans on tokens, and the candidates of at most four tokens that touch one."""
+    """Gold spans on tokens, and the candidates of at most MOST tokens that touch one: all others are NONE and KEEP."""
     spans, toks = S._gold_tokens(spark, sf)
     gold = detect.chars_to_tokens(spans, toks, "doc_id").filter("ts is not null").select("doc_id", "ts", "te", "label")
-    near = gold.select("doc_id", F.explode(F.sequence(F.greatest(F.col("ts") - 3, F.lit(0)), "te")).alias("ts")).distinct()
     last = toks.groupBy("doc_id").agg(F.max("tok").alias("last"))
-    cands = near.join(last, "doc_id").select("doc_id", "ts", F.explode(F.sequence("ts", F.least(F.col("ts") + 3, F.col("last")))).alias("te"))
-    return gold, cands
+    near = gold.join(last, "doc_id").select("doc_id", "last", F.col("ts").alias("gs"), F.explode(F.sequence(F.greatest(F.col("ts") - (MOST - 1), F.lit(0)), "te")).alias("ts"))
+    cands = near.select("doc_id", "ts", F.explode(F.sequence(F.greatest("ts", "gs"), F.least(F.col("ts") + (MOST - 1), F.col("last")))).alias("te"))
+    return gold, cands.distinct()
 
 
 def soft_type_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +79,7 @@ def calibrate_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     key = ["doc_id", "label", "start", "end"]
     gold = X.gold(spark, sf)
     scored = X.pred(spark, sf).join(gold.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left")
-    scored = scored.select("label", F.round("score", 2).alias("score"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    scored = scored.select("label", "score", F.coalesce("hit", F.lit(False)).alias("hit"))
     support = gold.select(*key).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("support"))
     out = supervise.thresholds(scored, support, least=20)
     return out.withColumn("f1", F.round("f1", 6))
@@ -102,29 +105,30 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("rate", F.round(F.col("reachable") / F.col("total"), 6))
 
 
+def _types(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its number of tokens and its gold spans on tokens."""
+    gold = labelling.placed(_gold_token_spans(spark, sf), "doc_id", "label", F.struct("label")).withColumnRenamed("gold", "types")
+    docs = X.documents(spark, sf).select("doc_id", detect.n_tokens(F.col("text")).alias("n")).join(gold, "doc_id", "left")
+    return docs.withColumn("types", F.coalesce("types", F.array().cast(labelling.PLACED)))
+
+
 def negative_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    gold, cands = _placed(spark, sf)
-    rows = cands.join(gold.groupBy("doc_id", "ts", "te").agg(F.min("label").alias("label")), ["doc_id", "ts", "te"], "left")
-    key = F.concat_ws(":", F.lit("neg"), "doc_id", "ts", "te")
-    out = supervise.sampled_negatives(rows, F.col("label").isNotNull(), key, 0.2)
-    return out.select("doc_id", "ts", "te", F.coalesce("label", F.lit("NONE")).alias("label"))
+    """All candidates of all documents that a gold span stands at, and a fifth of the others, counted by document and label."""
+    rows = labelling.enumerated(_types(spark, sf), "doc_id", MOST)
+    rows = rows.withColumn("label", labelling.exact_label(F.col("types"), F.col("ts"), F.col("te")))
+    out = supervise.sampled_negatives(rows, F.col("label").isNotNull(), F.concat_ws(":", F.lit("neg"), "doc_id", "ts", "te"), 0.2)
+    return out.groupBy("doc_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
 
 
 def negative_budgets(spark: SparkSession, sf: str) -> DataFrame:
-    """Negatives by budget: hard ones share a token with a gold span of their document."""
-    gold, cands = _placed(spark, sf)
-    exact = gold.select("doc_id", "ts", "te").distinct().withColumn("positive", F.lit(True))
-    touching = cands.join(gold.select("doc_id", F.col("ts").alias("gs"), F.col("te").alias("ge")), "doc_id").filter("gs <= te and ts <= ge").select("doc_id", "ts", "te").distinct().withColumn("hard", F.lit(True))
-    rows = cands.join(exact, ["doc_id", "ts", "te"], "left").join(touching, ["doc_id", "ts", "te"], "left").fillna(False, ["positive", "hard"])
-    order = F.md5(F.concat_ws(":", F.lit("budget"), "doc_id", "ts", "te"))
-    return supervise.budgeted_negatives(rows, "doc_id", "positive", "hard", order).select("doc_id", "ts", "te", "positive", "hard")
+    """Negatives of all documents by budget, counted by kind: hard ones share a token with a gold span; documents without gold have a budget of their own."""
+    rows = labelling.budgeted(_types(spark, sf), "doc_id", MOST)
+    return rows.groupBy("doc_id", "positive", "hard").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
 
 
 def split_train_valid(spark: SparkSession, sf: str) -> DataFrame:
     """Nine in ten documents of each source for training, by their digests' order."""
-    w = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("split:"), F.col("doc_id").cast("string"))), "doc_id")
-    rows = X.documents(spark, sf).select("doc_id", "source", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("source")).alias("n"))
-    return rows.select("doc_id", F.when(F.col("rn") <= F.ceil(F.col("n") * 9 / 10), "train").otherwise("valid").alias("part"))
+    return supervise.split(X.documents(spark, sf).select("doc_id", "source"), "source", "doc_id", 9, 10)
 
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,11 +177,12 @@ QUERIES = {
 
 _T = S._TOKS_OF_GOLD
 _PLACED = ', placed AS (SELECT g.doc_id, g.label, g.start, g."end", min(tok) AS ts, max(tok) AS te FROM gold g JOIN toks t ON g.doc_id = t.doc_id AND greatest(g.start, s) < least(g."end", e) GROUP BY ALL)'
-_CANDS = ", near AS (SELECT DISTINCT doc_id, unnest(range(greatest(ts - 3, 0), te + 1)) AS ts FROM placed), lasts AS (SELECT doc_id, max(tok) AS lst FROM toks GROUP BY doc_id), cands AS (SELECT doc_id, ts, unnest(range(ts, least(ts + 3, lst) + 1)) AS te FROM near JOIN lasts USING (doc_id))"
+_CANDS = ", near AS (SELECT doc_id, ts AS gs, unnest(range(greatest(ts - 11, 0), te + 1)) AS ts FROM placed), lasts AS (SELECT doc_id, max(tok) AS lst FROM toks GROUP BY doc_id), cands AS (SELECT DISTINCT doc_id, ts, te FROM (SELECT doc_id, ts, unnest(range(greatest(ts, gs), least(ts + 11, lst) + 1)) AS te FROM near JOIN lasts USING (doc_id)))"
+_EVERY = f", sizes AS (SELECT doc_id, len(regexp_extract_all(text, {S._quoted(S.vocab.TOKEN)})) AS n FROM documents), firsts AS (SELECT doc_id, n, unnest(range(0, n)) AS ts FROM sizes), every AS (SELECT doc_id, ts, unnest(range(ts, least(ts + 12, n))) AS te FROM firsts)"
 _IOU = """
 , touch AS (SELECT c.doc_id, c.ts, c.te, g.label, g.ts AS gs, g.te AS ge FROM cands c JOIN {0} g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
-u AS (SELECT doc_id, ts, te, label, list_distinct(flatten(list(range(gs, ge + 1)))) AS l FROM touch GROUP BY ALL),
-iou AS (SELECT doc_id, ts, te, label, len(list_filter(l, lambda x: x >= ts AND x <= te)) / (te - ts + 1 + len(l) - len(list_filter(l, lambda x: x >= ts AND x <= te))) AS iou FROM u)"""
+u AS (SELECT doc_id, ts, te, label, min((gs, ge, label)) AS first, list_distinct(flatten(list(range(gs, ge + 1)))) AS l FROM touch GROUP BY doc_id, ts, te, label),
+iou AS (SELECT doc_id, ts, te, label, first, len(list_filter(l, lambda x: x >= ts AND x <= te)) / (te - ts + 1 + len(l) - len(list_filter(l, lambda x: x >= ts AND x <= te))) AS iou FROM u)"""
 _BIO = """, h AS (SELECT t.doc_id, tok, g.start, g."end", CASE WHEN tok = min(tok) OVER (PARTITION BY t.doc_id, g.start, g."end") THEN 'B' ELSE 'I' END AS tag FROM toks t JOIN (SELECT DISTINCT doc_id, start, "end" FROM gold) g ON g.doc_id = t.doc_id AND greatest(s, g.start) < least(e, g."end")),
 tags AS (SELECT doc_id, tok, arg_max(tag, (start, "end")) AS tag FROM h GROUP BY doc_id, tok)"""
 _U = X.UNIFORM.format
@@ -199,17 +204,17 @@ ORACLES = {
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY side DESC, ord DESC) AS rn FROM said)
 SELECT doc_id, start, "end", sensitivity FROM w WHERE rn = 1 UNION ALL SELECT DISTINCT doc_id, start, "end", 'REDACT' FROM ann WHERE doc_id NOT IN (SELECT doc_id FROM said)""",
     "gold_merge": "WITH" + X.GOLD + _ANN + ', q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end", label ORDER BY origin <> \'item\', ord) AS rn FROM ann) SELECT doc_id, start, "end", label, origin FROM q WHERE rn = 1',
-    "soft_type_targets": _T + _PLACED + _CANDS + _IOU.format("placed") + """, ex AS (SELECT doc_id, ts, te, min(label) AS exact FROM placed GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ts, te ORDER BY iou DESC, label) AS rn FROM iou)
+    "soft_type_targets": _T + _PLACED + _CANDS + _IOU.format("placed") + """, ex AS (SELECT doc_id, ts, te, max(label) AS exact FROM placed GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ts, te ORDER BY iou DESC, first) AS rn FROM iou)
 SELECT c.doc_id, c.ts, c.te, coalesce(exact, b.label, 'NONE') AS best_label, round(CASE WHEN exact IS NOT NULL OR b.label IS NULL THEN 1.0::DOUBLE ELSE iou END, 6) AS weight
 FROM cands c LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (doc_id, ts, te)""",
     "soft_redaction_targets": _T + _PLACED + _CANDS + ", sens AS (SELECT doc_id, ts, te, CASE WHEN label = 'PHONE' THEN 'KEEP' ELSE 'REDACT' END AS label FROM placed)" + _IOU.format("sens") + """, ex AS (SELECT doc_id, ts, te, max(label) AS exact FROM sens GROUP BY ALL), li AS (SELECT DISTINCT doc_id, ts, te, true AS like_ FROM placed WHERE label = 'IP_ADDRESS'),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ts, te ORDER BY iou DESC, label DESC) AS rn FROM iou),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ts, te ORDER BY iou DESC, first) AS rn FROM iou),
 q AS (SELECT c.doc_id, c.ts, c.te, CASE WHEN like_ THEN 0.8::DOUBLE WHEN exact IS NOT NULL THEN CASE WHEN exact = 'REDACT' THEN 1.0 ELSE 0.0 END WHEN b.label = 'REDACT' THEN iou WHEN b.label = 'KEEP' THEN 1 - iou ELSE 0.0 END AS redact
 FROM cands c LEFT JOIN li USING (doc_id, ts, te) LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (doc_id, ts, te))
 SELECT doc_id, ts, te, round(redact, 6) AS redact, round(1 - redact, 6) AS keep FROM q""",
     "calibrate_thresholds": "WITH" + X.GOLD + X.PRED + """, gs AS (SELECT DISTINCT doc_id, label, start, "end" FROM gold), sup AS (SELECT label, count(*) AS support FROM gs GROUP BY label),
-sc AS (SELECT p.label, round(p.score, 2) AS score, g.doc_id IS NOT NULL AS hit FROM pred p LEFT JOIN gs g USING (doc_id, label, start, "end")),
+sc AS (SELECT p.label, p.score, g.doc_id IS NOT NULL AS hit FROM pred p LEFT JOIN gs g USING (doc_id, label, start, "end")),
 pt AS (SELECT label, score, sum(hit::INT) AS h, count(*) AS n FROM sc GROUP BY ALL),
 cu AS (SELECT label, score, sum(h) OVER w AS tp, sum(n) OVER w AS al FROM pt WINDOW w AS (PARTITION BY label ORDER BY score DESC)),
 f AS (SELECT c.*, support, tp / (al + 1e-9) AS p, tp / (tp + greatest(support - tp, 0) + 1e-9) AS r FROM cu c JOIN sup USING (label)),
@@ -218,11 +223,12 @@ SELECT label, support, CAST(coalesce(ex, 0) AS BIGINT) AS examples, CASE WHEN su
     "none_prevalence": _T + _PLACED + f""", n AS (SELECT len(regexp_extract_all(text, {S._quoted(S.vocab.TOKEN)})) AS n FROM documents), c AS (SELECT CAST(sum(least(n, 12) * n - least(n, 12) * (least(n, 12) - 1) // 2) AS BIGINT) AS candidates FROM n), q AS (SELECT count(*) AS positives FROM (SELECT DISTINCT doc_id, ts, te FROM placed WHERE te - ts < 12))
 SELECT candidates, positives, round(1 - positives / candidates, 9) AS prevalence, round(least(1.0, 0.1 * (positives / candidates) / ((1 - positives / candidates) * 0.9)), 9) AS keep_probability FROM c, q""",
     "reachability": _T + _PLACED + ", c AS (SELECT label, count(*) AS total, count(*) FILTER (te - ts < 12) AS reachable FROM placed GROUP BY label) SELECT *, round(reachable / total, 6) AS rate FROM c",
-    "negative_sampling": _T + _PLACED + _CANDS + f", ex AS (SELECT doc_id, ts, te, min(label) AS label FROM placed GROUP BY ALL) SELECT doc_id, ts, te, coalesce(label, 'NONE') AS label FROM cands LEFT JOIN ex USING (doc_id, ts, te) WHERE label IS NOT NULL OR {_U('concat_ws(' + chr(39) + ':' + chr(39) + ', ' + chr(39) + 'neg' + chr(39) + ', doc_id, ts, te)')} <= 0.2",
-    "negative_budgets": _T + _PLACED + _CANDS + """, ex AS (SELECT DISTINCT doc_id, ts, te, true AS p FROM placed), ha AS (SELECT DISTINCT c.doc_id, c.ts, c.te, true AS h FROM cands c JOIN placed g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
-q AS (SELECT doc_id, ts, te, coalesce(p, false) AS positive, coalesce(h, false) AS hard FROM cands LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN ha USING (doc_id, ts, te)),
-k AS (SELECT *, sum(positive::INT) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id, positive, hard ORDER BY md5('budget:' || doc_id || ':' || ts || ':' || te)) AS a, row_number() OVER (PARTITION BY doc_id, positive ORDER BY md5('budget:' || doc_id || ':' || ts || ':' || te)) AS b FROM q)
-SELECT doc_id, ts, te, positive, hard FROM k WHERE positive OR CASE WHEN n = 0 THEN b <= 48 WHEN hard THEN a <= 2 * n ELSE a <= 6 * n END""",
+    "negative_sampling": _T + _PLACED + _EVERY + f", ex AS (SELECT doc_id, ts, te, max(label) AS label FROM placed GROUP BY ALL) SELECT doc_id, coalesce(label, 'NONE') AS label, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM every LEFT JOIN ex USING (doc_id, ts, te) WHERE label IS NOT NULL OR {_U("'neg:' || doc_id || ':' || ts || ':' || te")} <= 0.2 GROUP BY ALL",
+    "negative_budgets": _T + _PLACED + _EVERY + """, ex AS (SELECT DISTINCT doc_id, ts, te, true AS p FROM placed), ha AS (SELECT DISTINCT c.doc_id, c.ts, c.te, true AS h FROM every c JOIN placed g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
+of_ AS (SELECT doc_id, count(*) AS of_ FROM ex WHERE te - ts < 12 GROUP BY doc_id),
+q AS (SELECT doc_id, ts, te, coalesce(p, false) AS positive, coalesce(h, false) AS hard, coalesce(of_, 0) AS of_ FROM every LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN ha USING (doc_id, ts, te) LEFT JOIN of_ USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, positive, hard ORDER BY md5('budget:' || doc_id || ':' || ts || ':' || te)) AS k FROM q)
+SELECT doc_id, positive, hard, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM k WHERE positive OR k <= CASE WHEN of_ = 0 THEN 48 WHEN hard THEN 2 * of_ ELSE 6 * of_ END GROUP BY ALL""",
     "split_train_valid": "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('split:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN rn <= ceil(n * 9 / 10) THEN 'train' ELSE 'valid' END AS part FROM r",
     "softmax_argmax": _LOGITS + " SELECT vec_id, round(list_max(ex) / z, 6) AS confidence, CAST(list_position(x, top) - 1 AS INT) AS predicted FROM p",
     "losses": _LOGITS + ", y AS (SELECT *, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE label % 14 END AS y FROM p), v AS (SELECT CASE WHEN y <> -100 THEN -ln(ex[CAST(y + 1 AS INT)] / z) END AS hard, CASE WHEN y <> -100 THEN CASE WHEN y = 0 THEN -0.8 * ln(ex[1] / z) / 0.8 ELSE -0.8 * ln(ex[CAST(y + 1 AS INT)] / z) - 0.2 * ln(ex[1] / z) END END AS soft FROM y) SELECT round(coalesce(avg(hard), 0), 6) AS hard, round(coalesce(avg(soft), 0), 6) AS soft, count(hard) AS n FROM v",

@@ -8,23 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import columns as C
 from ..operators import detect, resolve
 
 
-def redacted(text: Column) -> Column:
-    """A text with its best non-overlapping pattern matches replaced, as one expression: no shuffle, so it streams."""
-    entry = "array<struct<rank:double,size:bigint,start:bigint,end:bigint,label:string,score:double>>"
+def kept(text: Column) -> Column:
+    """The best non-overlapping pattern matches of a text, struct(start, end, label) in order, as one expression."""
 
     def scored(label: str, score: float) -> Callable[[Column], Column]:
-        return lambda m: F.struct(F.lit(-score).alias("rank"), (m["start"] - m["end"]).alias("size"), m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), F.lit(score).alias("score"))
-
-    hits = F.flatten(F.array(*(F.transform(detect.matches(text, p), scored(k, vocab.PATTERN_SCORES[k])) for k, p in vocab.PATTERNS.items()))).cast(entry)
-    kept = resolve.greedy(F.array_sort(hits), entry, lambda a, b: C.chars_overlap(a["start"], a["end"], b["start"], b["end"]))
-    ordered = F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], C.slice_text(text, acc["at"], s["start"]), F.lit("[REDACTED:"), s["label"], F.lit("]")).alias("out"))
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], C.slice_text(text, acc["at"], F.length(text).cast("bigint"))))
+        return lambda m: F.struct(F.lit(label).alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(score).alias("score"))
+
+    return resolve.resolved(F.flatten(F.array(*(F.transform(detect.matches(text, p, vocab.NEEDED[k]), scored(k, vocab.PATTERN_SCORES[k])) for k, p in vocab.PATTERNS.items()))))
+
+
+def marker(label: Column, value: Column) -> Column:
+    return F.concat(F.lit("[REDACTED:"), label, F.lit("]"))
+
+
+def redacted(text: Column) -> Column:
+    """A text with its best non-overlapping pattern matches replaced, as one expression: no shuffle, so it streams."""
+    return resolve.replaced(text, kept(text), marker)
 
 
 def stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string, ts timestamp", lateness: str = "1 hour") -> DataFrame:

@@ -37,6 +37,8 @@ PATTERNS = {
     "IBAN": r"\b[A-Z]{2}\d{2}[A-Z0-9 ]{10,34}\b",
     "CREDIT_CARD": r"\b(?:\d[ -]*?){13,19}\b",
 }
+#: What every match of a pattern holds: texts without it aren't searched.
+NEEDED = {"EMAIL": "@", "PHONE": r"\d[\d\-\s().]{6}", "IP_ADDRESS": r"\d\.\d", "IBAN": r"[A-Z]{2}\d{2}", "CREDIT_CARD": r"\d"}
 WHOLE_EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 WHOLE_IP = r"^(?:\d{1,3}\.){3}\d{1,3}$"
 
