@@ -30,21 +30,20 @@ WIDE = 16
 GRAM, GRAM_WEIGHT, PAIR_WEIGHT = 8, 0.6, 1.0
 #: Fingerprints of a bucket that a task compares with as many others at a time.
 BLOCK = 512
+#: Texts whose terms are counted together, so that these stay in a processor's cache.
+_GROUP_BYTES = 1 << 17
 _PARTS = BITS // 64
 _U = np.uint64
-_SIGNS = ((((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2) - 1).astype(np.float64)
 _SEEDS = words.mix(np.arange(1, _PARTS + 1, dtype=np.uint64))
 
 
-def _terms(w: words.Words, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text, hash and weight of each term."""
+def _terms(w: words.Words, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each kind of term: hashes, how many each text has, weight."""
     hashes, last = w.hashes(), w.last()
     sums = words.sequences(hashes)
     first = np.arange(len(hashes))
     # a text's last word is a term of its own
-    end = np.minimum(first + 2, last)
-    pairs = words.spans(sums, first, end)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(w.first))
+    pairs = words.spans(sums, first, np.minimum(first + 2, last))
     size = len(w.buf)
     place = np.arange(max(0, size - GRAM + 1))
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(place)]
@@ -53,7 +52,58 @@ def _terms(w: words.Words, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     bytes_ = words._prefix(words._BYTE[w.buf], words._P)
     grams = words.mix((bytes_[place + GRAM] - bytes_[place]) * words._power(words._P, size)[1][place])
     taken = (grams & _U(1)) == 0
-    return np.concatenate([text, of[taken]]), np.concatenate([pairs, grams[taken]]), np.concatenate([np.full(len(pairs), PAIR_WEIGHT), np.full(int(taken.sum()), GRAM_WEIGHT)])
+    return [(pairs, np.diff(w.first), PAIR_WEIGHT), (grams[taken], np.bincount(of[taken], minlength=len(bounds) - 1), GRAM_WEIGHT)]
+
+
+def _sum3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit by bit the sum of three: its ones and its twos."""
+    odd = a ^ b
+    return odd ^ c, (a & b) | (odd & c)
+
+
+def _sums(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Bit by bit the sum of arrays, as planes of ones, twos, fours, ..."""
+    planes = []
+    while rows:
+        carried = []
+        while len(rows) > 2:
+            low, high = _sum3(*rows[:3])
+            rows = [*rows[3:], low]
+            carried.append(high)
+        if len(rows) == 2:
+            carried.append(rows[0] & rows[1])
+            rows = [rows[0] ^ rows[1]]
+        planes.append(rows[0])
+        rows = carried
+    return planes
+
+
+#: Hashes whose bits are added up as words of 64, before they are counted one by one: sums up to here have six planes.
+_TOGETHER = 63
+
+
+def _counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text, how many of its terms' hashes of BITS bits have each bit."""
+    blocks = -(-counts // _TOGETHER)
+    out = np.zeros((len(counts), BITS), np.int64)
+    if not len(hashes):
+        return out
+    first = np.cumsum(blocks) - blocks
+    # each text's hashes fill whole blocks, with zeros behind
+    at = np.arange(len(hashes)) + np.repeat(first * _TOGETHER - (np.cumsum(counts) - counts), counts)
+    total = int(blocks.sum())
+    block = at // _TOGETHER
+    at = (at - block * _TOGETHER) * total + block
+    bits = np.zeros((total, BITS), np.uint8)
+    for part in range(_PARTS):
+        rows = np.zeros(_TOGETHER * total, np.uint64)
+        rows[at] = words.mix(hashes + _SEEDS[part])
+        own = bits[:, part * 64 : part * 64 + 64]
+        for k, plane in enumerate(_sums(list(rows.reshape(_TOGETHER, total)))):
+            own += np.unpackbits(plane.view(np.uint8).reshape(total, 8), axis=1, bitorder="little") << np.uint8(k)
+    for text, (start, n) in enumerate(zip(first.tolist(), blocks.tolist(), strict=True)):
+        out[text] = bits[start : start + n].sum(axis=0, dtype=np.int32)
+    return out
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
@@ -61,17 +111,12 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), _PARTS), np.uint64)
     column = column.cast(pa.large_string())
     lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
-    for a, b, w in words.groups(column):
-        bounds = np.concatenate([[0], np.cumsum(lengths[a:b])])
-        text, hashes, weight = _terms(w, bounds)
-        n, weights = b - a, np.repeat(weight, 8)
-        at = (text[:, None] * 8 + np.arange(8)) * 256
-        for part in range(_PARTS):
-            octets = words.mix(hashes + _SEEDS[part]).view(np.uint8).reshape(-1, 8)
-            counts = np.bincount((at + octets).ravel(), weights=weights, minlength=n * 8 * 256)
-            votes = counts.reshape(n * 8, 256) @ _SIGNS
-            # a bit needs a clear majority, so that no rounding decides
-            out[a:b, part] = np.packbits(votes.reshape(n, 64) > 1e-6, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    for a, b, w in words.groups(column, most=_GROUP_BYTES):
+        votes = np.zeros((b - a, BITS))
+        for hashes, counts, weight in _terms(w, np.concatenate([[0], np.cumsum(lengths[a:b])])):
+            votes += weight * (2 * _counts(hashes, counts) - counts[:, None])
+        # a bit needs a clear majority, so that no rounding decides
+        out[a:b] = np.packbits(votes > 1e-6, axis=1, bitorder="little").view(np.uint64)
     return out
 
 

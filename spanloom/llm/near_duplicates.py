@@ -150,23 +150,23 @@ class _Side:
         return self.hashes[self.bounds[k] : self.bounds[k + 1]]
 
 
-def _possible_pairs(a: _Side, b: _Side, percent: int) -> np.ndarray:
+def _possible_pairs(a: _Side, b: _Side, percent: int, most_bits: int) -> np.ndarray:
     """Which of a's rows with which of b's are in different components and neither too unlike in size nor by their sketches."""
     fits = (a.groups[:, None] != b.groups) & (np.minimum(a.sizes[:, None], b.sizes) * 100 >= np.maximum(a.sizes[:, None], b.sizes) * percent)
     x, y = np.nonzero(fits)
     for at in range(0, len(x), 32768):
         p, q = x[at : at + 32768], y[at : at + 32768]
-        fits[p, q] = np.bitwise_count(a.sketches[p] ^ b.sketches[q]).sum(axis=1) <= MOST_BITS
+        fits[p, q] = np.bitwise_count(a.sketches[p] ^ b.sketches[q]).sum(axis=1) <= most_bits
     return fits
 
 
-def _involved(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _involved(percent: int, most_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From pairs of blocks (a, b, left, right): a, b, side and key of the classes with a possible partner on the other side."""
     for batch in batches:
         out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for i in range(batch.num_rows):
             left, right = (_Side(batch.column(c)[i].values, False) for c in ("left", "right"))
-            fits = _possible_pairs(left, right, percent)
+            fits = _possible_pairs(left, right, percent, most_bits)
             keys = left.keys[fits.any(axis=1)], right.keys[fits.any(axis=0)]
             out.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), *keys))
         sizes = [len(x) + len(y) for *_, x, y in out]
@@ -196,13 +196,13 @@ def _intersections(a: _Side, b: _Side, fits: np.ndarray) -> tuple[np.ndarray, np
     return x, y, total[x, y].astype(np.int64)
 
 
-def _linking(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linking(percent: int, most_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From pairs of blocks with full sets (left, right): links that join components, none within what those before it joined."""
     for batch in batches:
         found: list[tuple[int, int]] = []
         for i in range(batch.num_rows):
             left, right = (_Side(batch.column(c)[i].values, True) for c in ("left", "right"))
-            x, y, common_ = _intersections(left, right, _possible_pairs(left, right, percent))
+            x, y, common_ = _intersections(left, right, _possible_pairs(left, right, percent, most_bits))
             alike = common_ * 100 >= (left.sizes[x] + right.sizes[y] - common_) * percent
             above: dict[int, int] = {}
             for p, q in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
@@ -224,22 +224,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def linked(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, sketches: bool = True) -> DataFrame:
     """doc_id, k1, k2 (the row, see common.row_key), n_shingles, component_id and kept of each row of ``docs`` (doc_id, text; other columns are left out).
 
     A null text and one without words have an empty set and are linked with nothing. Rows that repeat are linked
     and get equal results; no rows give none. A text of any length has its whole set, which one task holds at a time.
     A null doc_id is larger than any: component_id is null only where all of its rows' are. The result reads from
-    tables in the shared folder.
+    tables in the shared folder. Without ``sketches`` candidates go to their full sets at once, whatever these say.
     """
     with common.scratch(docs.sparkSession) as scratch, common.held(docs.sparkSession):
-        result, tables = _linked(docs, shingle, percent, scratch)
+        result, tables = _linked(docs, shingle, percent, MOST_BITS if sketches else SKETCH_BITS, scratch)
         for table in tables:
             scratch.keep(table)
         return result
 
 
-def _linked(docs: DataFrame, shingle: int, percent: int, scratch: common.Scratch) -> tuple[DataFrame, list[DataFrame]]:
+def _linked(docs: DataFrame, shingle: int, percent: int, most_bits: int, scratch: common.Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """What linked() returns, and the tables that it reads from."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *common.row_key(F.col("doc_id"), text))
@@ -262,7 +262,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, scratch: common.Scratch
     right = sketched.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     left = sketched.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     pairs = members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = pairs.join(right, "b").join(left, "a").filter(_possible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS))
+    pairs = pairs.join(right, "b").join(left, "a").filter(_possible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sketch_a"), F.col("sketch_b")) <= most_bits))
     links = scratch.table(_confirmed(pairs.select("a", "b"), sets, percent), "links")
     found = components.components(links)
 
@@ -284,11 +284,11 @@ def _linked(docs: DataFrame, shingle: int, percent: int, scratch: common.Scratch
     described = place.join(sketched.select("key", "n_shingles", "sketch"), "key")
     blocks = described.groupBy("block").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch")).alias("classes"))
     facing = meet.join(blocks.toDF("a", "left"), "a").join(blocks.toDF("b", "right"), "b")
-    involved = facing.mapInArrow(lambda b: _involved(percent, b), "a long, b long, side int, key long")
+    involved = facing.mapInArrow(lambda b: _involved(percent, most_bits, b), "a long, b long, side int, key long")
     full = involved.join(described, "key").join(sets, "key").groupBy("a", "b", "side").agg(F.collect_list(F.struct("key", "component", "n_shingles", "sketch", "hashes")).alias("classes"))
     full = scratch.table(full, "facing")
     facing = full.filter("side = 0").select("a", "b", F.col("classes").alias("left")).join(full.filter("side = 1").select("a", "b", F.col("classes").alias("right")), ["a", "b"])
-    more = scratch.table(facing.select("left", "right").mapInArrow(lambda b: _linking(percent, b), "u long, v long"), "links")
+    more = scratch.table(facing.select("left", "right").mapInArrow(lambda b: _linking(percent, most_bits, b), "u long, v long"), "links")
     found = components.components(links.union(more))
     scratch.drop(open_, place, meet, full, sketched, sets, links, more)
 
@@ -309,7 +309,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are kept: of each component that with the least doc_id, of rows that repeat any one of them."""
     names = [statistics.fresh(docs, c) for c in ("k1", "k2", "copies")]
     with common.scratch(spark) as scratch, common.held(spark):
-        verdicts, _ = _linked(docs, SHINGLE, PERCENT, scratch)
+        verdicts, _ = _linked(docs, SHINGLE, PERCENT, MOST_BITS, scratch)
         verdicts = scratch.table(verdicts.filter("kept").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), "kept")
         scratch.keep(verdicts)
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))

@@ -96,8 +96,8 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _power(_Q, len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
-def groups(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row past the last, their words); null is an empty text."""
+def groups(column: pa.Array, lower: bool = False, most: int = GROUP_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row past the last, their words) of texts of ``most`` bytes together; null is an empty text."""
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -108,7 +108,7 @@ def groups(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Wo
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and offsets[-1] else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GROUP_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1], lower)
         a = b
 

@@ -118,6 +118,7 @@ def test_chains_of_near_copies(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     linked_as(rows, near_duplicates.linked(df).collect())
+    linked_as(rows, near_duplicates.linked(df, sketches=False).collect())
 
 
 def test_sketches_estimate():
