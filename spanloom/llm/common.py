@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
@@ -15,13 +17,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in this process, one in the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in this process, one in the warehouse that goes when the process ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), True)
     return path.rstrip("/")
 
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from spanloom.llm import quality_classifier, quality_rules, registry, token_output
 
-from . import brute
+from . import brute, plain
 from .conftest import EDGES, SCHEMA, rows_of
 
 
@@ -37,6 +37,18 @@ def test_pipeline(spark, sf):
     assert got == {i: len(whole[i]) for i in texts} and len(texts) > 100
 
 
+def test_first_stages_against_plain_ones(spark, sf):
+    """The quality stages keep the documents that plain versions in numpy keep."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect())
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scores = plain.scores([r[:2] for r in rows], quality)
+    good = [r for r, score in zip(rows, scores, strict=True) if score >= quality_classifier.THRESHOLD]
+    left = quality_classifier.stage(spark, docs, sf)
+    assert sorted(r.doc_id for r in left.collect()) == [r[0] for r in good]
+    assert {r.doc_id for r in quality_rules.stage(spark, left, sf).collect()} == plain.kept_by_rules(good)
+
+
 def test_stages_take_any_rows(spark, sf):
     edges = spark.createDataFrame(rows_of(EDGES), SCHEMA)
     for docs in (edges, edges.filter("false")):

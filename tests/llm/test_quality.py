@@ -6,7 +6,7 @@ import numpy as np
 
 from spanloom.llm import quality_classifier, quality_rules, statistics
 
-from . import brute
+from . import brute, plain
 from .conftest import EDGES
 
 BIG = "/root/testdata/sf0.01"
@@ -21,50 +21,6 @@ def test_statistics(spark, edges):
         assert (r.n_distinct_words, r.n_same_neighbours) == (len(set(w)), sum(a == b for a, b in zip(w, w[1:], strict=False)))
 
 
-def plain_distances(x, langs, sources):
-    """Minimum covariance determinants by concentration steps on whole sorted distances: each language's, and each source's with PRIOR rows of its language's core."""
-    q = quality_rules
-    floors, k = np.array(q.FLOORS), q.PRIOR
-    langs, sources = np.array(langs), np.array(sources)
-
-    def start(y):
-        middle = np.median(y, axis=0)
-        return middle, np.diag(np.maximum(np.median(abs(y - middle), axis=0) * 1.4826, floors) ** 2)
-
-    def distances(y, estimate):
-        mean, cov = estimate
-        return np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
-
-    def core(y, estimate):
-        d = distances(y, estimate)
-        some = y[np.argsort(d, kind="stable")[: int(np.ceil(q.CORE * len(y)))]]
-        return len(some), some.sum(axis=0), some.T @ some, np.median(d) / q.CHI2_MEDIAN
-
-    def moments(n, sums, products):
-        mean = sums / n
-        return mean, products / n - np.outer(mean, mean) + np.diag(floors**2)
-
-    out = np.zeros(len(x))
-    for lang in set(langs):
-        whole = x[langs == lang]
-        groups = {s: x[(langs == lang) & (sources == s)] for s in set(sources[langs == lang])}
-        of_lang = start(whole)
-        now = {(s, own): start(y) if own else of_lang for s, y in groups.items() for own in (True, False)}
-        for _ in range(q.STEPS):
-            n, sums, products, unit = core(whole, of_lang)
-            after = {}
-            for (s, own), estimate in now.items():
-                m, t, p, u = core(groups[s], estimate)
-                size = len(groups[s])
-                after[s, own] = (moments(m + k, t + k * sums / n, p + k * products / n), (size * u + k * unit) / (size + k), estimate)
-            of_lang = moments(n, sums, products)
-            now = {key: v[0] for key, v in after.items()}
-        for s, y in groups.items():
-            _, unit, estimate = min((after[s, own] for own in (True, False)), key=lambda v: np.linalg.slogdet(v[0][1])[1])
-            out[(langs == lang) & (sources == s)] = distances(y, estimate) / max(q.LEAST_SCALE, unit)
-    return out
-
-
 def test_quality_rules(spark):
     got = quality_rules.op5_quality_rules(spark, BIG).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{BIG}/documents.parquet").collect()}
@@ -75,15 +31,12 @@ def test_quality_rules(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
         if not r.base_failed:
-            t = docs[r.doc_id].text
-            lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
-            bangs, capitals = t.count("!"), sum("A" <= c <= "Z" for c in t)
-            rows.append((r, [np.sqrt(want[2] / (want[1] + 100)), np.log((want[1] + 300) / (want[0] + 50)), np.sqrt(want[3] / (lines + 10)), np.sqrt(capitals / (want[1] + 100)), np.sqrt(bangs / (want[1] + 100))]))
+            rows.append((r, plain.rules_vector(docs[r.doc_id].text)))
         else:
             assert not r.kept
-    plain = plain_distances(np.array([x for _, x in rows]), [docs[r.doc_id].lang for r, _ in rows], [docs[r.doc_id].source for r, _ in rows])
-    assert all(r.kept == (d <= quality_rules.CUTOFF) for (r, _), d in zip(rows, plain, strict=True))
-    assert np.corrcoef(np.log([r.distance + 1e-3 for r, _ in rows]), np.log(plain + 1e-3))[0, 1] > 0.99
+    distances = plain.distances(np.array([x for _, x in rows]), [docs[r.doc_id].lang for r, _ in rows], [docs[r.doc_id].source for r, _ in rows])
+    assert all(r.kept == (d <= quality_rules.CUTOFF) for (r, _), d in zip(rows, distances, strict=True))
+    assert np.corrcoef(np.log([r.distance + 1e-3 for r, _ in rows]), np.log(distances + 1e-3))[0, 1] > 0.99
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
     judged = [(r.kept, quality[r.doc_id]) for r, _ in rows if r.doc_id in quality]
     assert np.mean([k for k, q in judged if q == 1]) > 0.99 and np.mean([k for k, q in judged if q == 0]) < 0.1
@@ -93,9 +46,9 @@ def test_sources_have_estimates_of_their_own(spark):
     """Two sources of one language that differ: texts that are usual in the one are outliers in the other, however few rows a third source has."""
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9))))
-    plain = lambda: " ".join(word() for _ in range(120))
+    calm = lambda: " ".join(word() for _ in range(120))
     loud = lambda: " ".join(("!!#" if rng.random() < 0.5 else "") + word().upper() for _ in range(120))
-    texts = [("calm", plain()) for _ in range(300)] + [("calm", loud()) for _ in range(3)] + [("loud", loud()) for _ in range(250)] + [("few", plain()) for _ in range(4)] + [("few", loud()), (None, plain())]
+    texts = [("calm", calm()) for _ in range(300)] + [("calm", loud()) for _ in range(3)] + [("loud", loud()) for _ in range(250)] + [("few", calm()) for _ in range(4)] + [("few", loud()), (None, calm())]
     df = spark.createDataFrame([(i, t, "en", source) for i, (source, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.v.kept for r in quality_rules.verdicts(df, "v").collect()}
     by = lambda source, is_loud: [kept[i] for i, (s, t) in enumerate(texts) if s == source and ("#" in t) == is_loud]
@@ -144,45 +97,10 @@ def test_quality_classifier(spark):
 
 
 def test_quality_classifier_against_a_plain_one(spark):
-    """The same discriminant in numpy, from plainly counted statistics."""
-    q = quality_classifier
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{BIG}/documents.parquet").collect())
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
-
-    def vector(t):
-        n, chars, symbols, dup_lines, repeats = brute.base(t)
-        w = brute.words(t)
-        lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
-        capitals, same = sum("A" <= c <= "Z" for c in t), sum(a == b for a, b in zip(w, w[1:], strict=False))
-        shares = [symbols / (chars + 20), t.count("!") / (chars + 20), capitals / (chars + 50), same / (n + 20), dup_lines / (lines + 5), repeats / (n + 50)]
-        a, b, c, d, e, f = np.sqrt(shares)
-        return [a, b, c, d, np.log((len(set(w)) + 10) / (n + 10)), e, np.log((chars + 100) / (n + 20)), f]
-
-    x = np.array([vector(t) for _, t in docs])
-    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in docs])
-    y = np.array([quality.get(i, -1) for i, _ in docs])
-    known = [x[(fold != 0) & (y == k)] for k in (0, 1)]
-    covariances = [np.cov(k.T, bias=True) for k in known]
-    sizes = np.array([len(k) for k in known])
-    pooled = (sizes[:, None, None] * covariances).sum(axis=0) / sizes.sum()
-    logs = []
-    for k, cov in zip(known, covariances, strict=True):
-        cov = (1 - q.SHRINK) * cov + q.SHRINK * np.diag(np.diag(pooled)) + q.FLOOR**2 * np.eye(q.SIZE)
-        away = x - k.mean(axis=0)
-        logs.append(-0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
-    z = np.clip(logs[1] - logs[0], -q.BOUND, q.BOUND)
-    fitted = (fold != 0) & (y >= 0)
-    at = np.round(z[fitted] / q.STEP) * q.STEP
-    target = np.where(y[fitted] == 1, (sizes[1] + 1) / (sizes[1] + 2), 1 / (sizes[0] + 2))
-    design = np.stack([at, np.ones_like(at)], axis=1)
-    w = np.array([0.1, np.log(sizes[1] / sizes[0])])
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-design @ w))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (p - target) + 1e-3 * w)
-        w = w - step * min(1, 1 / np.abs(step).max())
-    plain = 1 / (1 + np.exp(-(w[0] * z + w[1])))
-    got = {r.doc_id: r.score for r in q.op1_quality_classifier(spark, BIG).collect()}
-    assert np.allclose([got[i] for i, _ in docs], plain, atol=1e-6)
+    got = {r.doc_id: r.score for r in quality_classifier.op1_quality_classifier(spark, BIG).collect()}
+    assert np.allclose([got[i] for i, _ in docs], plain.scores(docs, quality), atol=1e-6)
 
 
 def test_quality_classifier_edges(spark, edges, nothing):

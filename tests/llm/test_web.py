@@ -1,6 +1,7 @@
 """8 and 10 against SQL, and archives byte by byte."""
 
 import gzip
+import hashlib
 
 import pytest
 
@@ -47,7 +48,7 @@ def test_warc_least_bytes_and_empty(spark):
 
 
 def test_reading_tasks_grow_with_ranges(spark):
-    archives = warc.write(pages(spark, [(i, "http://h/", f"{i} " * 3000) for i in range(40)]).coalesce(1), common.scratch_path(spark, "warc"), archive_bytes=20_000)
+    archives = warc.write(pages(spark, [(i, "http://h/", "".join(hashlib.sha256(f"{i}-{k}".encode()).hexdigest() for k in range(100))) for i in range(40)]).coalesce(1), common.scratch_path(spark, "warc"), archive_bytes=20_000)
     sizes = [r.bytes for r in archives.collect()]
     assert len(sizes) > 1
     for range_bytes in (500, 3000, 1 << 20):
