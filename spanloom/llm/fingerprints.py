@@ -30,6 +30,8 @@ WIDE = 16
 GRAM, GRAM_WEIGHT, PAIR_WEIGHT = 8, 0.6, 1.0
 #: Fingerprints of a bucket that a task compares with as many others at a time.
 BLOCK = 512
+#: Buckets whose sizes are broadcast, at most: some 10 MB. There are no more than tables times values of a block.
+BROADCAST_BUCKETS = 1 << 18
 #: Texts whose terms are counted together, so that these stay in a processor's cache.
 _GROUP_BYTES = 1 << 17
 _PARTS = BITS // 64
@@ -284,8 +286,8 @@ def _block_columns(radius: int) -> list[F.Column]:
 def _facing(classes: DataFrame, radius: int, scratch: common.Scratch) -> DataFrame:
     """table, asked, others: lists of at most about BLOCK classes that meet in a bucket, from classes (f0, f1, ..., documents, asked).
 
-    A list of asked ones goes to each list of others in its bucket by that list's number, so the lists of a large
-    bucket are dealt over tasks as those of different buckets are.
+    A bucket's other classes are dealt into blocks, and those asked for go to each of these, so a large bucket is dealt
+    over tasks as different buckets are. Short blocks have few values: then the buckets' sizes are broadcast.
     """
     key = [f"f{i}" for i in range(_PARTS)]
     blocks = F.posexplode(F.array(*_block_columns(radius))).alias("table", "led")
@@ -295,13 +297,15 @@ def _facing(classes: DataFrame, radius: int, scratch: common.Scratch) -> DataFra
     asked = classes.filter("asked").select(*key, blocks).select(*key, "table", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("led").bitwiseXOR(x))).alias("led"))
     size = lambda df, name: df.groupBy("table", "led").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
     sizes = scratch.table(size(others, "n_others").join(size(asked, "n_asked"), ["table", "led"]), "sizes")
-
-    def lists(df: DataFrame, n: str, fields: list[str], name: str) -> DataFrame:
-        placed = df.join(sizes, ["table", "led"]).withColumn("block", F.pmod(F.xxhash64(*key), F.col(n)))
-        return placed.groupBy("table", "led", "block").agg(F.collect_list(F.struct(*fields)).alias(name), F.max("n_others").alias("n_others"))
-
-    questions = lists(asked, "n_asked", key, "asked").select("table", "led", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_others") - 1)).alias("block"))
-    return questions.join(lists(others, "n_others", [*key, "documents"], "others"), ["table", "led", "block"]).select("table", "asked", "others")
+    if (len(bounds) - 1) << int(max(np.diff(bounds))) <= BROADCAST_BUCKETS:
+        sizes = F.broadcast(sizes)
+    block = lambda n: F.pmod(F.xxhash64(*key), F.col(n))
+    placed = asked.join(sizes, ["table", "led"]).select(*key, "table", "led", block("n_asked").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_others") - 1)).alias("block"))
+    # dealt by what they are joined by, once
+    questions = placed.repartition("table", "led", "block").groupBy("table", "led", "block", "part").agg(F.collect_list(F.struct(*key)).alias("asked"))
+    placed = others.join(sizes, ["table", "led"]).withColumn("block", block("n_others"))
+    answers = placed.groupBy("table", "led", "block").agg(F.collect_list(F.struct(*key, "documents")).alias("others"))
+    return questions.join(answers, ["table", "led", "block"]).select("table", "asked", "others")
 
 
 def _classes(fingerprinted: DataFrame, asked: F.Column, scratch: common.Scratch) -> DataFrame:
