@@ -244,7 +244,7 @@ def neighbours(vectors: DataFrame, queries, k: int = 10, rows_a_part: int = ROWS
         least = rows.withColumn("rn", first).filter(F.col("rn") <= k + 1).groupBy("k1", "k2")
         classes = scratch.table(least.agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.lit(0).cast("long").alias("node")), "classes")
         asking = rows.filter(queries).select("k1", "k2", F.col("vec_id").alias("query_id"))
-        asked = classes.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vector", "node")
+        asked = scratch.table(classes.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vector", "node"), "asked")
         part = classes.select("k1", "k2", "vector", "node")
         for _ in range(LEVELS):
             large = part.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * rows_a_part)

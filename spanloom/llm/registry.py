@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprints, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, token_output, unigram, url_filters, warc
+from . import conversation_repair, fingerprints, learned_partitions, near_duplicates, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, token_output, unigram, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_unigram": unigram.op9_unigram,
         "op10_url_filters": url_filters.op10_url_filters,
+        "op11_neighbours": learned_partitions.op11_neighbours,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_spelling_variants": spelling_variants.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
