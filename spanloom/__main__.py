@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import annotate, evaluate, report, responses, score, supervise
 from .ship import ship
-from .sources import records
+from .sources import positions, records
+from .sources import seen as seen_texts
 
 
 def redact(spark: SparkSession, source: str, target: str, threshold: float) -> None:
-    rows = records.read(spark, source)
-    docs = records.numbered(rows.select(records.text_of(rows).alias("text")).filter("text is not null"), ["text"]).withColumnRenamed("_row", "row_id")
+    """Rows as they stand in the file, numbered from 0; one without a text is an empty one."""
+    rows = positions.arrived(records.read(spark, source)) if source.endswith(".json") else positions.read_numbered(spark, source, records.DOCUMENT)
+    docs = rows.select(F.col("_row").alias("row_id"), F.coalesce(records.text_of(rows), F.lit("")).alias("text"))
     records.write_lines(score.infer(docs, "row_id", "text", threshold=threshold), target, "overwrite")
 
 
@@ -82,7 +84,7 @@ def examples(spark: SparkSession, source: str, target: str, seen: str | None) ->
     good = fine.join(judged.filter("status = 'OK'"), "doc_id", "left_semi").select("doc_id", "text", "items")
     old = records.read_lines(spark, seen).select("text") if seen else spark.createDataFrame([], "text string")
     spans = {"spans": "REAL_PII", "pii_lookalike": "PII_LOOKALIKE"}
-    rows = records.numbered(records.unseen(good, old), ["doc_id"]).select((F.col("_row") + 1).alias("row_id"), "text", *(annotate.spans_of_category(F.col("text"), F.col("items"), c).alias(k) for k, c in spans.items()))
+    rows = positions.numbered(seen_texts.unseen(good, old), ["doc_id"]).select((F.col("_row") + 1).alias("row_id"), "text", *(annotate.spans_of_category(F.col("text"), F.col("items"), c).alias(k) for k, c in spans.items()))
     rows = rows.cache()
     parts = supervise.split(rows.select("row_id", F.lit("all").alias("group")), "group", "row_id", 9, 10)
     for name in ("train", "valid"):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import columns as C
-from ..sources import records
+from ..sources import positions, records, seen
 from ..streaming import redaction
 from . import fixtures as X
 from . import scoring, spans
@@ -25,13 +26,61 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def numbered_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Positions of documents in doc_id order, for joins by row."""
-    return records.numbered(X.documents(spark, sf).select("doc_id"), ["doc_id"]).select("doc_id", F.col("_row").alias("row"))
+    return positions.numbered(X.documents(spark, sf).select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("_row").alias("row"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+_SHUFFLED = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+
+
+def _in_files(rows: DataFrame, files: int) -> str:
+    """rows as JSON lines in so many files, in the order of digests, which is none of their own."""
+    path = shared.new_path(rows.sparkSession, "lines")
+    records.write_lines(rows.repartitionByRange(files, *_SHUFFLED).sortWithinPartitions(*_SHUFFLED), path, "overwrite")
+    return path
+
+
+def paired_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and what a model said of them, written to ten and to seven files in one order, paired by their places there."""
+    docs = X.documents(spark, sf)
+    gold = positions.read_numbered(spark, _in_files(docs.select("doc_id", "text"), 10), "doc_id long, text string")
+    said = docs.select("doc_id", F.md5("text").alias("md5"), F.col("lang").alias("label"))
+    pred = positions.read_numbered(spark, _in_files(said, 7), "doc_id long, md5 string, label string")
+    rows = positions.paired(pred, gold)
+    return rows.select(F.col("_row").alias("row"), F.col("gold.doc_id").alias("doc_id"), F.col("pred.doc_id").alias("pred_id"), F.md5("gold.text").alias("text_md5"), F.col("pred.md5").alias("pred_md5"), "pred.label")
+
+
+def companion_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitivity of spans from a second file, whose rows stand where their documents stand in the first."""
+    one = F.struct(F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"), F.when(F.col("doc_id") % 3 == 0, "KEEP").otherwise("REDACT").alias("sensitivity"))
+    docs = X.documents(spark, sf)
+    main = positions.read_numbered(spark, _in_files(docs.select("doc_id", "text"), 6), "doc_id long, text string")
+    side = positions.read_numbered(spark, _in_files(docs.select("doc_id", F.array(one).alias("sensitivity_spans")), 9), "sensitivity_spans array<struct<start:bigint,end:bigint,sensitivity:string>>")
+    rows = positions.with_companion(main, side).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.explode("sensitivity_spans").alias("s"))
+    return rows.select("doc_id", "n_chars", "s.start", "s.end", "s.sensitivity")
+
+
+def concatenated_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents printed over several lines one after another, read back in blocks of the files."""
+    path = shared.new_path(spark, "pretty")
+    records.write_pretty(X.documents(spark, sf).select("doc_id", F.concat(F.lit('{"'), "text", F.lit('\\"}')).alias("text")).repartition(3), path)
+    back = records.read_concatenated(spark, path, "doc_id long, text string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def resumed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second run adds to a history of texts that a first run, of source src0, began, and how many texts that held."""
+    docs, path = X.documents(spark, sf).select("doc_id", "text", "source"), shared.new_path(spark, "history")
+    before, _ = seen.scan(spark, path)
+    seen.remember(seen.resumed(docs.filter("source = 'src0'"), path), path)
+    count, _ = seen.scan(spark, path)
+    fresh = seen.resumed(docs.filter("source <> 'src0'"), path)
+    return fresh.select("doc_id", F.md5("text").alias("text_md5"), F.lit(count - before).cast("long").alias("n_seen"))
 
 
 def unseen_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of other sources than src0 whose texts src0 doesn't have."""
     docs = X.documents(spark, sf)
-    return records.unseen(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'")).select("doc_id", F.md5("text").alias("text_md5"))
+    return seen.unseen(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'")).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,12 +99,16 @@ def metric_report(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("value_f1", F.round(f1, 6))
 
 
-QUERIES = {f.__name__: f for f in (redact_inline, event_windows, numbered_documents, unseen_texts, json_roundtrip, metric_report)}
+QUERIES = {f.__name__: f for f in (redact_inline, event_windows, numbered_documents, paired_rows, companion_rows, concatenated_json, resumed_texts, unseen_texts, json_roundtrip, metric_report)}
 
 ORACLES = {
     "redact_inline": spans.ORACLES["redact_text"].replace("SELECT doc_id, lang, n_spans, md5(r) AS redacted_md5, length(r) AS n_chars FROM texts", "SELECT doc_id, md5(r) AS redacted_md5 FROM texts"),
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "numbered_documents": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents",
+    "numbered_documents": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row, length(text) AS n_chars FROM documents",
+    "paired_rows": "SELECT row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS row, doc_id, doc_id AS pred_id, md5(text) AS text_md5, md5(text) AS pred_md5, lang AS label FROM documents",
+    "companion_rows": "SELECT doc_id, length(text) AS n_chars, 0::BIGINT AS start, length(text) AS \"end\", CASE WHEN doc_id % 3 = 0 THEN 'KEEP' ELSE 'REDACT' END AS sensitivity FROM documents",
+    "concatenated_json": """SELECT doc_id, md5('{"' || text || '\\"}') AS text_md5 FROM documents""",
+    "resumed_texts": "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5, (SELECT count(DISTINCT text) FROM documents WHERE source = 'src0') AS n_seen FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
     "unseen_texts": "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
     "json_roundtrip": "WITH" + X.GOLD + " SELECT doc_id, start, \"end\", label, value FROM gold",
     "metric_report": scoring._BOTH + scoring._EXACT.replace("p AS", "xp AS").replace("g AS", "xg AS").replace("FROM p)", "FROM xp)").replace("FROM g)", "FROM xg)").replace("m AS (SELECT", "xm AS (SELECT") + scoring._VALUES + scoring._MATCHED

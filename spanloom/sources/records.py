@@ -1,19 +1,16 @@
 """JSON in the shapes that annotation files come in, and back.
 
-Lines go through Spark's own reader. A file that holds one document, or several printed over many lines, is read
-whole by a task; such files are as large as a task can hold, as a JSON document is.
+Lines go through Spark's own reader, and so do documents printed one after another over many lines, in blocks. A file
+that holds one document, or an array of them, is read whole by a task where it is known to be one.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotate
+from . import concatenated
 
 SPAN = "struct<start:bigint,end:bigint,label:string,value:string,category:string,sensitivity:string,note:string>"
 ALIASED = "struct<start:bigint,end:bigint,start_position:bigint,end_position:bigint,label:string,entity_type:string,value:string,entity_value:string,category:string,sensitivity:string,note:string>"
@@ -36,32 +33,9 @@ def read(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
     return (read_whole if path.endswith(".json") else read_lines)(spark, path, schema)
 
 
-def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    decoder = json.JSONDecoder()
-    for batch in batches:
-        paths, places, values = [], [], []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            at = k = 0
-            while True:
-                while at < len(text) and text[at].isspace():
-                    at += 1
-                if at == len(text):
-                    break
-                found, at = decoder.raw_decode(text, at)
-                for one in found if isinstance(found, list) else [found]:
-                    if not isinstance(one, dict):
-                        raise ValueError(f"{path}: JSON must be objects or arrays of objects")
-                    paths.append(path)
-                    places.append(k)
-                    values.append(json.dumps(one, ensure_ascii=False))
-                    k += 1
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int64()), pa.array(values, pa.string())], names=["path", "idx", "value"])
-
-
 def read_concatenated(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
-    """path, idx and the fields of objects printed one after another, over as many lines as they take."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = files.mapInArrow(_objects, "path string, idx long, value string")
+    """path, idx and the fields of objects printed one after another, over as many lines as they take; files are read in blocks, see concatenated.read_objects()."""
+    rows = concatenated.read_objects(spark, path)
     return rows.select("path", "idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("path", "idx", "r.*")
 
 
@@ -122,27 +96,6 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(*(F.col(c) for c in ("text", "full_text") if c in df.columns))
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _row, from 0 in ``order``: counts of ranges first, then places within them, so no task sees all rows."""
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    rows = ranged.withColumn("_at", F.row_number().over(inside) - 1)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "_part").withColumn("_row", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
-
-
-def with_companion(main: DataFrame, companion: DataFrame, order: list[str]) -> DataFrame:
-    """main with sensitivity_spans of the companion's row at the same place; ValueError if their numbers of rows differ."""
-    a, b = main.count(), companion.count()
-    if a != b:
-        raise ValueError(f"{a} rows and {b} companions")
-    side = numbered(companion, order).select("_row", F.col("sensitivity_spans").alias("_spans"))
-    return numbered(main, order).join(side, "_row", "left").withColumn("sensitivity_spans", F.col("_spans")).drop("_spans", "_row")
-
-
 def write_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
@@ -168,11 +121,3 @@ def put(spark: SparkSession, path: str, text: str) -> None:
 def write_review(sections: DataFrame, path: str, order: str, section: str) -> None:
     """Sections of text, in order, a blank line between them; files are parts of the whole in their names' order."""
     sections.orderBy(order).select(F.concat(section, F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
-
-
-def unseen(new: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose text neither ``seen`` nor an earlier row of ``new`` has: by digests, the first in doc_id order stays."""
-    digest = F.sha2(F.col(text), 256)
-    fresh = new.withColumn("_digest", digest).join(seen.select(digest.alias("_digest")).distinct(), "_digest", "left_anti")
-    first = fresh.groupBy("_digest").agg(F.min("doc_id").alias("doc_id"))
-    return fresh.join(first, ["_digest", "doc_id"], "left_semi").drop("_digest")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.operators import annotate, detect, evaluate, resolve, supervise
-from spanloom.sources import records
+from spanloom.sources import positions, records
 from spanloom.streaming import redaction
 
 
@@ -129,10 +129,10 @@ def test_files(spark, tmp_path):
 def test_companion(spark):
     main = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "id long, text string")
     side = spark.createDataFrame([(i, [i]) for i in range(50)], "id long, sensitivity_spans array<long>")
-    got = records.with_companion(main, side, ["id"]).select("id", "sensitivity_spans").collect()
+    got = positions.with_companion(main, side, ["id"]).select("id", "sensitivity_spans").collect()
     assert len(got) == 50 and all(r.sensitivity_spans == [r.id] for r in got)
     with pytest.raises(ValueError, match="companions"):
-        records.with_companion(main, side.limit(3), ["id"])
+        positions.with_companion(main, side.limit(3), ["id"])
 
 
 def test_stream(spark, tmp_path):
