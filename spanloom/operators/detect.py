@@ -1,14 +1,7 @@
-"""Rows from texts: pattern matches, tokens, candidate spans, windows."""
+"""Rows from texts: pattern matches, candidate spans, windows, chunks."""
 
 from __future__ import annotations
 
-import functools
-import sys
-import unicodedata
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +12,34 @@ OPEN, CLOSE = "\x01", "\x02"
 
 
 def parts(text: Column, pattern: str) -> Column:
-    """The text cut at the pattern's matches: what stands before the first, then for each match its text, U+0002 and what follows. Texts must not hold U+0001 or U+0002."""
-    return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+    """The text cut at the pattern's matches: what stands before the first, then for each match its text, U+0002 and what follows. U+0001 and U+0002 in the text count as U+0003 there, which the patterns take for the same."""
+    held = text.contains(OPEN) | text.contains(CLOSE)
+    return F.split(F.regexp_replace(F.when(held, F.translate(text, OPEN + CLOSE, "\x03\x03")).otherwise(text), pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
-def places(cut: Column) -> Column:
-    """array<struct<start, end>> of the matches, left to right, from a column of parts()."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    first = F.struct(F.length(F.get(cut, F.lit(0))).cast("bigint").alias("at"), empty.alias("found"))
+#: Array elements that are cumulated together: appending copies what is there.
+_RUN = 256
+
+
+def _cumulated(sizes: Column) -> Column:
+    """For each number the sum of those before it; in runs, so that the copying grows with the array and not with its square."""
+    none = F.array().cast("array<bigint>")
 
-    def step(acc: Column, part: Column) -> Column:
-        here = F.struct(acc["at"].alias("start"), (acc["at"] + F.locate(CLOSE, part) - 1).cast("bigint").alias("end"))
-        return F.struct((acc["at"] + F.length(part) - 1).cast("bigint").alias("at"), F.array_append(acc["found"], here).alias("found"))
+    def sums(numbers: Column) -> Column:
+        first = F.struct(F.lit(0).cast("bigint").alias("sum"), none.alias("before"))
+        return F.aggregate(numbers, first, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))
 
-    return F.aggregate(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), first, step)["found"]
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _RUN).cast("int")), lambda k: sums(F.slice(sizes, k * _RUN + 1, _RUN)))
+    long = F.transform(F.array(runs), lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, lambda x: x["sum"]))["before"], lambda x, at: F.transform(x["before"], lambda b: b + at))))[0]
+    return F.when(F.size(sizes) > 2 * _RUN, long).otherwise(sums(sizes)["before"])
+
+
+def places(cut: Column) -> Column:
+    """array<struct<start, end>> of the matches, left to right, from a column of parts()."""
+    # every part but the first begins with a match and holds U+0002
+    sizes = F.transform(cut, lambda part, i: (F.length(part) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))
+    found = F.zip_with(cut, _cumulated(sizes), lambda part, at: F.struct(at.alias("start"), (at + F.locate(CLOSE, part) - 1).cast("bigint").alias("end")))
+    return F.slice(found, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
 
 
 def searched(text: Column, pattern: str, needed: str | None = None) -> Column:
@@ -46,85 +53,34 @@ def matches(text: Column, pattern: str, needed: str | None = None) -> Column:
     return F.coalesce(F.get(F.transform(F.array(searched(text, pattern, needed)), places), F.lit(0)), none)
 
 
-def found(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
-    """keep, label, start, end of every match of every pattern: one pass over the texts, each pattern once, nothing shuffled."""
+def _hits(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str]) -> tuple[DataFrame, Column]:
+    """keep and the parts of all patterns, and from these an array of struct(label, hits), hits being null without a match."""
     names = {name: f"_parts_{name}" for name in patterns}
     cut = docs.select(*keep, *(searched(F.col(text), p, vocab.NEEDED.get(name) if p == vocab.PATTERNS.get(name) else None).alias(names[name]) for name, p in patterns.items()))
-    hits = F.array(*(F.struct(F.lit(name).alias("label"), F.when(F.size(names[name]) > 1, places(F.col(names[name]))).alias("hits")) for name in patterns))
+    return cut, F.array(*(F.struct(F.lit(name).alias("label"), F.when(F.size(names[name]) > 1, places(F.col(names[name]))).alias("hits")) for name in patterns))
+
+
+def found(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
+    """keep, label, start, end of every match of every pattern: one pass over the texts, each pattern once, nothing shuffled."""
+    cut, hits = _hits(docs, keep, text, patterns)
     rows = cut.select(*keep, F.explode(hits).alias("of")).filter("of.hits is not null")
     return rows.select(*keep, "of.label", F.explode("of.hits").alias("hit")).select(*keep, "label", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
 
 
+def listed(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, str] = vocab.PATTERNS) -> DataFrame:
+    """keep and spans, an array of struct(label, start, end): the matches of all patterns in their document's row."""
+    cut, hits = _hits(docs, keep, text, patterns)
+    rows = cut.select(*keep, hits.alias("of"))
+    one = lambda of: F.transform(of["hits"], lambda h: F.struct(of["label"].alias("label"), h["start"].alias("start"), h["end"].alias("end")))
+    return rows.select(*keep, F.flatten(F.transform(F.filter("of", lambda of: of["hits"].isNotNull()), one)).alias("spans"))
+
+
 def pattern_spans(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = vocab.PATTERNS, with_text: bool = False) -> DataFrame:
     """key, label, start, end, value of every match of every pattern, and the text if it is to stay."""
     rows = found(docs, [key, text], text, patterns)
     return rows.select(key, "label", "start", "end", C.slice_text(F.col(text), F.col("start"), F.col("end")).alias("value"), *([text] if with_text else []))
 
 
-@functools.cache
-def _kinds() -> np.ndarray:
-    """Of every code point: 1 for what tokens of several characters consist of, 0 for white space, 2 for others."""
-    kinds = np.full(sys.maxunicode + 1, 2, np.uint8)
-    kinds[[cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp))[0] in "LN"]] = 1
-    kinds[ord("_")] = 1
-    kinds[[ord(c) for c in " \t\n\x0b\f\r"]] = 0
-    return kinds
-
-
-#: Characters that are worked on together.
-_GROUP = 1 << 20
-
-
-def _token_offsets(column: pa.Array) -> pa.Array:
-    """struct(s, e): where the tokens of each text start and end; null is an empty text."""
-    texts = [t or "" for t in column.to_pylist()]
-    starts, ends, counts = [], [], []
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= _GROUP):
-            size += len(texts[b]) + 1
-            b += 1
-        kind = _kinds()[np.frombuffer(("\n".join(texts[a:b]) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
-        word, lone = kind == 1, kind == 2
-        edge = np.zeros(len(kind) + 1, bool)
-        edge[1:-1] = word[1:] & word[:-1]
-        s, e = np.flatnonzero((word & ~edge[:-1]) | lone), np.flatnonzero((word & ~edge[1:]) | lone) + 1
-        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
-        n = np.diff(np.searchsorted(s, first))
-        shift = np.repeat(first[:-1], n)
-        starts.append(s - shift)
-        ends.append(e - shift)
-        counts.append(n)
-        a = b
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    bounds = pa.array(np.concatenate([[0], np.cumsum(join(counts))]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(join(x), pa.int64())) for x in (starts, ends)]
-    return pa.StructArray.from_arrays(lists, names=["s", "e"])
-
-
-def offsets(text: Column) -> Column:
-    """struct(s, e): arrays of where each token starts and ends. The token pattern's classes, whole batches at a time."""
-
-    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield _token_offsets(column)
-
-    # its types are said here: annotations of this module are strings
-    batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "struct<s: array<bigint>, e: array<bigint>>")(text)
-
-
-def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tok, s, e of every token; nothing is shuffled."""
-    rows = docs.select(key, offsets(F.col(text)).alias("o")).select(key, F.posexplode(F.arrays_zip("o.s", "o.e")).alias("tok", "t"))
-    return rows.select(key, F.col("tok").cast("bigint").alias("tok"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-
-
-def n_tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(vocab.TOKEN)).cast("bigint")
-
-
 def candidate_count(n: Column, most: int) -> Column:
     """Token spans of at most ``most`` tokens among n tokens."""
     m = F.least(n, F.lit(most)).cast("bigint")
@@ -145,32 +101,6 @@ def windows(per_doc: DataFrame, key: str, n: str, size: int, stride: int | None
     return rows.select(key, "window", (F.col("window") * step).alias("ts"), (F.least(F.col("window") * step + size, F.col(n)) - 1).alias("te"))
 
 
-def chars_to_tokens(spans: DataFrame, toks: DataFrame, key: str) -> DataFrame:
-    """spans with ts, te: the first and last token that overlap each (start, end), null without one."""
-    hits = spans.select(key, "start", "end").distinct().join(toks, key).filter(C.chars_overlap(F.col("start"), F.col("end"), F.col("s"), F.col("e")))
-    return spans.join(hits.groupBy(key, "start", "end").agg(F.min("tok").alias("ts"), F.max("tok").alias("te")), [key, "start", "end"], "left")
-
-
-def chars_to_containing_tokens(spans: DataFrame, toks: DataFrame, key: str) -> DataFrame:
-    """spans with ts, te by containment: the token that holds the start, the last that holds the end; else the first from the start on, the last up to the end. Null if they cross."""
-    start, end, s, e = (F.col(c) for c in ("start", "end", "s", "e"))
-    hits = spans.select(key, "start", "end").distinct().join(toks, key).groupBy(key, "start", "end")
-    pick = lambda f, cond: f(F.when(cond, F.col("tok")))
-    ts = F.coalesce(pick(F.min, (s <= start) & (start < e)), pick(F.min, s >= start))
-    te = F.coalesce(pick(F.max, (s < end) & (end <= e)), pick(F.max, e <= end))
-    found = hits.agg(ts.alias("ts"), te.alias("te")).filter("ts <= te")
-    return spans.join(found, [key, "start", "end"], "left")
-
-
-def tokens_to_chars(spans: DataFrame, toks: DataFrame, key: str) -> DataFrame:
-    """spans (ts, te) with cs, ce; null where an index is out of range or reversed."""
-    first = toks.select(key, F.col("tok").alias("ts"), F.col("s").alias("cs"))
-    last = toks.select(key, F.col("tok").alias("te"), F.col("e").alias("ce"))
-    both = spans.join(first, [key, "ts"], "left").join(last, [key, "te"], "left")
-    good = (F.col("ts") <= F.col("te")) & F.col("cs").isNotNull() & F.col("ce").isNotNull()
-    return both.withColumns({"cs": F.when(good, F.col("cs")), "ce": F.when(good, F.col("ce"))})
-
-
 def sentence_chunks(text: Column, chunk: int) -> Column:
     """array<string>: sentences packed in order while a chunk stays under 4 * chunk characters."""
     sentences = F.split(text, r"(?<=[.!?])\s+")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import columns as C
+from . import tokens
 
 
 def matched(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,10 +191,15 @@ def label_accuracy(pred: DataFrame, gold: DataFrame, places: list[str]) -> DataF
     return both.agg(F.count(F.lit(1)).alias("n_places"), rate(same, F.lit(True)).alias("accuracy"), rate(same & real, real).alias("positive_accuracy"))
 
 
-def tag_accuracy(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """One row from tags of all tokens (keys, tag) of both sides: n_tokens and the share of equal tags; gold tags of -100 are left out."""
-    both = gold.select(*keys, F.col("tag").alias("g")).join(pred.select(*keys, F.col("tag").alias("p")), keys).filter("g <> '-100'")
-    return both.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(C.safe_div(F.count_if(F.col("p") == F.col("g")).cast("double"), F.count(F.lit(1)).cast("double")), 6).alias("tag_accuracy"))
+def tag_accuracy(docs: DataFrame, pred: DataFrame, gold: DataFrame, key: str, text: str, specials: bool = False) -> DataFrame:
+    """One row: n_tokens, the tokens of all docs (key, text), and the share of them whose tags from the spans (key, start, end) of both sides are equal; special tokens are left out."""
+    listed = lambda side, name: side.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias(name))
+    rows = docs.select(key, text).join(listed(pred, "p").join(listed(gold, "g"), key, "full"), key, "left")
+    tags = rows.select(*(tokens.bio(F.col(text), F.col(f"{side}.start"), F.col(f"{side}.end"), specials).alias(side) for side in "pg"))
+    both = F.filter(F.arrays_zip("p", "g"), lambda t: t["g"] != tokens.IGNORED)
+    counts = tags.select(F.size(both).alias("n"), F.size(F.filter(both, lambda t: t["p"] == t["g"])).alias("same"))
+    n = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
+    return counts.agg(n.alias("n_tokens"), F.round(C.safe_div(F.coalesce(F.sum("same"), F.lit(0)).cast("double"), n.cast("double")), 6).alias("tag_accuracy"))
 
 
 def probability_errors(rows: DataFrame, probability: str, target: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import columns as C
-from . import detect, resolve
+from . import detect, resolve, tokens
 
 #: From documents (key, text) to spans (key, label, start, end, score).
 Scorer = Callable[[DataFrame, str, str], DataFrame]
@@ -32,14 +32,16 @@ def by_batches(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return scorer
 
 
-def by_logits(candidates: DataFrame, key: str, types: str, redact: str, offsets: DataFrame) -> DataFrame:
+def by_logits(candidates: DataFrame, key: str, types: str, redact: str, docs: DataFrame, text: str = "text") -> DataFrame:
     """Token spans (key, ts, te) with logits of types and of (REDACT, KEEP) as spans: label, confidence, decision and their product as score. NONE, KEEP and NaN drop out."""
     p, s = C.softmax(F.col(types)), C.softmax(F.col(redact))
     names = F.array(*map(F.lit, vocab.TRAINING_LABELS))
     rows = candidates.select(key, "ts", "te", F.get(names, C.argmax(F.col(types))).alias("label"), F.array_max(p).alias("type_confidence"), F.get(s, F.lit(0)).alias("redact_probability"), (C.argmax(F.col(redact)) == 0).alias("redacts"))
     rows = rows.withColumn("score", F.col("type_confidence") * F.col("redact_probability")).filter("label <> 'NONE' and redacts and not isnan(score)")
-    placed = detect.tokens_to_chars(rows, offsets, key).filter("cs is not null")
-    return placed.select(key, "label", F.col("cs").alias("start"), F.col("ce").alias("end"), "score", "type_confidence", "redact_probability")
+    lists = rows.groupBy(key).agg(F.collect_list(F.struct("ts", "te", "label", "score", "type_confidence", "redact_probability")).alias("c"))
+    placed = docs.select(key, text).join(lists, key).select(key, "c", tokens.positions(F.col(text), F.col("c.ts"), F.col("c.te")).alias("p"))
+    each = placed.select(key, F.explode(F.arrays_zip("c", F.col("p.start").alias("start"), F.col("p.end").alias("end"))).alias("z")).filter("z.start is not null")
+    return each.select(key, "z.c.label", "z.start", "z.end", "z.c.score", "z.c.type_confidence", "z.c.redact_probability")
 
 
 def least_by_label(thresholds: dict[str, float], default: float) -> Column:

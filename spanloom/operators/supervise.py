@@ -63,23 +63,6 @@ def soft_redaction(candidates: DataFrame, gold: DataFrame, lookalikes: DataFrame
     return out.select(*candidates.columns, redact.alias("redact"), (1 - redact).alias("keep"))
 
 
-def bio(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """toks with tag O, B or I: of overlapping spans (start, end) the last in order decides."""
-    hit = toks.join(spans.select(key, "start", "end").distinct(), key).filter(C.chars_overlap(F.col("s"), F.col("e"), F.col("start"), F.col("end")))
-    first = Window.partitionBy(key, "start", "end")
-    hit = hit.withColumn("tag", F.when(F.col("tok") == F.min("tok").over(first), "B").otherwise("I"))
-    tags = hit.groupBy(key, "tok").agg(F.max_by("tag", F.struct("start", "end")).alias("tag"))
-    return toks.join(tags, [key, "tok"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
-
-
-def bio_spans(tags: DataFrame, key: str) -> DataFrame:
-    """key, ts, te of the runs B I*; an I behind no run is left out."""
-    w = Window.partitionBy(key).orderBy("tok")
-    runs = tags.withColumn("run", F.sum(F.when(F.col("tag") == "I", 0).otherwise(1)).over(w))
-    runs = runs.filter("tag <> 'O'").groupBy(key, "run").agg(F.min("tok").alias("ts"), F.max("tok").alias("te"), F.max((F.col("tag") == "B").cast("int")).alias("b"))
-    return runs.filter("b = 1").select(key, "ts", "te")
-
-
 def thresholds(scored: DataFrame, support: DataFrame, least: int = 40, default: float = 0.2) -> DataFrame:
     """label, support, examples, threshold, f1, default_used from scored (label, score, hit) and support (label, support): for each label the score that gives the best F1, the highest of equal ones.
 

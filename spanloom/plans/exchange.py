@@ -29,13 +29,10 @@ def numbered_documents(spark: SparkSession, sf: str) -> DataFrame:
     return positions.numbered(X.documents(spark, sf).select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("_row").alias("row"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-_SHUFFLED = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-
-
 def _in_files(rows: DataFrame, files: int) -> str:
     """rows as JSON lines in so many files, in the order of digests, which is none of their own."""
-    path = shared.new_path(rows.sparkSession, "lines")
-    records.write_lines(rows.repartitionByRange(files, *_SHUFFLED).sortWithinPartitions(*_SHUFFLED), path, "overwrite")
+    path, order = shared.new_path(rows.sparkSession, "lines"), [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    records.write_lines(rows.repartitionByRange(files, *order).sortWithinPartitions(*order), path, "overwrite")
     return path
 
 

@@ -6,12 +6,16 @@ begun early, relabelled or left out; every document whose id divides by 50 gets
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import shared, vocab
 from ..functions import columns as C
-from ..operators import detect
+from ..operators import detect, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +28,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """doc_id, label, start, end, value; with_text: and the document's text, while it is at hand."""
-    return detect.pattern_spans(documents(spark, sf_dir), "doc_id", "text", with_text=with_text)
+    if not with_text:
+        return _held("gold", sf_dir, lambda: detect.pattern_spans(documents(spark, sf_dir), "doc_id", "text"))
+    return detect.pattern_spans(documents(spark, sf_dir), "doc_id", "text", with_text=True)
+
+
+def on_tokens(spark: SparkSession, sf_dir: str, containing: bool = False) -> DataFrame:
+    """doc_id, label, start, end of gold and ts, te, its tokens or null: in the document's row."""
+    rows = detect.listed(documents(spark, sf_dir), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    return tokens.spread(rows, ["doc_id"], "text", containing)
+
+
+#: Gold and predictions that are read instead of made, by kind and folder; see once().
+_once: ContextVar[dict | None] = ContextVar("once", default=None)
+
+
+@contextlib.contextmanager
+def once(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """Inside, gold() and pred() of the folder are tables in the shared folder, made when they are first asked for."""
+    token = _once.set({})
+    try:
+        yield
+    finally:
+        _once.reset(token)
+
+
+def _held(kind: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    held = _once.get()
+    if held is None:
+        return make()
+    if (kind, sf_dir) not in held:
+        held[kind, sf_dir] = shared.written(make(), kind)
+    return held[kind, sf_dir]
 
 
 def _key(kind: str) -> Column:
@@ -33,6 +68,10 @@ def _key(kind: str) -> Column:
 
 def pred(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """doc_id, label, start, end, value, score; with_text: and the document's text, while it is at hand."""
+    return _pred(spark, sf_dir, True) if with_text else _held("pred", sf_dir, lambda: _pred(spark, sf_dir, False))
+
+
+def _pred(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = detect.found(docs, ["doc_id", "text"], "text")
     rows = rows.withColumn("u", C.uniform(_key("pred"))).filter("u < 0.9")

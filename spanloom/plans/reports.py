@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import shared, vocab
 from ..functions import columns as C
-from ..operators import annotate, costs, supervise
+from ..operators import annotate, costs
 from ..operators import evaluate as E
 from ..sources import records
 from . import curation, scoring, training
@@ -18,7 +16,8 @@ from . import spans as S
 
 
 def taxonomy_by_side(spark: SparkSession, sf: str) -> DataFrame:
-    return E.by_side(scoring.merged_supersets(spark, sf))
+    with X.once(spark, sf):
+        return E.by_side(scoring.merged_supersets(spark, sf))
 
 
 def taxonomy_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +25,8 @@ def taxonomy_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return E.metric_diagnostics(scoring.per_label_prf(spark, sf), scoring.wrong_place(spark, sf))
+    with X.once(spark, sf):
+        return E.metric_diagnostics(scoring.per_label_prf(spark, sf), scoring.wrong_place(spark, sf))
 
 
 def predictions_with_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,9 +44,13 @@ def reachability_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def multihead_eval(spark: SparkSession, sf: str) -> DataFrame:
     """One row with the scores of every head: tags of tokens, types by value and by overlap, redaction by place, and the probability of REDACT."""
+    with X.once(spark, sf):
+        return _multihead_eval(spark, sf)
+
+
+def _multihead_eval(spark: SparkSession, sf: str) -> DataFrame:
     pred, gold = X.pred(spark, sf), X.gold(spark, sf)
-    toks = S._gold_tokens(spark, sf)[1]
-    of_tokens = E.tag_accuracy(supervise.bio(toks, pred, "doc_id"), supervise.bio(toks, gold, "doc_id"), ["doc_id", "tok"])
+    of_tokens = E.tag_accuracy(X.documents(spark, sf), pred, gold, "doc_id", "text")
     related = E.counted(scoring.match_value(spark, sf)).select(*(F.col(c).alias(f"value_{c}") for c in ("tp", "fp", "fn")))
     kinds = scoring.value_relationships(spark, sf).agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("mismatch", "subset", "superset")))
     overlap = scoring.soft_prf(spark, sf).select("credit", F.col("f1").alias("overlap_f1"))
@@ -115,8 +119,7 @@ def endpoint_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_files(spark: SparkSession, sf: str) -> DataFrame:
     """Examples written as lines to several files, half with items for spans, and read back by a pattern: spans and whether they were converted."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    folder = f"{folder.rstrip('/')}/json-{uuid.uuid4().hex}"
+    folder = shared.new_path(spark, "json")
     span = F.struct("start", "end", "label", F.lit("REAL_PII").alias("category"))
     rows = X.gold(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
     form = F.col("doc_id") % 2 == 0
@@ -143,7 +146,7 @@ _VERDICT = """['NO_OVERLAP', 'OVERLAP_DIFF_LABEL', 'OVERLAP_SAME_LABEL', 'EXACT'
 _TAGS = """, {0}h AS (SELECT t.doc_id, tok, g.start, g."end", CASE WHEN tok = min(tok) OVER (PARTITION BY t.doc_id, g.start, g."end") THEN 'B' ELSE 'I' END AS tag FROM toks t JOIN (SELECT DISTINCT doc_id, start, "end" FROM {0}) g ON g.doc_id = t.doc_id AND greatest(s, g.start) < least(e, g."end")),
 {0}tags AS (SELECT doc_id, tok, arg_max(tag, (start, "end")) AS tag FROM {0}h GROUP BY doc_id, tok)""".format
 _EVAL = (
-    S._TOKS_OF_GOLD + X.PRED + _TAGS("gold") + _TAGS("pred")
+    "WITH" + X.GOLD + "," + X.TOKEN_PARTS + X.PRED + _TAGS("gold") + _TAGS("pred")
     + """, tagged AS (SELECT coalesce(a.tag, 'O') = coalesce(b.tag, 'O') AS same FROM toks t LEFT JOIN goldtags a ON a.doc_id = t.doc_id AND a.tok = t.tok LEFT JOIN predtags b ON b.doc_id = t.doc_id AND b.tok = t.tok),
 e1 AS (SELECT count(*) AS n_tokens, round(coalesce(avg(same::INT::DOUBLE), 0), 6) AS tag_accuracy FROM tagged)"""
     + scoring._RELATED

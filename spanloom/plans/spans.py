@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import columns as C
-from ..operators import detect, resolve
+from ..operators import detect, resolve, tokens
 from ..streaming import redaction
 from . import fixtures as X
 
@@ -23,40 +23,36 @@ def regex_spans_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    toks = detect.tokens(X.documents(spark, sf), "doc_id", "text")
+    toks = tokens.listed(X.documents(spark, sf), "doc_id", "text")
     return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("s").alias("sum_start"), F.sum("e").alias("sum_end"), F.sum(F.col("tok") * F.col("s") % 1009).alias("mixed"))
 
 
 def candidate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = detect.n_tokens(F.col("text"))
-    return X.documents(spark, sf).select("doc_id", n.alias("n_tokens"), detect.candidate_count(n, 12).alias("n_candidates"))
+    n = F.col("n_tokens")
+    docs = X.documents(spark, sf).select("doc_id", tokens.counted(F.col("text")).alias("n_tokens"))
+    return docs.select("doc_id", n, detect.candidate_count(n, 12).alias("n_candidates"))
 
 
 def token_windows(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.documents(spark, sf).select("doc_id", detect.n_tokens(F.col("text")).alias("n"))
+    docs = X.documents(spark, sf).select("doc_id", tokens.counted(F.col("text")).alias("n"))
     return detect.windows(docs, "doc_id", "n", 512)
 
 
-def _gold_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    spans = X.gold(spark, sf)
-    docs = X.documents(spark, sf).join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
-    return spans, detect.tokens(docs, "doc_id", "text")
-
-
 def char_to_token(spark: SparkSession, sf: str) -> DataFrame:
-    spans, toks = _gold_tokens(spark, sf)
-    return detect.chars_to_tokens(spans, toks, "doc_id").select("doc_id", "label", "start", "end", "ts", "te")
+    return X.on_tokens(spark, sf).select("doc_id", "label", "start", "end", "ts", "te")
 
 
 def char_to_token_containing(spark: SparkSession, sf: str) -> DataFrame:
-    spans, toks = _gold_tokens(spark, sf)
-    return detect.chars_to_containing_tokens(spans, toks, "doc_id").select("doc_id", "label", "start", "end", "ts", "te")
+    return X.on_tokens(spark, sf, containing=True).select("doc_id", "label", "start", "end", "ts", "te")
 
 
 def token_to_char(spark: SparkSession, sf: str) -> DataFrame:
-    spans, toks = _gold_tokens(spark, sf)
-    placed = detect.chars_to_tokens(spans, toks, "doc_id").select("doc_id", "label", "ts", "te")
-    return detect.tokens_to_chars(placed, toks, "doc_id").select("doc_id", "label", "ts", "te", "cs", "ce")
+    """Gold spans on tokens, and the characters of these tokens."""
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    rows = rows.select("doc_id", "text", "spans", tokens.aligned(F.col("text"), F.col("spans.start"), F.col("spans.end")).alias("t"))
+    rows = rows.select("doc_id", "spans", "t", tokens.positions(F.col("text"), F.col("t.ts"), F.col("t.te")).alias("p"))
+    each = rows.select("doc_id", F.explode(F.arrays_zip(F.col("spans.label").alias("label"), F.col("t.ts").alias("ts"), F.col("t.te").alias("te"), F.col("p.start").alias("cs"), F.col("p.end").alias("ce"))).alias("z"))
+    return each.select("doc_id", "z.*")
 
 
 def non_overlap_typed(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import costs, detect, labelling, supervise
+from ..operators import costs, detect, labelling, supervise, tokens
 from . import fixtures as X
 from . import spans as S
 
@@ -14,15 +14,29 @@ from . import spans as S
 MOST = 12
 
 
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with spans and an array of their tokens' tags."""
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    return rows.select("doc_id", tokens.bio(F.col("text"), F.col("spans.start"), F.col("spans.end")).alias("tags"))
+
+
 def bio_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Tags of the tokens of documents with spans, where they aren't O."""
-    spans, toks = S._gold_tokens(spark, sf)
-    return supervise.bio(toks, spans, "doc_id").filter("tag <> 'O'").select("doc_id", "tok", "tag")
+    rows = _tagged(spark, sf).select("doc_id", F.transform("tags", lambda t, i: F.struct(i.cast("bigint").alias("tok"), t.alias("tag"))).alias("tags"))
+    rows = rows.select("doc_id", F.explode(F.filter("tags", lambda t: t["tag"] > tokens.O)).alias("t"))
+    return rows.select("doc_id", "t.tok", F.when(F.col("t.tag") == tokens.B, "B").otherwise("I").alias("tag"))
 
 
 def bio_decode(spark: SparkSession, sf: str) -> DataFrame:
-    spans, toks = S._gold_tokens(spark, sf)
-    return supervise.bio_spans(supervise.bio(toks, spans, "doc_id"), "doc_id")
+    rows = _tagged(spark, sf).select("doc_id", tokens.runs(F.col("tags")).alias("r"))
+    return rows.select("doc_id", F.explode(F.arrays_zip("r.ts", "r.te")).alias("r")).select("doc_id", "r.ts", "r.te")
+
+
+def bio_specials(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposal tags of all documents' tokens with a special one at both ends, counted by tag; specials are -100."""
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text")
+    rows = rows.select("doc_id", F.explode(tokens.bio(F.col("text"), F.col("spans.start"), F.col("spans.end"), specials=True)).alias("tag"))
+    return rows.groupBy("doc_id", F.col("tag").cast("bigint").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _annotations(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,10 +67,11 @@ def gold_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Gold spans on tokens, and the candidates of at most MOST tokens that touch one: all others are NONE and KEEP."""
-    spans, toks = S._gold_tokens(spark, sf)
-    gold = detect.chars_to_tokens(spans, toks, "doc_id").filter("ts is not null").select("doc_id", "ts", "te", "label")
-    last = toks.groupBy("doc_id").agg(F.max("tok").alias("last"))
-    near = gold.join(last, "doc_id").select("doc_id", "last", F.col("ts").alias("gs"), F.explode(F.sequence(F.greatest(F.col("ts") - (MOST - 1), F.lit(0)), "te")).alias("ts"))
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    rows = rows.select("doc_id", "text", "spans", (tokens.counted(F.col("text")) - 1).alias("last"))
+    found = tokens.spread(rows, ["doc_id", "last"], "text").filter("ts is not null")
+    gold = found.select("doc_id", "ts", "te", "label")
+    near = found.select("doc_id", "last", F.col("ts").alias("gs"), F.explode(F.sequence(F.greatest(F.col("ts") - (MOST - 1), F.lit(0)), "te")).alias("ts"))
     cands = near.select("doc_id", "ts", F.explode(F.sequence(F.greatest("ts", "gs"), F.least(F.col("ts") + (MOST - 1), F.col("last")))).alias("te"))
     return gold, cands.distinct()
 
@@ -88,15 +103,14 @@ def calibrate_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 def none_prevalence(spark: SparkSession, sf: str) -> DataFrame:
     """The share of candidates without a gold span, and the share of these to keep for one of a tenth."""
     gold = _gold_token_spans(spark, sf).filter("te - ts < 12")
-    n = X.documents(spark, sf).select(detect.candidate_count(detect.n_tokens(F.col("text")), 12).alias("c")).agg(F.sum("c").alias("candidates"))
+    n = X.documents(spark, sf).select(detect.candidate_count(tokens.counted(F.col("text")), 12).alias("c")).agg(F.sum("c").alias("candidates"))
     out = n.crossJoin(gold.select("doc_id", "ts", "te").distinct().agg(F.count(F.lit(1)).alias("positives")))
     share = 1 - F.col("positives") / F.col("candidates")
     return out.select("candidates", "positives", F.round(share, 9).alias("prevalence"), F.round(supervise.keep_probability(F.lit(0.1), share), 9).alias("keep_probability"))
 
 
 def _gold_token_spans(spark: SparkSession, sf: str) -> DataFrame:
-    spans, toks = S._gold_tokens(spark, sf)
-    return detect.chars_to_tokens(spans, toks, "doc_id").filter("ts is not null")
+    return X.on_tokens(spark, sf).filter("ts is not null")
 
 
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +122,7 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
 def _types(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its number of tokens and its gold spans on tokens."""
     gold = labelling.placed(_gold_token_spans(spark, sf), "doc_id", "label", F.struct("label")).withColumnRenamed("gold", "types")
-    docs = X.documents(spark, sf).select("doc_id", detect.n_tokens(F.col("text")).alias("n")).join(gold, "doc_id", "left")
+    docs = X.documents(spark, sf).select("doc_id", tokens.counted(F.col("text")).alias("n")).join(gold, "doc_id", "left")
     return docs.withColumn("types", F.coalesce("types", F.array().cast(labelling.PLACED)))
 
 
@@ -172,7 +186,7 @@ def budget_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bio_labels, bio_decode, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, split_train_valid, softmax_argmax, losses, usage_cost, budget_cutoff)
+    for f in (bio_labels, bio_decode, bio_specials, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, split_train_valid, softmax_argmax, losses, usage_cost, budget_cutoff)
 }
 
 _T = S._TOKS_OF_GOLD
@@ -198,6 +212,7 @@ d AS (SELECT *, (greatest(i - k, 0) * pi + k * pk + o * po) / 1e6 AS cost FROM p
 
 ORACLES = {
     "bio_labels": _T + _BIO + " SELECT * FROM tags",
+    "bio_specials": "WITH" + X.GOLD + "," + X.TOKEN_PARTS + _BIO + ", a AS (SELECT doc_id, CASE tag WHEN 'B' THEN 1 WHEN 'I' THEN 2 ELSE 0 END AS tag FROM toks LEFT JOIN tags USING (doc_id, tok) UNION ALL SELECT doc_id, unnest([-100, -100]) FROM documents) SELECT doc_id, tag::BIGINT AS tag, count(*) AS n FROM a GROUP BY ALL",
     "bio_decode": _T + _BIO + ", a AS (SELECT t.doc_id, t.tok, coalesce(tag, 'O') AS tag FROM toks t LEFT JOIN tags g ON t.doc_id = g.doc_id AND t.tok = g.tok), b AS (SELECT *, sum(CASE WHEN tag = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY tok) AS run FROM a) SELECT doc_id, min(tok) AS ts, max(tok) AS te FROM b WHERE tag <> 'O' GROUP BY doc_id, run HAVING bool_or(tag = 'B')",
     "supervision_types": "WITH" + X.GOLD + _ANN + ", q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, \"end\" ORDER BY origin = 'item' DESC, CASE WHEN origin = 'item' THEN -ord ELSE ord END) AS rn FROM ann) SELECT doc_id, start, \"end\", label FROM q WHERE rn = 1",
     "supervision_sensitivity": "WITH" + X.GOLD + _ANN + """, said AS (SELECT doc_id, start, "end", sensitivity, 0 AS side, ord FROM ann WHERE sensitivity IS NOT NULL UNION ALL SELECT doc_id, start, "end", 'KEEP', 1, ord FROM r WHERE o < 0.2),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.functions import sql
-from spanloom.operators import annotate, costs, detect, evaluate, labelling, score, supervise
+from spanloom.operators import annotate, costs, detect, evaluate, labelling, score, supervise, tokens
 from spanloom.sources import records
 
 from .test_units import lit, one
@@ -48,7 +48,7 @@ def test_token_offsets_random(spark):
     texts = ["".join(rng.choice("ab é́_1-.\t\n\x0b  \U0001f600日٣") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None, "x" * 5000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {i: [] for i in range(len(texts))}
-    for r in detect.tokens(df, "doc_id", "text").orderBy("doc_id", "tok").collect():
+    for r in tokens.listed(df, "doc_id", "text").orderBy("doc_id", "tok").collect():
         got[r.doc_id].append((r.s, r.e))
     pattern = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]")
     assert all(got[i] == [m.span() for m in pattern.finditer(t or "")] for i, t in enumerate(texts))

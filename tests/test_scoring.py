@@ -37,11 +37,10 @@ def test_own_scorer(spark):
 
 def test_logits_and_windows(spark):
     docs = spark.createDataFrame([(1, "Ann met Bob")], "doc_id long, text string")
-    toks = detect.tokens(docs, "doc_id", "text")
     types = lambda k: [5.0 if i == k else 0.0 for i in range(14)]
     rows = [(1, 0, 0, types(1), [3.0, 0.0]), (1, 1, 1, types(0), [3.0, 0.0]), (1, 2, 2, types(1), [0.0, 3.0])]
     cands = spark.createDataFrame(rows, "doc_id long, ts long, te long, types array<double>, redact array<double>")
-    got = score.by_logits(cands, "doc_id", "types", "redact", toks).collect()
+    got = score.by_logits(cands, "doc_id", "types", "redact", docs).collect()
     assert [(r.label, r.start, r.end) for r in got] == [("PERSON", 0, 3)] and 0.8 < got[0].score < 1
     spans = spark.createDataFrame([(1, 0, 0, 5, "A", 0.5), (1, 1, 0, 5, "A", 0.9), (1, 1, 3, 8, "B", 0.8)], "doc_id long, window long, start long, end long, label string, score double")
     assert [(r.label, r.score) for r in score.merged_windows(spans, "doc_id").collect()] == [("A", 0.9)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-from spanloom.operators import annotate, detect, evaluate, resolve, supervise
+from spanloom.operators import annotate, detect, evaluate, resolve, supervise, tokens
 from spanloom.sources import positions, records
 from spanloom.streaming import redaction
 
@@ -90,12 +90,14 @@ def test_markers(spark):
 
 def test_tokens(spark):
     docs = spark.createDataFrame([(1, "Hi, \U0001f600 b_2!"), (2, ""), (3, None)], "doc_id long, text string")
-    assert [(r.tok, r.s, r.e) for r in detect.tokens(docs, "doc_id", "text").orderBy("tok").collect()] == [(0, 0, 2), (1, 2, 3), (2, 4, 5), (3, 6, 9), (4, 9, 10)]
+    assert [(r.tok, r.s, r.e) for r in tokens.listed(docs, "doc_id", "text").orderBy("tok").collect()] == [(0, 0, 2), (1, 2, 3), (2, 4, 5), (3, 6, 9), (4, 9, 10)]
 
 
 def test_bio_stray(spark):
-    tags = spark.createDataFrame([(1, i, t) for i, t in enumerate(["I", "B", "I", "O", "I", "B", "B", "I"])], "doc_id long, tok long, tag string")
-    assert sorted((r.ts, r.te) for r in supervise.bio_spans(tags, "doc_id").collect()) == [(1, 2), (5, 5), (6, 7)]
+    tags = F.array(*(F.lit({"O": 0, "B": 1, "I": 2, "S": -100}[t]) for t in "SIBIOIBBSIS"))
+    got = one(spark, tokens.runs(tags))
+    assert list(zip(got.ts, got.te, strict=True)) == [(2, 3), (6, 6), (7, 9)]
+    assert one(spark, tokens.runs(F.array().cast("array<int>"))).ts == []
 
 
 def test_group_iou(spark):
