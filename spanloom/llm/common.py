@@ -118,17 +118,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """k1, k2: 128 bits that say which row this is. Rows that repeat share them, and a null text has those of an empty one; a doc_id that is null or used by different texts does no harm."""
-    parts = F.coalesce(text, F.lit("")), doc_id.cast("string"), doc_id.isNull()
+def row_key(doc_id: Column, text: Column, *more: Column) -> list[Column]:
+    """k1, k2: 128 bits that say which row this is. Rows that repeat share them, and a null text has those of an empty one, as has a null in ``more``, what else a result depends on; a doc_id that is null or used by different texts does no harm."""
+    parts = F.coalesce(text, F.lit("")), doc_id.cast("string"), doc_id.isNull(), *(F.coalesce(c.cast("string"), F.lit("")) for c in more)
     return [F.xxhash64(F.lit(k), *parts).alias(f"k{k}") for k in (1, 2)]
 
 
-def with_rows(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """docs with the column ``name`` of found (k1, k2, name), which has a row for each row_key(); null where it has none."""
+def with_rows(docs: DataFrame, found: DataFrame, name: str, *more: str) -> DataFrame:
+    """docs with the column ``name`` of found (k1, k2, name), which has a row for each row_key() with the columns ``more``; null where it has none."""
     taken = {c.lower() for c in docs.columns}
     keys = [next(n for n in (c + "_" * i for i in range(len(taken) + 1)) if n not in taken) for c in ("k1", "k2")]
-    own = row_key(F.col("doc_id"), F.col("text").cast("string"))
+    own = row_key(F.col("doc_id"), F.col("text").cast("string"), *(F.col(c) for c in more))
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(k.alias(n) for k, n in zip(own, keys, strict=True)))
     return rows.join(found.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), name), keys, "left").select(*(F.col(f"`{c}`") for c in docs.columns), name)
 

@@ -9,7 +9,8 @@ from . import common
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    """What two rounds' edges have in common only where they are the same: their number and two whole sums of 64-bit hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(s), "u", "v").cast("decimal(20,0)")) for s in (1, 2))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """4. SimHash fingerprints of documents, and those near each other by permuted block tables.
 
 Terms are pairs of neighbouring words, and runs of GRAM bytes of which every other one counts, by its hash.
-Each term's hash votes with the term's weight on every bit. Two fingerprints that differ in at most r bits are
-equal in one of r + 1 blocks, and differ in at most one bit in one of r // 2 + 1 blocks. Each of as many tables is
-led by another block: there a fingerprint that is asked for meets those with its own block and, for a wide radius,
-with its block but for one bit.
+Each term's hash votes with the term's weight on every bit. Two fingerprints that differ in at most r bits differ in
+at most s bits in one of r // (s + 1) + 1 blocks. Each of as many tables is led by another block: there a fingerprint
+that is asked for meets those whose block differs from its own in s bits at most. The more fingerprints there are, the
+larger s and with it the blocks, so that a bucket's size and the copies of what is asked don't grow with their number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ from . import common, words
 BITS = 256
 #: Bits in which near fingerprints differ at most: covers pairs with a five-word Jaccard similarity of 0.8 (see the README).
 RADIUS = 39
-#: From this radius on, blocks may differ in one bit: equal ones alone would be too short.
+#: From this radius on, blocks may differ in one bit at least: equal ones alone would be too short.
 WIDE = 16
+#: Bits in which blocks may differ at most, and what sending a probe to its bucket costs, in comparisons.
+MOST_SPREAD, PROBE_COST = 3, 200
 GRAM, GRAM_WEIGHT, PAIR_WEIGHT = 8, 0.6, 1.0
 #: Fingerprints of a bucket that a task compares with as many others at a time.
 BLOCK = 512
@@ -209,15 +213,27 @@ def _with_next(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, Dat
     return made.filter("edge is null").select(*columns).union(last), made
 
 
-def _bounds(radius: int) -> list[int]:
+def _bounds(radius: int, spread: int) -> list[int]:
     """Where the blocks of bits begin, and the end of the last."""
-    count = max(_PARTS, radius // 2 + 1 if radius >= WIDE else radius + 1)
+    count = max(_PARTS, radius // (spread + 1) + 1)
     return [k * BITS // count for k in range(count + 1)]
 
 
-def _spread(radius: int) -> int:
-    """The bits in which a pair within the radius differs at most, in one of the blocks."""
-    return int(radius >= WIDE)
+def _masks(width: int, spread: int) -> list[int]:
+    """All changes of at most so many bits of a block."""
+    return [sum(1 << k for k in bits) for size in range(spread + 1) for bits in itertools.combinations(range(width), size)]
+
+
+def spread_for(radius: int, classes: int) -> int:
+    """The bits in which a pair within the radius may differ in the block that leads its table: what costs an asked fingerprint least among so many classes."""
+
+    def cost(spread: int) -> float:
+        bounds = _bounds(radius, spread)
+        width = BITS // (len(bounds) - 1)
+        probes = sum(math.comb(width, size) for size in range(spread + 1))
+        return (len(bounds) - 1) * probes * (PROBE_COST + classes / 2.0**width)
+
+    return min(range(int(radius >= WIDE), MOST_SPREAD + 1), key=cost)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,7 +243,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _met(radius: int, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _met(radius: int, spread: int, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row of _facing(): the fingerprints asked for, the others, and which are near, as places in both, in the first table where they meet."""
 
     def numbers(rows: pa.Array) -> np.ndarray:
@@ -236,15 +252,15 @@ def _met(radius: int, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.nd
     for k, table in enumerate(batch.column("table").to_pylist()):
         a, b = numbers(batch.column("asked")[k].values), numbers(batch.column("others")[k].values)
         x, y = np.nonzero(_distances(a, b) <= radius)
-        first = ~_meet(a[x] ^ b[y], radius, table).any(axis=1)
+        first = ~_meet(a[x] ^ b[y], radius, spread, table).any(axis=1)
         yield a, b, x[first], y[first]
 
 
-def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(radius: int, spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each fingerprint asked for, how many documents of the others are near."""
     for batch in batches:
         keys, counts = [np.zeros((0, _PARTS), np.uint64)], [np.zeros(0, np.int64)]
-        for k, (a, _, x, y) in enumerate(_met(radius, batch)):
+        for k, (a, _, x, y) in enumerate(_met(radius, spread, batch)):
             weight = batch.column("others")[k].values.field("documents").to_numpy(zero_copy_only=False)
             near = np.bincount(x, weights=weight[y], minlength=len(a)).astype(np.int64)
             keys.append(a[near > 0])
@@ -253,26 +269,26 @@ def _compared(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, i].view(np.int64)) for i in range(_PARTS)), pa.array(np.concatenate(counts))], names=[*(f"f{i}" for i in range(_PARTS)), "near"])
 
 
-def _named(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(radius: int, spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The classes of each near pair, and the bits in which they differ."""
     names = ["fingerprint", "near_fingerprint", "bits"]
     for batch in batches:
-        for a, b, x, y in _met(radius, batch):
+        for a, b, x, y in _met(radius, spread, batch):
             for at in range(0, len(x), 65536):
                 p, q = a[x[at : at + 65536]], b[y[at : at + 65536]]
                 yield pa.RecordBatch.from_arrays([pa.array(_hex(p), pa.string()), pa.array(_hex(q), pa.string()), pa.array(np.bitwise_count(p ^ q).sum(axis=1).astype(np.int32))], names=names)
 
 
-def _meet(differ: np.ndarray, radius: int, tables: int) -> np.ndarray:
+def _meet(differ: np.ndarray, radius: int, spread: int, tables: int) -> np.ndarray:
     """Whether pairs that differ in these bits meet in each of the first ``tables`` tables."""
     bits = np.unpackbits(np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), BITS // 8), axis=1, bitorder="little")
     before = np.concatenate([np.zeros((len(bits), 1), np.int64), np.cumsum(bits, axis=1, dtype=np.int64)], axis=1)
-    return np.diff(before[:, _bounds(radius)[: tables + 1]], axis=1) <= _spread(radius)
+    return np.diff(before[:, _bounds(radius, spread)[: tables + 1]], axis=1) <= spread
 
 
-def _block_columns(radius: int) -> list[F.Column]:
+def _block_columns(radius: int, spread: int) -> list[F.Column]:
     """The blocks of f0, f1, ... as long numbers."""
-    out, bounds = [], _bounds(radius)
+    out, bounds = [], _bounds(radius, spread)
     for low, high in zip(bounds, bounds[1:], strict=False):
         part, shift = divmod(low, 64)
         value = F.shiftrightunsigned(F.col(f"f{part}"), shift)
@@ -283,18 +299,18 @@ def _block_columns(radius: int) -> list[F.Column]:
     return out
 
 
-def _facing(classes: DataFrame, radius: int, scratch: common.Scratch) -> DataFrame:
+def _facing(classes: DataFrame, radius: int, spread: int, scratch: common.Scratch) -> DataFrame:
     """table, asked, others: lists of at most about BLOCK classes that meet in a bucket, from classes (f0, f1, ..., documents, asked).
 
     A bucket's other classes are dealt into blocks, and those asked for go to each of these, so a large bucket is dealt
     over tasks as different buckets are. Short blocks have few values: then the buckets' sizes are broadcast.
     """
     key = [f"f{i}" for i in range(_PARTS)]
-    blocks = F.posexplode(F.array(*_block_columns(radius))).alias("table", "led")
-    bounds = _bounds(radius)
-    flips = [0, *(1 << k for k in range(max(np.diff(bounds))) if _spread(radius))]
+    blocks = F.posexplode(F.array(*_block_columns(radius, spread))).alias("table", "led")
+    bounds = _bounds(radius, spread)
+    flips = F.lit(_masks(int(max(np.diff(bounds))), spread)).cast("array<bigint>")
     others = classes.select(*key, "documents", blocks)
-    asked = classes.filter("asked").select(*key, blocks).select(*key, "table", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("led").bitwiseXOR(x))).alias("led"))
+    asked = classes.filter("asked").select(*key, blocks).select(*key, "table", F.explode(F.transform(flips, lambda x: F.col("led").bitwiseXOR(x))).alias("led"))
     size = lambda df, name: df.groupBy("table", "led").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
     sizes = scratch.table(size(others, "n_others").join(size(asked, "n_asked"), ["table", "led"]), "sizes")
     if (len(bounds) - 1) << int(max(np.diff(bounds))) <= BROADCAST_BUCKETS:
@@ -313,22 +329,30 @@ def _classes(fingerprinted: DataFrame, asked: F.Column, scratch: common.Scratch)
     return scratch.table(classes, "classes")
 
 
-def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> DataFrame:
+def _searched(fingerprinted: DataFrame, asked: F.Column, radius: int, spread: int | None, scratch: common.Scratch) -> tuple[DataFrame, int]:
+    classes = _classes(fingerprinted, asked, scratch)
+    if spread is None:
+        spread = spread_for(radius, classes.count())
+    return _facing(classes, radius, spread, scratch), spread
+
+
+def near(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS, spread: int | None = None) -> DataFrame:
     """f0, f1, ... of the rows for which ``asked`` holds, and n_near: the documents whose fingerprints differ in at most ``radius`` bits, themselves among them.
 
     Equal fingerprints, of rows that repeat too, are one class; where asked is null a row isn't asked for. No rows
     give none. A bucket's classes are compared block against block inside the tasks, which give counts alone, so a
-    bucket of any size is spread over tasks and makes no row for a pair.
+    bucket of any size is spread over tasks and makes no row for a pair. spread: see spread_for(), which gives it.
     """
     key = [f"f{i}" for i in range(_PARTS)]
     with common.scratch(fingerprinted.sparkSession) as scratch:
-        found = _facing(_classes(fingerprinted, asked, scratch), radius, scratch).mapInArrow(lambda b: _compared(radius, b), ", ".join(f"{k} long" for k in key) + ", near long")
+        facing, s = _searched(fingerprinted, asked, radius, spread, scratch)
+        found = facing.mapInArrow(lambda b: _compared(radius, s, b), ", ".join(f"{k} long" for k in key) + ", near long")
         found = scratch.table(found.groupBy(*key).agg(F.sum("near").alias("n_near")), "near")
         scratch.keep(found)
         return found
 
 
-def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIUS, spread: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Which documents are near which: pairs of classes, and the classes' members.
 
     The first table has fingerprint, near_fingerprint and bits, once for each class with a row for which ``asked``
@@ -336,7 +360,8 @@ def near_pairs(fingerprinted: DataFrame, asked: F.Column, *, radius: int = RADIU
     one fingerprint are a class, at no distance, so copies aren't expanded into pairs.
     """
     with common.scratch(fingerprinted.sparkSession) as scratch:
-        pairs = _facing(_classes(fingerprinted, asked, scratch), radius, scratch).mapInArrow(lambda b: _named(radius, b), "fingerprint string, near_fingerprint string, bits int").filter("bits > 0")
+        facing, s = _searched(fingerprinted, asked, radius, spread, scratch)
+        pairs = facing.mapInArrow(lambda b: _named(radius, s, b), "fingerprint string, near_fingerprint string, bits int").filter("bits > 0")
         pairs = scratch.table(pairs, "pairs")
         scratch.keep(pairs)
     name = F.concat(*(F.lower(F.lpad(F.hex(f"f{i}"), 16, "0")) for i in range(_PARTS)))

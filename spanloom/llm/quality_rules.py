@@ -147,7 +147,7 @@ def fit(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
 def _judged(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """doc_id, k1, k2 and verdict of each row of docs, and the tables that they read from, which hold no texts."""
     text, cell = F.col("text").cast("string"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = docs.select("doc_id", *common.row_key(F.col("doc_id"), text), cell("lang"), cell("source"), text.alias("text"))
+    rows = docs.select("doc_id", *common.row_key(F.col("doc_id"), text, F.col("lang"), F.col("source")), cell("lang"), cell("source"), text.alias("text"))
     table = scratch.table(statistics.add(rows, "text", "s", NAMES).select("doc_id", "k1", "k2", "lang", "source", "s"), "statistics")
     s = F.col("s")
     failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
@@ -180,7 +180,7 @@ def verdicts(docs: DataFrame, name: str) -> DataFrame:
         found, _ = _judged(docs, scratch)
         found = scratch.table(found.groupBy("k1", "k2").agg(F.first("verdict").alias(name)), "verdicts")
         scratch.keep(found)
-        return common.with_rows(docs, found, name)
+        return common.with_rows(docs, found, name, "lang", "source")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def _anchors(length: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             anchor, reach, first, count = _anchored(w, length, k)
             text, place = _local(w, first)
             rows = pa.array(text + a)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(reach.view(np.int64)), *(c.take(rows) for c in keys), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int8))], names=["anchor", "reach", "k1", "k2", "first", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(reach.view(np.int64)), *(c.take(rows) for c in keys), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "reach", "k1", "k2", "first", "count"])
 
 
 def _compared(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +116,11 @@ def _ranges(pairs: list | None, n: int, length: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(length: int, at_text: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """at_text: which of a row's fields is its text."""
     for batch in batches:
         n_words, removed, texts, digests, ranges = [], [], [], [], []
-        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+        for text, found in zip(batch.column("row").field(at_text).cast(pa.string()), batch.column("found"), strict=True):
             whole = (text.as_py() or "").encode()
             own = whole.split()
             spans = _ranges(found.as_py(), len(own), length)
@@ -147,7 +148,7 @@ def repeats(docs: DataFrame, scratch: common.Scratch, *, length: int = LENGTH, k
     """
     text = F.col("text").cast("string")
     rows = docs.select(*common.row_key(F.col("doc_id"), text), text.alias("text"))
-    anchors = rows.mapInArrow(lambda b: _anchors(length, k, b), "anchor long, reach long, k1 long, k2 long, first int, count tinyint")
+    anchors = rows.mapInArrow(lambda b: _anchors(length, k, b), "anchor long, reach long, k1 long, k2 long, first int, count int")
     anchors = scratch.table(anchors, "anchors")
     count = F.count(F.lit(1))
     often = scratch.table(anchors.groupBy("anchor").agg(count.alias("n")).filter("n > 1").select("anchor"), "often")
@@ -165,7 +166,7 @@ def repeats(docs: DataFrame, scratch: common.Scratch, *, length: int = LENGTH, k
     windows = scratch.table(windows, "windows")
     scratch.drop(named, mixed)
     twice = scratch.table(windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "window"), "twice")
-    ends = windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("k1", "k2", "first", F.lit(1).cast("tinyint").alias("count"))
+    ends = windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("k1", "k2", "first", F.lit(1).alias("count"))
     found = scratch.table(whole.union(ends).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "count")).alias("found")), "found")
     scratch.drop(joined, classes, windows, twice)
     return found
@@ -184,11 +185,13 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> Dat
         scratch.keep(found)
     found = found.toDF("_k1", "_k2", "_found")
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
-    rows = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # the text goes along once, in its row
+    rows = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.join(found, ["_k1", "_k2"], "left")
     row_type = rows.schema["row"].dataType.simpleString()
     out = f"row {row_type}, cut struct<n_words: bigint, n_removed: bigint, text: string, sha256: string, repeats: array<struct<start: bigint, end: bigint>>>"
-    return rows.select("row", "text", F.col("_found").alias("found")).mapInArrow(lambda b: _cut(length, b), out)
+    at_text = docs.columns.index("text")
+    return rows.select("row", F.col("_found").alias("found")).mapInArrow(lambda b: _cut(length, at_text, b), out)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

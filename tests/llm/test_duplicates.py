@@ -43,6 +43,16 @@ def test_substring_dedup_edges(spark, edges, nothing):
     assert substring_dedup.without_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length", [35, 135, 400])
+def test_long_windows(spark, length):
+    """Reaches of more windows than a byte counts."""
+    shared = passage(900, 61)
+    rows = [(1, shared + " " + passage(50, 62)), (2, passage(20, 63) + " " + shared), (3, passage(length - 1, 61)), (4, passage(length, 61)), (5, passage(1000, 64))]
+    want = brute.without_repeats([t for _, t in rows], length)
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert sorted((r.row.doc_id, r.cut.n_words, r.cut.n_removed, r.cut.sha256) for r in got) == [(i, n, gone, brute.sha(kept)) for (i, _), (n, gone, kept) in zip(rows, want, strict=True)]
+
+
 def test_very_many_equal_rows(spark):
     """10,000 rows that are the same, without a doc_id: what is found for them is one row, no longer than one text."""
     same, once = passage(80, 51), passage(60, 52)
@@ -213,8 +223,8 @@ def test_near_copies_are_found(spark):
     assert (differ[np.arange(0, 120, 2), np.arange(1, 120, 2)] <= fingerprints.RADIUS).mean() > 0.98
 
 
-@pytest.mark.parametrize("radius", [0, 16, 23, 39, 40])
-def test_all_within_a_wide_radius(spark, radius):
+@pytest.mark.parametrize(("radius", "spread"), [(0, None), (16, None), (23, 2), (39, None), (39, 2), (39, 3), (40, None)])
+def test_all_within_a_wide_radius(spark, radius, spread):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**63, (5, 4), dtype=np.int64)
     rows = []
@@ -224,11 +234,23 @@ def test_all_within_a_wide_radius(spark, radius):
         rows.append(base[k % 5] ^ np.packbits(bits).view(np.int64))
     rows = np.array(rows)
     df = spark.createDataFrame([(k, *map(int, r)) for k, r in enumerate(rows)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
-    got = {tuple(r)[:4]: r.n_near for r in fingerprints.near(df, df.doc_id % 4 == 0, radius=radius).collect()}
+    got = {tuple(r)[:4]: r.n_near for r in fingerprints.near(df, df.doc_id % 4 == 0, radius=radius, spread=spread).collect()}
     want = {tuple(r.tolist()): (np.bitwise_count(rows.view(np.uint64) ^ r.view(np.uint64)).sum(axis=1) <= radius).sum() for r in rows[::4]}
     assert got == want and any(1 < n < 60 for n in want.values())
 
 
+def test_buckets_stay_small_as_classes_grow():
+    """At a radius of 39: the comparisons that an asked fingerprint takes grow far less than the classes, a thousandfold here."""
+    work = []
+    for classes in (10**6, 10**9):
+        spread = fingerprints.spread_for(39, classes)
+        bounds = fingerprints._bounds(39, spread)
+        work.append(sum(len(fingerprints._masks(b - a, spread)) * (1 + classes / 2 ** (b - a)) for a, b in zip(bounds, bounds[1:], strict=False)))
+        # the pigeonhole: 39 bits over the blocks leave one with no more than the spread
+        assert (len(bounds) - 1) * (spread + 1) > 39
+    assert fingerprints.spread_for(39, 10**4) == 1 and fingerprints.spread_for(39, 10**9) == 3 and work[1] < 40 * work[0]
+
+
 def test_near_copies_are_named(spark, sf, small):
     """Pairs of classes with their members give the very documents that brute force finds."""
     made = fingerprints.with_next(small[0])

@@ -61,4 +61,4 @@ def test_stages_take_any_rows(spark, sf):
 
 def test_registered():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and set(registry.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 14)} | {"pipeline"} and set(registry.oracle_sql()) <= names

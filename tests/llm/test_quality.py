@@ -56,6 +56,17 @@ def test_sources_have_estimates_of_their_own(spark):
     assert all(by("few", False)) and all(by(None, False)) and len(kept) == len(texts)
 
 
+def test_one_text_in_two_sources(spark):
+    """Rows without a doc_id that share a text have their own source's verdict."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9))))
+    loud = lambda: " ".join(("!!#" if rng.random() < 0.5 else "") + word().upper() for _ in range(120))
+    shared = loud()
+    texts = [("calm", " ".join(word() for _ in range(120))) for _ in range(300)] + [("loud", loud()) for _ in range(250)] + [("calm", shared), ("loud", shared)]
+    df = spark.createDataFrame([(None, t, "en", source) for source, t in texts], "doc_id long, text string, lang string, source string")
+    assert {r.source: r.v.kept for r in quality_rules.verdicts(df, "v").filter(df.text == shared).collect()} == {"calm": False, "loud": True}
+
+
 def test_a_third_of_a_source_is_junk(spark):
     """Different bad texts, or copies of one, as a third of a source's rows: they don't become its middle."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en'")
