@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import columns as C
-from . import tokens
+from . import containment, intervals, tokens
 
 
 def matched(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,19 +49,9 @@ def credit_pairs(pred: DataFrame, gold: DataFrame, key: str, same_label: bool) -
 
 def total_credit(pairs: DataFrame, key: str) -> DataFrame:
     """key, credit, pairs: the best pairs first, each prediction and each gold span once."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("credit")).alias("rank"), "pi", "gi")))
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0.0).alias("sum"), empty.alias("ps"), empty.alias("gs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = ~F.array_contains(acc["ps"], x["pi"]) & ~F.array_contains(acc["gs"], x["gi"])
-        return F.when(free, F.struct((acc["sum"] - x["rank"]).alias("sum"), F.array_append(acc["ps"], x["pi"]).alias("ps"), F.array_append(acc["gs"], x["gi"]).alias("gs"))).otherwise(acc)
-
-    return pairs.groupBy(key).agg(F.aggregate(ordered, start, step).alias("r")).select(key, F.col("r.sum").alias("credit"), F.size("r.ps").cast("bigint").alias("pairs"))
-
-
-_VALUE = "struct<label:string,value:string>"
-_OUT = "struct<kind:string,pred_label:string,pred_value:string,gold_label:string,gold_value:string>"
+    ordered = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("credit")).alias("rank"), "pi", "gi"))).alias("o"))
+    taken = ordered.select(key, intervals.picked(F.col("o"), intervals.one_to_one(F.col("o.pi"), F.col("o.gi"))).alias("r"))
+    return taken.select(key, F.aggregate("r", F.lit(0.0), lambda acc, x: acc - x["rank"]).alias("credit"), F.size("r").cast("bigint").alias("pairs"))
 
 
 def relationships(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
@@ -71,43 +61,11 @@ def relationships(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     (mismatch), one that contains it (subset), one that it contains (superset), by preference: kind, equal label,
     difference in length, label, value. Else it is an fp; gold values that no one took are fn.
     """
-    pair = F.struct("label", "value").cast(_VALUE)
+    pair = F.struct(F.col("label").cast("string").alias("label"), F.col("value").cast("string").alias("value"))
     p = pred.groupBy(key).agg(F.collect_set(pair).alias("p"))
     g = gold.groupBy(key).agg(F.collect_set(pair).alias("g"))
-    empty = F.array().cast(f"array<{_VALUE}>")
-    sets = p.join(g, key, "full").select(key, F.coalesce("p", empty).alias("p"), F.coalesce("g", empty).alias("g"))
-    exact = F.array_intersect("p", "g")
-    sets = sets.select(key, F.array_sort(F.array_except("p", exact)).alias("p"), F.array_except("g", exact).alias("g"), exact.alias("both"))
-
-    def out(kind: Column, a: Column | None, b: Column | None) -> Column:
-        none = F.lit(None).cast("string")
-        get = lambda x, f: none if x is None else x[f]
-        return F.struct(kind.alias("kind"), get(a, "label").alias("pred_label"), get(a, "value").alias("pred_value"), get(b, "label").alias("gold_label"), get(b, "value").alias("gold_value")).cast(_OUT)
-
-    def step(acc: Column, x: Column) -> Column:
-        def rank(y: Column) -> Column:
-            kind = (
-                F.when((x["value"] == y["value"]) & (x["label"] != y["label"]), 0)
-                .when((x["value"] != "") & y["value"].contains(x["value"]) & (x["value"] != y["value"]), 1)
-                .when((y["value"] != "") & x["value"].contains(y["value"]) & (x["value"] != y["value"]), 2)
-                .otherwise(9)
-            )
-            return F.struct(kind.alias("kind"), (x["label"] != y["label"]).alias("other"), F.abs(F.length(x["value"]) - F.length(y["value"])).alias("gap"), y["label"].alias("label"), y["value"].alias("value"))
-
-        best = F.get(F.array_sort(F.filter(F.transform(acc["pool"], rank), lambda r: r["kind"] < 9)), F.lit(0))
-        taken = F.struct(best["label"].alias("label"), best["value"].alias("value")).cast(_VALUE)
-        name = F.element_at(F.array(F.lit("mismatch"), F.lit("subset"), F.lit("superset")), F.coalesce(best["kind"], F.lit(0)) + 1)
-        hit = F.struct(F.filter(acc["pool"], lambda y: y != taken).alias("pool"), F.array_append(acc["out"], out(name, x, taken)).alias("out"))
-        miss = F.struct(acc["pool"].alias("pool"), F.array_append(acc["out"], out(F.lit("fp"), x, None)).alias("out"))
-        return F.when(best.isNotNull(), hit).otherwise(miss)
-
-    start = F.struct(F.col("g").alias("pool"), F.array().cast(f"array<{_OUT}>").alias("out"))
-    folded = sets.select(key, "both", F.aggregate("p", start, step).alias("r"))
-    rows = F.concat(F.transform("both", lambda x: out(F.lit("tp"), x, x)), F.col("r.out"), F.transform("r.pool", lambda y: out(F.lit("fn"), None, y)))
-    return folded.select(key, F.explode(rows).alias("o")).select(key, "o.*")
-
-
-_WORD = "array<string>"
+    rows = p.join(g, key, "full").select(key, containment.relationships(F.col("p"), F.col("g")).alias("rows"))
+    return rows.select(key, F.explode("rows").alias("o")).select(key, "o.*")
 
 
 def merged_supersets(related: DataFrame, key: str) -> DataFrame:
@@ -115,25 +73,13 @@ def merged_supersets(related: DataFrame, key: str) -> DataFrame:
 
     Values are compared in lower case with single spaces.
     """
-    norm = lambda c: F.lower(C.collapse(F.col(c)))
-    supers = F.collect_list(F.when((F.col("kind") == "superset") & (F.col("pred_label") == F.col("gold_label")), F.struct("pred_label", "pred_value", "gold_value", norm("pred_value").alias("p"), norm("gold_value").alias("g"))))
-    missed = F.collect_list(F.when(F.col("kind") == "fn", F.struct(F.col("gold_label").alias("label"), F.col("gold_value").alias("value"), norm("gold_value").alias("g"))))
-    per = related.groupBy(key).agg(F.array_sort(supers).alias("supers"), F.array_sort(missed).alias("missed"))
-    kind = "array<struct<label:string,value:string,g:string>>"
-    start = F.struct(F.col("missed").cast(kind).alias("left"), F.array().cast("array<struct<label:string,value:string>>").alias("merged"), F.array().cast(kind).alias("used"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = F.filter(acc["left"], lambda m: (m["label"] == s["pred_label"]) & (m["g"] != "") & s["p"].contains(m["g"]))
-        parts = F.array_distinct(F.concat(F.array(s["g"]), F.transform(inside, lambda m: m["g"])))
-        full = (F.size(parts) >= 2) & s["p"].contains(s["g"])
-        hit = F.struct(F.array_except(acc["left"], inside).alias("left"), F.array_append(acc["merged"], F.struct(s["pred_label"].alias("label"), s["pred_value"].alias("value"))).alias("merged"), F.concat(acc["used"], inside).alias("used"))
-        return F.when(full, hit).otherwise(acc)
-
-    per = per.select(key, F.aggregate("supers", start, step).alias("r")).select(key, "r.merged", "r.used")
-    rows = related.join(per, key)
-    merged = (F.col("kind") == "superset") & F.exists("merged", lambda m: (m["label"] == F.col("pred_label")) & (m["value"] == F.col("pred_value")))
-    used = (F.col("kind") == "fn") & F.exists("used", lambda m: (m["label"] == F.col("gold_label")) & (m["value"] == F.col("gold_value")))
-    return rows.withColumn("kind", F.when(merged, "merged").when(used, "used").otherwise(F.col("kind"))).drop("merged", "used")
+    norm = lambda c, name: F.lower(C.collapse(F.col(c))).alias(name)
+    rest = [c for c in related.columns if c not in (key, "kind")]
+    rows = related.groupBy(key).agg(F.collect_list(F.struct("kind", *rest, norm("pred_value", "p"), norm("gold_value", "g"))).alias("rows"))
+    known = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("kind", "pred_label", "pred_value", "gold_label", "gold_value", "p", "g"))))
+    rows = rows.select(key, "rows", containment.merged_kinds(known).alias("kinds"))
+    rows = rows.select(key, F.explode(F.arrays_zip("rows", "kinds")).alias("z"))
+    return rows.select(*(F.col(key) if c == key else F.col("z.kinds").alias("kind") if c == "kind" else F.col(f"z.rows.{c}").alias(c) for c in related.columns))
 
 
 def diagnosed(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:

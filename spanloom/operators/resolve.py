@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import intervals
 
 
 def greedy(spans: Column, kind: str, clash) -> Column:
@@ -20,22 +21,23 @@ def _overlap(a: Column, b: Column) -> Column:
 _SPAN = "array<struct<rank:double,size:bigint,start:bigint,end:bigint,label:string,score:double>>"
 
 
+def _stay(spans: DataFrame, key: str, entry: Column, indices) -> DataFrame:
+    """key, label, start, end, score of those of a document's spans that ``indices`` gives of their array, sorted by ``entry``."""
+    rows = spans.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    rows = rows.select(key, F.explode(intervals.picked(F.col("s"), indices(F.col("s")))).alias("k"))
+    return rows.select(key, "k.label", "k.start", "k.end", "k.score")
+
+
 def non_overlapping(spans: DataFrame, key: str) -> DataFrame:
     """key, label, start, end, score: by score down, length down, start, end, label, whatever overlaps nothing taken before."""
     entry = F.struct((-F.col("score")).alias("rank"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "label", "score")
-    taken = greedy(F.array_sort(F.collect_list(entry)), _SPAN, _overlap)
-    return spans.groupBy(key).agg(taken.alias("kept")).select(key, F.explode("kept").alias("k")).select(key, "k.label", "k.start", "k.end", "k.score")
-
-
-_ORDERED = "array<struct<rank:double,ord:bigint,start:bigint,end:bigint,label:string,score:double>>"
+    return _stay(spans, key, entry, intervals.disjoint)
 
 
 def suppressed(spans: DataFrame, key: str, iou: float = 0.5) -> DataFrame:
     """As non_overlapping(), but equal scores in the order of ``ord``, and also by intersection over union, which decides alone where it is 0 or less."""
     entry = F.struct((-F.col("score")).alias("rank"), "ord", "start", "end", "label", "score")
-    clash = lambda a, b: _overlap(a, b) | (C.char_iou(a["start"], a["end"], b["start"], b["end"]) >= iou)
-    taken = greedy(F.array_sort(F.collect_list(entry)), _ORDERED, clash)
-    return spans.groupBy(key).agg(taken.alias("kept")).select(key, F.explode("kept").alias("k")).select(key, "k.label", "k.start", "k.end", "k.score")
+    return _stay(spans, key, entry, lambda s: intervals.disjoint(s, iou))
 
 
 def suppressed_by_label(spans: DataFrame, key: str, same: float = 0.35, cross: float | None = 0.70) -> DataFrame:
@@ -43,16 +45,8 @@ def suppressed_by_label(spans: DataFrame, key: str, same: float = 0.35, cross: f
 
     Labels come in the order in which ``ord`` first names them; that order decides between equal scores.
     """
-    ratio = lambda a, b: C.overlap_ratio(a["start"], a["end"] - 1, b["start"], b["end"] - 1)
     entry = F.struct((-F.col("score")).alias("rank"), "ord", "start", "end", "label", "score")
-    own = spans.groupBy(key, "label").agg(greedy(F.array_sort(F.collect_list(entry)), _ORDERED, lambda a, b: ratio(a, b) > same).alias("kept"), F.min("ord").alias("first"))
-    rows = own.select(key, "first", F.explode("kept").alias("k"))
-    if cross is None:
-        return rows.select(key, "k.label", "k.start", "k.end", "k.score")
-    again = F.struct("k.rank", F.col("first").alias("first"), F.col("k.ord").alias("ord"), "k.start", "k.end", "k.label", "k.score")
-    kind = "array<struct<rank:double,first:bigint,ord:bigint,start:bigint,end:bigint,label:string,score:double>>"
-    taken = greedy(F.array_sort(F.collect_list(again)), kind, lambda a, b: ratio(a, b) > cross)
-    return rows.groupBy(key).agg(taken.alias("kept")).select(key, F.explode("kept").alias("k")).select(key, "k.label", "k.start", "k.end", "k.score")
+    return _stay(spans, key, entry, lambda s: intervals.by_label(s, same, cross))
 
 
 def resolved(hits: Column) -> Column:
@@ -61,26 +55,22 @@ def resolved(hits: Column) -> Column:
     return F.array_sort(F.transform(greedy(F.array_sort(entries), _SPAN, _overlap), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"))))
 
 
-def replaced(text: Column, spans: Column, replacement) -> Column:
-    """The text with each of the disjoint spans (start, end, label), in order, replaced by replacement(label, value)."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def _joined(text: Column, spans: Column, new) -> Column:
+    """The text with each of the disjoint spans, in order, replaced by new(span): the pieces are made one by one and joined once. Null where a piece is."""
+    end = lambda k: F.coalesce(F.get(spans, k)["end"], F.lit(0))
+    pieces = F.transform(spans, lambda s, i: F.concat(C.slice_text(text, F.when(i > 0, end(i - 1)).otherwise(0), s["start"]), new(s)))
+    tail = C.slice_text(text, end(F.size(spans) - 1), F.length(text).cast("bigint"))
+    return F.transform(F.array(pieces), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.concat(F.array_join(p, ""), tail)))[0]
 
-    def step(acc: Column, s: Column) -> Column:
-        new = replacement(s["label"], C.slice_text(text, s["start"], s["end"]))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], C.slice_text(text, acc["at"], s["start"]), new).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], C.slice_text(text, acc["at"], F.length(text).cast("bigint"))))
+def replaced(text: Column, spans: Column, replacement) -> Column:
+    """The text with each of the disjoint spans (start, end, label), in order, replaced by replacement(label, value)."""
+    return _joined(text, spans, lambda s: replacement(s["label"], C.slice_text(text, s["start"], s["end"])))
 
 
 def rewritten(docs: DataFrame, spans: DataFrame, key: str, text: str, replacement: Column) -> DataFrame:
     """docs with ``redacted`` and n_spans: each of the disjoint spans (label, start, end) replaced. ``replacement`` is made from F.col("label") and F.col("value")."""
     pieces = spans.join(docs.select(key, text), key).withColumn("value", C.slice_text(F.col(text), F.col("start"), F.col("end")))
     listed = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", replacement.alias("new")))).alias("spans"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    body = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], C.slice_text(body, acc["at"], s["start"]), s["new"]).alias("out"))
-
-    done = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,new:string>>")), start, step, lambda acc: F.concat(acc["out"], C.slice_text(body, acc["at"], F.length(body).cast("bigint"))))
+    done = _joined(F.col(text), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,new:string>>")), lambda s: s["new"])
     return docs.join(listed, key, "left").withColumns({"redacted": done, "n_spans": F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")}).drop("spans")

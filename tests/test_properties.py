@@ -1,12 +1,13 @@
 """Folds over random spans, ties included, against plain Python."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import evaluate, resolve, supervise
+from spanloom.operators import containment, evaluate, intervals, resolve, supervise
 
 LABELS = ["A", "B", "C"]
 
@@ -147,3 +148,56 @@ def test_budgets(spark):
         else:
             for hard, each in ((True, 2), (False, 6)):
                 assert sum(r.hard == hard for r in negatives) == min(each * n, sum(not r[2] and r[3] == hard for r in mine))
+
+
+@pytest.mark.parametrize(("kind", "bound"), [("disjoint", None), ("apart", 0.35), ("apart", 0.7), ("apart", 0.0), ("apart", 1.0), ("apart", -0.1)])
+def test_intervals_against_all_kept(kind, bound):
+    """Two searches decide as comparing with every span kept does, empty spans too."""
+    rng = random.Random(str(kind) + str(bound))
+    for _ in range(300):
+        spans = [(s := rng.randrange(30), s + rng.randrange(0, 25)) for _ in range(rng.randrange(30))]
+
+        def clash(a, b):
+            common = max(0, min(a[1], b[1]) - max(a[0], b[0]))
+            if kind == "disjoint":
+                return common > 0
+            return (common / min(a[1] - a[0], b[1] - b[0]) if common else 0) > bound
+
+        taker = intervals.Disjoint() if kind == "disjoint" else intervals.Apart(bound)
+        got, kept = [], []
+        for s in spans:
+            got.append(taker.take(*s))
+            free = not any(clash(k, s) for k in kept)
+            kept += [s] if free else []
+            assert got[-1] == free
+
+
+def test_a_hundred_thousand_spans_in_a_document(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 7).alias("end"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("label"), (F.pmod(F.hash("id"), F.lit(1000)) / 1000).alias("score"), F.col("id").alias("ord"))
+    begun = time.monotonic()
+    assert resolve.non_overlapping(df, "doc_id").count() > 40_000
+    assert resolve.suppressed(df, "doc_id").count() > 40_000
+    assert resolve.suppressed_by_label(df, "doc_id").count() == 100_000
+    assert time.monotonic() - begun < 60
+
+
+def test_relations_by_automaton(monkeypatch):
+    """The automaton finds what comparing all values finds, nulls and empty values among them."""
+    rng = random.Random(9)
+    monkeypatch.setattr(containment, "_FEW", 0)
+    words = ["a", "ab", "abc", "b", "bc", "", "x y", "x", "é", "éa", "cab", "abab"]
+    for _ in range(500):
+        sides = [{(rng.choice(LABELS), rng.choice(words)) for _ in range(rng.randrange(9))} for _ in range(2)]
+        got = sorted(((k, None if p is None and v is None else (p, v), None if g is None and w is None else (g, w)) for k, p, v, g, w in containment.related(*sides)), key=str)
+        assert got == related(*sides)
+    assert sorted(containment.related({(None, "a"), ("A", None)}, {("A", "ab"), ("A", None)}), key=str) == sorted([("tp", "A", None, "A", None), ("subset", None, "a", "A", "ab")], key=str)
+
+
+def test_ten_thousand_values_a_side():
+    rng = random.Random(10)
+    value = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    gold = {("A", value(rng.randrange(6, 10))) for _ in range(10_000)}
+    pred = {("B", v + value(3)) for _, v in list(gold)[:5000]} | {("A", value(8)) for _ in range(5000)}
+    begun = time.monotonic()
+    assert sum(r[0] == "superset" for r in containment.related(pred, gold)) > 4000
+    assert time.monotonic() - begun < 10
