@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import negatives
 
 #: A gold span on tokens; equal places stand once, in the order in which they were first seen.
 PLACED = "array<struct<ts:bigint,te:bigint,label:string>>"
@@ -74,15 +75,19 @@ def labelled(docs: DataFrame, key: str, most: int = 12, rate: float | None = Non
     return near.select(key, "ts", "te", F.coalesce(exact, F.lit("NONE")).alias("label"), "sensitivity", F.coalesce(exact, F.col("best.label"), F.lit("NONE")).alias("best_label"), weight.alias("weight"), redact.alias("redact"), (1 - redact).alias("keep"))
 
 
+def _negatives(docs: DataFrame, key: str, made: Column) -> DataFrame:
+    """key, ts, te, positive, hard: only what is returned leaves its document's row."""
+    return docs.select(key, F.explode(made).alias("c")).select(key, "c.*")
+
+
 def budgeted(docs: DataFrame, key: str, most: int = 12, hard_each: int = 2, easy_each: int = 6, without: int = 48) -> DataFrame:
-    """key, ts, te, positive, hard of the candidates of ``docs`` (key, n, types) that a budget allows: all positives, and for each of them so many hard and easy negatives, or ``without`` of a document that has none, by their digests' order.
+    """key, ts, te, positive, hard of the candidates of ``docs`` (key, n, types) that a budget allows: all positives, and for each of them so many hard and easy negatives, or ``without`` of both of a document that has none, in the order of a permutation that the key fixes.
 
     A negative is hard if it shares a token with a gold span.
     """
-    ts, te = F.col("ts"), F.col("te")
-    rows = enumerated(docs, key, most).select(key, "ts", "te", "types", touching(F.col("types"), ts, te).alias("near"))
-    rows = rows.select(key, "ts", "te", exact_label(F.col("near"), ts, te).isNotNull().alias("positive"), (F.size("near") > 0).alias("hard"), F.size(F.filter("types", lambda g: g["te"] - g["ts"] < most)).alias("of"))
-    rank = F.row_number().over(Window.partitionBy(key, "hard").orderBy(F.md5(F.concat_ws(":", F.lit("budget"), F.col(key), "ts", "te"))))
-    allowed = F.when(F.col("of") == 0, without).when(F.col("hard"), hard_each * F.col("of")).otherwise(easy_each * F.col("of"))
-    negative = rows.filter("not positive").withColumn("rank", rank).filter(F.col("rank") <= allowed)
-    return rows.filter("positive").select(key, "ts", "te", "positive", "hard").unionByName(negative.select(key, "ts", "te", "positive", "hard"))
+    return _negatives(docs, key, negatives.budgeted(F.concat_ws(":", F.lit("budget"), key), F.col("n"), F.col("types"), most, hard_each, easy_each, without))
+
+
+def share(docs: DataFrame, key: str, rate: float, most: int = 12) -> DataFrame:
+    """key, ts, te, positive, hard of all positives of ``docs`` (key, n, types) and of the share ``rate`` of each document's other candidates, the first in the order of a permutation that the key fixes."""
+    return _negatives(docs, key, negatives.shared(F.concat_ws(":", F.lit("share"), key), F.col("n"), F.col("types"), most, rate))

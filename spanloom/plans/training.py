@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import costs, detect, labelling, supervise, tokens
+from ..operators import costs, detect, labelling, negatives, supervise, tokens
 from . import fixtures as X
 from . import spans as S
 
@@ -140,6 +140,12 @@ def negative_budgets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id", "positive", "hard").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
 
 
+def negative_share(spark: SparkSession, sf: str) -> DataFrame:
+    """All positives of all documents and a twentieth of each document's other candidates, counted by kind."""
+    rows = labelling.share(_types(spark, sf), "doc_id", 0.05, MOST)
+    return rows.groupBy("doc_id", "positive", "hard").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
+
+
 def split_train_valid(spark: SparkSession, sf: str) -> DataFrame:
     """Nine in ten documents of each source for training, by their digests' order."""
     return supervise.split(X.documents(spark, sf).select("doc_id", "source"), "source", "doc_id", 9, 10)
@@ -186,13 +192,28 @@ def budget_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bio_labels, bio_decode, bio_specials, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, split_train_valid, softmax_argmax, losses, usage_cost, budget_cutoff)
+    for f in (bio_labels, bio_decode, bio_specials, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, negative_share, split_train_valid, softmax_argmax, losses, usage_cost, budget_cutoff)
 }
 
 _T = S._TOKS_OF_GOLD
 _PLACED = ', placed AS (SELECT g.doc_id, g.label, g.start, g."end", min(tok) AS ts, max(tok) AS te FROM gold g JOIN toks t ON g.doc_id = t.doc_id AND greatest(g.start, s) < least(g."end", e) GROUP BY ALL)'
 _CANDS = ", near AS (SELECT doc_id, ts AS gs, unnest(range(greatest(ts - 11, 0), te + 1)) AS ts FROM placed), lasts AS (SELECT doc_id, max(tok) AS lst FROM toks GROUP BY doc_id), cands AS (SELECT DISTINCT doc_id, ts, te FROM (SELECT doc_id, ts, unnest(range(greatest(ts, gs), least(ts + 11, lst) + 1)) AS te FROM near JOIN lasts USING (doc_id)))"
 _EVERY = f", sizes AS (SELECT doc_id, len(regexp_extract_all(text, {S._quoted(S.vocab.TOKEN)})) AS n FROM documents), firsts AS (SELECT doc_id, n, unnest(range(0, n)) AS ts FROM sizes), every AS (SELECT doc_id, ts, unnest(range(ts, least(ts + 12, n))) AS te FROM firsts)"
+
+
+def _placed_draws(name: str, rows: str) -> str:
+    """CTE drawn: rows (doc_id, n, ts, te, ...) with j, where the permutation keyed by name and document draws them."""
+    steps = [f"""{name}0 AS (SELECT *, (te - ts) * n - (te - ts) * (te - ts - 1) // 2 + ts AS rk, list_filter(range(1, 17), lambda m: (1::BIGINT << (2 * m)) >= least(n, {MOST}) * n - least(n, {MOST}) * (least(n, {MOST}) - 1) // 2)[1] AS b, ('0x' || substr(md5('{name}:' || doc_id), 1, 7))::BIGINT AS kd FROM {rows}),
+{name}1 AS (SELECT *, rk >> b AS l, rk & ((1::BIGINT << b) - 1) AS r FROM {name}0)"""]
+    for k, a in enumerate(reversed(negatives.ROUNDS)):
+        steps.append(f"{name}{k + 2} AS (SELECT * EXCLUDE (l, r), xor(r, ((l * {a} + kd) % {negatives.PRIME}) & ((1::BIGINT << b) - 1)) AS l, l AS r FROM {name}{k + 1})")
+    return ",\n".join([*steps, f"drawn AS (SELECT *, (l << b) | r AS j FROM {name}{len(negatives.ROUNDS) + 1})"])
+
+
+_KINDS = """, ex AS (SELECT DISTINCT doc_id, ts, te, true AS p FROM placed), ha AS (SELECT DISTINCT c.doc_id, c.ts, c.te, true AS h FROM every c JOIN placed g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
+of_ AS (SELECT doc_id, count(*) AS of_ FROM ex WHERE te - ts < 12 GROUP BY doc_id),
+q AS (SELECT doc_id, n, ts, te, coalesce(p, false) AS positive, coalesce(h, false) AS hard, coalesce(of_, 0) AS of_ FROM every JOIN sizes USING (doc_id) LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN ha USING (doc_id, ts, te) LEFT JOIN of_ USING (doc_id)),
+"""
 _IOU = """
 , touch AS (SELECT c.doc_id, c.ts, c.te, g.label, g.ts AS gs, g.te AS ge FROM cands c JOIN {0} g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
 u AS (SELECT doc_id, ts, te, label, min((gs, ge, label)) AS first, list_distinct(flatten(list(range(gs, ge + 1)))) AS l FROM touch GROUP BY doc_id, ts, te, label),
@@ -239,11 +260,12 @@ SELECT label, support, CAST(coalesce(ex, 0) AS BIGINT) AS examples, CASE WHEN su
 SELECT candidates, positives, round(1 - positives / candidates, 9) AS prevalence, round(least(1.0, 0.1 * (positives / candidates) / ((1 - positives / candidates) * 0.9)), 9) AS keep_probability FROM c, q""",
     "reachability": _T + _PLACED + ", c AS (SELECT label, count(*) AS total, count(*) FILTER (te - ts < 12) AS reachable FROM placed GROUP BY label) SELECT *, round(reachable / total, 6) AS rate FROM c",
     "negative_sampling": _T + _PLACED + _EVERY + f", ex AS (SELECT doc_id, ts, te, max(label) AS label FROM placed GROUP BY ALL) SELECT doc_id, coalesce(label, 'NONE') AS label, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM every LEFT JOIN ex USING (doc_id, ts, te) WHERE label IS NOT NULL OR {_U("'neg:' || doc_id || ':' || ts || ':' || te")} <= 0.2 GROUP BY ALL",
-    "negative_budgets": _T + _PLACED + _EVERY + """, ex AS (SELECT DISTINCT doc_id, ts, te, true AS p FROM placed), ha AS (SELECT DISTINCT c.doc_id, c.ts, c.te, true AS h FROM every c JOIN placed g ON c.doc_id = g.doc_id AND g.ts <= c.te AND c.ts <= g.te),
-of_ AS (SELECT doc_id, count(*) AS of_ FROM ex WHERE te - ts < 12 GROUP BY doc_id),
-q AS (SELECT doc_id, ts, te, coalesce(p, false) AS positive, coalesce(h, false) AS hard, coalesce(of_, 0) AS of_ FROM every LEFT JOIN ex USING (doc_id, ts, te) LEFT JOIN ha USING (doc_id, ts, te) LEFT JOIN of_ USING (doc_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, positive, hard ORDER BY md5('budget:' || doc_id || ':' || ts || ':' || te)) AS k FROM q)
+    "negative_budgets": _T + _PLACED + _EVERY + _KINDS + _placed_draws("budget", "q") + """,
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, positive, hard ORDER BY j) AS k FROM drawn)
 SELECT doc_id, positive, hard, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM k WHERE positive OR k <= CASE WHEN of_ = 0 THEN 48 WHEN hard THEN 2 * of_ ELSE 6 * of_ END GROUP BY ALL""",
+    "negative_share": _T + _PLACED + _EVERY + _KINDS + _placed_draws("share", "q") + """,
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, positive ORDER BY j) AS k, count(*) OVER (PARTITION BY doc_id, positive) AS al FROM drawn)
+SELECT doc_id, positive, hard, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM k WHERE positive OR k <= floor(al * 0.05::DOUBLE + 1e-9) GROUP BY ALL""",
     "split_train_valid": "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('split:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN rn <= ceil(n * 9 / 10) THEN 'train' ELSE 'valid' END AS part FROM r",
     "softmax_argmax": _LOGITS + " SELECT vec_id, round(list_max(ex) / z, 6) AS confidence, CAST(list_position(x, top) - 1 AS INT) AS predicted FROM p",
     "losses": _LOGITS + ", y AS (SELECT *, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE label % 14 END AS y FROM p), v AS (SELECT CASE WHEN y <> -100 THEN -ln(ex[CAST(y + 1 AS INT)] / z) END AS hard, CASE WHEN y <> -100 THEN CASE WHEN y = 0 THEN -0.8 * ln(ex[1] / z) / 0.8 ELSE -0.8 * ln(ex[CAST(y + 1 AS INT)] / z) - 0.2 * ln(ex[1] / z) END END AS soft FROM y) SELECT round(coalesce(avg(hard), 0), 6) AS hard, round(coalesce(avg(soft), 0), 6) AS soft, count(hard) AS n FROM v",
