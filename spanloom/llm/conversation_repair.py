@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import checksums_sql, common
 
 #: What takes away a row's or text's end, in ASCII.
 _SPACE = " \t\n\x0b\x0c\r"
@@ -476,3 +476,23 @@ def _left(rows: DataFrame, more: DataFrame) -> DataFrame:
 def _digested(rows: DataFrame) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: A forward table of the least (cost, audit) for each state after each row; of equal costs a state's least audit so far stays the least, as an initial leads from a state to one state alone.
+ORACLE = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {checksums_sql.crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, rtrim(text, {_WHITE}) AS bare FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 3 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault, left(role, 1) AS init, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (rn > 1 AND before || init NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+ins(q, q1, a, added) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:'])),
+arc(q1, q2, e, init, new) AS (VALUES (0, 0, 'D', NULL, NULL), (1, 1, 'D', NULL, NULL), (2, 2, 'D', NULL, NULL), (3, 3, 'D', NULL, NULL), (0, 1, 'K', 's', NULL), (0, 2, 'K', 'u', NULL), (1, 2, 'K', 'u', NULL), (2, 3, 'K', 'a', NULL), (3, 2, 'K', 'u', NULL), (0, 2, 'R', NULL, 'user'), (1, 2, 'R', NULL, 'user'), (2, 3, 'R', NULL, 'assistant'), (3, 2, 'R', NULL, 'user')),
+t(conv_id, i, q, best) AS (SELECT conv_id, 0::BIGINT, 0, (0::BIGINT, '', []::VARCHAR[]) FROM s UNION ALL
+  SELECT t.conv_id, t.i + 1, arc.q2, min((best[1] + 2 * length(ins.a) + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 1 THEN 1 ELSE 0 END, best[2] || ins.a || e, best[3] || ins.added || CASE e WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [arc.new || ':' || f.text] END))
+  FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.rn = t.i + 1 JOIN ins ON ins.q = t.q JOIN arc ON arc.q1 = ins.q1 WHERE (e = 'D' OR fault < 2) AND (arc.init IS NULL OR arc.init = f.init) GROUP BY t.conv_id, t.i, arc.q2),
+z AS (SELECT t.conv_id, min((best[1] + 2 * length(ins.a), best[2] || ins.a, best[3] || ins.added)) AS b FROM t JOIN s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = s.n JOIN ins ON ins.q = t.q WHERE ins.q1 IN (0, 3) GROUP BY t.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b[1], 0) AS cost, coalesce(b[2], '') AS audit, sha256(coalesce(array_to_string(b[3], chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

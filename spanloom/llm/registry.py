@@ -36,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_duplicates": near_duplicates.ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_url_filters": url_filters.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
+        "op13_spelling_variants": spelling_variants.ORACLE,
     }

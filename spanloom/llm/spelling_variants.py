@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import checksums_sql, common
 
 #: Code points and occurrences that a word has at least, and how many times as frequent its form is.
 LENGTH, LEAST, RATIO = 6, 5, 5
@@ -295,3 +295,19 @@ def variants(docs: DataFrame, divisor: int | None = None, length: int = LENGTH,
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word, form, root, n, n_near, form_n of the words of documents, of which some lose a code point; see variants()."""
     return variants(common.load(spark, sf_dir, "documents"), divisor=DIVISOR)
+
+
+#: Words replaced in one place are equal without it; a word with one inserted is the other without that.
+ORACLE = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS w FROM documents),
+l AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM r GROUP BY ALL HAVING length(w) >= {LENGTH}),
+h AS (SELECT w, k, {checksums_sql.crc32("doc_id || ':' || w")} AS h FROM l),
+d AS (SELECT CASE WHEN h % {DIVISOR} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, k FROM h),
+words AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM d GROUP BY w HAVING length(w) >= {LENGTH} AND sum(k) >= {LEAST}),
+dels AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS x FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+pairs AS (SELECT a.w, b.w AS o FROM dels a JOIN dels b ON a.x = b.x AND a.i = b.i AND a.w <> b.w UNION SELECT w, x FROM dels WHERE x IN (SELECT w FROM words) UNION SELECT x, w FROM dels WHERE x IN (SELECT w FROM words)),
+best AS (SELECT p.w, count(*) AS n_near, min((-o.n, o.w)) AS b FROM pairs p JOIN words o ON o.w = p.o GROUP BY p.w),
+forms AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= {RATIO} * n THEN b[2] END AS form, CASE WHEN -b[1] >= {RATIO} * n THEN -b[1] END AS form_n FROM words LEFT JOIN best ON best.w = words.w),
+path(w, stop) AS (SELECT w, w FROM forms UNION ALL SELECT path.w, form FROM path JOIN forms ON forms.w = path.stop WHERE form IS NOT NULL)
+SELECT forms.w AS word, forms.form, stop AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN path ON path.w = forms.w JOIN forms last ON last.w = path.stop WHERE last.form IS NULL
+"""

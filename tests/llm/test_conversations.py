@@ -10,6 +10,8 @@ import pytest
 
 from spanloom.llm import conversation_repair as repair
 
+from .. import compare
+
 SPACE = " \t\n\x0b\x0c\r"
 NEXT = {"": "su", "s": "u", "u": "a", "a": "u"}
 
@@ -129,6 +131,10 @@ def test_query(spark, sf):
     assert of_query(repair.op12_conversation_repair(spark, sf)) == expected(rows)
 
 
+def test_sql(spark, sf):
+    compare.same(repair.op12_conversation_repair(spark, sf), compare.views(sf), repair.ORACLE)
+
+
 def edge_rows():
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "tool"]), rng.choice(["Hi.", "so", None, "", "é\U0001f600!", "line\n"])) for c in [*range(60), None] for t in rng.choices([0, 1, 2, 3, 5, 9, None, -4], k=rng.randrange(1, 9))]

@@ -9,6 +9,8 @@ import pytest
 
 from spanloom.llm import spelling_variants as spelling
 
+from .. import compare
+
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -62,6 +64,10 @@ def test_query(spark, sf):
     assert got(spelling.op13_spelling_variants(spark, sf)) == want
 
 
+def test_sql(spark, sf):
+    compare.same(spelling.op13_spelling_variants(spark, sf), compare.views(sf), spelling.ORACLE)
+
+
 def made_docs():
     """Words of few letters with many near ones, chains of forms, Latin-1 letters and what surrounds them."""
     rng = random.Random(2)
