@@ -84,13 +84,3 @@ def merged_windows(scored: DataFrame, key: str, iou: float = 0.5) -> DataFrame:
     best = scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
     order = Window.partitionBy(key).orderBy("window", "start", "end", "label")
     return resolve.suppressed(best.select(key, "label", "start", "end", "score", F.row_number().over(order).cast("bigint").alias("ord")), key, iou)
-
-
-def represented(hidden: DataFrame, key: str, widths: Column | None = None) -> DataFrame:
-    """Token spans (key, ts, te) with ``hidden``, the document's token vectors, as vectors: those of both ends, the mean between them and, if given, one for the width."""
-    inside = F.slice("hidden", F.col("ts").cast("int") + 1, (F.col("te") - F.col("ts") + 1).cast("int"))
-    zero = F.transform(F.get("hidden", F.col("ts").cast("int")), lambda _: F.lit(0.0))
-    total = F.aggregate(inside, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    mean = F.transform(total, lambda x: x / (F.col("te") - F.col("ts") + 1))
-    parts = [F.get("hidden", F.col("ts").cast("int")), F.get("hidden", F.col("te").cast("int")), mean] + ([widths] if widths is not None else [])
-    return hidden.select(key, "ts", "te", F.concat(*parts).alias("vector"))

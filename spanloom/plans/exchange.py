@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import columns as C
-from ..sources import positions, records, seen
+from ..functions import tables
+from ..sources import positions, records, seen, spans_source
 from ..streaming import redaction
 from . import fixtures as X
 from . import scoring, spans
@@ -64,6 +65,29 @@ def concatenated_json(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+#: What is wrong with a document's line, by its doc_id: the spans as JSON, and their error.
+_WRONG = ['[{"start": 0, "end": 1, "label": "ORG"}]', '"none"', "[7]", '[{"start": 0.5, "end": 1, "label": "ORG"}]', '[{"start": 1, "end": 1, "label": "ORG"}]', '[{"start": 0, "end": 1, "label": 3}]', '[{"start": 0, "end": 1, "label": "  "}]']
+
+
+def source_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as lines most of which have something wrong, read back through the data source: what can be used and what is reported."""
+    path = shared.new_path(spark, "lines")
+    text = F.when(F.col("doc_id") % 11 == 0, F.lit("5")).otherwise(F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9))
+    of = F.element_at(F.array(*map(F.lit, _WRONG)), (F.col("doc_id") % len(_WRONG) + 1).cast("int"))
+    line = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "text": '), text, F.lit(', "spans": '), of, F.lit("}"))
+    X.documents(spark, sf).select(F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(path)
+    rows = spans_source.register(spark).read.format("spans").load(path)
+    found = rows.select(F.coalesce("doc_id", F.lit("-")).alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.size(F.coalesce("spans", F.array())).cast("long").alias("n_spans"), F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["at"].cast("string"), e["reason"])), ";").alias("errors"))
+    return found.groupBy("doc_id", "text_md5", "n_spans", "errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lateral_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Pattern matches of all documents by a table function of SQL."""
+    tables.register(spark)
+    X.documents(spark, sf).createOrReplaceTempView("_lateral_documents")
+    return spark.sql("SELECT d.doc_id, s.label, s.start, s.end, s.value FROM _lateral_documents d, LATERAL regex_spans(d.text) s")
+
+
 def resumed_texts(spark: SparkSession, sf: str) -> DataFrame:
     """What a second run adds to a history of texts that a first run, of source src0, began, and how many texts that held."""
     docs, path = X.documents(spark, sf).select("doc_id", "text", "source"), shared.new_path(spark, "history")
@@ -96,7 +120,7 @@ def metric_report(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("value_f1", F.round(f1, 6))
 
 
-QUERIES = {f.__name__: f for f in (redact_inline, event_windows, numbered_documents, paired_rows, companion_rows, concatenated_json, resumed_texts, unseen_texts, json_roundtrip, metric_report)}
+QUERIES = {f.__name__: f for f in (redact_inline, event_windows, numbered_documents, paired_rows, companion_rows, concatenated_json, source_errors, lateral_spans, resumed_texts, unseen_texts, json_roundtrip, metric_report)}
 
 ORACLES = {
     "redact_inline": spans.ORACLES["redact_text"].replace("SELECT doc_id, lang, n_spans, md5(r) AS redacted_md5, length(r) AS n_chars FROM texts", "SELECT doc_id, md5(r) AS redacted_md5 FROM texts"),
@@ -105,6 +129,11 @@ ORACLES = {
     "paired_rows": "SELECT row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS row, doc_id, doc_id AS pred_id, md5(text) AS text_md5, md5(text) AS pred_md5, lang AS label FROM documents",
     "companion_rows": "SELECT doc_id, length(text) AS n_chars, 0::BIGINT AS start, length(text) AS \"end\", CASE WHEN doc_id % 3 = 0 THEN 'KEEP' ELSE 'REDACT' END AS sensitivity FROM documents",
     "concatenated_json": """SELECT doc_id, md5('{"' || text || '\\"}') AS text_md5 FROM documents""",
+    "source_errors": """WITH e AS (SELECT doc_id, text, doc_id % 11 = 0 AS no_text, doc_id % 7 AS k FROM documents),
+q AS (SELECT CASE WHEN doc_id % 13 = 0 THEN '-' ELSE doc_id::VARCHAR END AS doc_id, md5(CASE WHEN doc_id % 13 = 0 OR no_text THEN '' ELSE text END) AS text_md5, CASE WHEN doc_id % 13 = 0 OR no_text OR k <> 0 THEN 0 WHEN text = '' THEN 0 ELSE 1 END AS n_spans,
+  CASE WHEN doc_id % 13 = 0 THEN 'not JSON' ELSE coalesce(array_to_string([CASE WHEN no_text THEN 'text:row text is not a string' END, CASE WHEN k = 1 THEN 'spans:spans is not a list' WHEN k = 2 THEN 'spans:0:span is not an object' WHEN k = 3 THEN 'spans:0:start/end are not ints' WHEN no_text THEN NULL WHEN k = 4 OR text = '' THEN 'spans:0:invalid bounds' WHEN k = 5 THEN 'spans:0:label is not a string' WHEN k = 6 THEN 'spans:0:label is empty' END], ';'), '') END AS errors FROM e)
+SELECT doc_id, text_md5, n_spans, errors, count(*) AS n FROM q GROUP BY ALL""",
+    "lateral_spans": "WITH" + X.GOLD + ' SELECT doc_id, label, start, "end", value FROM gold',
     "resumed_texts": "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5, (SELECT count(DISTINCT text) FROM documents WHERE source = 'src0') AS n_seen FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
     "unseen_texts": "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
     "json_roundtrip": "WITH" + X.GOLD + " SELECT doc_id, start, \"end\", label, value FROM gold",

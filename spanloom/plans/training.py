@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import costs, detect, labelling, negatives, supervise, tokens
+from ..operators import costs, detect, labelling, negatives, supervise, tokens, vectors
 from . import fixtures as X
 from . import spans as S
 
@@ -151,6 +151,18 @@ def split_train_valid(spark: SparkSession, sf: str) -> DataFrame:
     return supervise.split(X.documents(spark, sf).select("doc_id", "source"), "source", "doc_id", 9, 10)
 
 
+def span_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as the vectors of sixteen tokens, and two spans on each: their vectors' sums."""
+    rows = X.table(spark, sf, "embeddings")
+    hidden = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda v: v.cast("double")))
+    ts = F.array(F.col("vec_id") % 9, F.lit(0).cast("long"))
+    docs = rows.select("vec_id", hidden.alias("hidden"), ts.alias("ts"), F.array(F.col("vec_id") % 9 + F.col("vec_id") % 8, F.lit(15).cast("long")).alias("te"))
+    spans = docs.select("vec_id", F.explode(F.arrays_zip("ts", "te")).alias("s")).select("vec_id", "s.ts", "s.te")
+    made = vectors.represented(docs, spans, "vec_id", [[float(k)] for k in range(4)])
+    total = lambda a, n: F.round(F.aggregate(F.slice("vector", a, n), F.lit(0.0), lambda acc, v: acc + v), 6)
+    return made.select("vec_id", "ts", "te", total(1, 4).alias("first"), total(5, 4).alias("last"), total(9, 4).alias("mean"), F.get("vector", F.lit(12)).alias("width"))
+
+
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.table(spark, sf, "embeddings")
     return rows.select("vec_id", "label", F.transform(F.slice("embedding", 1, 14), lambda v: v.cast("double")).alias("x"))
@@ -192,7 +204,7 @@ def budget_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bio_labels, bio_decode, bio_specials, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, negative_share, split_train_valid, softmax_argmax, losses, usage_cost, budget_cutoff)
+    for f in (bio_labels, bio_decode, bio_specials, supervision_types, supervision_sensitivity, gold_merge, soft_type_targets, soft_redaction_targets, calibrate_thresholds, none_prevalence, reachability, negative_sampling, negative_budgets, negative_share, split_train_valid, span_vectors, softmax_argmax, losses, usage_cost, budget_cutoff)
 }
 
 _T = S._TOKS_OF_GOLD
@@ -266,6 +278,8 @@ SELECT doc_id, positive, hard, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts,
     "negative_share": _T + _PLACED + _EVERY + _KINDS + _placed_draws("share", "q") + """,
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, positive ORDER BY j) AS k, count(*) OVER (PARTITION BY doc_id, positive) AS al FROM drawn)
 SELECT doc_id, positive, hard, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, CAST(sum(te) AS BIGINT) AS sum_te FROM k WHERE positive OR k <= floor(al * 0.05::DOUBLE + 1e-9) GROUP BY ALL""",
+    "span_vectors": """WITH d AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, unnest([struct_pack(ts := vec_id % 9, te := vec_id % 9 + vec_id % 8), struct_pack(ts := 0::BIGINT, te := 15::BIGINT)]) AS s FROM embeddings)
+SELECT vec_id, s.ts AS ts, s.te AS te, round(list_sum(x[4 * s.ts + 1 : 4 * s.ts + 4]), 6) AS first, round(list_sum(x[4 * s.te + 1 : 4 * s.te + 4]), 6) AS last, round(list_sum(x[4 * s.ts + 1 : 4 * s.te + 4]) / (s.te - s.ts + 1), 6) AS mean, least(s.te - s.ts, 3)::DOUBLE AS width FROM d""",
     "split_train_valid": "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('split:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN rn <= ceil(n * 9 / 10) THEN 'train' ELSE 'valid' END AS part FROM r",
     "softmax_argmax": _LOGITS + " SELECT vec_id, round(list_max(ex) / z, 6) AS confidence, CAST(list_position(x, top) - 1 AS INT) AS predicted FROM p",
     "losses": _LOGITS + ", y AS (SELECT *, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE label % 14 END AS y FROM p), v AS (SELECT CASE WHEN y <> -100 THEN -ln(ex[CAST(y + 1 AS INT)] / z) END AS hard, CASE WHEN y <> -100 THEN CASE WHEN y = 0 THEN -0.8 * ln(ex[1] / z) / 0.8 ELSE -0.8 * ln(ex[CAST(y + 1 AS INT)] / z) - 0.2 * ln(ex[1] / z) END END AS soft FROM y) SELECT round(coalesce(avg(hard), 0), 6) AS hard, round(coalesce(avg(soft), 0), 6) AS soft, count(hard) AS n FROM v",

@@ -1,7 +1,9 @@
 """Scorers, SQL functions, reports and the command line."""
 
 import json
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from spanloom import __main__ as cli
 from spanloom import catalog
 from spanloom.functions import columns as C
 from spanloom.functions import sql
-from spanloom.operators import detect, report, score
+from spanloom.operators import report, score, vectors
 
 TEXT = "Mail a.b@cd.ef or call +1 (706) 555-3138 now."
 
@@ -47,9 +49,22 @@ def test_logits_and_windows(spark):
 
 
 def test_represented(spark):
-    rows = [(1, 0, 1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]])]
-    df = spark.createDataFrame(rows, "doc_id long, ts long, te long, hidden array<array<double>>")
-    assert score.represented(df, "doc_id").first().vector == [1.0, 2.0, 3.0, 4.0, 2.0, 3.0]
+    docs = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]), (2, None)], "doc_id long, hidden array<array<double>>")
+    spans = spark.createDataFrame([(1, 0, 1), (1, 1, 3), (1, None, 1), (1, 2, 2), (2, 0, 0), (3, 0, 0)], "doc_id long, ts long, te long")
+    got = {(r.doc_id, r.ts, r.te): r.vector for r in vectors.represented(docs, spans, "doc_id", [[0.5], [0.25]]).collect()}
+    assert got == {(1, 0, 1): [1.0, 2.0, 3.0, 4.0, 2.0, 3.0, 0.25], (1, 1, 3): None, (1, None, 1): None, (1, 2, 2): [9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 0.5], (2, 0, 0): None}
+
+
+def test_wide_spans_take_no_longer():
+    rng = np.random.default_rng(1)
+    hidden = rng.standard_normal((20_000, 16))
+    ts = rng.integers(0, 10_000, 20_000)
+    te = ts + rng.integers(0, 10_000, 20_000)
+    begun = time.monotonic()
+    made = vectors.of_spans(hidden, ts, te)
+    assert time.monotonic() - begun < 2
+    for k in range(0, 20_000, 1999):
+        assert made[k, 32:] == pytest.approx(hidden[ts[k] : te[k] + 1].mean(0))
 
 
 @pytest.mark.parametrize("spans", [(5, 8, 5, 8), (10, 12, 11, 13), (0, 3, 5, 9), (0, 10, 2, 4)])
