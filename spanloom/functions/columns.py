@@ -45,6 +45,11 @@ def safe_label(c: Column) -> Column:
     return F.when(c.isNull() | (strip(c) == ""), "UNKNOWN").otherwise(F.upper(strip(c)))
 
 
+def safe_value(c: Column) -> Column:
+    """A value, empty where there is none."""
+    return F.coalesce(c, F.lit(""))
+
+
 def sensitivity(category: Column) -> Column:
     return F.try_element_at(literal_map(vocab.SENSITIVITY), F.upper(category))
 

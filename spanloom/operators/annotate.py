@@ -133,6 +133,18 @@ def spans_of(spans: Column, items: Column) -> Column:
     return F.coalesce(spans, made, F.array().cast("array<struct<start:bigint,end:bigint,label:string>>"))
 
 
+def gold_rows(spans: Column, items: Column) -> Column:
+    """All that a row's spans and its items say is gold, one after the other, both of them: struct(start, end, label), aliases of names and labels resolved, unknown labels kept. What has no offsets or no label, or NONE, is left out; a missing list is an empty one."""
+
+    def form(s: Column) -> Column:
+        pair = s["start"].isNull() | s["end"].isNull()
+        label = C.label_kept(F.coalesce(s["label"], s["entity_type"]))
+        return F.struct(F.when(pair, s["start_position"]).otherwise(s["start"]).alias("start"), F.when(pair, s["end_position"]).otherwise(s["end"]).alias("end"), label.alias("label"))
+
+    some = [F.coalesce(F.transform(c, form), F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")) for c in (spans, items)]
+    return F.filter(F.concat(*some), lambda s: s["start"].isNotNull() & s["end"].isNotNull() & F.coalesce((s["label"] != "NONE") & (s["label"] != ""), F.lit(False)))
+
+
 def spans_of_category(text: Column, items: Column, category: str) -> Column:
     """Items of the very category as spans (start, end, label, value) in order; a value that is missing is taken from the text."""
     some = F.filter(items, lambda i: i["category"] == category)

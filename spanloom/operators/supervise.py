@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import columns as C
 
 
@@ -131,9 +132,19 @@ def weighted_sum(losses: dict[str, Column], weights: dict[str, float]) -> Column
     return total
 
 
-def only_redact(spans: DataFrame) -> DataFrame:
-    """Gold spans that are to be redacted: of sensitivity REDACT, with offsets."""
-    return spans.filter("upper(sensitivity) = 'REDACT' and start is not null and end is not null")
+def typed(spans: DataFrame) -> DataFrame:
+    """Gold spans that types are learned from: with offsets, a label of the taxonomy that isn't NONE, and a category other than NON_PII_NUMBER."""
+    known = F.col("label").isin(vocab.LABELS) & ~F.coalesce(F.col("category") == "NON_PII_NUMBER", F.lit(False))
+    return spans.filter(F.col("start").isNotNull() & F.col("end").isNotNull() & known)
+
+
+def redact_places(items: DataFrame, companions: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, start, end, value of the places to redact: the last item of a place whose category says so (key, start, end, category, value, ord), and companions of sensitivity REDACT (key, start, end, sensitivity, value, ord) where no item is, the first of a place. A missing value is taken from the document's text; rows without offsets are left out."""
+    real = items.filter(F.coalesce(C.sensitivity(F.col("category")) == "REDACT", F.lit(False))).select(key, "start", "end", "value", F.lit(1).alias("side"), F.col("ord").alias("at"))
+    more = companions.filter("sensitivity = 'REDACT'").select(key, "start", "end", "value", F.lit(0).alias("side"), (-F.col("ord")).alias("at"))
+    best = real.unionByName(more).filter("start is not null and end is not null").groupBy(key, "start", "end").agg(F.max_by(F.struct("value"), F.struct("side", "at"))["value"].alias("value"))
+    rows = best.join(docs.select(key, F.col(text).alias("_text")), key)
+    return rows.select(key, "start", "end", F.coalesce("value", C.slice_text(F.col("_text"), F.col("start"), F.col("end"))).alias("value"))
 
 
 def split(rows: DataFrame, group: str, key: str, part: int, whole: int) -> DataFrame:

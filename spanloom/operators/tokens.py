@@ -289,3 +289,25 @@ def spread(rows: DataFrame, keep: list[str], text: str, containing: bool = False
     on = rows.select(*keep, "spans", aligned(F.col(text), F.col("spans.start"), F.col("spans.end"), containing).alias("_t"))
     each = on.select(*keep, F.explode(F.arrays_zip("spans", F.col("_t.ts").alias("ts"), F.col("_t.te").alias("te"))).alias("_z"))
     return each.select(*keep, "_z.spans.*", "_z.ts", "_z.te")
+
+
+def _invalid(offsets_: Column) -> Column:
+    return lambda k: (F.get(offsets_["s"], k.cast("int")) == 0) & (F.get(offsets_["e"], k.cast("int")) == 0)
+
+
+def candidates(offsets_: Column, most: int, by_rank: bool = False) -> Column:
+    """array of struct(ts, te): the token spans of at most ``most`` tokens of a struct(s, e) of offsets in which special tokens, (0, 0), may stand anywhere. A span ends before a special token; by_rank: special tokens are passed over instead and don't count."""
+    n = F.size(offsets_["s"])
+    special = _invalid(offsets_)
+    index = lambda k: k.cast("bigint")
+    every = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    valid = F.filter(every, lambda k: ~special(k))
+    if by_rank:
+        ends = lambda at: F.slice(valid, at + 1, most)
+        return F.flatten(F.transform(valid, lambda ts, at: F.transform(ends(at), lambda te: F.struct(index(ts).alias("ts"), index(te).alias("te")))))
+
+    def from_(ts: Column) -> Column:
+        run = F.filter(F.sequence(ts, F.least(ts + (most - 1), n.cast("bigint") - 1)), lambda te: ~F.exists(F.sequence(ts, te), special))
+        return F.transform(run, lambda te: F.struct(index(ts).alias("ts"), index(te).alias("te")))
+
+    return F.flatten(F.transform(valid, from_))

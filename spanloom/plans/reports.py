@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import shared, vocab
 from ..functions import columns as C
-from ..operators import annotate, costs
+from ..operators import annotate, costs, detect, resolve, supervise
 from ..operators import evaluate as E
 from ..sources import records
+from ..streaming import redaction
 from . import curation, scoring, training
 from . import fixtures as X
 from . import spans as S
@@ -72,6 +73,38 @@ def suspicious_gold(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(C.suspicious(F.col("text"), F.col("start"), F.col("end"), F.col("label"))).alias("n_suspicious"))
 
 
+def suspicious_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """As suspicious_gold(), over the spans and the items of documents together: gold spans stand in either or in both, under various names."""
+    span = "struct<start:bigint,end:bigint,start_position:bigint,end_position:bigint,label:string,entity_type:string>"
+    key = lambda s: F.concat(F.lit("side:"), F.col("doc_id").cast("string"), F.lit(":"), s["label"], F.lit(":"), s["start"].cast("string"))
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    form = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), none.alias("a"), none.alias("b"), F.lower(s["label"]).alias("label"), text.alias("t")).cast(span)
+    other = lambda s: F.struct(none.alias("start"), s["end"].alias("end"), s["start"].alias("a"), s["end"].alias("b"), text.alias("label"), s["label"].alias("t")).cast(span)
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    part = lambda low, high, make: F.transform(F.filter("spans", lambda s: (C.uniform(key(s)) >= low) & (C.uniform(key(s)) < high)), make)
+    rows = rows.select("text", F.explode(annotate.gold_rows(part(0.0, 0.7, form), part(0.4, 1.0, other))).alias("s")).select("text", "s.*")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(C.suspicious(F.col("text"), F.col("start"), F.col("end"), F.col("label"))).alias("n_suspicious"))
+
+
+def redact_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Places to redact from documents' items and companions: some of both stand at one place, some have a value of their own."""
+    u = C.uniform(X._key("place"))
+    rows = X.gold(spark, sf).withColumn("u", u)
+    value = F.when(F.col("u") < 0.5, F.upper("value"))
+    items = rows.filter("u < 0.8").select("doc_id", "start", "end", F.when(F.col("u") < 0.2, "PII_LOOKALIKE").otherwise("real_pii").alias("category"), value.alias("value"), F.hash("label").alias("ord"))
+    items = items.groupBy("doc_id", "start", "end").agg(F.max_by(F.struct("category", "value"), F.struct("category", "value")).alias("i")).select("doc_id", "start", "end", "i.category", "i.value", F.lit(0).alias("ord"))
+    more = rows.filter("u > 0.1").groupBy("doc_id", "start", "end").agg(F.min("u").alias("u")).select("doc_id", "start", "end", F.when(F.col("u") > 0.9, "KEEP").otherwise("REDACT").alias("sensitivity"), F.lit("companion").alias("value"), F.lit(0).alias("ord"))
+    found = supervise.redact_places(items, more, X.documents(spark, sf), "doc_id", "text")
+    return found.select("doc_id", "start", "end", F.md5("value").alias("value_md5"))
+
+
+def redact_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The redacted preview of every page: found, resolved and replaced within its row."""
+    rows = X.table(spark, sf, "pages").select("page_id", "html", redaction.kept(F.col("html")).alias("kept"))
+    rows = rows.select("page_id", F.size("kept").cast("bigint").alias("n_spans"), resolve.replaced(F.col("html"), F.col("kept"), redaction.marker).alias("redacted"))
+    return rows.select("page_id", "n_spans", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("bigint").alias("n_chars"))
+
+
 def enrich_counts(spark: SparkSession, sf: str) -> DataFrame:
     """For each document with gold its spans with values anew: how many, and how many had another value before; some had none or no offsets."""
     u = C.uniform(X._key("rich"))
@@ -129,7 +162,7 @@ def json_files(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("text").cast("bigint").alias("doc_id"), "converted", F.explode("spans").alias("s")).select("doc_id", "converted", "s.start", "s.end", "s.label")
 
 
-QUERIES = {f.__name__: f for f in (taxonomy_by_side, taxonomy_totals, metric_diagnostics, predictions_with_verdicts, reachability_report, multihead_eval, suspicious_gold, enrich_counts, export_counters, retry_advice, item_spans, endpoint_forms, json_files)}
+QUERIES = {f.__name__: f for f in (taxonomy_by_side, taxonomy_totals, metric_diagnostics, predictions_with_verdicts, reachability_report, multihead_eval, suspicious_gold, suspicious_rows, redact_places, redact_pages, enrich_counts, export_counters, retry_advice, item_spans, endpoint_forms, json_files)}
 
 _U = X.UNIFORM.format
 _BOTH = scoring._BOTH
@@ -167,6 +200,9 @@ e7 AS (SELECT count(*) AS n_places, round(avg((p = g)::INT), 6) AS accuracy, rou
 SELECT (SELECT count(*) FROM documents) AS n_docs, * FROM e1, e2, e3, e4, e5, e6, e7"""
 )
 _CARD = "length(regexp_replace(value, '[^0-9]', '', 'g'))"
+_SUSPICIOUS = f""", s AS (SELECT g.*, {scoring._STRIP.format('g.value')} AS bare, CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END AS b, substr(text, "end" + 1, 1) AS a FROM GOLD_ROWS g JOIN documents USING (doc_id)),
+j AS (SELECT label, coalesce(CASE WHEN bare = '' THEN true WHEN label = 'EMAIL' THEN NOT regexp_matches(bare, '{vocab.WHOLE_EMAIL}') WHEN label = 'IP_ADDRESS' THEN NOT regexp_matches(bare, '{vocab.WHOLE_IP}') WHEN label = 'CREDIT_CARD' THEN {_CARD} < 13 OR regexp_matches(b, '^[0-9]$') OR regexp_matches(a, '^[0-9]$') WHEN label = 'ADDRESS' THEN regexp_matches(value, '[0-9]$') AND regexp_matches(a, '^[0-9]$') END, false) AS bad FROM s)
+SELECT label, count(*) AS n, count(*) FILTER (bad) AS n_suspicious FROM j GROUP BY label"""
 ORACLES = {
     "taxonomy_by_side": _SIDES + " SELECT * FROM bysides",
     "taxonomy_totals": _SIDES + " SELECT " + ", ".join(_TOTAL(k, s) for k, s in (("tp", "pred"), ("merged_to_tp", "pred"), ("fp", "pred"), ("fn", "gold"), ("subset", "gold"), ("superset", "gold"), ("mismatch", "gold"))) + ", array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM bysides",
@@ -176,9 +212,13 @@ o AS (SELECT count(*) AS wrong_place, count(*) FILTER ("overlaps") AS wrong_plac
     "predictions_with_verdicts": _BOTH + ', p AS (SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start, "end", label) AS rank, label, start, "end", score FROM pred) WHERE rank <= 3) SELECT p.doc_id, p.rank, p.label, p.start, p."end", p.score, ' + _VERDICT + ' FROM p LEFT JOIN gold g ON g.doc_id = p.doc_id AND greatest(g.start, p.start) < least(g."end", p."end") GROUP BY p.doc_id, p.rank, p.label, p.start, p."end", p.score',
     "reachability_report": S._TOKS_OF_GOLD + training._PLACED + ", c AS (SELECT label, count(*) AS total, count(*) FILTER (te - ts < 12) AS reachable FROM placed GROUP BY label), r AS (SELECT *, round(reachable / total, 6) AS rate FROM c) SELECT 'ALL' AS label, CAST(sum(total) AS BIGINT) AS total, CAST(sum(reachable) AS BIGINT) AS reachable, round(sum(reachable) / sum(total), 6) AS rate FROM c UNION ALL (SELECT * FROM r ORDER BY rate, label LIMIT 5)",
     "multihead_eval": _EVAL,
-    "suspicious_gold": "WITH" + X.GOLD + f""", s AS (SELECT g.*, {scoring._STRIP.format('g.value')} AS bare, CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END AS b, substr(text, "end" + 1, 1) AS a FROM gold g JOIN documents USING (doc_id)),
-j AS (SELECT label, coalesce(CASE WHEN bare = '' THEN true WHEN label = 'EMAIL' THEN NOT regexp_matches(bare, '{vocab.WHOLE_EMAIL}') WHEN label = 'IP_ADDRESS' THEN NOT regexp_matches(bare, '{vocab.WHOLE_IP}') WHEN label = 'CREDIT_CARD' THEN {_CARD} < 13 OR regexp_matches(b, '^[0-9]$') OR regexp_matches(a, '^[0-9]$') WHEN label = 'ADDRESS' THEN regexp_matches(value, '[0-9]$') AND regexp_matches(a, '^[0-9]$') END, false) AS bad FROM s)
-SELECT label, count(*) AS n, count(*) FILTER (bad) AS n_suspicious FROM j GROUP BY label""",
+    "suspicious_gold": "WITH" + X.GOLD + _SUSPICIOUS.replace("GOLD_ROWS", "gold"),
+    "suspicious_rows": "WITH" + X.GOLD + f""", su AS (SELECT *, {_U("'side:' || doc_id || ':' || label || ':' || start")} AS u FROM gold), sides AS (SELECT * FROM su WHERE u < 0.7 UNION ALL SELECT * FROM su WHERE u >= 0.4)""" + _SUSPICIOUS.replace("GOLD_ROWS", "sides"),
+    "redact_places": "WITH" + X.GOLD + f""", pu AS (SELECT *, {_U("'place:' || doc_id || ':' || label || ':' || start")} AS u FROM gold),
+pi AS (SELECT doc_id, start, "end", max((CASE WHEN u < 0.2 THEN 'PII_LOOKALIKE' ELSE 'real_pii' END, coalesce(CASE WHEN u < 0.5 THEN upper(value) END, ''))) AS i, any_value(value) AS own FROM pu WHERE u < 0.8 GROUP BY ALL),
+pc AS (SELECT doc_id, start, "end", min(u) AS u FROM pu WHERE u > 0.1 GROUP BY ALL)
+SELECT doc_id, start, "end", md5(CASE WHEN i[1] = 'real_pii' THEN coalesce(nullif(i[2], ''), own) ELSE 'companion' END) AS value_md5 FROM pi FULL JOIN pc USING (doc_id, start, "end") WHERE i[1] = 'real_pii' OR pc.u <= 0.9""",
+    "redact_pages": "WITH pages_ AS (SELECT page_id AS doc_id, html AS text, '' AS lang FROM pages)," + S.ORACLES["redact_text"][4:].replace("FROM documents", "FROM pages_").replace("SELECT doc_id, lang, n_spans, md5(r)", "SELECT doc_id AS page_id, n_spans, md5(r)"),
     "enrich_counts": "WITH" + X.GOLD + f""", u AS (SELECT *, {_U("'rich:' || doc_id || ':' || label || ':' || start")} AS u FROM gold),
 o AS (SELECT doc_id, u < 0.9 AS has, value, CASE WHEN u < 0.3 THEN upper(value) WHEN u < 0.5 THEN NULL ELSE value END AS old FROM u)
 SELECT doc_id, count(*) FILTER (has) AS updated, count(*) FILTER (has AND old <> value) AS mismatched, md5(array_to_string(list_sort(list(CASE WHEN has THEN value ELSE coalesce(old, '-') END)), '|')) AS values_md5 FROM o GROUP BY doc_id""",

@@ -33,6 +33,14 @@ def read(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
     return (read_whole if path.endswith(".json") else read_lines)(spark, path, schema)
 
 
+def read_training(spark: SparkSession, path: str) -> DataFrame:
+    """text and spans of training files, read by their names' endings: spans in the one form, those without offsets or a label left out. A row without a text, or whose spans aren't a list of objects, fails the job."""
+    rows = read(spark, path)
+    text = text_of(rows)
+    some = F.filter(F.transform(F.coalesce("spans", F.array().cast(f"array<{ALIASED}>")), lambda s: annotate.normalised(s, text)), lambda s: s.isNotNull() & s["label"].isNotNull())
+    return rows.select(F.coalesce(text, F.raise_error(F.lit(f"{path}: a row has neither text nor full_text"))).alias("text"), some.alias("spans"))
+
+
 def read_concatenated(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
     """path, idx and the fields of objects printed one after another, over as many lines as they take; files are read in blocks, see concatenated.read_objects()."""
     rows = concatenated.read_objects(spark, path)
