@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import columns as C
-from . import detect, resolve, tokens
+from . import detect, intervals, resolve, tokens
 
 #: From documents (key, text) to spans (key, label, start, end, score).
 Scorer = Callable[[DataFrame, str, str], DataFrame]
@@ -44,11 +44,19 @@ def by_logits(candidates: DataFrame, key: str, types: str, redact: str, docs: Da
     return each.select(key, "z.c.label", "z.start", "z.end", "z.c.score", "z.c.type_confidence", "z.c.redact_probability")
 
 
-def least_by_label(thresholds: dict[str, float], default: float) -> Column:
+def least_by_label(thresholds: dict[str, float], default: float, label: Column | None = None) -> Column:
     """The label's own threshold, or the default."""
     if not thresholds:
         return F.lit(default)
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv)), F.col("label")), F.lit(default))
+    named = F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))
+    return F.coalesce(F.try_element_at(named, F.col("label") if label is None else label), F.lit(default))
+
+
+def _least(threshold: float | dict[str, float], label: Column | None = None) -> Column:
+    """One for all, or by label with "" for the others."""
+    if isinstance(threshold, dict):
+        return least_by_label({k: v for k, v in threshold.items() if k}, threshold.get("", 0.5), label)
+    return F.lit(threshold)
 
 
 def decoded_by_label(scored: DataFrame, key: str, thresholds: dict[str, float], default: float = 0.2, same: float = 0.35, cross: float | None = 0.70) -> DataFrame:
@@ -59,23 +67,24 @@ def decoded_by_label(scored: DataFrame, key: str, thresholds: dict[str, float],
 
 def decoded(scored: DataFrame, docs: DataFrame, key: str, text: str, threshold: float | dict[str, float] = 0.5, iou: float = 0.5) -> DataFrame:
     """Spans at or over the threshold (one for all, or by label with "" for the others), trimmed, and suppressed where they overlap."""
-    if isinstance(threshold, dict):
-        least = least_by_label({k: v for k, v in threshold.items() if k}, threshold.get("", 0.5))
-    else:
-        least = F.lit(threshold)
-    rows = scored.filter((F.col("score") >= least) & ~F.isnan("score")).join(docs.select(key, text), key)
+    rows = scored.filter((F.col("score") >= _least(threshold)) & ~F.isnan("score")).join(docs.select(key, text), key)
     rows = rows.withColumn("t", C.trimmed_span(F.col(text), F.col("start"), F.col("end"))).filter("t is not null").select(key, "label", "t.start", "t.end", "score")
     order = Window.partitionBy(key).orderBy("start", "end", "label", "score")
     return resolve.suppressed(rows.withColumn("ord", F.row_number().over(order).cast("bigint")), key, iou)
 
 
 def infer(docs: DataFrame, key: str, text: str, scorer: Scorer = by_patterns, threshold: float | dict[str, float] = 0.5) -> DataFrame:
-    """docs with redacted, n_spans and redactions (label, start, end, value, score)."""
-    spans = decoded(scorer(docs, key, text), docs, key, text, threshold)
-    out = resolve.rewritten(docs, spans, key, text, F.concat(F.lit("[REDACTED:"), F.col("label"), F.lit("]")))
-    valued = spans.join(docs.select(key, text), key).withColumn("value", C.slice_text(F.col(text), F.col("start"), F.col("end")))
-    listed = valued.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "value", "score"))).alias("redactions"))
-    return out.join(listed, key, "left")
+    """docs with redacted, n_spans and redactions (label, start, end, value, score; null without any): as decoded(), but a document's spans meet its text once, and all else is done in its row."""
+    body = F.col(text)
+    lists = scorer(docs, key, text).groupBy(key).agg(F.collect_list(F.struct("label", "start", "end", "score")).alias("_scored"))
+    good = F.filter("_scored", lambda s: (s["score"] >= _least(threshold, s["label"])) & ~F.isnan(s["score"]))
+    tried = F.transform(good, lambda s: F.struct((-s["score"]).alias("rank"), C.trimmed_span(body, s["start"], s["end"]).alias("t"), s["label"].alias("label"), s["score"].alias("score")))
+    ranked = F.array_sort(F.transform(F.filter(tried, lambda s: s["t"].isNotNull()), lambda s: F.struct(s["rank"].alias("rank"), s["t"]["start"].alias("start"), s["t"]["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"))))
+    rows = docs.join(lists, key, "left").withColumn("_ranked", ranked).drop("_scored")
+    rows = rows.withColumn("_kept", F.array_sort(F.transform(intervals.picked(F.col("_ranked"), intervals.disjoint(F.col("_ranked"), 0.5)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), C.slice_text(body, s["start"], s["end"]).alias("value"), s["score"].alias("score")))))
+    none = F.coalesce("_kept", F.array())
+    redacted = F.when(F.size(none) > 0, resolve.replaced(body, F.col("_kept"), lambda label, _: F.concat(F.lit("[REDACTED:"), label, F.lit("]")))).otherwise(body)
+    return rows.withColumns({"redacted": redacted, "n_spans": F.size(none).cast("bigint"), "redactions": F.when(F.size(none) > 0, F.col("_kept"))}).drop("_ranked", "_kept")
 
 
 def merged_windows(scored: DataFrame, key: str, iou: float = 0.5) -> DataFrame:
