@@ -225,7 +225,7 @@ SELECT doc_id, count(*) FILTER (has) AS updated, count(*) FILTER (has AND old <>
     "export_counters": curation.ORACLES["malformed_spans"].replace("SELECT doc_id, start AS ord", ", e AS (SELECT doc_id, start AS ord", 1)
     + ") SELECT (SELECT count(*) FROM documents) AS n_docs, count(DISTINCT doc_id) AS n_rows, count(*) FILTER (reason IS NULL) AS n_emitted, count(reason) AS n_malformed, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS n_reason_{k}" for k, r in enumerate(("row text is not a string", "start/end are not ints", "invalid bounds", "label is not a string", "label is empty"))) + " FROM e",
     "retry_advice": curation._ITEMS + ", s AS (SELECT reason, count(*) AS n, min(doc_id) AS seen FROM r WHERE status = 'RETRY' GROUP BY reason), t AS (SELECT * FROM s ORDER BY n DESC, seen LIMIT 3) SELECT string_agg(reason || ' (x' || n || ')', '; ' ORDER BY n DESC, seen) AS advice FROM t",
-    "item_spans": curation._ITEMS.replace("r AS (SELECT doc_id, CASE WHEN", "r AS (SELECT doc_id, CASE WHEN") + """ SELECT doc_id, 'real' AS of, start, "end", lab AS label, NULL::VARCHAR AS value_md5 FROM c WHERE cat = 'REAL_PII' UNION ALL SELECT doc_id, 'lookalike', start, "end", lab, md5(line) FROM c WHERE cat = 'PII_LOOKALIKE'""",
+    "item_spans": curation._ITEMS + """ SELECT doc_id, 'real' AS of, start, "end", lab AS label, NULL::VARCHAR AS value_md5 FROM c WHERE cat = 'REAL_PII' UNION ALL SELECT doc_id, 'lookalike', start, "end", lab, md5(line) FROM c WHERE cat = 'PII_LOOKALIKE'""",
     "endpoint_forms": """
 WITH p AS (SELECT page_id, url, ['GPT-5 ', 'x/Model.GGUF', 'gpt-5.4', 'unheard-of'][CAST(page_id % 4 + 1 AS INT)] AS model, regexp_replace(url, '/+$', '') AS bare FROM pages)
 SELECT page_id, CASE WHEN bare = '' THEN NULL WHEN ends_with(bare, '/v1') THEN bare ELSE bare || '/v1' END AS base_url, CASE WHEN regexp_matches(url, '[^/.]\\.[^./]*$') THEN regexp_replace(url, '([^/.])(\\.[^./]*)$', '\\1.with_values\\2') ELSE url || '.with_values' END AS with_values,

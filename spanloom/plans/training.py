@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import columns as C
 from ..operators import costs, detect, labelling, negatives, supervise, tokens, vectors
 from . import fixtures as X
@@ -165,7 +166,9 @@ def span_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.table(spark, sf, "embeddings")
-    return rows.select("vec_id", "label", F.transform(F.slice("embedding", 1, 14), lambda v: v.cast("double")).alias("x"))
+    # as many logits as there are labels, each the sum of its share of the whole embedding
+    share = lambda k: F.aggregate(F.filter("embedding", lambda _, i: i % len(vocab.TRAINING_LABELS) == k), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return rows.select("vec_id", "label", F.transform(F.sequence(F.lit(0), F.lit(len(vocab.TRAINING_LABELS) - 1)), share).alias("x"))
 
 
 def softmax_argmax(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +239,7 @@ _U = X.UNIFORM.format
 _ANN = f""", r AS (SELECT *, {_U("'origin:' || doc_id || ':' || label || ':' || start")} AS u, {_U("'over:' || doc_id || ':' || label || ':' || start")} AS o, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS ord FROM gold),
 ann AS (SELECT doc_id, start, "end", label, ord, 'item' AS origin, CASE WHEN u < 0.2 THEN 'KEEP' WHEN u < 0.4 THEN 'REDACT' END AS sensitivity FROM r WHERE u < 0.7
   UNION ALL SELECT doc_id, start, "end", CASE WHEN u < 0.5 THEN 'OTHER' ELSE label END, ord, 'span', NULL FROM r WHERE u > 0.3)"""
-_LOGITS = "WITH l AS (SELECT vec_id, label, list_transform(embedding[1:14], lambda v: v::DOUBLE) AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM l), e AS (SELECT *, list_transform(x, lambda v: exp(v - top)) AS ex FROM m), p AS (SELECT *, list_sum(ex) AS z FROM e)"
+_LOGITS = "WITH l AS (SELECT vec_id, label, list_transform(range(0, 14), lambda k: list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_filter(range(1, len(embedding) + 1), lambda i: (i - 1) % 14 = k), lambda i: embedding[i]::DOUBLE)), lambda a, v: a + v)) AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM l), e AS (SELECT *, list_transform(x, lambda v: exp(v - top)) AS ex FROM m), p AS (SELECT *, list_sum(ex) AS z FROM e)"
 _CALLS = """WITH c AS (SELECT conv_id, turn, ['gpt-5', 'GPT-5-mini ', 'gpt-5-pro', 'gpt-5.4', 'unheard-of'][CAST(conv_id % 5 + 1 AS INT)] AS model, length(text) * 3000 AS i, least(length(text) * 100 * (turn + 1), length(text) * 3000) AS k, length(text) * 10 AS o FROM conversations),
 p AS (SELECT *, CASE conv_id % 5 WHEN 0 THEN 1.25 WHEN 2 THEN 15.0 WHEN 3 THEN CASE WHEN i > 272000 THEN 5.0 ELSE 2.5 END ELSE 0.25 END::DOUBLE AS pi,
   CASE conv_id % 5 WHEN 0 THEN 0.125 WHEN 2 THEN 15.0 WHEN 3 THEN CASE WHEN i > 272000 THEN 0.5 ELSE 0.25 END ELSE 0.025 END::DOUBLE AS pk,
