@@ -16,43 +16,47 @@ def marked(label: Column, value: Column) -> Column:
     return F.concat(F.lit("[[REAL_PII:"), label, F.lit("|"), value, F.lit("]]"))
 
 
+def _mark(m: Column) -> Column:
+    """struct(root, sub, name, value, wrong) of what a marker holds; value is empty where it is wrong."""
+    left = F.substring_index(m, "|", 1)
+    value = F.substring(m, F.length(left) + 2, F.length(m))
+    root = F.upper(C.strip(F.substring_index(left, ":", 1)))
+    sub = C.strip(F.substring(left, F.length(F.substring_index(left, ":", 1)) + 2, F.length(left)))
+    wrong = (
+        F.when(~m.contains("|") | ~left.contains(":"), "marker without root, label and value")
+        .when(value == "", "empty value")
+        .when(~root.isin("REAL_PII", "PII_LOOKALIKE", "NON_PII"), "unknown root")
+        .when((root != "NON_PII") & ~F.upper(sub).isin(vocab.LABELS), "unknown label")
+    )
+    return F.struct(root.alias("root"), sub.alias("sub"), F.upper(sub).alias("name"), F.when(wrong.isNull(), value).otherwise("").alias("value"), wrong.alias("wrong"))
+
+
 def parsed(annotated: Column) -> Column:
     """struct(text, items, error) of a text with markers [[ROOT:SUB|value]]: the plain text and the values' places in it.
 
-    error names the first marker that is wrong: no "|" or ":" before it, an empty value, an unknown root or label.
+    error names the first marker that is wrong: no "|" or ":" before it, an empty value, an unknown root or label. The
+    text is put together once, from its pieces, and where a value stands follows from the lengths of those before it.
     """
-    inner = F.regexp_extract_all(annotated, F.lit(MARKER), F.lit(1))
+    marks = F.transform(F.regexp_extract_all(annotated, F.lit(MARKER), F.lit(1)), _mark)
     plain = F.split(annotated, r"(?s)\[\[.*?\]\]", -1)
-    start = F.struct(F.get(plain, F.lit(0)).alias("text"), F.array().cast(f"array<{_ITEM}>").alias("items"), F.lit(None).cast("string").alias("error"))
-
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(inner, i)
-        left = F.substring_index(m, "|", 1)
-        value = F.substring(m, F.length(left) + 2, F.length(m))
-        root = F.upper(C.strip(F.substring_index(left, ":", 1)))
-        sub = C.strip(F.substring(left, F.length(F.substring_index(left, ":", 1)) + 2, F.length(left)))
-        name = F.upper(sub)
-        wrong = (
-            F.when(~m.contains("|") | ~left.contains(":"), "marker without root, label and value")
-            .when(value == "", "empty value")
-            .when(~root.isin("REAL_PII", "PII_LOOKALIKE", "NON_PII"), "unknown root")
-            .when((root != "NON_PII") & ~name.isin(vocab.LABELS), "unknown label")
-        )
-        at = F.length(acc["text"]).cast("bigint")
-        item = F.struct(
-            at.alias("start"),
-            (at + F.length(value)).alias("end"),
-            root.alias("category"),
-            F.when(root != "NON_PII", name).alias("label"),
-            value.alias("value"),
-            F.when(root == "PII_LOOKALIKE", "public-context lookalike").when(root == "NON_PII", F.when(sub == "", "annotated").otherwise(sub)).alias("note"),
-        ).cast(_ITEM)
-        return F.struct(F.concat(acc["text"], F.when(wrong.isNull(), value).otherwise(""), F.get(plain, i + 1)).alias("text"), F.when(wrong.isNull(), F.array_append(acc["items"], item)).otherwise(acc["items"]).alias("items"), F.coalesce(acc["error"], wrong).alias("error"))
-
-    count = F.size(inner)
-    done = F.aggregate(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    open_ = F.when(F.get(plain, F.size(plain) - 1).contains("[["), "unterminated marker")
-    return F.struct(done["text"].alias("text"), done["items"].alias("items"), F.coalesce(done["error"], open_).alias("error"))
+
+    def whole(both: Column) -> Column:
+        marks, plain = both["marks"], both["plain"]
+        sizes = F.transform(marks, lambda m, k: (F.length(F.get(plain, k)) + F.length(m["value"])).cast("bigint"))
+        placed = F.zip_with(F.zip_with(marks, C.cumulated(sizes), lambda m, at: F.struct(m.alias("m"), at.alias("at"))), F.slice(plain, 1, F.size(marks)), lambda x, p: x.withField("at", (x["at"] + F.length(p)).cast("bigint")))
+
+        def item(x: Column) -> Column:
+            m = x["m"]
+            note = F.when(m["root"] == "PII_LOOKALIKE", "public-context lookalike").when(m["root"] == "NON_PII", F.when(m["sub"] == "", "annotated").otherwise(m["sub"]))
+            return F.struct(x["at"].alias("start"), (x["at"] + F.length(m["value"])).alias("end"), m["root"].alias("category"), F.when(m["root"] != "NON_PII", m["name"]).alias("label"), m["value"].alias("value"), note.alias("note")).cast(_ITEM)
+
+        text = F.concat(F.array_join(F.zip_with(F.slice(plain, 1, F.size(marks)), marks, lambda p, m: F.concat(p, m["value"])), ""), F.get(plain, F.size(marks)))
+        error = F.get(F.transform(F.filter(marks, lambda m: m["wrong"].isNotNull()), lambda m: m["wrong"]), F.lit(0))
+        open_ = F.when(F.get(plain, F.size(plain) - 1).contains("[["), "unterminated marker")
+        items = F.transform(F.filter(placed, lambda x: x["m"]["wrong"].isNull()), item)
+        return F.struct(text.alias("text"), F.coalesce(items, F.array().cast(f"array<{_ITEM}>")).alias("items"), F.coalesce(error, open_).alias("error"))
+
+    return F.transform(F.array(F.struct(marks.alias("marks"), plain.alias("plain"))), whole)[0]
 
 
 def _item_fault(i: Column, text: Column, labels: list[str]) -> Column:

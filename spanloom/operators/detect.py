@@ -17,28 +17,11 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.when(held, F.translate(text, OPEN + CLOSE, "\x03\x03")).otherwise(text), pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
-#: Array elements that are cumulated together: appending copies what is there.
-_RUN = 256
-
-
-def _cumulated(sizes: Column) -> Column:
-    """For each number the sum of those before it; in runs, so that the copying grows with the array and not with its square."""
-    none = F.array().cast("array<bigint>")
-
-    def sums(numbers: Column) -> Column:
-        first = F.struct(F.lit(0).cast("bigint").alias("sum"), none.alias("before"))
-        return F.aggregate(numbers, first, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))
-
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _RUN).cast("int")), lambda k: sums(F.slice(sizes, k * _RUN + 1, _RUN)))
-    long = F.transform(F.array(runs), lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, lambda x: x["sum"]))["before"], lambda x, at: F.transform(x["before"], lambda b: b + at))))[0]
-    return F.when(F.size(sizes) > 2 * _RUN, long).otherwise(sums(sizes)["before"])
-
-
 def places(cut: Column) -> Column:
     """array<struct<start, end>> of the matches, left to right, from a column of parts()."""
     # every part but the first begins with a match and holds U+0002
     sizes = F.transform(cut, lambda part, i: (F.length(part) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))
-    found = F.zip_with(cut, _cumulated(sizes), lambda part, at: F.struct(at.alias("start"), (at + F.locate(CLOSE, part) - 1).cast("bigint").alias("end")))
+    found = F.zip_with(cut, C.cumulated(sizes), lambda part, at: F.struct(at.alias("start"), (at + F.locate(CLOSE, part) - 1).cast("bigint").alias("end")))
     return F.slice(found, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
 
 

@@ -23,8 +23,11 @@ def regex_spans_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    toks = tokens.listed(X.documents(spark, sf), "doc_id", "text")
-    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("s").alias("sum_start"), F.sum("e").alias("sum_end"), F.sum(F.col("tok") * F.col("s") % 1009).alias("mixed"))
+    """How many tokens each document has, and sums of where they start and end, in its row."""
+    rows = X.documents(spark, sf).select("doc_id", tokens.offsets(F.col("text")).alias("o"))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    mixed = F.transform("o.s", lambda s, i: i.cast("bigint") * s % 1009)
+    return rows.filter("size(o.s) > 0").select("doc_id", F.size("o.s").cast("bigint").alias("n_tokens"), total(F.col("o.s")).alias("sum_start"), total(F.col("o.e")).alias("sum_end"), total(mixed).alias("mixed"))
 
 
 def candidate_counts(spark: SparkSession, sf: str) -> DataFrame:
