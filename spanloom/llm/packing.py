@@ -175,7 +175,8 @@ def _pack(path: str, end: int, tiers: tuple[int, ...], step: int, with_ids: bool
 def packed(docs: DataFrame, vocabulary: str, *, end: int = 1, tiers: tuple[int, ...] = TIERS, step: int = STEP, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each text (then the id ``end``) of ``docs`` (doc_id, text; other columns are left out).
 
-    A null text is an empty one: the end id alone. Rows of one doc_id, null too, are documents of their own.
+    A null text is an empty one: the end id alone. Rows of one doc_id, null too, are documents of their own. A text of
+    any length is cut into as many pieces as it takes. No rows give none.
     sequence_tokens is how many ids the piece's sequence holds; with_ids adds the piece's ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -223,7 +223,8 @@ def encoded(docs: DataFrame, path: str, *, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip and ids of each row of ``docs`` (doc_id, text; other columns are left out).
 
     round_trip: whether the decoded ids are the text; they aren't where it holds the marker itself, which becomes a
-    space. A null text is an empty one, without ids. Rows that repeat get equal results.
+    space. A null text is an empty one, without ids. Rows that repeat get equal results; a text of any length is encoded
+    as a whole; no rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"

@@ -25,11 +25,12 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("/"), path), 256)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All suffixes of the host at its dots, each followed by all prefixes of the path that have one of the lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """The suffixes of the host that have one of the numbers of labels, each followed by all prefixes of the path that have one of the lengths: as many at most as rules differ in these, however long the url."""
+    parts = F.split(host, r"\.")
+    few = lambda numbers, most: F.filter(F.array(*map(F.lit, numbers)).cast("array<int>"), lambda n: n <= most)
+    suffixes = F.transform(few(labels, F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    prefixes = F.transform(few(lengths, F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("rule"), F.length(s).alias("host_size"), _digest(s, p).alias("digest")))))
 
 
@@ -38,17 +39,21 @@ def judged(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> Dat
 
     rules: host, path, verdict (allow or block). A rule fits its host and all subdomains, if the page's path starts
     with the rule's. The longest fitting rule wins; of equally long ones that with the longer host; of equal rules
-    block. Rules with a null are left out. Rows that repeat are judged alike; a url that is null or has no
-    ``://`` has an empty host and path, which no rule with a host fits.
+    block. Rules with a null are left out, and their hosts' A-Z are lower-cased as urls' are. Rows that repeat are judged
+    alike; a url that is null or has no ``://`` has an empty host and path, which no rule with a host fits. A url of any
+    length is looked up as often as rules differ in their hosts' numbers of labels and their paths' lengths, which are
+    what reaches the driver. No rows give none.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.length("path").alias("path_size"), F.max("verdict").alias("verdict"))
-    lengths = [r[0] for r in rules.select("path_size").distinct().collect()]  # as many as a path has characters at most
+    rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    # as many as a path has characters and a host has labels at most
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
+    labels = [r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect()]
     digest = _digest(F.col("host"), F.col("path"))
     rules = rules.select(F.substring(digest, 1, SHORT).alias("short"), digest.alias("full"), "verdict")
     urls = rows.select("host", "path").distinct()
-    found = urls.select("host", "path", F.inline(expressions(F.col("host"), F.col("path"), lengths or [0])))
+    found = urls.select("host", "path", F.inline(expressions(F.col("host"), F.col("path"), labels or [1], lengths or [0])))
     found = found.select("*", F.substring("digest", 1, SHORT).alias("short"))
     found = found.join(rules, "short").filter(F.col("digest") == F.col("full"))
     best = F.max(F.struct(F.length("rule").alias("size"), "host_size", "rule", "verdict"))

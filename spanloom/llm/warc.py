@@ -107,7 +107,9 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, archive_bytes: i
     """Writes a record for each row of ``pages`` (page_id, url, html; other columns are left out) and returns path, bytes and records of the archives.
 
     The payload is the html in UTF-8, null: empty. Of records with equal payloads of at least ``least_bytes``
-    those with the largest page_id are responses and the others revisit it; a null page_id is smaller than any.
+    those with the largest page_id are responses and the others revisit it; a null page_id is smaller than any. Rows that
+    repeat, and others that share the largest page_id, are all responses. An html of any length is one record; no rows
+    write no archive.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("digest", base32(F.col("sha1"))).drop("sha1")

@@ -89,6 +89,9 @@ def test_url_rules(spark):
     assert got[14][2:] == ("ab.org/p", "allow") and got[15][2:] == ("org", "block") and got[16][2:] == ("b.org/pq", "block")
     assert url_filters.judged(df.filter("false"), rules).count() == 0
     assert {r.verdict for r in url_filters.judged(df, rules.filter("false")).collect()} == {"allow"}
+    many = spark.createDataFrame([(1, "http://" + "a." * 5000 + "EXAMPLE.com/en/x"), (2, "http://" + "x" * 20000 + ".net/fr/" + "p/" * 5000)], "page_id long, url string")
+    capital = spark.createDataFrame([("Example.COM", "/en/", "block"), ("net", "/fr/", "block")], "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.judged(many, capital).collect()} == {1: ("example.com/en/", "block"), 2: ("net/fr/", "block")}
 
 
 def test_rules_that_join_to_one_text(spark):
