@@ -149,6 +149,19 @@ def gold_rows(spans: Column, items: Column) -> Column:
     return F.filter(F.concat(*some), lambda s: s["start"].isNotNull() & s["end"].isNotNull() & F.coalesce((s["label"] != "NONE") & (s["label"] != ""), F.lit(False)))
 
 
+def value_rows(text: Column, spans: Column, items: Column) -> Column:
+    """The labelled values of a row's spans and then of its items: struct(label, value), values stripped. Labels as in gold_rows(); a value is value, else entity_value, else what the offsets have of the text, whatever their bounds; without any the span is left out."""
+
+    def form(s: Column) -> Column:
+        pair = s["start"].isNull() | s["end"].isNull()
+        start, end = F.when(pair, s["start_position"]).otherwise(s["start"]), F.when(pair, s["end_position"]).otherwise(s["end"])
+        value = F.coalesce(s["value"], s["entity_value"], F.when(start.isNotNull() & end.isNotNull(), C.slice_text(F.coalesce(text, F.lit("")), start, end)))
+        return F.struct(C.label_kept(F.coalesce(s["label"], s["entity_type"])).alias("label"), C.strip(value).alias("value"))
+
+    some = [F.coalesce(F.transform(c, form), F.array().cast("array<struct<label:string,value:string>>")) for c in (spans, items)]
+    return F.filter(F.concat(*some), lambda s: F.coalesce(s["label"] != "NONE", F.lit(False)) & s["value"].isNotNull())
+
+
 def spans_of_category(text: Column, items: Column, category: str) -> Column:
     """Items of the very category as spans (start, end, label, value) in order; a value that is missing is taken from the text."""
     some = F.filter(items, lambda i: i["category"] == category)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -82,6 +82,13 @@ def merged_supersets(related: DataFrame, key: str) -> DataFrame:
     return rows.select(*(F.col(key) if c == key else F.col("z.kinds").alias("kind") if c == "kind" else F.col(f"z.rows.{c}").alias(c) for c in related.columns))
 
 
+def example_keys(rows: DataFrame, kind: str, label: str, most: int = 20) -> DataFrame:
+    """kind, label, n (examples kept of it, ``most`` at most) and place: in what order a report shows a kind's labels, those with most examples first, then by name."""
+    counts = rows.groupBy(kind, label).agg(F.least(F.count(F.lit(1)), F.lit(most)).cast("bigint").alias("n"))
+    # a row for each label of a kind
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("n"), label)).cast("bigint"))
+
+
 def diagnosed(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """pred with verdict: EXACT, OVERLAP_SAME_LABEL, OVERLAP_DIFF_LABEL or NO_OVERLAP."""
     g = gold.select(F.col(key).alias("_k"), F.col("label").alias("gl"), F.col("start").alias("gs"), F.col("end").alias("ge"))

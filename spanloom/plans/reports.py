@@ -86,6 +86,17 @@ def suspicious_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(C.suspicious(F.col("text"), F.col("start"), F.col("end"), F.col("label"))).alias("n_suspicious"))
 
 
+def gold_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled values of documents' spans and items together, as sets: some spans have a value of their own, some only offsets, under various names."""
+    span = "struct<start:bigint,end:bigint,start_position:bigint,end_position:bigint,label:string,entity_type:string,value:string,entity_value:string>"
+    none, word = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), none.alias("a"), none.alias("b"), F.lower(s["label"]).alias("label"), word.alias("t"), F.when(s["start"] % 3 == 0, F.concat(F.lit(" "), s["label"])).alias("value"), word.alias("v")).cast(span)
+    two = lambda s: F.struct(s["start"].alias("start"), none.alias("end"), s["start"].alias("a"), (s["end"] + 3).alias("b"), word.alias("label"), s["label"].alias("t"), word.alias("value"), F.when(s["start"] % 2 == 0, F.lit("own")).alias("v")).cast(span)
+    rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
+    rows = rows.select("doc_id", F.explode(annotate.value_rows(F.col("text"), F.transform("spans", one), F.transform("spans", two))).alias("v"))
+    return rows.select("doc_id", "v.label", F.md5("v.value").alias("value_md5")).distinct()
+
+
 def redact_places(spark: SparkSession, sf: str) -> DataFrame:
     """Places to redact from documents' items and companions: some of both stand at one place, some have a value of their own."""
     u = C.uniform(X._key("place"))
@@ -162,7 +173,7 @@ def json_files(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("text").cast("bigint").alias("doc_id"), "converted", F.explode("spans").alias("s")).select("doc_id", "converted", "s.start", "s.end", "s.label")
 
 
-QUERIES = {f.__name__: f for f in (taxonomy_by_side, taxonomy_totals, metric_diagnostics, predictions_with_verdicts, reachability_report, multihead_eval, suspicious_gold, suspicious_rows, redact_places, redact_pages, enrich_counts, export_counters, retry_advice, item_spans, endpoint_forms, json_files)}
+QUERIES = {f.__name__: f for f in (taxonomy_by_side, taxonomy_totals, metric_diagnostics, predictions_with_verdicts, reachability_report, multihead_eval, suspicious_gold, suspicious_rows, gold_values, redact_places, redact_pages, enrich_counts, export_counters, retry_advice, item_spans, endpoint_forms, json_files)}
 
 _U = X.UNIFORM.format
 _BOTH = scoring._BOTH
@@ -214,6 +225,9 @@ o AS (SELECT count(*) AS wrong_place, count(*) FILTER ("overlaps") AS wrong_plac
     "multihead_eval": _EVAL,
     "suspicious_gold": "WITH" + X.GOLD + _SUSPICIOUS.replace("GOLD_ROWS", "gold"),
     "suspicious_rows": "WITH" + X.GOLD + f""", su AS (SELECT *, {_U("'side:' || doc_id || ':' || label || ':' || start")} AS u FROM gold), sides AS (SELECT * FROM su WHERE u < 0.7 UNION ALL SELECT * FROM su WHERE u >= 0.4)""" + _SUSPICIOUS.replace("GOLD_ROWS", "sides"),
+    "gold_values": "WITH" + X.GOLD + f""", gv AS (SELECT doc_id, label, CASE WHEN start % 3 = 0 THEN label ELSE value END AS v FROM gold
+  UNION ALL SELECT g.doc_id, g.label, CASE WHEN g.start % 2 = 0 THEN 'own' ELSE substr(d.text, g.start + 1, g."end" + 3 - g.start) END FROM gold g JOIN documents d USING (doc_id))
+SELECT DISTINCT doc_id, label, md5({scoring._STRIP.format('v')}) AS value_md5 FROM gv""",
     "redact_places": "WITH" + X.GOLD + f""", pu AS (SELECT *, {_U("'place:' || doc_id || ':' || label || ':' || start")} AS u FROM gold),
 pi AS (SELECT doc_id, start, "end", max((CASE WHEN u < 0.2 THEN 'PII_LOOKALIKE' ELSE 'real_pii' END, coalesce(CASE WHEN u < 0.5 THEN upper(value) END, ''))) AS i, any_value(value) AS own FROM pu WHERE u < 0.8 GROUP BY ALL),
 pc AS (SELECT doc_id, start, "end", min(u) AS u FROM pu WHERE u > 0.1 GROUP BY ALL)

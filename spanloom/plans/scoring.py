@@ -105,6 +105,12 @@ def error_examples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5")
 
 
+def error_example_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """In what order a report shows the labels of false positives and negatives."""
+    rows = _related(spark, sf).filter("kind in ('fp', 'fn')").select("kind", F.coalesce("pred_label", "gold_label").alias("label"))
+    return E.example_keys(rows, "kind", "label")
+
+
 def wrong_place(spark: SparkSession, sf: str) -> DataFrame:
     return E.misplaced(*_sides(spark, sf), "doc_id")
 
@@ -127,7 +133,7 @@ def suspicious_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (match_exact, per_label_prf, micro_macro, exact_match_rate, match_value, value_prf, overlap_pairs, soft_credit, soft_prf, value_relationships, merged_supersets, error_taxonomy, confusion_matrix, error_examples, wrong_place, diagnostics, topk_predictions, suspicious_spans)
+    for f in (match_exact, per_label_prf, micro_macro, exact_match_rate, match_value, value_prf, overlap_pairs, soft_credit, soft_prf, value_relationships, merged_supersets, error_taxonomy, confusion_matrix, error_examples, error_example_keys, wrong_place, diagnostics, topk_predictions, suspicious_spans)
 }
 
 _BOTH = "WITH" + X.GOLD + X.PRED
@@ -202,6 +208,7 @@ ORACLES = {
     "error_taxonomy": _BOTH + _RELATED + _MERGED + " SELECT kind, coalesce(pred_label, gold_label) AS label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM merged GROUP BY ALL",
     "confusion_matrix": _BOTH + _RELATED + _LABELS + ", k AS (SELECT pred_label, gold_label, count(*) AS n FROM related WHERE kind = 'mismatch' GROUP BY ALL) SELECT a.label AS pred_label, b.label AS gold_label, coalesce(n, 0) AS n FROM names a CROSS JOIN names b LEFT JOIN k ON k.pred_label = a.label AND k.gold_label = b.label",
     "error_examples": _BOTH + _RELATED + ", e AS (SELECT kind, coalesce(pred_label, gold_label) AS label, doc_id, trim(regexp_replace(coalesce(pred_value, gold_value), '\\s+', ' ', 'g')) AS v FROM related WHERE kind IN ('fp', 'fn')), f AS (SELECT kind, label, doc_id, CASE WHEN length(v) > 220 THEN rtrim(substr(v, 1, 217)) || '...' ELSE v END AS value FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY kind, label ORDER BY doc_id, value) AS rank FROM f) SELECT * FROM n WHERE rank <= 5",
+    "error_example_keys": _BOTH + _RELATED + ", c AS (SELECT kind, coalesce(pred_label, gold_label) AS label, least(count(*), 20) AS n FROM related WHERE kind IN ('fp', 'fn') GROUP BY ALL) SELECT kind, label, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, label) AS place FROM c",
     "wrong_place": _BOTH + """, w AS (SELECT DISTINCT doc_id, label, start, "end" FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.start = p.start AND g."end" = p."end"))
 SELECT w.doc_id, w.label, w.start, w."end", bool_or(greatest(w.start, g.start) < least(w."end", g."end")) AS overlaps FROM w JOIN gold g USING (doc_id, label) GROUP BY w.doc_id, w.label, w.start, w."end\"""",
     "diagnostics": _BOTH + """ SELECT p.doc_id, p.label, p.start, p."end", p.score, ['NO_OVERLAP', 'OVERLAP_DIFF_LABEL', 'OVERLAP_SAME_LABEL', 'EXACT'][CAST(max(CASE WHEN g.label IS NULL THEN 1 WHEN g.start = p.start AND g."end" = p."end" AND g.label = p.label THEN 4 WHEN g.label = p.label THEN 3 ELSE 2 END) AS INT)] AS verdict
