@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 
@@ -24,10 +25,18 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Notes a path that release() is to delete, which is called at the end of the process too."""
+    if id(spark.sparkContext) not in _written:
+        _written[id(spark.sparkContext)] = []
+        atexit.register(_at_exit, spark)
+    _written[id(spark.sparkContext)].append(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that release() deletes."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(id(spark.sparkContext), []).append(path)
+    keep(spark, path)
     return path
 
 
@@ -44,6 +53,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all tables of new_path() and written(). Results that still read from them can't be evaluated any more."""
-    for path in _written.pop(id(spark.sparkContext), []):
-        delete(spark, path)
+    """Deletes all tables of new_path() and written(), and those that results of the training-data operators read from. Such results can't be evaluated any more."""
+    paths = _written.get(id(spark.sparkContext), [])
+    while paths:
+        delete(spark, paths.pop())
+
+
+def _at_exit(spark: SparkSession) -> None:
+    # a session that was stopped can't reach its store any more
+    with contextlib.suppress(Exception):
+        release(spark)
