@@ -12,6 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: Frees a write's shuffles when it is done, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,8 +40,10 @@ _held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for callers that delete() it themselves."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which callers may delete() themselves before shared.release() does."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    shared.keep(spark, path)
+    return path
 
 
 _count = [0]
@@ -81,7 +85,7 @@ class Scratch:
             delete(self.spark, self.tables.pop(id(table))[1])
 
     def keep(self, table: DataFrame | str) -> None:
-        """The call's result reads from this table or path, so it stays; held() deletes it when the result is written."""
+        """The call's result reads from this table or path, so it stays: held() deletes it when the result is written, else shared.release() or the end of the process."""
         self.kept.append(table if isinstance(table, str) else self.tables.pop(id(table))[1])
 
 
@@ -100,6 +104,8 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         delete(spark, made.folder)
     elif (held := _held.get()) is not None:
         held.append(made.folder)
+    else:
+        shared.keep(spark, made.folder)
 
 
 @contextlib.contextmanager

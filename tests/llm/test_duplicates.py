@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from spanloom import shared
 from spanloom.llm import common, components, fingerprints, near_duplicates, substring_dedup, words
 
 from . import brute
@@ -169,6 +170,14 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_leftovers_are_released(spark):
+    found = components.components(spark.createDataFrame([(1, 2)], "u long, v long"))
+    assert found.count() == 1
+    shared.release(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        found.collect()
+
+
 def test_fingerprints(spark, sf, small):
     got = {r.doc_id: r for r in fingerprints.op4_fingerprints(spark, sf).collect()}
     texts = [t for _, t in small[1]]
