@@ -79,7 +79,7 @@ def made_docs():
     return [(k % 7 if k % 5 else None, t) for k, t in enumerate(texts)] + [(3, ("x" * 30_000 + " ") * 5 + ("x" * 29_999 + " ") * 30)]
 
 
-@pytest.mark.parametrize(("a_node", "block"), [(20_000, 40_000), (4, 40_000), (20_000, 60)])
+@pytest.mark.parametrize(("a_node", "block"), [(4, 40_000), (20_000, 60)])
 def test_edges(spark, a_node, block):
     rows = made_docs()
     docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, code string, n long, node string")
