@@ -40,11 +40,12 @@ def per_label(matches: DataFrame) -> DataFrame:
 
 
 def credit_pairs(pred: DataFrame, gold: DataFrame, key: str, same_label: bool) -> DataFrame:
-    """key, pi, gi, credit > 0 of predictions (pi, ts, te, label) and gold (gi, ts, te, label) of one document."""
-    p = pred.select(key, "pi", F.col("ts").alias("ps"), F.col("te").alias("pe"), F.col("label").alias("pl"))
-    g = gold.select(key, "gi", F.col("ts").alias("gs"), F.col("te").alias("ge"), F.col("label").alias("gl"))
-    both = p.join(g, key).filter((F.col("pl") == F.col("gl")) if same_label else F.lit(True))
-    return both.withColumn("credit", C.overlap_credit(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge"))).filter("credit > 0").select(key, "pi", "gi", "credit")
+    """key, pi, gi, credit > 0 of predictions (pi, ts, te, label) and gold (gi, ts, te, label) of one document, whose spans are swept by their starts."""
+    keys = [key, "label"] if same_label else [key]
+    side = lambda df, index: df.select(*keys, index, F.col("ts").alias("start"), (F.col("te") + 1).alias("end"))
+    both = intervals.joined(side(pred, "pi"), side(gold, "gi"), keys, empties=True)
+    credit = C.overlap_credit(F.col("l.start"), F.col("l.end") - 1, F.col("r.start"), F.col("r.end") - 1)
+    return both.select(key, "l.pi", "r.gi", credit.alias("credit")).filter("credit > 0")
 
 
 def total_credit(pairs: DataFrame, key: str) -> DataFrame:
@@ -91,21 +92,20 @@ def example_keys(rows: DataFrame, kind: str, label: str, most: int = 20) -> Data
 
 def diagnosed(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """pred with verdict: EXACT, OVERLAP_SAME_LABEL, OVERLAP_DIFF_LABEL or NO_OVERLAP."""
-    g = gold.select(F.col(key).alias("_k"), F.col("label").alias("gl"), F.col("start").alias("gs"), F.col("end").alias("ge"))
-    touching = (F.col(key) == F.col("_k")) & C.chars_overlap(F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))
-    level = F.when(F.col("gl").isNull(), 0).when((F.col("start") == F.col("gs")) & (F.col("end") == F.col("ge")) & (F.col("label") == F.col("gl")), 3).when(F.col("label") == F.col("gl"), 2).otherwise(1)
+    both = intervals.joined(pred, gold.select(key, "label", "start", "end"), [key], outer=True)
+    equal = lambda c: F.col(f"l.{c}") == F.col(f"r.{c}")
+    level = F.when(F.col("r").isNull(), 0).when(equal("start") & equal("end") & equal("label"), 3).when(equal("label"), 2).otherwise(1)
     names = F.array(*map(F.lit, ("NO_OVERLAP", "OVERLAP_DIFF_LABEL", "OVERLAP_SAME_LABEL", "EXACT")))
-    best = pred.join(g, touching, "left").groupBy(*(pred[c] for c in pred.columns)).agg(F.max(level).alias("level"))
-    return best.select(*pred.columns, F.get(names, F.col("level")).alias("verdict"))
+    best = both.groupBy(key, "l").agg(F.max(level).alias("level"))
+    return best.select(*(F.col(key) if c == key else F.col(f"l.{c}").alias(c) for c in pred.columns), F.get(names, F.col("level")).alias("verdict"))
 
 
 def misplaced(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Predictions that aren't exact though their label is in the document's gold; overlaps: whether they touch one of that label."""
     wrong = pred.join(gold.select(key, "label", "start", "end").distinct(), [key, "label", "start", "end"], "left_anti")
     wrong = wrong.join(gold.select(key, "label").distinct(), [key, "label"], "left_semi")
-    g = gold.select(key, "label", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    touch = C.chars_overlap(F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))
-    return wrong.join(g, [key, "label"]).groupBy(key, "label", "start", "end").agg(F.max(touch).alias("overlaps"))
+    both = intervals.joined(wrong.select(key, "label", "start", "end").distinct(), gold.select(key, "label", "start", "end"), [key, "label"], outer=True)
+    return both.groupBy(key, "label", F.col("l.start").alias("start"), F.col("l.end").alias("end")).agg(F.max(F.col("r").isNotNull()).alias("overlaps"))
 
 
 def confusion(related: DataFrame, names: DataFrame) -> DataFrame:

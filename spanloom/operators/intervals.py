@@ -10,7 +10,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,52 @@ class Apart:
         return True
 
 
+def meeting(left: list[tuple[int, int]], right: list[tuple[int, int]], empties: bool = False) -> list[tuple[int, int]]:
+    """(i, j) of the spans of both sides that overlap, once each: a sweep by their starts, which looks at what is still open alone. empties: spans of no length meet equal ones."""
+    events = sorted([(s, 0, k) for k, (s, e) in enumerate(left) if s < e] + [(s, 1, k) for k, (s, e) in enumerate(right) if s < e])
+    sides = left, right
+    open_: tuple[list[int], list[int]] = ([], [])
+    found = []
+    for start, side, k in events:
+        other = 1 - side
+        still = [x for x in open_[other] if sides[other][x][1] > start]
+        open_[other][:] = still
+        found += [(k, x) if side == 0 else (x, k) for x in still]
+        open_[side].append(k)
+    if empties:
+        places: dict[tuple[int, int], list[int]] = {}
+        for j, span in enumerate(right):
+            if span[0] >= span[1]:
+                places.setdefault(span, []).append(j)
+        found += [(i, j) for i, span in enumerate(left) for j in places.get(span, ())]
+    return found
+
+
+def met(left: Column, right: Column, empties: bool = False, outer: bool = False) -> Column:
+    """An array of struct(i, j): the indices of spans (structs with start and end) of both arrays that overlap; see meeting(). outer: left ones that meet none too, with j null."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+
+    def batches(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in it:
+            rows = []
+            for a, b, c, d in zip(*map(_arrays, columns), strict=True):
+                pairs = meeting(list(zip(a, b, strict=True)), list(zip(c, d, strict=True)), empties)
+                alone = set(range(len(a))) - {i for i, _ in pairs} if outer else ()
+                rows.append([{"i": i, "j": j} for i, j in pairs] + [{"i": i, "j": None} for i in sorted(alone)])
+            yield pa.array(rows, kind)
+
+    batches.__annotations__ = {"it": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, "array<struct<i:int,j:int>>")(left["start"], left["end"], right["start"], right["end"])
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], empties: bool = False, outer: bool = False) -> DataFrame:
+    """keys, l and r: the spans (start, end and other columns, as structs) of both sides that overlap within equal keys. outer: left ones that meet none too, with r null. Rows of a key meet in one row, as those of a document do."""
+    lists = lambda df, name: df.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in df.columns if c not in keys))).alias(name))
+    both = lists(left, "ls").join(lists(right, "rs"), keys, "left" if outer else "inner")
+    pairs = F.transform(met(F.col("ls"), F.col("rs"), empties, outer), lambda p: F.struct(F.get("ls", p["i"]).alias("l"), F.when(p["j"].isNotNull(), F.get("rs", F.coalesce(p["j"], F.lit(0)))).alias("r")))
+    return both.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.l", "p.r")
+
+
 def _arrays(column: pa.Array) -> list[list]:
     return [x or [] for x in column.to_pylist()]
 

@@ -201,3 +201,19 @@ def test_ten_thousand_values_a_side():
     begun = time.monotonic()
     assert sum(r[0] == "superset" for r in containment.related(pred, gold)) > 4000
     assert time.monotonic() - begun < 10
+
+
+def test_meeting_spans():
+    """The sweep finds what comparing all pairs finds; 100,000 spans a side that hardly overlap take a second."""
+    rng = random.Random(11)
+    for _ in range(300):
+        sides = [[(s := rng.randrange(20), s + rng.randrange(0, 8)) for _ in range(rng.randrange(9))] for _ in range(2)]
+        want = {(i, j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1]) if max(a[0], b[0]) < min(a[1], b[1])}
+        got = intervals.meeting(*sides)
+        assert set(got) == want and len(got) == len(want)
+        empty = {(i, j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1]) if a == b and a[0] == a[1]}
+        assert set(intervals.meeting(*sides, True)) == want | empty
+    many = [(7 * k, 7 * k + 5) for k in range(100_000)]
+    begun = time.monotonic()
+    assert len(intervals.meeting(many, [(s + 3, e + 3) for s, e in many])) == 199_999
+    assert time.monotonic() - begun < 5
