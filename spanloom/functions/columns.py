@@ -176,7 +176,7 @@ def field_list(text: Column) -> Column:
 
 
 #: Array elements that are cumulated together: appending copies what is there.
-_RUN = 256
+RUN = 256
 
 
 def cumulated(sizes: Column) -> Column:
@@ -187,6 +187,10 @@ def cumulated(sizes: Column) -> Column:
         first = F.struct(F.lit(0).cast("bigint").alias("sum"), none.alias("before"))
         return F.aggregate(numbers, first, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))
 
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _RUN).cast("int")), lambda k: sums(F.slice(sizes, k * _RUN + 1, _RUN)))
-    long = F.transform(F.array(runs), lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, lambda x: x["sum"]))["before"], lambda x, at: F.transform(x["before"], lambda b: b + at))))[0]
-    return F.when(F.size(sizes) > 2 * _RUN, long).otherwise(sums(sizes)["before"])
+    def whole(given: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / RUN).cast("int")), lambda k: sums(F.slice(given, k * RUN + 1, RUN)))
+        long = F.transform(F.array(runs), lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, lambda x: x["sum"]))["before"], lambda x, at: F.transform(x["before"], lambda b: b + at))))[0]
+        return F.when(F.size(given) > RUN, long).otherwise(sums(given)["before"])
+
+    # made once, whatever makes the array
+    return F.transform(F.array(sizes), whole)[0]

@@ -17,12 +17,24 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.when(held, F.translate(text, OPEN + CLOSE, "\x03\x03")).otherwise(text), pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
+def _folded(cut: Column) -> Column:
+    """places(), by a fold: the quickest way for few matches."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    first = F.struct(F.length(F.get(cut, F.lit(0))).cast("bigint").alias("at"), empty.alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        here = F.struct(acc["at"].alias("start"), (acc["at"] + F.locate(CLOSE, part) - 1).cast("bigint").alias("end"))
+        return F.struct((acc["at"] + F.length(part) - 1).cast("bigint").alias("at"), F.array_append(acc["found"], here).alias("found"))
+
+    return F.aggregate(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), first, step)["found"]
+
+
 def places(cut: Column) -> Column:
     """array<struct<start, end>> of the matches, left to right, from a column of parts()."""
     # every part but the first begins with a match and holds U+0002
     sizes = F.transform(cut, lambda part, i: (F.length(part) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))
     found = F.zip_with(cut, C.cumulated(sizes), lambda part, at: F.struct(at.alias("start"), (at + F.locate(CLOSE, part) - 1).cast("bigint").alias("end")))
-    return F.slice(found, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
+    return F.when(F.size(cut) <= C.RUN, _folded(cut)).otherwise(F.slice(found, 2, F.greatest(F.size(cut) - 1, F.lit(0))))
 
 
 def searched(text: Column, pattern: str, needed: str | None = None) -> Column:

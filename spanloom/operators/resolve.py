@@ -57,10 +57,16 @@ def resolved(hits: Column) -> Column:
 
 def _joined(text: Column, spans: Column, new) -> Column:
     """The text with each of the disjoint spans, in order, replaced by new(span): the pieces are made one by one and joined once. Null where a piece is."""
-    end = lambda k: F.coalesce(F.get(spans, k)["end"], F.lit(0))
-    pieces = F.transform(spans, lambda s, i: F.concat(C.slice_text(text, F.when(i > 0, end(i - 1)).otherwise(0), s["start"]), new(s)))
-    tail = C.slice_text(text, end(F.size(spans) - 1), F.length(text).cast("bigint"))
-    return F.transform(F.array(pieces), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.concat(F.array_join(p, ""), tail)))[0]
+
+    def whole(spans: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(spans, k)["end"], F.lit(0))
+        pieces = F.transform(spans, lambda s, i: F.concat(C.slice_text(text, F.when(i > 0, end(i - 1)).otherwise(0), s["start"]), new(s)))
+        tail = C.slice_text(text, end(F.size(spans) - 1), F.length(text).cast("bigint"))
+        joined = F.transform(F.array(pieces), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.concat(F.array_join(p, ""), tail)))[0]
+        return F.when(F.size(spans) > 0, joined).when(spans.isNotNull(), text)
+
+    # the spans are found once, whatever finds them
+    return F.transform(F.array(spans), whole)[0]
 
 
 def replaced(text: Column, spans: Column, replacement) -> Column:

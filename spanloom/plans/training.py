@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import shared, vocab
 from ..functions import columns as C
 from ..operators import costs, detect, labelling, negatives, supervise, tokens, vectors
 from . import fixtures as X
@@ -70,7 +70,8 @@ def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Gold spans on tokens, and the candidates of at most MOST tokens that touch one: all others are NONE and KEEP."""
     rows = detect.listed(X.documents(spark, sf), ["doc_id", "text"], "text").filter("size(spans) > 0")
     rows = rows.select("doc_id", "text", "spans", (tokens.counted(F.col("text")) - 1).alias("last"))
-    found = tokens.spread(rows, ["doc_id", "last"], "text").filter("ts is not null")
+    # a few rows a document, read several times
+    found = shared.written(tokens.spread(rows, ["doc_id", "last"], "text").filter("ts is not null"), "placed")
     gold = found.select("doc_id", "ts", "te", "label")
     near = found.select("doc_id", "last", F.col("ts").alias("gs"), F.explode(F.sequence(F.greatest(F.col("ts") - (MOST - 1), F.lit(0)), "te")).alias("ts"))
     cands = near.select("doc_id", "ts", F.explode(F.sequence(F.greatest("ts", "gs"), F.least(F.col("ts") + (MOST - 1), F.col("last")))).alias("te"))
