@@ -1,4 +1,4 @@
-"""Every candidate span of a document with its training targets, inside the document's own row: nothing is shuffled."""
+"""Every candidate span of a document with its training targets, made in the document's task: nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -44,6 +44,12 @@ def enumerated(docs: DataFrame, key: str, most: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.col("ts"), F.least(F.col("ts") + (most - 1), F.col("n") - 1))).alias("te"))
 
 
+def sampled(docs: DataFrame, key: str, rate: float, most: int = 12) -> DataFrame:
+    """key, ts, te, label of the candidates of ``docs`` (key, n, types) that a gold span stands at, with its label, and of the share ``rate`` of the others that their digests choose, with null."""
+    rows = negatives.sampled(docs, key, most, rate, ["types"], ["types"])
+    return rows.select(key, "ts", "te", F.when(F.col("types").isNotNull(), exact_label(F.col("types"), F.col("ts"), F.col("te"))).alias("label"))
+
+
 def labelled(docs: DataFrame, key: str, most: int = 12, rate: float | None = None, lookalike: float = 0.8, nothing: float = 1.0) -> DataFrame:
     """key, ts, te, label, sensitivity, best_label, weight, redact, keep of the candidates of ``docs``.
 
@@ -55,21 +61,16 @@ def labelled(docs: DataFrame, key: str, most: int = 12, rate: float | None = Non
     has ``weight`` and NONE the rest; redact and keep sum to one.
     """
     ts, te = F.col("ts"), F.col("te")
-    held = F.concat(*(F.transform(c, lambda g: F.struct(g["ts"].alias("ts"), g["te"].alias("te"))) for c in ("types", "senses", "extra")))
-    docs = docs.withColumn("held", F.array_distinct(F.filter(held, lambda g: g["te"] - g["ts"] < most)))
-    rows, none = enumerated(docs, key, most), F.col("n") == 0
-    if rate is not None:
-        chosen = lambda a, b: C.uniform(F.concat_ws(":", F.lit("neg"), F.col(key), a, b)) <= rate
-        rows = rows.filter(F.exists("held", lambda g: (g["ts"] == ts) & (g["te"] == te)) | chosen(ts, te))
-        last = F.col("n") - 1
-        any_chosen = F.exists(F.sequence(F.lit(0).cast("bigint"), last), lambda a: F.exists(F.sequence(a, F.least(a + (most - 1), last)), lambda b: chosen(a, b)))
-        none = F.when(none, True).when(F.size("held") > 0, False).otherwise(~any_chosen)
-    rows = rows.unionByName(docs.filter(none).select("*", F.lit(0).cast("bigint").alias("ts"), F.lit(0).cast("bigint").alias("te")))
-    near = rows.select(key, "ts", "te", "types", "senses", "lookalikes", touching(F.col("types"), ts, te).alias("near"), touching(F.col("senses"), ts, te).alias("near_senses"))
-    near = near.select("*", exact_label(F.col("near"), ts, te).alias("exact"), exact_label(F.col("near_senses"), ts, te).alias("sensitivity"), best_group(F.col("near"), ts, te).alias("best"), best_group(F.col("near_senses"), ts, te).alias("sense"))
+    alike = F.transform("lookalikes", lambda g: F.struct(g["ts"].alias("ts"), g["te"].alias("te"), F.lit(None).cast("string").alias("label")))
+    docs = docs.select(key, "n", "types", "senses", "extra", alike.alias("lookalikes"))
+    near = negatives.sampled(docs, key, most, rate, ["types", "senses", "lookalikes"], ["types", "senses", "extra"], fallback=True)
+    near = near.withColumnsRenamed({"types": "near", "senses": "near_senses"})
+    # most candidates touch nothing
     like = F.exists("lookalikes", lambda g: (g["ts"] == ts) & (g["te"] == te))
+    some = lambda c, value: F.when(F.col(c).isNotNull(), value)
+    near = near.select(key, "ts", "te", some("near", exact_label(F.col("near"), ts, te)).alias("exact"), some("near_senses", exact_label(F.col("near_senses"), ts, te)).alias("sensitivity"), some("near", best_group(F.col("near"), ts, te)).alias("best"), some("near_senses", best_group(F.col("near_senses"), ts, te)).alias("sense"), some("lookalikes", like).alias("like"))
     by_iou = F.when(F.col("sense.label") == "REDACT", F.col("sense.iou")).otherwise(1 - F.col("sense.iou"))
-    redact = F.when(like, lookalike).when(F.col("sensitivity").isNotNull(), (F.col("sensitivity") == "REDACT").cast("double")).when(F.col("sense").isNotNull(), by_iou).otherwise(1 - nothing)
+    redact = F.when(F.col("like"), lookalike).when(F.col("sensitivity").isNotNull(), (F.col("sensitivity") == "REDACT").cast("double")).when(F.col("sense").isNotNull(), by_iou).otherwise(1 - nothing)
     exact = F.when(F.col("exact") != "NONE", F.col("exact"))
     weight = F.when(exact.isNotNull() | F.col("best").isNull(), 1.0).otherwise(F.col("best.iou"))
     return near.select(key, "ts", "te", F.coalesce(exact, F.lit("NONE")).alias("label"), "sensitivity", F.coalesce(exact, F.col("best.label"), F.lit("NONE")).alias("best_label"), weight.alias("weight"), redact.alias("redact"), (1 - redact).alias("keep"))

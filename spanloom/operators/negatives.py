@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .digests import uniform
+
 #: Multipliers of the rounds, and the prime that a round is taken modulo.
 ROUNDS, PRIME = (48271, 69621, 40692, 16807), 2147483647
 
@@ -149,6 +151,110 @@ def share(n: int, places: list[tuple[int, int]], key: str, most: int, rate: floa
     return rows + list(zip(ts.tolist(), te.tolist(), [False] * len(ts), hard.tolist(), strict=True))
 
 
+#: First tokens whose candidates are worked on together.
+_FIRSTS = 1 << 12
+
+
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ts and te of the structs in a column of lists, ts past te where one is null, and where each row's begin; a null list is an empty one."""
+    ts, te = column.flatten().flatten()[:2]
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return ts.fill_null(1 << 62).to_numpy(zero_copy_only=False), te.fill_null(-1).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+class _Near:
+    """Places in a batch of rows, on the tokens of all its rows one after another: which of them touch candidates."""
+
+    def __init__(self, column: pa.Array, n: np.ndarray, base: np.ndarray, kind: pa.DataType):
+        ts, te, upto = _places(column)
+        row = np.repeat(np.arange(len(n)), np.diff(upto))
+        # a row without tokens has a place for (0, 0)
+        room = np.maximum(n, 1)[row]
+        self.index = np.flatnonzero((ts < room) & (te >= 0) & (ts <= te))
+        row, room = row[self.index], room[self.index]
+        self.ts, self.te = base[row] + np.maximum(ts[self.index], 0), base[row] + np.minimum(te[self.index], room - 1)
+        self.values, self.kind = column.flatten(), kind
+
+    def touching(self, ts: np.ndarray, te: np.ndarray, most: int) -> pa.ListArray:
+        """Of candidates in the order of ts, each of ``most`` tokens or less, the places that share a token with it, in their rows' order; null for none."""
+        some = np.flatnonzero((self.te >= ts[0]) & (self.ts < ts[-1] + most)) if len(ts) else np.zeros(0, np.int64)
+        low, high = np.searchsorted(ts, self.ts[some] - (most - 1), side="left"), np.searchsorted(ts, self.te[some], side="right")
+        many = np.maximum(high - low, 0)
+        place = np.repeat(some, many)
+        cand = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        good = self.ts[place] <= te[cand]
+        place, cand = place[good], cand[good]
+        counts = np.bincount(cand, minlength=len(ts))
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(counts == 0, False)), self.values.take(pa.array(self.index[place[np.argsort(cand, kind="stable")]])).cast(self.kind.value_type))
+
+
+def _sampled(most: int, rate: float | None, fallback: bool, near: list[str], held: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("ts", pa.int64()), ("te", pa.int64()), ("label", pa.string())]))
+    for batch in batches:
+        keys, heads = batch.column("_key"), [b"%b:" % (h or "").encode("utf-8", "surrogatepass") for h in batch.column("_head").to_pylist()]
+        given = batch.column("_n")
+        n = np.maximum(given.fill_null(0).to_numpy(zero_copy_only=False), 0)
+        # a place for a candidate of rows without tokens
+        base = np.concatenate([[0], np.cumsum(np.maximum(n, 1))])
+        code = lambda row, ts, te: (base[row] + ts) * most + te - ts  # noqa: B023, E731
+        codes = []
+        for ts, te, upto in (_places(batch.column(c)) for c in held):
+            row = np.repeat(np.arange(len(n)), np.diff(upto))
+            good = np.flatnonzero((ts >= 0) & (ts <= te) & (te - ts < most) & (te < n[row]))
+            codes.append(code(row[good], ts[good], te[good]))
+        kept = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
+        places = [_Near(batch.column(c), n, base, kind) for c in near]
+        with_any = np.zeros(len(n), bool)
+
+        def made(row: np.ndarray, ts: np.ndarray, te: np.ndarray) -> pa.RecordBatch:
+            lists = [p.touching(base[row] + ts, base[row] + te, most) for p in places]  # noqa: B023
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(ts), pa.array(te), *lists], names=["_key", "ts", "te", *near])  # noqa: B023
+
+        # the rows' first tokens, one after another; a row's may be cut
+        first = np.concatenate([[0], np.cumsum(n)])
+        for lo in range(0, int(first[-1]), _FIRSTS):
+            at = np.arange(lo, min(lo + _FIRSTS, int(first[-1])))
+            row = np.searchsorted(first, at, side="right") - 1
+            ts = at - first[row]
+            te = ts[:, None] + np.arange(most)
+            take = te < n[row][:, None]
+            if rate is not None:
+                chosen = uniform([b"%b%d:" % (heads[r], t) for r, t in zip(row.tolist(), ts.tolist(), strict=True)], ts, most) <= rate
+                a, b = np.searchsorted(kept, [code(row[0], ts[0], ts[0]), code(row[-1], ts[-1], ts[-1] + most)])
+                chosen[np.searchsorted(base[row] + ts, kept[a:b] // most), kept[a:b] % most] = True
+                take &= chosen
+            i, d = np.nonzero(take)
+            if len(i):
+                with_any[row[i]] = True
+                yield made(row[i], ts[i], te[i, d])
+        if fallback:
+            none = np.flatnonzero(~with_any & given.is_valid().to_numpy(zero_copy_only=False))
+            zero = np.zeros(len(none), np.int64)
+            if len(none):
+                yield made(none, zero, zero)
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Small rows out of which many are made, over as many tasks as shuffles have: by their own size Spark would put them in one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def sampled(docs: DataFrame, key: str, most: int, rate: float | None, near: list[str], held: list[str], fallback: bool = False) -> DataFrame:
+    """key, ts, te of candidates of at most ``most`` tokens of docs (key, n, and columns of lists of places), and of each in the columns ``near`` the places there that share a token with it, null for none.
+
+    With ``rate``, candidates that stand at a place of the columns ``held`` and the share of the others that their
+    digests choose; else all. fallback: a document that is left without any has (0, 0). Candidates leave a task a few
+    thousand first tokens at a time, whatever a document's length; places are not copied to candidates they don't touch.
+    """
+    placed = "array<struct<ts:bigint,te:bigint,label:string>>"
+    pair = lambda c: F.transform(c, lambda g: F.struct(g["ts"].cast("bigint").alias("ts"), g["te"].cast("bigint").alias("te")))
+    rows = docs.select(F.col(key).alias("_key"), F.concat_ws(":", F.lit("neg"), key).alias("_head"), F.col("n").cast("bigint").alias("_n"), *(F.col(c).cast(placed).alias(c) for c in near), *(pair(F.col(c)).alias(f"_held_{c}") for c in held))
+    names = [f"_held_{c}" for c in held]
+    out = dealt(rows, "_key", "_n").mapInArrow(lambda batches: _sampled(most, rate, fallback, near, names, batches), ", ".join([f"_key {rows.schema['_key'].dataType.simpleString()}", "ts bigint, te bigint", *(f"{c} {placed}" for c in near)]))
+    return out.withColumnRenamed("_key", key)
+
+
 def _column(work, key: Column, n: Column, gold: Column) -> Column:
     kind = pa.list_(pa.struct([("ts", pa.int64()), ("te", pa.int64()), ("positive", pa.bool_()), ("hard", pa.bool_())]))
 

@@ -39,6 +39,15 @@ def on_tokens(spark: SparkSession, sf_dir: str, containing: bool = False) -> Dat
     return tokens.spread(rows, ["doc_id"], "text", containing)
 
 
+def sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id and n of all documents, and on_tokens() of the spans on tokens: from a table without texts, for which these are read once."""
+    rows = detect.listed(documents(spark, sf_dir), ["doc_id", "text"], "text")
+    rows = rows.select("doc_id", "spans", tokens.counted(F.col("text")).alias("n"), tokens.aligned(F.col("text"), F.col("spans.start"), F.col("spans.end")).alias("t"))
+    rows = shared.written(rows.select("doc_id", "n", F.arrays_zip("spans", F.col("t.ts").alias("ts"), F.col("t.te").alias("te")).alias("spans")), "sized")
+    placed = rows.select("doc_id", F.explode("spans").alias("z")).filter("z.ts is not null")
+    return rows.select("doc_id", "n"), placed.select("doc_id", "z.spans.*", "z.ts", "z.te")
+
+
 #: Gold and predictions that are read instead of made, by kind and folder; see once().
 _once: ContextVar[dict | None] = ContextVar("once", default=None)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import labelling, score, tokens
+from ..operators import labelling, score
 from . import fixtures as X
 from . import spans as S
 
@@ -16,14 +16,14 @@ LEAST, LEAST_OTHER = {"PHONE": 0.3, "EMAIL": 0.1, "OTHER": 0.72}, 0.2
 
 def _supervised(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its number of tokens, its gold (seven tenths of what patterns find, half of that with a sensitivity) and all places that patterns find."""
-    found = X.on_tokens(spark, sf).filter("ts is not null").withColumn("u", C.uniform(X._key("known")))
+    docs, found = X.sized(spark, sf)
+    found = found.withColumn("u", C.uniform(X._key("known")))
     order = F.struct("start", "end", "label")
     types = labelling.placed(found.filter("u < 0.7"), "doc_id", "label", order).withColumnRenamed("gold", "types")
     senses = found.filter("u < 0.35").withColumn("sense", F.when(F.col("label") == "PHONE", "KEEP").otherwise("REDACT"))
     senses = labelling.placed(senses, "doc_id", "sense", order).withColumnRenamed("gold", "senses")
     place = F.struct("ts", "te")
     other = found.groupBy("doc_id").agg(F.collect_set(F.when((F.col("label") == "IP_ADDRESS") & (F.col("u") < 0.7), place)).alias("lookalikes"), F.collect_set(place).alias("extra"))
-    docs = X.documents(spark, sf).select("doc_id", tokens.counted(F.col("text")).alias("n"))
     for side in (types, senses, other):
         docs = docs.join(side, "doc_id", "left")
     kinds = {"types": labelling.PLACED, "senses": labelling.PLACED, "lookalikes": labelling.PLACES, "extra": labelling.PLACES}
@@ -33,7 +33,9 @@ def _supervised(spark: SparkSession, sf: str) -> DataFrame:
 def candidate_labels(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates of at most 12 tokens of all documents, a fifth of the negatives, counted by what they are given."""
     rows = labelling.labelled(_supervised(spark, sf), "doc_id", rate=0.2)
-    by = ["doc_id", "label", "sensitivity", "best_label", F.round("weight", 6).alias("weight"), F.round("redact", 6).alias("redact")]
+    # nearly all are 0 or 1, and rounding takes its time
+    rounded = lambda c: F.when(F.col(c).isin(0.0, 1.0), F.col(c)).otherwise(F.round(c, 6)).alias(c)
+    by = ["doc_id", "label", "sensitivity", "best_label", rounded("weight"), rounded("redact")]
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
 
 
