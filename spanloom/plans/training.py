@@ -123,16 +123,14 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
 
 def _types(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its number of tokens and its gold spans on tokens."""
-    gold = labelling.placed(_gold_token_spans(spark, sf), "doc_id", "label", F.struct("label")).withColumnRenamed("gold", "types")
-    docs = X.documents(spark, sf).select("doc_id", tokens.counted(F.col("text")).alias("n")).join(gold, "doc_id", "left")
-    return docs.withColumn("types", F.coalesce("types", F.array().cast(labelling.PLACED)))
+    docs, found = X.sized(spark, sf)
+    gold = labelling.placed(found, "doc_id", "label", F.struct("label")).withColumnRenamed("gold", "types")
+    return docs.join(gold, "doc_id", "left").withColumn("types", F.coalesce("types", F.array().cast(labelling.PLACED)))
 
 
 def negative_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates of all documents that a gold span stands at, and a fifth of the others, counted by document and label."""
-    rows = labelling.enumerated(_types(spark, sf), "doc_id", MOST)
-    rows = rows.withColumn("label", labelling.exact_label(F.col("types"), F.col("ts"), F.col("te")))
-    out = supervise.sampled_negatives(rows, F.col("label").isNotNull(), F.concat_ws(":", F.lit("neg"), "doc_id", "ts", "te"), 0.2)
+    out = labelling.sampled(_types(spark, sf), "doc_id", 0.2, MOST)
     return out.groupBy("doc_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.sum("te").alias("sum_te"))
 
 
