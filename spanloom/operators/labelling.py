@@ -76,19 +76,14 @@ def labelled(docs: DataFrame, key: str, most: int = 12, rate: float | None = Non
     return near.select(key, "ts", "te", F.coalesce(exact, F.lit("NONE")).alias("label"), "sensitivity", F.coalesce(exact, F.col("best.label"), F.lit("NONE")).alias("best_label"), weight.alias("weight"), redact.alias("redact"), (1 - redact).alias("keep"))
 
 
-def _negatives(docs: DataFrame, key: str, made: Column) -> DataFrame:
-    """key, ts, te, positive, hard: only what is returned leaves its document's row."""
-    return docs.select(key, F.explode(made).alias("c")).select(key, "c.*")
-
-
 def budgeted(docs: DataFrame, key: str, most: int = 12, hard_each: int = 2, easy_each: int = 6, without: int = 48) -> DataFrame:
     """key, ts, te, positive, hard of the candidates of ``docs`` (key, n, types) that a budget allows: all positives, and for each of them so many hard and easy negatives, or ``without`` of both of a document that has none, in the order of a permutation that the key fixes.
 
     A negative is hard if it shares a token with a gold span.
     """
-    return _negatives(docs, key, negatives.budgeted(F.concat_ws(":", F.lit("budget"), key), F.col("n"), F.col("types"), most, hard_each, easy_each, without))
+    return negatives.budgeted(docs, key, most, hard_each, easy_each, without)
 
 
 def share(docs: DataFrame, key: str, rate: float, most: int = 12) -> DataFrame:
     """key, ts, te, positive, hard of all positives of ``docs`` (key, n, types) and of the share ``rate`` of each document's other candidates, the first in the order of a permutation that the key fixes."""
-    return _negatives(docs, key, negatives.shared(F.concat_ws(":", F.lit("share"), key), F.col("n"), F.col("types"), most, rate))
+    return negatives.shared(docs, key, most, rate)

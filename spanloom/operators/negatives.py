@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .digests import uniform
@@ -22,8 +22,6 @@ from .digests import uniform
 #: Multipliers of the rounds, and the prime that a round is taken modulo.
 ROUNDS, PRIME = (48271, 69621, 40692, 16807), 2147483647
 
-SCHEMA = "array<struct<ts:bigint,te:bigint,positive:boolean,hard:boolean>>"
-
 
 def starts(n: int, most: int) -> np.ndarray:
     """The rank at which each length begins, and the number of candidates."""
@@ -126,29 +124,41 @@ class _Gold:
         return ts[good], te[good]
 
 
-def budget(n: int, places: list[tuple[int, int]], key: str, most: int, hard_each: int, easy_each: int, without: int) -> list[tuple[int, int, bool, bool]]:
-    """(ts, te, positive, hard) of a document's gold, and of as many hard and easy negatives for each, or ``without`` easy or hard ones where there is no gold."""
-    if n <= 0:
-        return []
+#: Candidates: ts, te, positive, hard.
+Drawn = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _together(*parts: tuple[np.ndarray, np.ndarray, bool, bool | np.ndarray]) -> Drawn:
+    return (*(np.concatenate([p[i] for p in parts]) for i in (0, 1)), *(np.concatenate([np.broadcast_to(np.asarray(p[i], bool), len(p[0])) for p in parts]) for i in (2, 3)))
+
+
+def _rows(drawn_: Drawn) -> list[tuple[int, int, bool, bool]]:
+    return list(zip(*(x.tolist() for x in drawn_), strict=True))
+
+
+def _budget(n: int, places: list[tuple[int, int]], key: str, most: int, hard_each: int, easy_each: int, without: int) -> Drawn:
     gold = _Gold(n, most, places)
     of = len(gold.ts)
-    rows = [(ts, te, True, True) for ts, te in zip(gold.ts.tolist(), gold.te.tolist(), strict=True)]
     hard_ts, hard_te = gold.around()
     order = np.argsort(place(gold.begins[hard_te - hard_ts] + hard_ts, key_of(key), half_bits(int(gold.begins[-1]))), kind="stable")[: hard_each * of if of else without]
-    rows += [(ts, te, False, True) for ts, te in zip(hard_ts[order].tolist(), hard_te[order].tolist(), strict=True)]
     ts, te = draws(n, most, key, easy_each * of if of else without, lambda a, b: ~gold.touched(a, b))
-    return rows + [(a, b, False, False) for a, b in zip(ts.tolist(), te.tolist(), strict=True)]
+    return _together((gold.ts, gold.te, True, True), (hard_ts[order], hard_te[order], False, True), (ts, te, False, False))
 
 
-def share(n: int, places: list[tuple[int, int]], key: str, most: int, rate: float) -> list[tuple[int, int, bool, bool]]:
-    """(ts, te, positive, hard) of a document's gold and of the share ``rate``, rounded down, of its other candidates."""
-    if n <= 0:
-        return []
+def budget(n: int, places: list[tuple[int, int]], key: str, most: int, hard_each: int, easy_each: int, without: int) -> list[tuple[int, int, bool, bool]]:
+    """(ts, te, positive, hard) of a document's gold, and of as many hard and easy negatives for each, or ``without`` easy or hard ones where there is no gold."""
+    return _rows(_budget(n, places, key, most, hard_each, easy_each, without)) if n > 0 else []
+
+
+def _share(n: int, places: list[tuple[int, int]], key: str, most: int, rate: float) -> Drawn:
     gold = _Gold(n, most, places)
-    rows = [(ts, te, True, True) for ts, te in zip(gold.ts.tolist(), gold.te.tolist(), strict=True)]
     ts, te = draws(n, most, key, int(rate * (int(gold.begins[-1]) - len(gold.ts)) + 1e-9), lambda a, b: ~gold.held(a, b))
-    hard = gold.touched(ts, te)
-    return rows + list(zip(ts.tolist(), te.tolist(), [False] * len(ts), hard.tolist(), strict=True))
+    return _together((gold.ts, gold.te, True, True), (ts, te, False, gold.touched(ts, te)))
+
+
+def share(n: int, places: list[tuple[int, int]], key: str, most: int, rate: float) -> list[tuple[int, int, bool, bool]]:
+    """(ts, te, positive, hard) of a document's gold and of the share ``rate``, rounded down, of its other candidates."""
+    return _rows(_share(n, places, key, most, rate)) if n > 0 else []
 
 
 #: First tokens whose candidates are worked on together.
@@ -255,26 +265,52 @@ def sampled(docs: DataFrame, key: str, most: int, rate: float | None, near: list
     return out.withColumnRenamed("_key", key)
 
 
-def _column(work, key: Column, n: Column, gold: Column) -> Column:
-    kind = pa.list_(pa.struct([("ts", pa.int64()), ("te", pa.int64()), ("positive", pa.bool_()), ("hard", pa.bool_())]))
+#: Drawn candidates that leave a task together.
+_TOGETHER = 1 << 16
 
-    def batches(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for keys, sizes, places in it:
-            rows = []
-            for k, size, of in zip(keys.to_pylist(), sizes.to_pylist(), places.to_pylist(), strict=True):
-                made = work(size or 0, [(p["ts"], p["te"]) for p in of or []], k or "")
-                rows.append([dict(zip(("ts", "te", "positive", "hard"), r, strict=True)) for r in made])
-            yield pa.array(rows, kind)
 
-    batches.__annotations__ = {"it": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, SCHEMA)(key, n, gold)
+def _made(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of each row's document, some at a time: rows wait for as many as _TOGETHER, and those of a longer document leave in parts."""
+    for batch in batches:
+        keys, names, sizes = batch.column("_key"), batch.column("_head").to_pylist(), batch.column("_n").to_pylist()
+        ts, te, upto = _places(batch.column("types"))
+        held: list[tuple[int, Drawn]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:  # noqa: B023
+                row = np.repeat([r for r, _ in held], [len(d[0]) for _, d in held])  # noqa: B023
+                columns = [np.concatenate([d[i] for _, d in held]) for i in range(4)]  # noqa: B023
+                held.clear()  # noqa: B023
+                for a in range(0, len(row), _TOGETHER):
+                    part = slice(a, a + _TOGETHER)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[part])), *(pa.array(c[part]) for c in columns)], names=["_key", "ts", "te", "positive", "hard"])  # noqa: B023
+
+        waiting = 0
+        for k, (name, n) in enumerate(zip(names, sizes, strict=True)):
+            if n and n > 0:
+                here = slice(upto[k], upto[k + 1])
+                good = ts[here] <= te[here]
+                held.append((k, work(n, list(zip(ts[here][good].tolist(), te[here][good].tolist(), strict=True)), name or "")))
+                waiting += len(held[-1][1][0])
+            if waiting >= _TOGETHER:
+                yield from flush()
+                waiting = 0
+        yield from flush()
+
+
+def _rows_of(docs: DataFrame, key: str, name: str, work) -> DataFrame:
+    """key, ts, te, positive, hard: what ``work`` draws for the rows of docs (key, n, types), by ``name`` and key."""
+    places_ = F.transform("types", lambda g: F.struct(g["ts"].cast("bigint").alias("ts"), g["te"].cast("bigint").alias("te")))
+    rows = docs.select(F.col(key).alias("_key"), F.concat_ws(":", F.lit(name), key).alias("_head"), F.col("n").cast("bigint").alias("_n"), places_.alias("types"))
+    out = dealt(rows, "_key", "_n").mapInArrow(lambda batches: _made(work, batches), f"_key {rows.schema['_key'].dataType.simpleString()}, ts bigint, te bigint, positive boolean, hard boolean")
+    return out.withColumnRenamed("_key", key)
 
 
-def budgeted(key: Column, n: Column, gold: Column, most: int, hard_each: int, easy_each: int, without: int) -> Column:
-    """budget() of the document ``key`` with n tokens and gold, an array of struct(ts, te, ...), in its row."""
-    return _column(lambda size, places, k: budget(size, places, k, most, hard_each, easy_each, without), key, n, gold)
+def budgeted(docs: DataFrame, key: str, most: int, hard_each: int, easy_each: int, without: int) -> DataFrame:
+    """budget() of the documents ``docs`` (key, n tokens, types: gold, an array of struct(ts, te, ...)) as rows."""
+    return _rows_of(docs, key, "budget", lambda n, places, k: _budget(n, places, k, most, hard_each, easy_each, without))
 
 
-def shared(key: Column, n: Column, gold: Column, most: int, rate: float) -> Column:
-    """share() of the document ``key`` with n tokens and gold, an array of struct(ts, te, ...), in its row."""
-    return _column(lambda size, places, k: share(size, places, k, most, rate), key, n, gold)
+def shared(docs: DataFrame, key: str, most: int, rate: float) -> DataFrame:
+    """share() of the documents ``docs`` (key, n tokens, types: gold, an array of struct(ts, te, ...)) as rows."""
+    return _rows_of(docs, key, "share", lambda n, places, k: _share(n, places, k, most, rate))

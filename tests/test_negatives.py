@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def test_sampled_candidates_against_all(spark):
 def test_candidates_are_made_in_many_tasks(spark):
     """Documents' sizes are small rows, which come together in one task."""
     docs = spark.range(40).selectExpr("id as doc_id", "50L as n", f"cast(array() as {labelling.PLACED}) as types").coalesce(1)
-    for rows in (labelling.sampled(docs, "doc_id", 0.2),):
+    for rows in (labelling.sampled(docs, "doc_id", 0.2), labelling.budgeted(docs, "doc_id"), labelling.share(docs, "doc_id", 0.5)):
         assert rows.select(F.spark_partition_id()).distinct().count() > 1
 
 
@@ -108,3 +109,15 @@ def test_labels_of_a_long_document_with_many_spans(spark):
     counts = {r.label: r["count"] for r in labelling.labelled(docs, "doc_id", rate=0.2).groupBy("label").count().collect()}
     assert counts["X"] == counts["Y"] == 2000 and 270_000 < counts["NONE"] < 305_000
     assert time.monotonic() - begun < 45
+
+
+@pytest.mark.parametrize("work", [lambda n, places, k: negatives._share(n, places, k, 12, 0.5), lambda n, places, k: negatives._budget(n, places, k, 12, 2, 40, 48)])
+def test_drawn_candidates_leave_in_bounded_batches(work):
+    places = [[{"ts": 9 * k, "te": 9 * k + 1} for k in range(3000)], [], None, [{"ts": 1, "te": 1}]]
+    kind = pa.list_(pa.struct([("ts", pa.int64()), ("te", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None]), pa.array(["a", "b", "c", None]), pa.array([60_000, 60_000, None, 9]), pa.array(places, kind)], names=["_key", "_head", "_n", "types"])
+    made = list(negatives._made(work, iter([batch])))
+    assert len(made) > 1 and all(b.num_rows <= negatives._TOGETHER for b in made)
+    got = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    want = [(key, *r) for key, k, n, of in ((1, "a", 60_000, places[0]), (2, "b", 60_000, []), (None, "", 9, places[3])) for r in negatives._rows(work(n, [(p["ts"], p["te"]) for p in of], k))]
+    assert got == want
