@@ -58,9 +58,9 @@ def companion_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def concatenated_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents printed over several lines one after another, read back in blocks of the files."""
+    """Documents printed over several lines one after another, in a file for each part of the table that Spark reads, read back in blocks of the files."""
     path = shared.new_path(spark, "pretty")
-    records.write_pretty(X.documents(spark, sf).select("doc_id", F.concat(F.lit('{"'), "text", F.lit('\\"}')).alias("text")).repartition(3), path)
+    records.write_pretty(X.documents(spark, sf).select("doc_id", F.concat(F.lit('{"'), "text", F.lit('\\"}')).alias("text")), path)
     back = records.read_concatenated(spark, path, "doc_id long, text string")
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 

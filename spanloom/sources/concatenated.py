@@ -22,6 +22,8 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 _REST = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL)
 #: What may stand between objects.
 _BETWEEN = r"^[\s,\[\]]*$"
+#: Pieces of a block that meet in a task.
+PIECES = 4096
 _SCHEMA = "path string, block long, size long, k long, piece string, bytes long, in0 boolean, depth0 long, in1 boolean, depth1 long"
 
 
@@ -83,17 +85,18 @@ def read_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     starts = listed.select("path", "final", "final_k", "open", F.explode(F.aggregate("blocks", start, follow, lambda acc: acc["starts"])).alias("s"))
     starts = starts.select("path", F.col("s.block").alias("block"), F.col("s.inside").alias("inside"), F.col("s.depth").alias("base"), "final", "final_k", "open")
-    known = pieces.join(starts, ["path", "block"])
+    # no text is shuffled for these: a row for each block
+    known = pieces.join(F.broadcast(starts), ["path", "block"])
     inside, depth = F.when(F.col("inside"), F.col("in1")).otherwise(F.col("in0")), F.col("base") + F.when(F.col("inside"), F.col("depth1")).otherwise(F.col("depth0"))
     # what follows the last brace of a file isn't followed by one
     tail = F.col("open") & (F.col("block") == F.col("final")) & (F.col("k") == F.col("final_k"))
-    known = known.select("path", "block", "k", "piece", tail.alias("tail"), (~inside & (depth == 0) & ~tail).alias("ends"))
+    known = known.select("path", "block", F.expr(f"k div {PIECES}").alias("run"), "k", "piece", tail.alias("tail"), (~inside & (depth == 0) & ~tail).alias("ends"))
 
-    # objects that ended before a block, then before a piece in it
-    per = known.groupBy("path", "block").agg(F.count_if("ends").alias("n"))
-    done = per.select("path", "block", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"))
-    within = F.coalesce(F.sum(F.col("ends").cast("long")).over(Window.partitionBy("path", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = known.withColumn("within", within).join(done, ["path", "block"]).withColumn("idx", F.col("done") + F.col("within"))
+    # objects that ended before a run of pieces, then before a piece in it; blocks would be too much text for a task
+    per = known.groupBy("path", "block", "run").agg(F.count_if("ends").alias("n"))
+    done = per.select("path", "block", "run", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"))
+    within = F.coalesce(F.sum(F.col("ends").cast("long")).over(Window.partitionBy("path", "block", "run").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = known.withColumn("within", within).join(done, ["path", "block", "run"]).withColumn("idx", F.col("done") + F.col("within"))
     parts = counted.groupBy("path", "idx").agg(F.array_sort(F.collect_list(F.struct("block", "k", "piece", "tail"))).alias("parts"), F.max("ends").alias("whole"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["piece"], F.when(p["tail"], "").otherwise("}"))), "")
     parts = parts.select("path", "idx", text.alias("text"), "whole")

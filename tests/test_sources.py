@@ -2,11 +2,13 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import shared
+from spanloom.plans import exchange
 from spanloom.sources import concatenated, positions, records, seen
 
 
@@ -171,3 +173,23 @@ def test_release(spark):
     shared.release(spark)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         table.count()
+
+
+def test_pieces_of_a_block_meet_in_runs(spark, tmp_path, monkeypatch):
+    """A block's pieces are counted in runs, over several tasks; before, all text of a block went to one."""
+    monkeypatch.setattr(concatenated, "PIECES", 5)
+    rows = objects(random.Random(5), 120)
+    (tmp_path / "f.json").write_text("\n".join(json.dumps(o, indent=2) for o in rows), encoding="utf-8")
+    found = concatenated.read_objects(spark, str(tmp_path / "f.json"))
+    assert [json.loads(r.value) for r in found.orderBy("idx").collect()] == rows
+    assert re.search(r"hashpartitioning\(path#\d+, block#\d+L, run#\d+L", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_more_parts_are_written_to_more_files(spark, tmp_path, set_conf):
+    spark.range(40).selectExpr("id as doc_id", "repeat('x', 10) as text").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    set_conf(spark__sql__files__maxPartitionBytes="2000", spark__sql__files__openCostInBytes="1")
+    parts = exchange.X.documents(spark, str(tmp_path)).rdd.getNumPartitions()
+    before = set(shared._written.get(id(spark.sparkContext), []))
+    assert parts > 3 and exchange.concatenated_json(spark, str(tmp_path)).count() == 40
+    (path,) = [p for p in set(shared._written[id(spark.sparkContext)]) - before if "/pretty-" in p]
+    assert len(records.matching(spark, f"{path}/part-*")) == parts
