@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tags of tokens, and what a special token has for one.
 O, B, I, IGNORED = 0, 1, 2, -100  # noqa: E741
-#: Characters that are worked on together.
-_GROUP = 1 << 20
+#: Bytes of texts that are worked on together.
+_GROUP = 1 << 18
 
 
 @functools.cache
@@ -76,18 +77,13 @@ class _Located:
         return np.where(none, 0, ts - self.first[text]), np.where(none, -1, te - self.first[text])
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
-def _groups(texts: list[str], table: np.ndarray) -> Iterator[tuple[int, int, _Located]]:
+def _groups(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, _Located]]:
+    """The column's texts some at a time, a null one as an empty one: Python has no more of them at once than _GROUP bytes, or one."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= _GROUP):
-            size += len(texts[b]) + 1
-            b += 1
-        yield a, b, _Located(texts[a:b], table)
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _GROUP, side="right")))
+        yield a, b, _Located([t or "" for t in column.slice(a, b - a).to_pylist()], table)
         a = b
 
 
@@ -131,7 +127,7 @@ def offsets(text: Column, specials: bool = False) -> Column:
 
     def work(table: np.ndarray, column: pa.Array) -> pa.Array:
         starts, ends, counts = [], [], []
-        for _, _, t in _groups(_texts(column), table):
+        for _, _, t in _groups(column, table):
             s, e, n = t.own(t.s), t.own(t.e), t.count
             if specials:
                 at = np.concatenate([t.first[:-1], t.first[1:]])
@@ -149,7 +145,7 @@ def counted(text: Column) -> Column:
     """How many tokens a text has, special ones left out."""
 
     def work(table: np.ndarray, column: pa.Array) -> pa.Array:
-        return pa.array(_joined([t.count for _, _, t in _groups(_texts(column), table)]), pa.int64())
+        return pa.array(_joined([t.count for _, _, t in _groups(column, table)]), pa.int64())
 
     return _mapped("bigint", work, text)
 
@@ -175,7 +171,7 @@ def aligned(text: Column, start: Column, end: Column, containing: bool = False,
         (s, s_set, counts), (e, e_set, _) = _flat(starts), _flat(ends)
         upto = np.concatenate([[0], np.cumsum(counts)])
         found = [], []
-        for a, b, t in _groups(_texts(texts), table):
+        for a, b, t in _groups(texts, table):
             here = slice(upto[a], upto[b])
             of = np.repeat(np.arange(b - a), counts[a:b])
             for part, side in zip(found, (t.containing if containing else t.overlapping)(of, s[here], e[here]), strict=True):
@@ -194,7 +190,7 @@ def positions(text: Column, ts: Column, te: Column, specials: bool = False, guar
         (a, a_set, counts), (b, b_set, _) = _flat(firsts), _flat(lasts)
         upto = np.concatenate([[0], np.cumsum(counts)])
         starts, ends, wrong = [], [], []
-        for lo, hi, t in _groups(_texts(texts), table):
+        for lo, hi, t in _groups(texts, table):
             here = slice(upto[lo], upto[hi])
             of = np.repeat(np.arange(hi - lo), counts[lo:hi])
             n = t.count[of]
@@ -240,7 +236,7 @@ def bio(text: Column, start: Column, end: Column, specials: bool = False) -> Col
         (s, s_set, counts), (e, e_set, _) = _flat(starts), _flat(ends)
         upto = np.concatenate([[0], np.cumsum(counts)])
         tags, sizes = [], []
-        for a, b, t in _groups(_texts(texts), table):
+        for a, b, t in _groups(texts, table):
             here = slice(upto[a], upto[b])
             of, lo, hi = np.repeat(np.arange(b - a), counts[a:b]), s[here], e[here]
             ts, te = t.overlapping(of, lo, hi)

@@ -1,8 +1,12 @@
 """Spans on tokens in the row against plain readings of the texts."""
 
 import random
+import sys
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -124,3 +128,13 @@ def test_many_matches_in_one_text(spark):
     rows = detect.listed(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], "text", {"EMAIL": detect.vocab.PATTERNS["EMAIL"]})
     spans = rows.first().spans
     assert len(spans) == 20_000 and all(text[s.start : s.end] == f"u{k}@h.io" for k, s in enumerate(spans))
+
+
+def test_python_holds_few_texts_at_once():
+    """A batch's texts become Python's a group at a time, whatever the batch's size."""
+    column, known = pa.array(["word " * 400, None] * 10_000), np.ones(sys.maxunicode + 1, np.uint8)
+    tracemalloc.start()
+    total = sum(len(t.count) for _, _, t in tokens._groups(column, known))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(column) and peak < 16 << 20
