@@ -119,19 +119,22 @@ class WordTokenizer:
         marks = ids == self.mark
         return ids[~marks], np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])) - 1
 
+    def _checked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self._joined(words)
+        if len(counts) != len(words):
+            raise ValueError("this tokenizer joins words across spaces")
+        return ids, counts
+
     def _new(self, words: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and how many each has."""
-        if not spaced:
-            each, others = self._whole(words), []
-        elif self.before:
-            each, others = [[]] * len(words), list(range(len(words)))
-        else:
-            each, others = self._simple(words)
+        if spaced and self.before:
+            # all from the library, in order: they stay numbers
+            parts = [self._checked(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+        each, others = self._simple(words) if spaced else (self._whole(words), [])
         for a in range(0, len(others), TOGETHER):
             some = others[a : a + TOGETHER]
-            ids, counts = self._joined([words[k] for k in some])
-            if len(counts) != len(some):
-                raise ValueError("this tokenizer joins words across spaces")
+            ids, counts = self._checked([words[k] for k in some])
             flat, stops = ids.tolist(), np.cumsum(counts).tolist()
             for k, start, stop in zip(some, [0, *stops], stops, strict=False):
                 each[k] = flat[start:stop]
